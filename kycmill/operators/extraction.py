@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,15 +56,10 @@ def mrz_lines(boxes: DataFrame) -> DataFrame:
     return boxes.select("document_id").distinct().join(whole, "document_id", "left")
 
 
-def mrz_validate(lines: DataFrame, as_of: dt.date) -> DataFrame:
-    """Check digits, dates and fields of line pairs; ``failed_checks`` is empty for a valid zone.
-
-    ``as_of`` decides the century of birth dates, so that results do not change with the day.
-    """
-    trimmed = {c: F.upper(F.regexp_replace(c, r"^\s+|\s+$", "")) for c in ("line1", "line2")}
-    rows = lines.withColumns(trimmed)
-    l1, l2 = F.col("line1"), F.col("line2")
-    right_length = (F.length(l1) == LINE_LENGTH) & (F.length(l2) == LINE_LENGTH)
+def _parse_zone(zone: Column, as_of: dt.date) -> Column:
+    """Fields and failed checks of one pair of lines."""
+    l1, l2 = zone["line1"], zone["line2"]
+    right_length = F.coalesce((F.length(l1) == LINE_LENGTH) & (F.length(l2) == LINE_LENGTH), F.lit(False))
     checked_text = F.concat(cut(l2, 0, 10), cut(l2, 13, 20), cut(l2, 21, 44))
     charset = checked_text.rlike("^[0-9A-Z<]*$")
     composite = F.concat(cut(l2, 0, 10), cut(l2, 13, 20), cut(l2, 21, 43))
@@ -84,7 +79,7 @@ def mrz_validate(lines: DataFrame, as_of: dt.date) -> DataFrame:
         ("expiry_date_format", expiry.isNull()),
     ]
     failed = (
-        F.when(~F.coalesce(right_length, F.lit(False)), F.array(F.lit("line_length")))
+        F.when(~right_length, F.array(F.lit("line_length")))
         .when(~charset, F.array(F.lit("invalid_character")))
         .otherwise(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks])))
     )
@@ -93,8 +88,7 @@ def mrz_validate(lines: DataFrame, as_of: dt.date) -> DataFrame:
     def field(value):
         return F.when(usable, F.nullif(value, F.lit("")))
 
-    return rows.select(
-        "document_id",
+    return F.struct(
         field(filled_name(cut(l1, 5, 44))).alias("full_name"),
         field(F.rtrim(cut(l2, 0, 9), F.lit("<"))).alias("document_number"),
         field(F.rtrim(cut(l2, 10, 13), F.lit("<"))).alias("nationality"),
@@ -102,7 +96,22 @@ def mrz_validate(lines: DataFrame, as_of: dt.date) -> DataFrame:
         F.when(usable, expiry).alias("expiry_date"),
         field(F.rtrim(cut(l1, 0, 2), F.lit("<"))).alias("document_type"),
         failed.alias("failed_checks"),
-    ).withColumn("valid", F.size("failed_checks") == 0)
+    )
+
+
+def mrz_validate(lines: DataFrame, as_of: dt.date) -> DataFrame:
+    """Check digits, dates and fields of line pairs; ``failed_checks`` is empty for a valid zone.
+
+    ``as_of`` decides the century of birth dates, so that results do not change with the day. The lines
+    are bound once and parsed as one value: filters on the result do not copy them into every check.
+    """
+    trimmed = [F.upper(F.regexp_replace(c, r"^\s+|\s+$", "")).alias(c) for c in ("line1", "line2")]
+    zone = F.transform(F.array(F.struct(*trimmed)), lambda z: _parse_zone(z, as_of))
+    return (
+        lines.select("document_id", F.get(zone, F.lit(0)).alias("zone"))
+        .select("document_id", "zone.*")
+        .withColumn("valid", F.size("failed_checks") == 0)
+    )
 
 
 # Spellings of a truth value a model response may use.
@@ -122,8 +131,9 @@ def response_issues(attempts: DataFrame) -> DataFrame:
     def blank(name):
         return F.coalesce(doc[name], F.lit("")) == ""
 
-    def bad_date(name):
-        return ~doc[name].rlike(r"^\d{4}-\d{2}-\d{2}$") | doc[name].try_cast("date").isNull()
+    def good_date(name):
+        shaped = doc[name].rlike(r"^\d{4}-\d{2}-\d{2}$") & doc[name].try_cast("date").isNotNull()
+        return F.coalesce(shaped, F.lit(False))
 
     has_doc = doc.isNotNull()
     issue = (
@@ -132,8 +142,10 @@ def response_issues(attempts: DataFrame) -> DataFrame:
         .when(has_doc & blank("full_name"), F.lit("full_name empty"))
         .when(has_doc & blank("document_number"), F.lit("document_number empty"))
         .when(has_doc & blank("document_type"), F.lit("document_type empty"))
-        .when(has_doc & F.coalesce(bad_date("date_of_birth"), F.lit(True)), F.lit("date_of_birth invalid"))
-        .when(has_doc & F.coalesce(bad_date("expiry_date"), F.lit(False)), F.lit("expiry_date invalid"))
+        .when(has_doc & ~good_date("date_of_birth"), F.lit("date_of_birth invalid"))
+        .when(
+            has_doc & doc["expiry_date"].isNotNull() & ~good_date("expiry_date"), F.lit("expiry_date invalid")
+        )
         .when(visible.isin(*FALSE_TEXT) | ~has_doc, F.lit("no document visible"))
     )
     return parsed.withColumn("issue", issue)

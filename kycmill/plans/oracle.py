@@ -45,7 +45,7 @@ select tenant_id, case_id, step, seq, model_version,
        when not (step='sanctions_screen' and case_id%71=0) then 'completed' end as outcome,
   case when model_version is not null then sha256(case_id::varchar) end as input_hash,
   '{"case_id": "'||case_id||'"}' as payload, 'step "'||step||'" '||repeat('x',600) as error,
-  created_at + to_minutes(seq) as at
+  created_at + to_minutes(seq) as "at"
 from v_cases cross join v_step_names""",
     "v_decisions": """
 select event_id as decision_id, user_id as reviewer_id,
@@ -309,12 +309,12 @@ def with_views(body: str) -> str:
 
 _STEP_EVENTS = """
 select tenant_id, case_id, step||'.started' as event_type, 'system:pipeline-worker' as actor, null as model_version,
-  null as input_hash, '{}' as payload, seq*2+2 as seq, at as created_at from v_steps
+  null as input_hash, '{}' as payload, seq*2+2 as seq, v_steps.at as created_at from v_steps
 union all
 select tenant_id, case_id, step||'.'||outcome, 'system:pipeline-worker', case when outcome='completed' then model_version end,
   case when outcome='completed' then input_hash end,
   case when outcome='failed' then '{"error": "'||replace(substr(error,1,500),'"','\\"')||'"}' else payload end,
-  seq*2+3, at from v_steps where outcome is not null
+  seq*2+3, v_steps.at from v_steps where outcome is not null
 union all
 select c.tenant_id, case_id, 'case_created', 'api-key:'||(case_id%1500), null, null,
   '{"plan_tier": "'||plan_tier||'", "subject_name": "'||subject_name||'"}', 0, created_at
