@@ -495,6 +495,18 @@ where phase='started' and coalesce(next_phase,'started')='started'""",
   round((epoch_us(next_at)-epoch_us(created_at))/1e6,6) as seconds from v_paired
 where phase='started' and next_phase in ('completed','failed')""",
     "quota_admission": "select * from v_quota_result",
+    "stream_case_events": """select event_id as seq, '3' as tenant_id, event_id::varchar as case_id, event_type as status,
+  null::varchar as decision from events where user_id%25=3 and event_id%13<>0""",
+    "stream_quota": "select * from v_quota_result",
+    "stream_audit_chain": "select id, tenant_id, prev_row_hash, row_hash from v_chain",
+    "stream_ingest": """select case_id as request_id, tenant_id, coalesce(case when idempotency_key is not null then
+    first_value(case_id) over (partition by tenant_id, idempotency_key order by created_at, case_id) end, case_id) as case_id,
+  idempotency_key is not null and case_id<>
+    first_value(case_id) over (partition by tenant_id, idempotency_key order by created_at, case_id) as is_replay
+from v_cases""",
+    "stream_status_counts": """select status, count(*) as n from (
+  select case_id, arg_max(status,seq) as status from v_mutations where status is not null group by 1) group by 1""",
+    "stream_case_lifecycle": "select case_id, final_status from v_resolution",
     "blob_digest": """select doc_id, case when doc_id%6<>0 then sha256(text) end as sha256, doc_id%6<>0 as is_uploaded from documents""",
     "evidence_numeric": """select case_id, evidence_id, created_at, confidence::decimal(5,4)::double as confidence,
   face::decimal(5,4)::double as face from v_evidence""",

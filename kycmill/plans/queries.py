@@ -21,8 +21,10 @@ from ..operators import (
     screening,
 )
 from ..schemas import DOMAINS
-from ..session import configure
+from ..session import configure, scratch_path
 from ..sources.views import Views
+from ..streaming import operators
+from ..streaming.runs import file_stream, run_to_files, table_stream
 
 Query = Callable[[Views], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -480,6 +482,87 @@ def step_durations(v: Views) -> DataFrame:
     return _rounded(audit.step_durations(v.step_audit()), "seconds")
 
 
+# Streams: each runs over everything there is and is read back
+
+
+def _event_texts(v: Views) -> DataFrame:
+    """The shared channel: one JSON text per event, some of them cut off."""
+    events = table_stream(v.spark, v.t.folder, "events")
+    rows = events.select(
+        F.col("event_id").alias("seq"),
+        (F.col("user_id") % 25).alias("tenant_id"),
+        F.col("event_id").alias("case_id"),
+        F.col("event_type").alias("status"),
+        F.lit(None).cast("string").alias("decision"),
+    )
+    text = F.col("payload")
+    cut = F.when(F.col("seq") % 13 == 0, F.substring(text, 1, 30)).otherwise(text)
+    return mutations.case_events(rows).select("seq", cut.alias("value"))
+
+
+@query
+def stream_case_events(v: Views) -> DataFrame:
+    return run_to_files(operators.stream_case_events(_event_texts(v), TENANT), "case-events")
+
+
+@query
+def stream_quota(v: Views) -> DataFrame:
+    events = table_stream(v.spark, v.t.folder, "events")
+    requests = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), "ts")
+    return run_to_files(operators.stream_quota(requests, limit=2, window_s=DAY_S), "quota")
+
+
+@query
+def stream_audit_chain(v: Views) -> DataFrame:
+    stream = v.audit_of(table_stream(v.spark, v.t.folder, "events"))
+    return operators.run_audit_chain(stream).select("id", "tenant_id", "prev_row_hash", "row_hash")
+
+
+@query
+def stream_ingest(v: Views) -> DataFrame:
+    requests = v.cases_of(table_stream(v.spark, v.t.folder, "orders"))
+    return operators.run_ingest(requests.select("tenant_id", "case_id", "idempotency_key", "created_at"))
+
+
+@query
+def stream_status_counts(v: Views) -> DataFrame:
+    stream = v.mutations_of(table_stream(v.spark, v.t.folder, "events"))
+    return operators.run_status_counts(stream.filter(F.col("status").isNotNull()))
+
+
+def lifecycle_events(v: Views) -> DataFrame:
+    """Assessments of all cases and all reviewer decisions as one log in order of arrival."""
+    null = F.lit(None).cast("string")
+    assessed = decided_cases(v).select(
+        "case_id",
+        (F.col("case_id") % 7 * 1000).cast("bigint").alias("seq"),
+        F.lit("assessed").alias("kind"),
+        "status",
+        "reason",
+    )
+    decided = v.decisions().join(v.cases().select("case_id"), "case_id", "left_semi")
+    return assessed.unionByName(
+        decided.select(
+            "case_id",
+            F.col("decision_id").alias("seq"),
+            F.lit("decision").alias("kind"),
+            F.col("decision").alias("status"),
+            null.alias("reason"),
+        )
+    )
+
+
+@query
+def stream_case_lifecycle(v: Views) -> DataFrame:
+    log = lifecycle_events(v)
+    path = scratch_path(v.spark, "lifecycle-log")
+    log.write.parquet(path)
+    transitions = run_to_files(operators.stream_case_lifecycle(file_stream(log, path)), "lifecycle")
+    # A decision may follow the parking with the same number: the later of the two is the final one.
+    rank = F.struct("seq", F.col("status") != "needs_review")
+    return transitions.groupBy("case_id").agg(F.max_by("status", rank).alias("final_status"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, folder: fn(Views(configure(spark), folder))

@@ -40,7 +40,10 @@ class Views:
         )
 
     def cases(self) -> DataFrame:
-        o, c = self.t["orders"], self.t["customer"]
+        return self.cases_of(self.t["orders"])
+
+    def cases_of(self, orders: DataFrame) -> DataFrame:
+        o, c = orders, self.t["customer"]
         key = F.col("o_orderkey")
         status = (
             F.when((F.col("o_orderstatus") == "F") & (key % 5 == 0), F.lit("rejected"))
@@ -153,10 +156,13 @@ class Views:
         )
 
     def mutations(self) -> DataFrame:
+        return self.mutations_of(self.t["events"])
+
+    def mutations_of(self, events: DataFrame) -> DataFrame:
         n = self.t["orders"].agg(F.floor(F.count("*") / 5)).scalar()
         kind = F.col("event_type")
         final = F.when(kind == "purchase", F.lit("approved")).when(kind == "error", F.lit("rejected"))
-        return self.t["events"].select(
+        return events.select(
             (F.col("event_id") % n).alias("case_id"),
             F.col("event_id").alias("seq"),
             F.coalesce(final, F.when(kind == "view", F.lit("needs_review"))).alias("status"),
@@ -263,7 +269,10 @@ class Views:
         )
 
     def audit(self) -> DataFrame:
-        return self.t["events"].select(
+        return self.audit_of(self.t["events"])
+
+    def audit_of(self, events: DataFrame) -> DataFrame:
+        return events.select(
             F.col("event_id").alias("id"),
             (F.col("user_id") % 25).alias("tenant_id"),
             (F.col("event_id") % 97).alias("case_id"),
