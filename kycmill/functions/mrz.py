@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the published standard.
+# Fixed values of the published standard: line length, weights, and the last digit of every
+# character's value (digits 0-9, letters 10-35, filler 0).
 LINE_LENGTH = 44
 WEIGHTS = (7, 3, 1)
-VALUES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ<"
+LAST_DIGITS = "012345678901234567890123450"
 
 
 def cut(text: Column, start: int, end: int) -> Column:
@@ -16,19 +18,21 @@ def cut(text: Column, start: int, end: int) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def char_value(char: Column) -> Column:
-    """Value of one character: digits 0-9, letters 10-35, filler 0."""
-    return F.greatest(F.instr(F.lit(VALUES), char) - 1, F.lit(0))
+def last_digits(text: Column) -> Column:
+    """Last digit of every character's value. Only that matters for a sum modulo 10."""
+    return F.transform(F.split(F.translate(text, LETTERS, LAST_DIGITS), ""), lambda c: F.ascii(c) - ord("0"))
 
 
-def check_digit(text: Column, length: int) -> Column:
-    """Weighted sum modulo 10 over the first ``length`` characters.
-
-    The text is split once and appears once, so a derived line does not multiply in the plan.
-    """
+def weighted_digit(digits: Column, length: int) -> Column:
+    """Weighted sum modulo 10 over ``length`` last digits, as text."""
     weights = F.array(*[F.lit(WEIGHTS[i % 3]) for i in range(length)])
-    products = F.zip_with(F.split(text, ""), weights, lambda c, w: char_value(c) * w)
-    return F.aggregate(products, F.lit(0), lambda total, p: total + F.coalesce(p, F.lit(0))) % 10
+    products = F.zip_with(digits, weights, lambda d, w: d * w)
+    return (F.aggregate(products, F.lit(0), lambda total, p: total + p) % 10).cast("string")
+
+
+def check_digit(text: Column, length: int) -> Column:
+    """Check digit of a text of ``length`` characters."""
+    return weighted_digit(last_digits(text), length)
 
 
 def short_date(raw: Column, birth: bool, current_year: int) -> Column:
@@ -40,9 +44,6 @@ def short_date(raw: Column, birth: bool, current_year: int) -> Column:
 
 
 def filled_name(field: Column) -> Column:
-    """``SURNAME<<GIVEN<NAMES`` as ``GIVEN NAMES SURNAME``; null when nothing is left."""
-    halves = F.split(field, "<<", 2)
-    surname = F.trim(F.translate(F.get(halves, F.lit(0)), "<", " "))
-    given = F.trim(F.translate(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), "<", " "))
-    full = F.when(given == "", surname).otherwise(F.trim(F.concat_ws(" ", given, surname)))
-    return F.nullif(full, F.lit(""))
+    """``SURNAME<<GIVEN<NAMES`` as ``GIVEN NAMES SURNAME``."""
+    halves = F.transform(F.split(field, "<<", 2), lambda half: F.trim(F.translate(half, "<", " ")))
+    return F.trim(F.array_join(F.reverse(halves), " "))

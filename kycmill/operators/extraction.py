@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.mrz import LINE_LENGTH, char_value, check_digit, cut, filled_name, short_date
+from ..functions.mrz import LINE_LENGTH, cut, filled_name, last_digits, short_date, weighted_digit
 from ..schemas import MODEL_ATTEMPTS, MODEL_RESPONSE, MRZ_MODEL
 
 MIN_LINE = 30
@@ -58,42 +58,43 @@ def mrz_lines(boxes: DataFrame) -> DataFrame:
 
 def _parse_zone(zone: Column, as_of: dt.date) -> Column:
     """Fields and failed checks of one pair of lines."""
-    l1, l2 = zone["line1"], zone["line2"]
-    right_length = F.coalesce((F.length(l1) == LINE_LENGTH) & (F.length(l2) == LINE_LENGTH), F.lit(False))
-    checked_text = F.concat(cut(l2, 0, 10), cut(l2, 13, 20), cut(l2, 21, 44))
-    charset = checked_text.rlike("^[0-9A-Z<]*$")
-    composite = F.concat(cut(l2, 0, 10), cut(l2, 13, 20), cut(l2, 21, 43))
+    l1, l2, whole, clean = zone["line1"], zone["line2"], zone["whole"], zone["clean"]
     birth = short_date(cut(l2, 13, 19), True, as_of.year)
     expiry = short_date(cut(l2, 21, 27), False, as_of.year)
 
-    def wrong(text, length, at):
-        return check_digit(text, length) != char_value(cut(l2, at, at + 1))
+    def digits(*ranges):
+        parts = [F.slice(zone["digits"], start + 1, end - start) for start, end in ranges]
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+    def wrong(at, *ranges):
+        # The check character itself is a digit or the filler; a letter never matches.
+        expected = weighted_digit(digits(*ranges), sum(end - start for start, end in ranges))
+        return expected != F.translate(cut(l2, at, at + 1), "<", "0")
 
     checks = [
-        ("document_number", wrong(cut(l2, 0, 9), 9, 9)),
-        ("date_of_birth", wrong(cut(l2, 13, 19), 6, 19)),
-        ("expiry_date", wrong(cut(l2, 21, 27), 6, 27)),
-        ("personal_number", (cut(l2, 42, 43) != "<") & wrong(cut(l2, 28, 42), 14, 42)),
-        ("composite", wrong(composite, 39, 43)),
+        ("document_number", wrong(9, (0, 9))),
+        ("date_of_birth", wrong(19, (13, 19))),
+        ("expiry_date", wrong(27, (21, 27))),
+        ("personal_number", (cut(l2, 42, 43) != "<") & wrong(42, (28, 42))),
+        ("composite", wrong(43, (0, 10), (13, 20), (21, 43))),
         ("date_of_birth_format", birth.isNull()),
         ("expiry_date_format", expiry.isNull()),
     ]
     failed = (
-        F.when(~right_length, F.array(F.lit("line_length")))
-        .when(~charset, F.array(F.lit("invalid_character")))
+        F.when(~whole, F.array(F.lit("line_length")))
+        .when(~clean, F.array(F.lit("invalid_character")))
         .otherwise(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks])))
     )
-    usable = right_length & charset
 
     def field(value):
-        return F.when(usable, F.nullif(value, F.lit("")))
+        return F.when(whole & clean, value)
 
     return F.struct(
         field(filled_name(cut(l1, 5, 44))).alias("full_name"),
         field(F.rtrim(cut(l2, 0, 9), F.lit("<"))).alias("document_number"),
         field(F.rtrim(cut(l2, 10, 13), F.lit("<"))).alias("nationality"),
-        F.when(usable, birth).alias("date_of_birth"),
-        F.when(usable, expiry).alias("expiry_date"),
+        field(birth).alias("date_of_birth"),
+        field(expiry).alias("expiry_date"),
         field(F.rtrim(cut(l1, 0, 2), F.lit("<"))).alias("document_type"),
         failed.alias("failed_checks"),
     )
@@ -106,10 +107,24 @@ def mrz_validate(lines: DataFrame, as_of: dt.date) -> DataFrame:
     are bound once and parsed as one value: filters on the result do not copy them into every check.
     """
     trimmed = [F.upper(F.regexp_replace(c, r"^\s+|\s+$", "")).alias(c) for c in ("line1", "line2")]
-    zone = F.transform(F.array(F.struct(*trimmed)), lambda z: _parse_zone(z, as_of))
+    l1, l2 = F.col("line1"), F.col("line2")
+    whole = F.coalesce((F.length(l1) == LINE_LENGTH) & (F.length(l2) == LINE_LENGTH), F.lit(False))
+    # Every position a check reads; nationality and sex may hold anything.
+    checked_text = F.concat(cut(l2, 0, 10), cut(l2, 13, 20), cut(l2, 21, 44))
+    zone = F.struct(
+        "line1",
+        "line2",
+        last_digits(l2).alias("digits"),
+        whole.alias("whole"),
+        F.coalesce(checked_text.rlike("^[0-9A-Z<]*$"), F.lit(False)).alias("clean"),
+    )
+    parsed = F.get(F.transform(F.array(zone), lambda z: _parse_zone(z, as_of)), F.lit(0))
+    texts = ["full_name", "document_number", "nationality", "document_type"]
+    filled = [F.when(F.col(f"zone.{c}") != "", F.col(f"zone.{c}")).alias(c) for c in texts]
     return (
-        lines.select("document_id", F.get(zone, F.lit(0)).alias("zone"))
-        .select("document_id", "zone.*")
+        lines.select("document_id", *trimmed)
+        .select("document_id", parsed.alias("zone"))
+        .select("document_id", *filled, "zone.date_of_birth", "zone.expiry_date", "zone.failed_checks")
         .withColumn("valid", F.size("failed_checks") == 0)
     )
 
@@ -174,7 +189,11 @@ def response_resolve(attempts: DataFrame, max_attempts: int = MODEL_ATTEMPTS) ->
 
 
 def mrz_accepted(mrz: DataFrame) -> DataFrame:
-    """Extractions from valid zones that also fill every mandatory document field."""
+    """Every zone as an extraction, with ``accepted`` telling whether it may stand for the document.
+
+    A zone is accepted when it is valid and fills every mandatory document field. Rows are flagged, not
+    filtered: a filter would be pushed below the parsing and make it run once more per condition.
+    """
     good = F.col("valid") & F.col("full_name").isNotNull() & F.col("document_number").isNotNull()
     document = F.struct(
         "full_name",
@@ -184,8 +203,9 @@ def mrz_accepted(mrz: DataFrame) -> DataFrame:
         "nationality",
         F.coalesce("document_type", F.lit("unknown")).alias("document_type"),
     )
-    return mrz.filter(good).select(
+    return mrz.select(
         "document_id",
+        good.alias("accepted"),
         document.alias("document"),
         F.lit(0.99).alias("confidence"),
         F.lit("mrz").alias("method"),
@@ -196,20 +216,28 @@ def mrz_accepted(mrz: DataFrame) -> DataFrame:
 
 def needs_model(documents: DataFrame, mrz: DataFrame) -> DataFrame:
     """Documents without an accepted zone: only these go to the expensive model."""
-    return documents.join(mrz_accepted(mrz).select("document_id"), "document_id", "left_anti")
+    flags = mrz_accepted(mrz).select("document_id", "accepted")
+    flagged = documents.join(flags, "document_id", "left")
+    return flagged.filter(~F.coalesce("accepted", F.lit(False))).drop("accepted")
 
 
 def extraction_resolve(mrz: DataFrame, responses: DataFrame, model: str = "model") -> DataFrame:
-    """One extraction per document: the zone when it is accepted, else the resolved model response."""
-    accepted = mrz_accepted(mrz).select("document_id", F.struct("*").alias("m"))
+    """One extraction per document: the zone when it is accepted, else the resolved model response.
+
+    A document with neither has not been answered yet and is left out.
+    """
+    zones = mrz_accepted(mrz).select("document_id", "accepted", F.struct("*").alias("m"))
     answered = responses.select("document_id", F.struct("*").alias("r"))
     fields = ["document", "confidence", "method", "needs_review", "reason"]
-    joined = accepted.join(answered, "document_id", "full_outer")
-    best = [
-        F.when(F.col("m").isNotNull(), F.col(f"m.{f}")).otherwise(F.col(f"r.{f}")).alias(f) for f in fields
-    ]
+    joined = zones.join(answered, "document_id", "full_outer")
+    by_zone = F.coalesce("accepted", F.lit(False))
+    best = [F.when(by_zone, F.col(f"m.{f}")).otherwise(F.col(f"r.{f}")).alias(f) for f in fields]
     version = F.when(F.col("method") == "mrz", F.lit(MRZ_MODEL)).otherwise(F.lit(model))
-    return joined.select("document_id", *best).withColumn("model_version", version)
+    return (
+        joined.filter(by_zone | F.col("r").isNotNull())
+        .select("document_id", *best)
+        .withColumn("model_version", version)
+    )
 
 
 def face_match(pairs: DataFrame, faces: DataFrame) -> DataFrame:

@@ -395,13 +395,13 @@ class Views:
         parts = rows.select(
             "document_id",
             "seg",
-            F.concat("num", _text(check_digit(F.col("num"), 9))).alias("n1"),
-            F.concat("dob", _text(check_digit(F.col("dob"), 6))).alias("d1"),
-            F.concat("exp", _text(check_digit(F.col("exp"), 6))).alias("e1"),
+            F.concat("num", check_digit(F.col("num"), 9)).alias("n1"),
+            F.concat("dob", check_digit(F.col("dob"), 6)).alias("d1"),
+            F.concat("exp", check_digit(F.col("exp"), 6)).alias("e1"),
         )
         digits = F.concat("n1", "d1", "e1")
         line2 = F.concat(
-            "n1", F.lit("UTO"), "d1", F.lit("F"), "e1", F.lit("<" * 15), _text(check_digit(digits, 24))
+            "n1", F.lit("UTO"), "d1", F.lit("F"), "e1", F.lit("<" * 15), check_digit(digits, 24)
         )
         z = F.col("z")
         return parts.withColumn("z", line2).select(
