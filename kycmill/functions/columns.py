@@ -108,7 +108,7 @@ def json_text(value: Column) -> Column:
 
     Text without anything to escape takes the short way; the rest is escaped character by character.
     """
-    plain = value.rlike(r"^[ !#-\[\]-~]*$")
+    plain = value.rlike(r"^[ !#-\[\]-~]*\z")
     escapes = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
     def escape(ch: Column) -> Column:
@@ -117,7 +117,7 @@ def json_text(value: Column) -> Column:
             out = F.when(ch == raw, F.lit(text)) if out is None else out.when(ch == raw, F.lit(text))
         utf16 = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
         return out.when(ch.rlike(r"^[ -~]$"), ch).otherwise(
-            F.regexp_replace(utf16, "(....)", r"\\\\u$1")
+            F.regexp_replace(utf16, "(....)", r"\\u$1")
         )
 
     chars = F.filter(F.split(value, ""), lambda ch: ch != "")

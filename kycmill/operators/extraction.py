@@ -116,7 +116,7 @@ def mrz_validate(lines: DataFrame, as_of: dt.date) -> DataFrame:
         "line2",
         last_digits(l2).alias("digits"),
         whole.alias("whole"),
-        F.coalesce(checked_text.rlike("^[0-9A-Z<]*$"), F.lit(False)).alias("clean"),
+        F.coalesce(checked_text.rlike(r"^[0-9A-Z<]*\z"), F.lit(False)).alias("clean"),
     )
     parsed = F.get(F.transform(F.array(zone), lambda z: _parse_zone(z, as_of)), F.lit(0))
     texts = ["full_name", "document_number", "nationality", "document_type"]
@@ -147,7 +147,7 @@ def response_issues(attempts: DataFrame) -> DataFrame:
         return F.coalesce(doc[name], F.lit("")) == ""
 
     def good_date(name):
-        shaped = doc[name].rlike(r"^\d{4}-\d{2}-\d{2}$") & doc[name].try_cast("date").isNotNull()
+        shaped = doc[name].rlike(r"^\d{4}-\d{2}-\d{2}\z") & doc[name].try_cast("date").isNotNull()
         return F.coalesce(shaped, F.lit(False))
 
     has_doc = doc.isNotNull()
