@@ -36,22 +36,19 @@ def neighbour(
         "__value", F.struct(value.alias("v"))
     )
     step, pick = (F.lead, F.min_by) if following else (F.lag, F.max_by)
-    inside = ranged.withColumn(
-        "__near", step("__value").over(Window.partitionBy(*parts).orderBy(order))
-    )
-    # One row per range: its last (first) value, handed to the range after (before) it.
-    edges = (
+    # One row per range: the value that enters it from the range before (after) it.
+    seeds = (
         ranged.groupBy(*parts)
-        .agg(pick("__value", order).alias("__edge"))
-        .withColumn("__edge", step("__edge").over(Window.partitionBy(*keys).orderBy(cut)))
-        .withColumnsRenamed({p: f"__e{i}" for i, p in enumerate(parts)})
-    )
-    same_range = [F.col(p).eqNullSafe(F.col(f"__e{i}")) for i, p in enumerate(parts)]
-    return (
-        inside.join(edges, same_range, "left")
-        .withColumn(alias, F.coalesce("__near", "__edge")["v"])
-        .drop(cut, "__value", "__near", "__edge", *[f"__e{i}" for i in range(len(parts))])
+        .agg(pick("__value", order).alias("__value"))
+        .withColumn("__value", step("__value").over(Window.partitionBy(*keys).orderBy(cut)))
+        .filter(F.col("__value").isNotNull())
+        .withColumn("__seed", F.lit(True))
     )
+    # The seeds stand in front of their range's rows, so the rows are exchanged once and never joined.
+    seeded = ranged.withColumn("__seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+    onward = F.desc_nulls_first(order) if following else F.asc_nulls_first(order)
+    near = F.lag("__value").over(Window.partitionBy(*parts).orderBy(onward))
+    return seeded.withColumn(alias, near["v"]).filter(~F.col("__seed")).drop(cut, "__value", "__seed")
 
 
 def latest_per(

@@ -521,7 +521,7 @@ def stream_audit_chain(v: Views) -> DataFrame:
 @query
 def stream_ingest(v: Views) -> DataFrame:
     requests = v.cases_of(table_stream(v.spark, v.t.folder, "orders"))
-    return operators.run_ingest(requests.select("tenant_id", "case_id", "idempotency_key", "created_at"))
+    return run_to_files(operators.stream_ingest(requests), "ingest")
 
 
 @query

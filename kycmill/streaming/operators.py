@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.audit import build_audit_chain, chain_heads
-from ..operators.mutations import idempotent_ingest
 from ..schemas import QUOTA_LIMIT, QUOTA_WINDOW_S
 from .runs import run_batches, run_to_files
 
@@ -144,51 +143,76 @@ def run_audit_chain(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.parquet(f"{path}/rows").drop("batch")
 
 
-def run_ingest(stream: DataFrame) -> DataFrame:
-    """Idempotent ingest of a stream of requests; keys are remembered for good, not for a watermark.
+def stream_ingest(requests: DataFrame) -> DataFrame:
+    """Idempotent ingest of a stream: ``(request_id, tenant_id, case_id, is_replay)``.
 
-    Only the first request of each key is stored, so what a batch is compared with grows with cases,
-    not with requests.
+    State holds the case of every (tenant, key) for good, so a key is recognised however late it comes
+    again, and a batch costs what the batch holds. Requests without a key never meet the state.
     """
 
-    def each(batch: DataFrame, n: int, path: str) -> None:
-        spark = batch.sparkSession
-        columns = ["tenant_id", "case_id", "idempotency_key", "created_at"]
-        stored = batch.select(*columns).limit(0)
-        if n:
-            stored = spark.read.parquet(*[f"{path}/cases/batch={i}" for i in range(n)]).select(*columns)
-        idempotent_ingest(batch, stored).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
-        created = spark.read.parquet(f"{path}/rows/batch={n}").filter(~F.col("is_replay")).select("request_id")
-        fresh = batch.select(*columns).join(created, F.col("case_id") == F.col("request_id"), "left_semi")
-        fresh.write.mode("overwrite").parquet(f"{path}/cases/batch={n}")
-
-    path = run_batches(stream, "ingest-stream", each)
-    return stream.sparkSession.read.parquet(f"{path}/rows").drop("batch")
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches).sort_values(["created_at", "case_id"])
+        ids = rows["case_id"].to_numpy()
+        case = state.get[0] if state.exists else ids[0].item() if hasattr(ids[0], "item") else ids[0]
+        if not state.exists:
+            state.update((case,))
+        yield pd.DataFrame({"request_id": ids, "tenant_id": key[0], "case_id": case, "is_replay": ids != case})
+
+    columns = ["tenant_id", "idempotency_key", "created_at", "case_id"]
+    types = {f.name: f.dataType.simpleString() for f in requests.schema}
+    out = f"request_id {types['case_id']}, tenant_id {types['tenant_id']}, case_id {types['case_id']}, is_replay boolean"
+    keyed = (
+        requests.filter(F.col("idempotency_key").isNotNull())
+        .select(*columns)
+        .groupBy("tenant_id", "idempotency_key")
+        .applyInPandasWithState(run, out, f"case_id {types['case_id']}", "append", GroupStateTimeout.NoTimeout)
+    )
+    fresh = requests.filter(F.col("idempotency_key").isNull()).select(
+        F.col("case_id").alias("request_id"), "tenant_id", "case_id", F.lit(False).alias("is_replay")
+    )
+    return keyed.unionByName(fresh)
 
 
-def run_status_counts(stream: DataFrame) -> DataFrame:
-    """Cases per status, kept current: newest status per case in state, only changed cases leave it."""
-    last = stream.groupBy("case_id").agg(
-        F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq")
+def stream_status_changes(changes: DataFrame) -> DataFrame:
+    """What each batch of ``changes(case_id, seq, status)`` does to the counts: ``(status, delta)`` rows."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old, seen = state.get if state.exists else (None, None)
+        seq, new = max((e for b in batches for e in zip(b["seq"].tolist(), b["status"].tolist())), key=lambda e: e[0])
+        if seen is None or seq > seen:
+            state.update((new, seq))
+            if new != old:
+                deltas = [(new, 1)] if old is None else [(new, 1), (old, -1)]
+                yield pd.DataFrame(deltas, columns=["status", "delta"])
+
+    rows = changes.select("case_id", F.col("seq").cast("bigint").alias("seq"), "status")
+    return rows.groupBy("case_id").applyInPandasWithState(
+        run, "status string, delta bigint", "status string, seq bigint", "append", GroupStateTimeout.NoTimeout
     )
 
+
+def run_status_counts(changes: DataFrame) -> DataFrame:
+    """Cases per status, kept current: every batch adds a handful of sums, and their total is the count."""
+
     def each(batch: DataFrame, n: int, path: str) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/changed/batch={n}")
+        sums = batch.groupBy("status").agg(F.sum("delta").alias("delta"))
+        sums.write.mode("overwrite").parquet(f"{path}/sums/batch={n}")
 
-    path = run_batches(last, "status-stream", each, mode="update")
-    changed = stream.sparkSession.read.parquet(f"{path}/changed")
-    now = changed.groupBy("case_id").agg(F.max_by("status", "seq").alias("status"))
-    return now.groupBy("status").agg(F.count("*").alias("n"))
+    path = run_batches(stream_status_changes(changes), "status-stream", each)
+    sums = changes.sparkSession.read.parquet(f"{path}/sums")
+    counts = sums.groupBy("status").agg(F.sum("delta").alias("n"))
+    return counts.filter(F.col("n") > 0)
 
 
 __all__ = [
     "advance",
     "run_audit_chain",
-    "run_ingest",
     "run_status_counts",
     "run_to_files",
     "stream_case_events",
     "stream_case_lifecycle",
+    "stream_ingest",
     "stream_quota",
+    "stream_status_changes",
     "timed_out",
 ]

@@ -85,7 +85,8 @@ def test_ingest_stream(spark, tmp_path):
         ("a", i, rng.choice([None, "hot", "hot", f"k{rng.randrange(15)}"]), START + dt.timedelta(seconds=i)) for i in range(120)
     ]
     schema = "tenant_id string, case_id int, idempotency_key string, created_at timestamp"
-    got = operators.run_ingest(parts(spark, rows, schema, tmp_path / "in"))
+    stream = parts(spark, rows, schema, tmp_path / "in")
+    got = run_to_files(operators.stream_ingest(stream), "ingest", 4)
     df = spark.createDataFrame(rows, schema)
     want = mutations.idempotent_ingest(df, df.limit(0))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
