@@ -383,6 +383,7 @@ from v_cases c left join v_outcomes o on o.case_id=c.case_id group by 1""",
 where webhook_id in (select webhook_id from v_webhooks where tenant_id=3)""",
     "vector_screen": "select query_id, entry_id, round(score,6) as score from v_vector_hits",
     "phonetic_codes": "select p_partkey as query_id, name, concat_ws(',',first,nullif(second,'')) as codes from part join v_codes on name=p_name",
+    "embed_names": "select p_partkey as query_id, p_name as name, 16 as dimension, 1.0::double as norm from part",
     "phonetic_screen": """select query_id, entry_id from (
   select *, row_number() over (partition by query_id order by entry_id) as k from (
     select distinct p.p_partkey as query_id, w.entry_id from part p join v_code_rows a on a.name=p.p_name

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import dot
 from ..operators import (
     attribution,
     audit,
@@ -392,7 +393,8 @@ def embed_names(v: Views) -> DataFrame:
         return embed
 
     embedded = screening.embed_names(v.part_names(), make_client)
-    return embedded.select("query_id", "name", F.size("vector").alias("dimension"))
+    norm = F.round(F.sqrt(dot(F.col("vector"), F.col("vector"))), 5)
+    return embedded.select("query_id", "name", F.size("vector").alias("dimension"), norm.alias("norm"))
 
 
 # Risk and decisions
