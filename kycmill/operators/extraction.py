@@ -15,14 +15,18 @@ MIN_LINE = 30
 
 
 def attach_blobs(documents: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Add ``content`` and its digest; a missing object means "not uploaded yet", never an error."""
-    found = documents.join(blobs.select("s3_key", "content"), "s3_key", "left")
-    return found.withColumns(
-        {
-            "sha256": F.sha2("content", 256),
-            "is_uploaded": F.col("content").isNotNull(),
-        }
-    )
+    """Add the digest of each document's object; a missing object means "not uploaded yet", no error.
+
+    The digest is taken where the object is read: 64 characters go into the join, not the image.
+    """
+    digests = blobs.select("s3_key", F.sha2("content", 256).alias("sha256"))
+    found = documents.join(digests, "s3_key", "left")
+    return found.withColumn("is_uploaded", F.col("sha256").isNotNull())
+
+
+def load_content(documents: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Add the object itself, for the documents that go to a model; others should be dropped before."""
+    return documents.join(blobs.select("s3_key", "content"), "s3_key", "left")
 
 
 def photo_pair_digest(pairs: DataFrame, blobs: DataFrame) -> DataFrame:

@@ -99,8 +99,12 @@ def window_starts(requests: DataFrame, window_s: int, windows_per_span: int = 64
     """
     window = window_s * 1_000_000
     width = window * windows_per_span
-    timed = requests.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
-        "span", F.floor(F.col("t") / F.lit(width))
+    # Stated here rather than left to the joins, the filter is the same in every branch, so the
+    # exchange of the spans is done once and used twice.
+    timed = (
+        requests.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+        .withColumn("span", F.floor(F.col("t") / F.lit(width)))
+        .filter(F.col("key").isNotNull() & F.col("span").isNotNull())
     )
     key_type = requests.schema["key"].dataType.simpleString()
     # Only distinct times matter for where windows start; tasks drop repeats before the shuffle.
