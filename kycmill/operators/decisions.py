@@ -38,8 +38,10 @@ def step_outcomes(steps: DataFrame) -> DataFrame:
     names = ["fetch_case_documents", "extract_document", "face_match", "sanctions_screen"]
 
     def failed(step: str):
-        last = F.max_by("outcome", F.when(F.col("step") == step, F.col("seq")))
-        return (last == "failed").alias(f"{step}_failed")
+        # The last attempt counts. Attempt and outcome in one number keep the aggregate hashed.
+        coded = F.col("seq").cast("bigint") * 2 + F.coalesce(F.col("outcome") == "failed", F.lit(False)).cast("int")
+        last = F.max(F.when(F.col("step") == step, coded))
+        return (last % 2 == 1).alias(f"{step}_failed")
 
     return steps.groupBy("case_id").agg(*[failed(s) for s in names])
 
