@@ -49,7 +49,7 @@ def watchlist_ingest(entries: DataFrame, current: DataFrame | None = None) -> Da
     """Upsert list entries by deterministic id; the highest ``version`` of an id wins."""
     keyed = entries.withColumn("entry_id", entry_id(F.col("list_source"), F.col("name")))
     if current is not None:
-        keyed = current.select(*keyed.columns).unionByName(keyed)
+        keyed = current.unionByName(keyed.select(*current.columns))
     return latest_per(keyed, ["entry_id"], ["version"])
 
 

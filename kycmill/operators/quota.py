@@ -55,14 +55,13 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, free, seen = None, None, False
     for batch in batches:
         out = []
-        columns = (batch.column(n).to_pylist() for n in ("key", "upto", "leave"))
-        for k, upto, leave in zip(*columns):
+        for k, upto, leave in zip(batch.column("key").to_pylist(), batch.column("upto"), batch.column("leave")):
             if not seen or k != key:
                 key, free, seen = k, None, True
             out.append(free)
-            at = 0 if free is None else int(np.searchsorted(upto, free, "left"))
-            if at < len(upto):
-                free = leave[at]
+            at = 0 if free is None else int(np.searchsorted(np.asarray(upto.values), free, "left"))
+            if at < len(upto.values):
+                free = leave.values[at].as_py()
         yield pa.RecordBatch.from_arrays(
             [batch.column("key"), batch.column("span"), pa.array(out, pa.int64())], names=["key", "span", "free"]
         )

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.ordering import top_per
 from ..functions.phonetic import phonetic_codes
 from ..schemas import PHONETIC_LIMIT, VECTOR_LIMIT, VECTOR_THRESHOLD
+from .mutations import watchlist_ingest
 
 if TYPE_CHECKING:
     from pyspark.sql.types import DataType
@@ -192,6 +193,17 @@ def screen_summary(queries: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+def ingest_watchlist(
+    entries: DataFrame, make_client: Callable[[], Callable[[str], list[float]]], current: DataFrame | None = None
+) -> DataFrame:
+    """List entries ``(list_source, name, version)`` with vector and codes, upserted into ``current``.
+
+    Repeated entries are dropped first, so the embedding client sees each entry once.
+    """
+    enriched = with_codes(embed_names(watchlist_ingest(entries).drop("entry_id"), make_client))
+    return watchlist_ingest(enriched, current)
+
+
 def embed_names(names: DataFrame, make_client: Callable[[], Callable[[str], list[float]]]) -> DataFrame:
     """Add ``vector`` by a user's embedding client, made once per task, called once per name of a batch."""
 

@@ -18,13 +18,18 @@ EVENT = "tenant_id string, case_id string, status string, decision string"
 UPLOAD_TIMEOUT_MIN = 20
 
 
-def stream_case_events(stream: DataFrame, tenant_id: object) -> DataFrame:
-    """Events of one tenant from the shared channel of JSON texts; texts that do not parse are ignored."""
+def stream_case_events(stream: DataFrame, tenant_id: object | None = None) -> DataFrame:
+    """Events from the shared channel of JSON texts; texts that do not parse are ignored.
+
+    With a tenant only its events pass. Without one all do: write them to one folder per tenant.
+    """
     parsed = stream.withColumn(
         "e",
         F.from_json("value", EVENT + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}),
     )
-    good = parsed.filter(F.col("e._corrupt").isNull() & (F.col("e.tenant_id") == str(tenant_id)))
+    good = parsed.filter(F.col("e._corrupt").isNull() & F.col("e.tenant_id").isNotNull())
+    if tenant_id is not None:
+        good = good.filter(F.col("e.tenant_id") == str(tenant_id))
     return good.select("seq", "e.tenant_id", "e.case_id", "e.status", "e.decision")
 
 

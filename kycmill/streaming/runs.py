@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,13 +46,19 @@ def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None
                 spark.conf.set(k, value)
 
 
-def run_to_files(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Process what is there, append the results to files, and read them back."""
+def run_to_files(
+    stream: DataFrame, name: str, partitions: int | None = None, folders: Sequence[str] = ()
+) -> DataFrame:
+    """Process what is there, append the results to files, and read them back.
+
+    With ``folders=["tenant_id"]`` every tenant gets a folder of its own to listen to.
+    """
     spark = stream.sparkSession
     out = scratch_path(spark, name)
     with state_settings(spark, partitions):
+        writer = stream.writeStream.partitionBy(*folders) if folders else stream.writeStream
         q = (
-            stream.writeStream.format("parquet")
+            writer.format("parquet")
             .option("checkpointLocation", f"{out}/checkpoint")
             .option("path", f"{out}/rows")
             .outputMode("append")

@@ -57,6 +57,20 @@ def test_watchlist_file(spark, tmp_path):
     assert mutations.watchlist_ingest(entries).count() == 2
 
 
+def test_watchlist_with_vectors(spark):
+    from kycmill.operators import screening
+
+    def make_client():
+        return lambda name: [1.0, float(len(name))]
+
+    schema = "list_source string, name string, version int"
+    first = spark.createDataFrame([("UN", "Smith", 1), ("UN", "Smith", 2), ("OFAC", "Nowak", 1)], schema)
+    listed = screening.ingest_watchlist(first, make_client)
+    again = screening.ingest_watchlist(spark.createDataFrame([("UN", "Smith", 3)], schema), make_client, listed)
+    got = {r.name: (r.version, r.vector, r.phonetic_codes) for r in again.collect()}
+    assert got == {"Smith": (3, [1.0, 5.0], ["SM0", "XMT"]), "Nowak": (1, [1.0, 5.0], ["NK"])}
+
+
 def test_evidence_files(spark, tmp_path):
     rows = [("a", 1, 0.12345), ("b", 2, None)]
     df = spark.createDataFrame(rows, "tenant_id string, case_id int, match_score double")

@@ -106,6 +106,9 @@ def test_event_stream(spark, tmp_path):
     stream = parts(spark, rows, "seq int, value string", tmp_path / "in", 2)
     got = run_to_files(operators.stream_case_events(stream, "a"), "events").collect()
     assert [(r.seq, r.tenant_id, r.status, r.decision) for r in got] == [(1, "a", "approved", None)]
+    everyone = run_to_files(operators.stream_case_events(stream), "fan-out", folders=["tenant_id"])
+    assert sorted((r.seq, r.tenant_id) for r in everyone.collect()) == [(1, "a"), (2, "b")]
+    assert len({f.rsplit("/", 2)[1] for f in everyone.inputFiles()}) == 2
 
 
 def test_lifecycle_rules():
