@@ -18,7 +18,10 @@ def token_attribution(requests: DataFrame, reviewers: DataFrame, api_keys: DataF
     A live reviewer token is preferred to a live API key; revoked and unknown tokens are told apart.
     """
     token = bearer_token(F.col("authorization"))
-    hashed = F.when(token != "", F.sha2(token, 256))
+    # Requests without a token get a value no digest can equal: they would otherwise all meet in one
+    # partition of the join under the same null.
+    nobody = F.concat(F.lit("none-"), F.col("request_id").cast("string"))
+    hashed = F.when(token != "", F.sha2(token, 256)).otherwise(nobody)
     r = reviewers.select(
         F.col("token_hash").alias("hash"),
         F.col("tenant_id").alias("r_tenant"),

@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import CLEAR_THRESHOLD, CONFIDENCE_WEIGHT, FACE_WEIGHT
+from ..schemas import (
+    BELOW_THRESHOLD,
+    CLEAR_THRESHOLD,
+    CONFIDENCE_WEIGHT,
+    FACE_WEIGHT,
+    LIST_HIT,
+    NO_DOCUMENTS,
+    NO_EXTRACTION,
+    NO_FACE_MATCH,
+    NO_FACE_TO_COMPARE,
+    NO_ID_DOCUMENT,
+    NO_SCREENING,
+    NO_SELFIE,
+)
 
 
 def risk_columns(confidence: Column, face: Column, hits: Column) -> dict[str, Column]:
@@ -15,15 +28,13 @@ def risk_columns(confidence: Column, face: Column, hits: Column) -> dict[str, Co
     ties in the fifth decimal; scores with three decimals have none.
     """
     combined = F.lit(FACE_WEIGHT) * face + F.lit(CONFIDENCE_WEIGHT) * confidence
-    below = F.format_string(
-        f"combined confidence %.4f below auto-clear threshold {CLEAR_THRESHOLD}", combined
-    )
+    below = F.format_string(BELOW_THRESHOLD.format(threshold=CLEAR_THRESHOLD), combined)
     hit, faceless = hits > 0, face.isNull()
     return {
         "risk_score": F.when(hit | faceless, F.lit(1.0)).otherwise(F.round(1.0 - combined, 4)),
         "needs_review": hit | faceless | (combined < CLEAR_THRESHOLD),
-        "risk_reason": F.when(hit, F.lit("sanctions list hit"))
-        .when(faceless, F.lit("no face detected for comparison"))
+        "risk_reason": F.when(hit, F.lit(LIST_HIT))
+        .when(faceless, F.lit(NO_FACE_TO_COMPARE))
         .when(combined < CLEAR_THRESHOLD, below),
     }
 
@@ -102,13 +113,13 @@ def case_decisions(
     hits = F.when(~screen_failed, F.col("hit_count"))
     risk = risk_columns(F.col("confidence"), face_score, F.coalesce(hits, F.lit(0)))
     reason = (
-        F.when(fetch_failed, F.lit("failed to fetch case documents"))
-        .when(no_id, F.lit("no id_document found for case"))
-        .when(no_extraction, F.lit("extraction failed or timed out"))
+        F.when(fetch_failed, F.lit(NO_DOCUMENTS))
+        .when(no_id, F.lit(NO_ID_DOCUMENT))
+        .when(no_extraction, F.lit(NO_EXTRACTION))
         .when(unsure, F.col("extraction_reason"))
-        .when(no_selfie, F.lit("no selfie found for case"))
-        .when(face_failed, F.lit("face match activity failed"))
-        .when(screen_failed, F.lit("sanctions screening activity failed"))
+        .when(no_selfie, F.lit(NO_SELFIE))
+        .when(face_failed, F.lit(NO_FACE_MATCH))
+        .when(screen_failed, F.lit(NO_SCREENING))
         .otherwise(risk["risk_reason"])
     )
     parked = ~scored | face_failed | screen_failed | risk["needs_review"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.mrz import LINE_LENGTH, cut, filled_name, last_digits, short_date, weighted_digit
-from ..schemas import MODEL_ATTEMPTS, MODEL_RESPONSE, MRZ_MODEL
+from ..schemas import MODEL_ATTEMPTS, MODEL_RESPONSE, MRZ_MODEL, NO_FACE_IN_IMAGE, RETRIES_EXHAUSTED
 
 MIN_LINE = 30
 
@@ -181,7 +181,7 @@ def response_resolve(attempts: DataFrame, max_attempts: int = MODEL_ATTEMPTS) ->
     )
     found = F.col("good_attempt").isNotNull()
     trust = F.greatest(F.lit(0.5), F.lit(1.0) - F.lit(0.15) * (F.col("good_attempt") - 1))
-    reason = F.concat(F.lit(f"exhausted {max_attempts} retries; last issue: "), F.col("last_issue"))
+    reason = F.concat(F.lit(RETRIES_EXHAUSTED.format(attempts=max_attempts)), F.col("last_issue"))
     return per_document.select(
         "document_id",
         F.when(found, F.col("document")).alias("document"),
@@ -263,5 +263,5 @@ def face_match(pairs: DataFrame, faces: DataFrame) -> DataFrame:
         "case_id",
         score.alias("similarity_score"),
         score.isNull().alias("needs_review"),
-        F.when(score.isNull(), F.lit("no face detected in image")).alias("reason"),
+        F.when(score.isNull(), F.lit(NO_FACE_IN_IMAGE)).alias("reason"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import latest_per, top_per
-from ..schemas import CASE_STATUSES, DOC_TYPES, MRZ_MODEL
+from ..schemas import CASE_CREATED, CASE_STATUSES, DOC_TYPES, MRZ_MODEL, NO_FACE_SHOWN
 from .rules import tenant_scope
 
 
@@ -135,7 +135,7 @@ def case_detail(
             doc["expiry_date"].alias("expiry_date"),
             F.coalesce("has_face_match", F.lit(False)).alias("has_face_match"),
             "similarity_score",
-            F.when(no_face, F.lit("No face detected in one or both images")).alias("face_reason"),
+            F.when(no_face, F.lit(NO_FACE_SHOWN)).alias("face_reason"),
             F.coalesce("hit_count", F.lit(0)).cast("bigint").alias("hit_count"),
             "highest_score",
         )
@@ -212,7 +212,7 @@ def recent_activity(
     """
     newest = [F.desc("at"), F.desc("case_id"), F.desc("event")]
     created = cases.select(
-        "tenant_id", "case_id", "subject_name", F.lit("case created").alias("event"), F.col("created_at").alias("at")
+        "tenant_id", "case_id", "subject_name", F.lit(CASE_CREATED).alias("event"), F.col("created_at").alias("at")
     )
     staff = reviewers.select("tenant_id", "reviewer_id", "email")
     named = cases.select("tenant_id", "case_id", "subject_name")

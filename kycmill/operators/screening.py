@@ -81,7 +81,7 @@ def vector_screen(
 ) -> DataFrame:
     """Up to ``k`` entries per query vector with cosine at or above ``threshold``; exact.
 
-    Vectors are unit length. No pair of rows is ever formed in Spark: a batch of queries meets a block
+    Vectors are unit length and ``query_id`` is unique. No pair of rows is ever formed in Spark: a batch of queries meets a block
     of entries as one matrix product and only its best hits leave the task. A watchlist counted to fit
     one block is broadcast, so the queries are not shuffled at all. A larger one is cut into blocks,
     queries into fragments, and each (fragment, block) is one bounded task.

@@ -36,6 +36,24 @@ FACE_WEIGHT, CONFIDENCE_WEIGHT, CLEAR_THRESHOLD = 0.6, 0.4, 0.85
 MODEL_ATTEMPTS = DELIVERY_ATTEMPTS = 3
 QUOTA_LIMIT, QUOTA_WINDOW_S = 60, 60
 
+# Texts that appear in results.
+NO_DOCUMENTS = "failed to fetch case documents"
+NO_ID_DOCUMENT = "no id_document found for case"
+NO_EXTRACTION = "extraction failed or timed out"
+NO_SELFIE = "no selfie found for case"
+NO_FACE_MATCH = "face match activity failed"
+NO_SCREENING = "sanctions screening activity failed"
+LIST_HIT = "sanctions list hit"
+NO_FACE_TO_COMPARE = "no face detected for comparison"
+BELOW_THRESHOLD = "combined confidence %.4f below auto-clear threshold {threshold}"
+NO_FACE_IN_IMAGE = "no face detected in image"
+NO_FACE_SHOWN = "No face detected in one or both images"
+RETRIES_EXHAUSTED = "exhausted {attempts} retries; last issue: "
+BAD_CONTENT_TYPE = "content_type must be one of [{allowed}]"
+BAD_SIZE = "size_bytes must be positive"
+SIZE_LIMIT = "size_bytes exceeds the {limit}-byte limit"
+CASE_CREATED = "case created"
+
 DOCUMENT = T.StructType(
     [
         T.StructField("full_name", T.StringType()),

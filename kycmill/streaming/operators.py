@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.audit import build_audit_chain, chain_heads
-from ..schemas import QUOTA_LIMIT, QUOTA_WINDOW_S
+from ..schemas import NO_EXTRACTION, QUOTA_LIMIT, QUOTA_WINDOW_S
 from .runs import run_batches, run_to_files
 
 EVENT = "tenant_id string, case_id string, status string, decision string"
@@ -97,7 +97,7 @@ def advance(events: Iterable[Event], known: CaseState | None) -> tuple[CaseState
 
 def timed_out(known: CaseState | None) -> tuple[CaseState, list[tuple]]:
     """No evidence within the upload time: the case is parked, and earlier decisions are used."""
-    return advance([(-1, "assessed", "needs_review", "extraction failed or timed out")], known)
+    return advance([(-1, "assessed", "needs_review", NO_EXTRACTION)], known)
 
 
 def stream_case_lifecycle(events: DataFrame, timeout_min: int = UPLOAD_TIMEOUT_MIN) -> DataFrame:
