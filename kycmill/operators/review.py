@@ -100,14 +100,13 @@ def case_detail(
         ["case_id"],
         ["created_at", "extraction_id"],
         ["extraction_id", "model_version", "raw_json", "confidence", "valid"],
-    ).withColumn("has_extraction", F.lit(True))
+    ).select("*", F.lit(True).alias("has_extraction"), F.from_json("raw_json", _RAW_JSON).alias("doc"))
     face = latest_per(
         face_matches, ["case_id"], ["created_at", "face_match_id"], ["similarity_score"]
     ).withColumn("has_face_match", F.lit(True))
     hit_figures = hits.groupBy("case_id").agg(
         F.count("*").alias("hit_count"), F.max("match_score").alias("highest_score")
     )
-    doc = F.from_json("raw_json", _RAW_JSON)
     no_face = F.col("has_face_match") & F.col("similarity_score").isNull()
     return (
         cases.join(document_keys(documents), "case_id", "left")
@@ -128,11 +127,11 @@ def case_detail(
             F.when(F.col("has_extraction"), extraction_method(F.col("model_version"))).alias("method"),
             "confidence",
             "valid",
-            doc["full_name"].alias("full_name"),
-            doc["date_of_birth"].alias("date_of_birth"),
-            doc["document_number"].alias("document_number"),
-            doc["nationality"].alias("nationality"),
-            doc["expiry_date"].alias("expiry_date"),
+            "doc.full_name",
+            "doc.date_of_birth",
+            "doc.document_number",
+            "doc.nationality",
+            "doc.expiry_date",
             F.coalesce("has_face_match", F.lit(False)).alias("has_face_match"),
             "similarity_score",
             F.when(no_face, F.lit(NO_FACE_SHOWN)).alias("face_reason"),
