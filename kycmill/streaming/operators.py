@@ -100,7 +100,7 @@ def timed_out(known: CaseState | None) -> tuple[CaseState, list[tuple]]:
     return advance([(-1, "assessed", "needs_review", NO_EXTRACTION)], known)
 
 
-def stream_case_lifecycle(events: DataFrame, timeout_min: int = UPLOAD_TIMEOUT_MIN) -> DataFrame:
+def stream_case_lifecycle(events: DataFrame, timeout_min: float = UPLOAD_TIMEOUT_MIN) -> DataFrame:
     """Status transitions of every case from ``events(case_id, seq, kind, status, reason)``.
 
     Kinds: ``opened``, ``assessed`` (the outcome of the decision cascade) and ``decision`` (by a
@@ -118,7 +118,7 @@ def stream_case_lifecycle(events: DataFrame, timeout_min: int = UPLOAD_TIMEOUT_M
             known, out = advance(sorted(arrived, key=lambda e: e[0]), known)
         state.update(known)
         if known[0] == "open":
-            state.setTimeoutDuration(timeout_min * 60_000)
+            state.setTimeoutDuration(int(timeout_min * 60_000))
         if out:
             statuses, reasons, seqs = zip(*out)
             yield pd.DataFrame({"case_id": key[0], "status": statuses, "reason": reasons, "seq": seqs})

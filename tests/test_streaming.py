@@ -138,3 +138,25 @@ def test_lifecycle_stream(spark, tmp_path):
         (1, 5, "approved", None), (1, 5, "needs_review", "low"), (2, 3, "approved", None),
         (3, 4, "needs_review", "hit"), (3, 9, "rejected", None),
     ]
+
+
+def test_lifecycle_timeout(spark, tmp_path):
+    """In a running stream, a case that is opened and never assessed is parked; an early decision is then used."""
+    import time
+
+    rows = [(1, 1, "opened", None, None), (2, 2, "opened", None, None), (2, 3, "decision", "rejected", None)]
+    schema = "case_id int, seq bigint, kind string, status string, reason string"
+    stream = parts(spark, rows, schema, tmp_path / "in", 1)
+    out = operators.stream_case_lifecycle(stream, timeout_min=0.02)
+    writer = out.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    q = writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="1 second").start()
+    try:
+        want = [(1, "needs_review"), (2, "needs_review"), (2, "rejected")]
+        end, got = time.time() + 90, []
+        while time.time() < end and got != want:
+            time.sleep(2)
+            seen = spark.read.schema(out.schema).parquet(str(tmp_path / "out")) if (tmp_path / "out" / "_spark_metadata").exists() else None
+            got = sorted((r.case_id, r.status) for r in seen.collect()) if seen else []
+        assert got == want
+    finally:
+        q.stop()
