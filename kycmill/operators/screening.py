@@ -136,10 +136,12 @@ def phonetic_screen(queries: DataFrame, watchlist: DataFrame, k: int = PHONETIC_
         .groupBy("code")
         .agg(F.collect_list(entry).alias("entries"))
     )
+    # Most names have one code. A missing one gets a value no code can equal, different per query: all
+    # of them under one null would meet in one partition of the join.
+    nothing = F.concat(F.lit("none-"), F.col("query_id").cast("string"))
     rows = queries.select(
         "query_id",
-        F.get("phonetic_codes", F.lit(0)).alias("c0"),
-        F.get("phonetic_codes", F.lit(1)).alias("c1"),
+        *[F.coalesce(F.get("phonetic_codes", F.lit(i)), nothing).alias(f"c{i}") for i in (0, 1)],
     )
     none = F.array().cast("array<struct<entry_id:string,list_source:string,name:string>>")
     for i in (0, 1):
