@@ -6,11 +6,12 @@ import pytest
 from compare import compare, database
 
 import __spark_entry__ as driver
+from kycmill.plans import oracle, queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
 
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLE = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +21,8 @@ def con():
 
 def test_every_sql_belongs_to_a_query():
     assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
