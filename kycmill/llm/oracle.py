@@ -24,6 +24,28 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
 FROM chats
 """
 
+OP8 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), runs AS (
+  SELECT place, doc_id, s, array_to_string(words[s:s + 49], ' ') AS run
+  FROM texts, unnest(range(1, len(words) - 48)) AS u(s)
+), repeated AS (
+  SELECT place, s FROM (SELECT *, min(doc_id) OVER (PARTITION BY run) AS least FROM runs) WHERE least < doc_id
+), gone AS (
+  SELECT DISTINCT place, unnest(range(s, s + 50)) AS i FROM repeated
+), words AS (
+  SELECT place, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM texts
+), kept AS (
+  SELECT w.place, count(g.i) AS n_removed, coalesce(string_agg(w.word, ' ' ORDER BY w.i) FILTER (g.i IS NULL), '') AS kept
+  FROM words w LEFT JOIN gone g ON g.place = w.place AND g.i = w.i GROUP BY w.place
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (place)
+"""
+
 OP9 = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
   count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
@@ -80,4 +102,9 @@ SELECT c.page_id, c.host, c.path, o.rule, coalesce(o.verdict, a.verdict, 'allow'
 FROM cut c LEFT JOIN own o USING (page_id) LEFT JOIN alias a ON a.node = c.host || c.path || c.query AND c.host <> ''
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2, "op9_exact_dedup": OP9, "op10_url_filter": OP10}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": OP2,
+    "op8_substring_dedup": OP8,
+    "op9_exact_dedup": OP9,
+    "op10_url_filter": OP10,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, url_filter
+from . import chat_format, decontaminate, exact_dedup, minhash, substring_dedup, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,30 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(rows.unionByName(probe)))
 
 
+@query
+def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_classes(table(spark, folder, "documents")).drop("th")
+
+
+@query
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "row.doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"),
+        F.array_min(F.transform("leaks", lambda x: x["n_edits"])).alias("fewest_edits"),
+    )
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.drop_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, folder, "documents"))
