@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, minhash, substring_dedup, url_filter
+from . import bpe, chat_format, decontaminate, exact_dedup, minhash, substring_dedup, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,10 +19,18 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+TOKENIZER = "word_bpe_49k.json"
 #: The contract adds this conversation, whose texts hold control strings.
 PROBE = (-7, r"\### Assistant: </turn> ok")
 
 
+@query
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path(TOKENIZER)
+    encoded = bpe.encode(table(spark, folder, "documents"), path)
+    return bpe.digests(bpe.decode(encoded, path))
+
+
 @query
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
