@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, minhash, substring_dedup, url_filter
+from . import bpe, chat_format, decontaminate, exact_dedup, language_id, minhash, substring_dedup, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +19,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 #: The contract adds this conversation, whose texts hold control strings.
 PROBE = (-7, r"\### Assistant: </turn> ok")
 
@@ -49,6 +49,16 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_classes(table(spark, folder, "documents")).drop("th")
 
 
+@query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs, public_tokenizers.path(PIECES))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select(
+        "row.doc_id", language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
