@@ -352,12 +352,13 @@ def decode(encoded: DataFrame, path: str, as_text: bool = False) -> DataFrame:
     )
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Lengths and SHA-256 of the ids and of the decoded text."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """Lengths and SHA-256 of the ids and of the decoded text; ``more`` columns follow."""
     numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *more,
     )

@@ -24,6 +24,25 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
 FROM chats
 """
 
+OP6 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS place, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT place, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM texts
+), filled AS (
+  SELECT *, row_number() OVER w AS n, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run
+  FROM lines WHERE NOT regexp_full_match(line, '[\x20\x09\x0B-\x0D]*') WINDOW w AS (PARTITION BY place ORDER BY i)
+), repeated AS (
+  SELECT place, n FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, place, n) AS nth FROM filled
+    WHERE run IS NOT NULL) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT f.place, f.i FROM (SELECT place, unnest(range(n, n + 3)) AS n FROM repeated) JOIN filled f USING (place, n)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN gone g ON g.place = l.place AND g.i = l.i GROUP BY l.place
+"""
+
 OP8 = r"""
 WITH texts AS (
   SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
@@ -104,6 +123,7 @@ FROM cut c LEFT JOIN own o USING (page_id) LEFT JOIN alias a ON a.node = c.host
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": OP2,
+    "op6_line_dedup": OP6,
     "op8_substring_dedup": OP8,
     "op9_exact_dedup": OP9,
     "op10_url_filter": OP10,

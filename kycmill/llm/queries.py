@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, language_id, minhash, substring_dedup, url_filter
+from . import (
+    bpe,
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    license_scan,
+    line_dedup,
+    minhash,
+    substring_dedup,
+    url_filter,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +55,11 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(rows.unionByName(probe)))
 
 
+@query
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, folder, "documents")).drop("findings")
+
+
 @query
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_classes(table(spark, folder, "documents")).drop("th")
@@ -59,6 +75,13 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 @query
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
