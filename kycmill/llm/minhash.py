@@ -9,12 +9,12 @@ which equals the plain Jaccard index where no shingle repeats.
   (shingles + m log m) arrivals. Two components agree with a probability equal to the similarity.
 * Texts with the same shingles are one node from here on, so exact copies cost one row each.
 * Banding. ``BANDS`` hashes of ``ROWS`` components; at the threshold a pair is missed with probability
-  (1 - 0.8 ** ROWS) ** BANDS, below 1e-5.
-* Verification without all pairs of a bucket. In rounds, a few members of each bucket are compared with all
-  others that are not yet known to be in their class; then they have met everybody and leave the bucket. A
-  bucket is closed when all that is left of it is one class. Members of the smallest classes go first, and
-  every round takes four times as many, so a large group of near copies costs a few rows per member, and
-  still no link between two classes of a bucket is missed.
+  (1 - 0.8 ** ROWS) ** BANDS, below 3e-5.
+* Verification. First one member of each bucket is compared with all others; where all of a bucket is then one
+  class, it is closed. The other buckets are cut into chunks of at most about ``CHUNK`` members, and each pair
+  of chunks meets in one task, where shared weights are matrix products, an upper bound of the similarity
+  rules out most pairs, and the rest is compared exactly. So no link between two classes of a bucket is
+  missed, and no pairs of a bucket leave a task, only links that join two classes.
 * Classes are the connected components of the verified links.
 
 Defined cases: null text counts as empty; words are runs of letters and digits in lower case; a text with
@@ -40,7 +40,10 @@ from .hashing import U, byte_set, mixed, run_hashes, run_sums, text_words
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 20, 4
+#: Members of a large bucket that stand together in a task.
+CHUNK = 400
+_COLUMNS = 4096
 #: Everything in ASCII that is neither letter nor digit separates words.
 GAP = byte_set([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
@@ -176,39 +179,102 @@ def _verified(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFr
     return joined.mapInArrow(_link_rows(threshold), "a long, b long")
 
 
-def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return members.withColumn("root", F.col("uid"))
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     named = roots.withColumnRenamed("node", "uid")
     return members.join(named, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
 
-def _classes(members: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame | None:
+class _Chunk:
+    """Documents of one side of a comparison, with the weights of their shingles by local numbers."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], known: np.ndarray):
+        self.rows = rows
+        doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        items = np.concatenate([np.zeros(0, U), *(r[2] for r in rows)])
+        weights = np.concatenate([np.zeros(0), *(r[3] for r in rows)])
+        self.total = np.array([r[3].sum() for r in rows], np.float64)
+        column = np.searchsorted(known, items)
+        shared = (column < len(known)) & (known[np.minimum(column, max(0, len(known) - 1))] == items) if len(known) else items < 0
+        order = np.argsort(column[shared], kind="stable")
+        self.column, self.doc, self.weight = column[shared][order], doc[shared][order], weights[shared][order]
+
+    def dense(self, first: int, width: int) -> np.ndarray:
+        at = slice(*np.searchsorted(self.column, [first, first + width]))
+        out = np.zeros((len(self.rows), width), np.float32)
+        out[self.doc[at], self.column[at] - first] = self.weight[at]
+        return out
+
+
+def _joining_links(left: list, right: list | None, threshold: float) -> list[tuple[int, int]]:
+    """Links that join two classes, between two chunks or (``right`` is None) inside one."""
+    items, counts = np.unique(np.concatenate([r[2] for r in left + (right or [])]), return_counts=True)
+    known = items[counts > 1]
+    a = _Chunk(left, known)
+    b = a if right is None else _Chunk(right, known)
+    in_a, in_b = (np.zeros((len(a.rows), len(b.rows))) for _ in range(2))
+    for first in range(0, len(known), _COLUMNS):
+        x, y = a.dense(first, _COLUMNS), b.dense(first, _COLUMNS)
+        in_a += x @ (y > 0).T.astype(np.float32)
+        in_b += (x > 0).astype(np.float32) @ y.T
+    # With shares p, q of the weights in common, the index is at most sqrt(p / (2 - p) * q / (2 - q)).
+    p, q = in_a / a.total[:, None], in_b / b.total[None, :]
+    possible = (p / (2 - p)) * (q / (2 - q)) >= threshold**2 - 1e-6
+    if right is None:
+        possible = np.triu(possible, 1)
+    parent: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        while (up := parent.get(node, node)) != node:
+            parent[node] = parent.get(up, up)
+            node = up
+        return node
+
+    links = []
+    for i, j in zip(*np.nonzero(possible)):
+        (u, class_u, *own), (v, class_v, *other) = a.rows[i], b.rows[j]
+        if root(class_u) != root(class_v) and similarity(*own, *other) >= threshold:
+            parent[root(class_u)] = root(class_v)
+            links.append((u, v))
+    return links
+
+
+def _chunk_links(threshold: float):
+    def run(group: pa.Table) -> pa.Table:
+        sides: dict[int, list] = {}
+        for r in group.select(["uid", "root", "chunk", "items", "weights"]).to_pylist():
+            sides.setdefault(r["chunk"], []).append((r["uid"], r["root"], *_unpacked(r["items"], r["weights"])))
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        links = []
+        if lo == hi or len(sides) == 2:
+            links = _joining_links(sides[lo], None if lo == hi else sides[hi], threshold)
+        return pa.table({"a": pa.array([u for u, _ in links], pa.int64()), "b": pa.array([v for _, v in links], pa.int64())})
+
+    return run
+
+
+def _classes(members: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
     """``node``, ``root`` over verified links of members (``key``, ``uid``) of the same bucket."""
-    links = roots = None
-    leaders = 1
-    while True:
-        rooted = checkpointed(_rooted(members, roots))
-        kinds = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
-        order = Window.partitionBy("key").orderBy("n", "uid")
-        chosen = (
-            kinds.join(kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "key")
-            .withColumn("place", F.row_number().over(order))
-            .filter(F.col("place") <= leaders)
-            .select("key", F.col("uid").alias("leader"), F.col("root").alias("leader_root"))
-        )
-        met = checkpointed(rooted.join(chosen, "key").filter("root <> leader_root"))
-        if met.isEmpty():
-            return roots
-        pairs = met.select(F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct()
-        new = _verified(pairs, profiles, threshold)
-        links = checkpointed(new if links is None else links.unionByName(new))
-        roots = components(links)
-        # A leader has met every other member of its bucket, so it leaves; closed buckets leave as a whole.
-        still = met.select("key").distinct()
-        left = met.select("key", F.col("leader").alias("uid")).distinct()
-        members = rooted.select("key", "uid").join(still, "key", "left_semi").join(left, ["key", "uid"], "left_anti")
-        leaders *= 4
+    first = checkpointed(members.groupBy("key").agg(F.min("uid").alias("a")))
+    pairs = members.join(first, "key").filter("uid <> a").select("a", F.col("uid").alias("b")).distinct()
+    links = checkpointed(_verified(pairs, profiles, threshold))
+    rooted = stored(_rooted(members, components(links)), "minhash-rooted")
+    still = checkpointed(
+        rooted.groupBy("key")
+        .agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+        .filter("low < high AND n > 2")
+        .select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    )
+    chunked = rooted.join(still, "key").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
+    met = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "key", "uid", "root", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
+    )
+    more = (
+        met.join(profiles, "uid")
+        .select("key", "lo", "hi", "uid", "root", "chunk", "items", "weights")
+        .groupBy("key", "lo", "hi")
+        .applyInArrow(_chunk_links(threshold), "a long, b long")
+    )
+    return components(checkpointed(links.unionByName(more)))
 
 
 def near_classes(
