@@ -137,10 +137,13 @@ def case_decisions(
 
 
 def first_final(decisions: DataFrame) -> DataFrame:
-    """First decision per case, in order of arrival, that is not an escalation."""
+    """First decision per case, in order of arrival, that is not an escalation.
+
+    ``decisions`` carry the reviewer's ``tenant_id``: those of another tenant never meet the case.
+    """
     arrival = F.when(F.col("decision") != "escalated", F.struct("decided_at", "decision_id"))
     chosen = F.min_by(F.struct("decision", "reviewer_id", "decided_at"), arrival)
-    return decisions.groupBy("case_id").agg(
+    return decisions.groupBy("tenant_id", "case_id").agg(
         chosen.alias("final"),
         F.count_if(F.col("decision") == "escalated").cast("bigint").alias("escalations"),
     )
@@ -152,7 +155,7 @@ def review_resolution(decided: DataFrame, decisions: DataFrame) -> DataFrame:
     Decisions that arrived before the case was parked count. Approved cases pass through unchanged.
     """
     parked = F.col("status") == "needs_review"
-    joined = decided.join(first_final(decisions), "case_id", "left")
+    joined = decided.join(first_final(decisions), ["tenant_id", "case_id"], "left")
     final = F.when(parked, F.col("final.decision"))
     return joined.select(
         "tenant_id",

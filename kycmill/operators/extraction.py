@@ -139,24 +139,34 @@ FALSE_TEXT = ("false", "f", "no", "n", "off", "0")
 
 
 def response_issues(attempts: DataFrame) -> DataFrame:
-    """Parse each attempt; ``issue`` is null for a usable response, else the first thing wrong with it."""
+    """Parse each attempt; ``issue`` is null for a usable response, else the first thing wrong with it.
+
+    An answer is one JSON object and nothing after it: put in brackets it must be an array of one. Members of
+    the document must be texts (or null where they may be left out); a number or an object is not taken for one.
+    """
+    alone = F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<struct<document_visible string>>")
     parsed = attempts.withColumn(
         "response",
         F.from_json("raw", MODEL_RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}),
     )
+    whole = F.coalesce(F.size(alone) == 1, F.lit(False))
     doc = F.col("response.document")
     visible = F.lower("response.document_visible")
 
     def blank(name):
         return F.coalesce(doc[name], F.lit("")) == ""
 
+    def other_type(name):
+        member = F.try_variant_get(F.try_parse_json("raw"), f"$.document.{name}", "variant")
+        return ~F.coalesce(F.schema_of_variant(member), F.lit("VOID")).isin("STRING", "VOID")
+
     def good_date(name):
         shaped = doc[name].rlike(r"^\d{4}-\d{2}-\d{2}\z") & doc[name].try_cast("date").isNotNull()
         return F.coalesce(shaped, F.lit(False))
 
     has_doc = doc.isNotNull()
     issue = (
-        F.when(F.col("response").isNull() | F.col("response._corrupt").isNotNull(), F.lit("not valid JSON"))
+        F.when(F.col("response").isNull() | F.col("response._corrupt").isNotNull() | ~whole, F.lit("not valid JSON"))
         .when(~F.coalesce(visible.isin(*TRUE_TEXT, *FALSE_TEXT), F.lit(False)), F.lit("document_visible missing"))
         .when(has_doc & blank("full_name"), F.lit("full_name empty"))
         .when(has_doc & blank("document_number"), F.lit("document_number empty"))
@@ -167,19 +177,27 @@ def response_issues(attempts: DataFrame) -> DataFrame:
         )
         .when(visible.isin(*FALSE_TEXT) | ~has_doc, F.lit("no document visible"))
     )
+    for name in ("nationality", "expiry_date", "date_of_birth", "document_type", "document_number", "full_name"):
+        issue = F.when(has_doc & other_type(name), F.lit(f"{name} not a text")).otherwise(issue)
+    issue = F.when(F.col("response").isNotNull() & ~whole, F.lit("not valid JSON")).otherwise(issue)
     return parsed.withColumn("issue", issue)
 
 
 def response_resolve(attempts: DataFrame, max_attempts: int = MODEL_ATTEMPTS) -> DataFrame:
-    """First usable response per document; later ones are trusted less, none means human review."""
+    """First usable response per document; later ones are trusted less, none means human review.
+
+    A document that has neither a usable response nor used up its attempts is still being worked on and left out.
+    """
     tried = response_issues(attempts).filter(F.col("attempt") <= max_attempts)
     good = F.when(F.col("issue").isNull(), F.col("attempt"))
     per_document = tried.groupBy("document_id").agg(
         F.min(good).alias("good_attempt"),
         F.min_by("response.document", good).alias("document"),
         F.max_by("issue", "attempt").alias("last_issue"),
+        F.max("attempt").alias("tried"),
     )
     found = F.col("good_attempt").isNotNull()
+    per_document = per_document.filter(found | (F.col("tried") >= max_attempts))
     trust = F.greatest(F.lit(0.5), F.lit(1.0) - F.lit(0.15) * (F.col("good_attempt") - 1))
     reason = F.concat(F.lit(RETRIES_EXHAUSTED.format(attempts=max_attempts)), F.col("last_issue"))
     return per_document.select(

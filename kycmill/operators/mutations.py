@@ -14,13 +14,19 @@ from ..functions.columns import entry_id, json_text, numeric_5_4, ordered_json_o
 from ..functions.ordering import latest_per
 
 
+def without_empty_keys(requests: DataFrame) -> DataFrame:
+    """An empty idempotency key is no key."""
+    return requests.withColumn("idempotency_key", F.nullif(F.col("idempotency_key"), F.lit("")))
+
+
 def idempotent_ingest(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Resolve each request of ``new`` to a case: ``(request_id, tenant_id, case_id, is_replay)``.
 
-    The first row of a (tenant, key) wins, stored rows before new ones. Requests without a key always
-    create a case: null keys are not equal to each other.
+    The first row of a (tenant, key) wins, stored rows before new ones. Requests without a key (null or
+    empty) always create a case: they are not equal to each other.
     """
     columns = ["tenant_id", "idempotency_key", "created_at", "case_id"]
+    new, existing = without_empty_keys(new), without_empty_keys(existing)
     keyed = new.select(*columns).filter(F.col("idempotency_key").isNotNull())
     stored = existing.select(*columns).filter(F.col("idempotency_key").isNotNull())
     # The smallest (stored first, oldest, id) per key is a partial aggregate, so a key that arrives
@@ -53,8 +59,14 @@ def watchlist_ingest(entries: DataFrame, current: DataFrame | None = None) -> Da
     return latest_per(keyed, ["entry_id"], ["version"])
 
 
-def keyed_upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Insert or overwrite on a natural key; columns absent from ``changes`` keep their value."""
+def keyed_upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Insert or overwrite on a natural key; columns absent from ``changes`` keep their value.
+
+    Of several changes to a key the last by ``order`` wins (then by the values themselves), so a key stays
+    one row.
+    """
+    tie = [c for c in changes.columns if c not in keys and c not in order]
+    changes = latest_per(changes, list(keys), [*order, *tie])
     rest = [c for c in base.columns if c not in keys]
     b = base.select(*keys, F.struct(*rest).alias("__old"))
     c = changes.select(*keys, F.struct(*[x for x in rest if x in changes.columns]).alias("__new"))
@@ -76,23 +88,30 @@ def soft_delete(df: DataFrame, changes: DataFrame, key: str, ended_at: str) -> D
 
 
 def apply_claims(cases: DataFrame, claims: DataFrame) -> DataFrame:
-    """Waiting cases with their latest claim. A claim is a note: it never blocks, the last one shows."""
-    last = latest_per(claims, ["case_id"], ["claimed_at", "claim_id"], ["reviewer_id", "claimed_at"])
+    """Waiting cases with their latest claim. A claim is a note: it never blocks, the last one shows.
+
+    ``claims`` carry the reviewer's ``tenant_id``; for another tenant the case does not exist.
+    """
+    key = ["tenant_id", "case_id"]
+    last = latest_per(claims, key, ["claimed_at", "claim_id"], ["reviewer_id", "claimed_at"])
     waiting = cases.filter(F.col("status") == "needs_review").select(
         "tenant_id", "case_id", "subject_name", "created_at"
     )
-    return waiting.join(last, "case_id").withColumnRenamed("reviewer_id", "claimed_by_reviewer_id")
+    return waiting.join(last, key).withColumnRenamed("reviewer_id", "claimed_by_reviewer_id")
 
 
 def decision_admission(decisions: DataFrame, cases: DataFrame) -> DataFrame:
-    """Add ``outcome``: accepted while the case waits for review, conflict otherwise, or not_found."""
-    state = cases.select("case_id", F.col("status").alias("case_status"))
+    """Add ``outcome``: accepted while the case waits for review, conflict otherwise, or not_found.
+
+    ``decisions`` carry the reviewer's ``tenant_id``; a case of another tenant is not found.
+    """
+    state = cases.select("tenant_id", "case_id", F.col("status").alias("case_status"))
     outcome = (
         F.when(F.col("case_status").isNull(), F.lit("not_found"))
         .when(F.col("case_status") == "needs_review", F.lit("accepted"))
         .otherwise(F.lit("conflict"))
     )
-    return decisions.join(state, "case_id", "left").withColumn("outcome", outcome)
+    return decisions.join(state, ["tenant_id", "case_id"], "left").withColumn("outcome", outcome)
 
 
 def case_state(base: DataFrame, mutations: DataFrame) -> DataFrame:
@@ -123,5 +142,5 @@ def evidence_rows(df: DataFrame, scores: Sequence[str]) -> DataFrame:
 
 
 def persist_evidence(df: DataFrame, path: str, scores: Sequence[str]) -> None:
-    """Append evidence rows below ``path``, one folder per tenant."""
-    evidence_rows(df, scores).write.mode("append").partitionBy("tenant_id").parquet(path)
+    """Append evidence rows below ``path``, one folder per tenant, in few files each."""
+    evidence_rows(df, scores).hint("rebalance", "tenant_id").write.mode("append").partitionBy("tenant_id").parquet(path)

@@ -98,14 +98,14 @@ def window_starts(requests: DataFrame, window_s: int, windows_per_span: int = 64
     """
     window = window_s * 1_000_000
     width = window * windows_per_span
-    # Stated here rather than left to the joins, the filter is the same in every branch, so the
-    # exchange of the spans is done once and used twice.
+    # Inside a struct a null key is equal to itself, so it is a key like any other.
     timed = (
         requests.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
         .withColumn("span", F.floor(F.col("t") / F.lit(width)))
-        .filter(F.col("key").isNotNull() & F.col("span").isNotNull())
+        .withColumn("key", F.struct("key"))
+        .filter(F.col("span").isNotNull())
     )
-    key_type = requests.schema["key"].dataType.simpleString()
+    key_type = timed.schema["key"].dataType.simpleString()
     # Only distinct times matter for where windows start; tasks drop repeats before the shuffle.
     spans = timed.groupBy("key", "span").agg(F.sort_array(F.collect_set("t")).alias("times"))
     exits = spans.mapInArrow(
@@ -122,7 +122,8 @@ def window_starts(requests: DataFrame, window_s: int, windows_per_span: int = 64
         .mapInArrow(_anchors(window), f"key {key_type}, span bigint, anchors array<bigint>")
     )
     own = F.array_max(F.filter("anchors", lambda a: a <= F.col("t")))
-    return timed.join(anchors, ["key", "span"]).withColumn("anchor", own).drop("span", "anchors")
+    placed = timed.join(anchors, ["key", "span"]).withColumn("anchor", own).drop("span", "anchors")
+    return placed.withColumn("key", F.col("key.key"))
 
 
 def admission_columns(rank: Column, t: Column, anchor: Column, limit: int, window_s: int) -> dict[str, Column]:
@@ -141,9 +142,16 @@ def quota_admission(
     window_s: int = QUOTA_WINDOW_S,
     windows_per_span: int = 64,
 ) -> DataFrame:
-    """Decide each of ``requests(key, request_id, ts)``: the first ``limit`` of a window are allowed."""
+    """Decide each of ``requests(key, request_id, ts)``: the first ``limit`` of a window are allowed.
+
+    Requests without a key share one; a request without a time fits no window and is not allowed.
+    """
     placed = window_starts(requests, window_s, windows_per_span)
     order = Window.partitionBy("key", "anchor").orderBy("t", "request_id")
     ranked = placed.withColumn("rank", F.row_number().over(order))
     decided = admission_columns(F.col("rank"), F.col("t"), F.col("anchor"), limit, window_s)
-    return ranked.withColumns(decided).select("key", "request_id", "ts", "allowed", "retry_after")
+    columns = ["key", "request_id", "ts", "allowed", "retry_after"]
+    untimed = requests.filter(F.col("ts").isNull()).withColumns(
+        {"allowed": F.lit(False), "retry_after": F.lit(None).cast("int")}
+    )
+    return ranked.withColumns(decided).select(*columns).unionByName(untimed.select(*columns))

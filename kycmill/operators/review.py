@@ -58,11 +58,8 @@ def json_fields(df: DataFrame, column: str, schema: str) -> DataFrame:
 
 
 def doc_types(documents: DataFrame) -> DataFrame:
-    """Sorted types of a case's documents, from one flag per type: the state stays fixed-size."""
-    flags = [F.max(F.col("doc_type") == t).alias(f"has_{t}") for t in sorted(DOC_TYPES)]
-    present = [F.when(F.col(f"has_{t}"), F.lit(t)) for t in sorted(DOC_TYPES)]
-    per_case = documents.groupBy("case_id").agg(*flags)
-    return per_case.select("case_id", F.array_compact(F.array(*present)).alias("doc_types"))
+    """Sorted distinct types of a case's documents, whatever they are."""
+    return documents.groupBy("case_id").agg(F.array_sort(F.collect_set("doc_type")).alias("doc_types"))
 
 
 def document_keys(documents: DataFrame) -> DataFrame:

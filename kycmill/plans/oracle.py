@@ -18,7 +18,7 @@ from (select o_orderkey as case_id, c_nationkey as tenant_id, c_name as subject_
   case when o_orderstatus='F' and o_orderkey%5=0 then 'rejected' when o_orderstatus='F' then 'approved'
        when o_orderstatus='P' then 'needs_review' else 'pending' end as status,
   o_orderdate as created_at,
-  case when o_orderkey%3<>0 then (o_custkey%200)::varchar end as idempotency_key
+  case when o_orderkey%3<>0 then case when o_custkey%200=0 then '' else (o_custkey%200)::varchar end end as idempotency_key
 from orders join customer on o_custkey=c_custkey)""",
     "v_evidence": """
 select l_orderkey as case_id, concat_ws('-',l_linenumber,l_partkey,l_suppkey) as evidence_id,
@@ -48,10 +48,11 @@ select tenant_id, case_id, step, seq, model_version,
   created_at + to_minutes(seq) as "at"
 from v_cases cross join v_step_names""",
     "v_decisions": """
+select d.*, (coalesce(c.tenant_id,0)+case when decision_id%13=5 then 1 else 0 end)%25 as tenant_id from (
 select event_id as decision_id, user_id as reviewer_id,
   case when event_id%101=0 then -event_id else event_id%(select count(*)//5 from orders) end as case_id,
   case event_type when 'purchase' then 'approved' when 'error' then 'rejected' else 'escalated' end as decision,
-  props as justification, ts as decided_at from events""",
+  props as justification, ts as decided_at from events) d left join v_cases c on c.case_id=d.case_id""",
     "v_mutations": """
 select event_id%(select count(*)//5 from orders) as case_id, event_id as seq,
   case event_type when 'purchase' then 'approved' when 'error' then 'rejected' when 'view' then 'needs_review' end as status,
@@ -96,7 +97,8 @@ union all
 select a.id, a.tenant_id, a.rn, c.row_hash, sha256(a.prefix||c.row_hash)
 from v_chain c join v_audit_text a on a.tenant_id=c.tenant_id and a.rn=c.rn+1""",
     "v_tampered": """
-select id, tenant_id, prev_row_hash, row_hash, id%500=3 as altered from v_chain where id%700<>5""",
+select id, tenant_id, prev_row_hash, case when id%500<>7 then row_hash end as row_hash, id%500 in (3,7) as altered
+from v_chain where id%700<>5""",
     "v_verified": """
 select tenant_id, id, concat_ws(',',
   case when prev_row_hash is distinct from lag(row_hash) over (partition by tenant_id order by id)
@@ -130,14 +132,16 @@ select event_id as request_id, case when kind=1 then 'Basic abc' when kind=2 the
   when kind=9 then 'Bearer nobody' end as header
 from (select *, event_id%10 as kind from events)""",
     "v_attempts": """
-select conv_id as document_id, ((turn+1)//2)::int as attempt, (conv_id*3+turn)%7 as kind, length(text) as n
+select conv_id as document_id, ((turn+1)//2)::int as attempt, case when (conv_id*3+turn)%7=5 and conv_id%11=3 then 7
+  when (conv_id*3+turn)%7=5 and conv_id%11=5 then 8 else (conv_id*3+turn)%7 end as kind, length(text) as n
 from conversations where role='assistant'""",
     "v_responses": """
 select document_id, min(attempt) filter (kind in (5,6) and attempt<=3) as good, max(attempt) filter (attempt<=3) as tried,
   arg_min(kind, attempt) filter (kind in (5,6) and attempt<=3) as good_kind,
   arg_min(n, attempt) filter (kind in (5,6) and attempt<=3) as n,
-  arg_max(['not valid JSON','no document visible','no document visible','full_name empty','date_of_birth invalid'][kind+1],
-    attempt) filter (kind<5 and attempt<=3) as issue
+  arg_max(['not valid JSON','no document visible','no document visible','full_name empty','date_of_birth invalid','','',
+    'not valid JSON','nationality not a text'][kind+1],
+    attempt) filter (kind not in (5,6) and attempt<=3) as issue
 from v_attempts where attempt<=3 group by 1""",
     "v_resolved": """
 select document_id,
@@ -148,7 +152,7 @@ select document_id,
   case when good is null then 0.0::double else greatest(0.5, 1.0::double-0.15::double*(good-1)) end as confidence,
   good is null as needs_review,
   case when good is null then 'exhausted 3 retries; last issue: '||issue end as reason
-from v_responses""",
+from v_responses where good is not null or tried>=3""",
     "v_mrz_parts": """
 select c_custkey as document_id, c_mktsegment as seg, lpad(c_custkey::varchar,9,'0') as num,
   lpad((c_custkey%100)::varchar,2,'0')||case when c_custkey%11=0 then '13' else lpad((c_custkey%12+1)::varchar,2,'0') end
@@ -251,16 +255,16 @@ from (select *, not scored or face_failed or screen_failed or needs_review as pa
         case when e.l_linestatus='O' then 'mrz' else 'vlm' end as method, e.face as raw_face, e.hits as raw_hits
       from v_cases c left join v_latest e on e.case_id=c.case_id)))))""",
     "v_final": """
-select case_id, arg_min(decision, (decided_at, decision_id)) filter (decision<>'escalated') as decision,
+select tenant_id, case_id, arg_min(decision, (decided_at, decision_id)) filter (decision<>'escalated') as decision,
   arg_min(reviewer_id, (decided_at, decision_id)) filter (decision<>'escalated') as reviewer_id,
   arg_min(decided_at, (decided_at, decision_id)) filter (decision<>'escalated') as decided_at,
-  count(*) filter (decision='escalated') as escalations from v_decisions group by 1""",
+  count(*) filter (decision='escalated') as escalations from v_decisions group by 1, 2""",
     "v_resolution": """
 select d.tenant_id, d.case_id, case when status='needs_review' then coalesce(f.decision,status) else status end as final_status,
   reason, risk_score, case when status='needs_review' then f.reviewer_id end as reviewer_id,
   case when status='needs_review' then f.decided_at end as decided_at,
   case when status='needs_review' then coalesce(f.escalations,0) end as escalations
-from v_decided d left join v_final f on f.case_id=d.case_id""",
+from v_decided d left join v_final f on f.case_id=d.case_id and f.tenant_id=d.tenant_id""",
     "v_counts": """
 select t.tenant_id, s.status, count(c.case_id) as n from v_tenants t
 cross join (select unnest(['pending','processing','needs_review','approved','rejected']) as status) s
@@ -271,6 +275,11 @@ _RISK = VIEWS.pop("v_risk").split("select *,", 1)[1]
 # Weighted digit sum and character value of the passport standard; URL-namespace UUID version 5.
 _VAL = "greatest(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ',{c})-1,0)"
 _CD = "(list_sum(list_transform(range(1,length({s})+1), lambda i: " + _VAL.format(c="({s})[i]") + "*[7,3,1][(i-1)%3+1]))%10)"
+# Key block of a message authentication code: a short secret, padded to 64 bytes, against one byte.
+_PAD = (
+    "array_to_string(list_transform(range(1,65), lambda i: "
+    "printf('%02x', xor(case when i<=length(secret) then ascii(secret[i]) else 0 end, {x}))), '')"
+)
 _UUID5 = (
     "(select substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-'||translate(substr(h,17,1),'0123456789abcdef',"
     "'89ab89ab89ab89ab')||substr(h,18,3)||'-'||substr(h,21,12) from (select "
@@ -372,9 +381,11 @@ left join with_f f on f.l_orderkey=c.case_id and f.rn=1 left join with_h h on h.
     "case_hits": """select tenant_id, case_id, 'LIST-'||l_returnflag as list_source, 'Part '||l_partkey as matched_name,
   round(l_quantity/50,3) as match_score, case when l_linestatus='F' then 'vector' else 'phonetic' end as method
 from lineitem join v_cases on case_id=l_orderkey where l_quantity>=49""",
-    "webhook_outbox": """select c.tenant_id, webhook_id, case_id, 'case.decided' as event_type,
-  '{"case_id": "'||case_id||'", "decision": "'||decision||'", "event": "case.decided", "risk_score": '||risk_score||'}' as body
-from v_cases c join v_webhooks w on w.tenant_id=c.tenant_id where decision is not null and disabled_at is null""",
+    "webhook_outbox": f"""select tenant_id, webhook_id, case_id, event_type, body,
+  sha256(unhex({_PAD.format(x=92)}||sha256(unhex({_PAD.format(x=54)}||hex(encode(body)))))) as signature
+from (select c.tenant_id, webhook_id, case_id, 'case.decided' as event_type, 'secret-'||webhook_id as secret,
+  '{{"case_id": "'||case_id||'", "decision": "'||decision||'", "event": "case.decided", "risk_score": '||risk_score||'}}' as body
+from v_cases c join v_webhooks w on w.tenant_id=c.tenant_id where decision is not null and disabled_at is null)""",
     "delivery_outcome": "select * from v_outcomes",
     "delivery_summary": """select c.case_id, count(*) filter (o.status='delivered') as delivered_count,
   count(*) filter (o.status='failed') as failed_count, count(o.case_id) as webhooks_count
@@ -393,9 +404,9 @@ where webhook_id in (select webhook_id from v_webhooks where tenant_id=3)""",
 from v_subjects q left join v_screened s on s.query_id=q.query_id group by 1""",
     "watchlist_ingest": "select entry_id, list_source, name, version from v_part_list",
     "idempotent_ingest": """select n.case_id as request_id, n.tenant_id,
-  case when n.idempotency_key is null then n.case_id else
+  case when nullif(n.idempotency_key,'') is null then n.case_id else
     first_value(n.case_id) over (partition by n.tenant_id, n.idempotency_key order by n.late, n.created_at, n.case_id) end as case_id,
-  n.idempotency_key is not null and n.case_id<>
+  nullif(n.idempotency_key,'') is not null and n.case_id<>
     first_value(n.case_id) over (partition by n.tenant_id, n.idempotency_key order by n.late, n.created_at, n.case_id) as is_replay
 from (select *, created_at>=timestamp '1998-01-01' as late from v_cases) n qualify n.late""",
     "keyed_upsert": """select s_suppkey as reviewer_id, s_nationkey as tenant_id, 'r'||(s_suppkey%40)||'@example.com' as email,
@@ -407,11 +418,12 @@ union all select -s_suppkey, s_nationkey, null, 'auditor' from supplier where s_
     "unique_conflicts": "select tenant_id, email, count(*) as n from v_reviewers group by all having count(*)>1",
     "apply_claims": """select c.tenant_id, c.case_id, c.subject_name, c.created_at, user_id as claimed_by_reviewer_id, ts as claimed_at
 from v_cases c join (select event_id%(select count(*)//5 from orders) as case_id, user_id, ts,
-  row_number() over (partition by event_id%(select count(*)//5 from orders) order by ts desc, event_id desc) as rn from events) e
+  row_number() over (partition by event_id%(select count(*)//5 from orders) order by ts desc, event_id desc) as rn from events
+  where event_id%13<>5) e
 on e.case_id=c.case_id and rn=1 where c.status='needs_review'""",
     "decision_admission": """select decision_id, d.case_id, d.decision, case when c.case_id is null then 'not_found'
   when c.status='needs_review' then 'accepted' else 'conflict' end as outcome
-from v_decisions d left join v_cases c on c.case_id=d.case_id""",
+from v_decisions d left join v_cases c on c.case_id=d.case_id and c.tenant_id=d.tenant_id""",
     "case_state": """select c.case_id, coalesce(m.status,c.status) as status, coalesce(m.risk_score,c.risk_score) as risk_score,
   coalesce(m.decision,c.decision) as decision, coalesce(m.decided_at,c.decided_at) as decided_at
 from v_cases c left join (select case_id, arg_max(status,seq) filter (status is not null) as status,
@@ -500,9 +512,9 @@ where phase='started' and next_phase in ('completed','failed')""",
   null::varchar as decision from events where user_id%25=3 and event_id%13<>0""",
     "stream_quota": "select * from v_quota_result",
     "stream_audit_chain": "select id, tenant_id, prev_row_hash, row_hash from v_chain",
-    "stream_ingest": """select case_id as request_id, tenant_id, coalesce(case when idempotency_key is not null then
+    "stream_ingest": """select case_id as request_id, tenant_id, coalesce(case when nullif(idempotency_key,'') is not null then
     first_value(case_id) over (partition by tenant_id, idempotency_key order by created_at, case_id) end, case_id) as case_id,
-  idempotency_key is not null and case_id<>
+  nullif(idempotency_key,'') is not null and case_id<>
     first_value(case_id) over (partition by tenant_id, idempotency_key order by created_at, case_id) as is_replay
 from v_cases""",
     "stream_status_counts": """select status, count(*) as n from (

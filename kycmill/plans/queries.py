@@ -210,8 +210,9 @@ def keyed_upsert(v: Views) -> DataFrame:
     key = F.col("reviewer_id")
     old = base.filter(key % 3 == 0).select("reviewer_id", "tenant_id")
     new = base.filter((key % 6 == 0) & (key > 0)).select((-key).alias("reviewer_id"), "tenant_id")
-    changes = old.unionByName(new).withColumn("role", F.lit("auditor"))
-    return mutations.keyed_upsert(base, changes, ["reviewer_id", "tenant_id"])
+    changes = old.unionByName(new).withColumns({"role": F.lit("auditor"), "at": F.lit(2)})
+    earlier = changes.withColumns({"role": F.lit("owner"), "at": F.lit(1)})
+    return mutations.keyed_upsert(base, earlier.unionByName(changes), ["reviewer_id", "tenant_id"], ["at"])
 
 
 @query
@@ -277,7 +278,7 @@ def _decided(v: Views) -> DataFrame:
 
 @query
 def webhook_outbox(v: Views) -> DataFrame:
-    return outbox.webhook_outbox(_decided(v), v.webhooks()).drop("signature")
+    return outbox.webhook_outbox(_decided(v), v.webhooks())
 
 
 @query
@@ -449,7 +450,7 @@ def audit_events(v: Views) -> DataFrame:
         (F.col("case_id") % 1500).alias("api_key_id"),
         (F.col("case_id") % 3 == 1).alias("is_replay"),
     )
-    recorded = v.decisions().join(v.cases().select("case_id", "tenant_id"), "case_id")
+    recorded = v.decisions().drop("tenant_id").join(v.cases().select("case_id", "tenant_id"), "case_id")
     return audit.audit_events(v.steps(), created, recorded)
 
 
@@ -459,9 +460,11 @@ def build_audit_chain(v: Views) -> DataFrame:
 
 
 def _tampered(v: Views) -> DataFrame:
-    """The chain after somebody changed some payloads and removed some rows."""
+    """The chain after somebody changed some payloads, erased some hashes and removed some rows."""
     payload = F.when(F.col("id") % 500 == 3, F.lit("{}")).otherwise(F.col("payload"))
-    return audit.build_audit_chain(v.audit()).withColumn("payload", payload).filter(F.col("id") % 700 != 5)
+    kept_hash = F.when(F.col("id") % 500 != 7, F.col("row_hash"))
+    chain = audit.build_audit_chain(v.audit()).withColumns({"payload": payload, "row_hash": kept_hash})
+    return chain.filter(F.col("id") % 700 != 5)
 
 
 @query
@@ -542,7 +545,9 @@ def lifecycle_events(v: Views) -> DataFrame:
         "status",
         "reason",
     )
-    decided = v.decisions().join(v.cases().select("case_id"), "case_id", "left_semi")
+    decided = v.decisions().join(
+        v.cases().select("tenant_id", "case_id"), ["tenant_id", "case_id"], "left_semi"
+    )
     return assessed.unionByName(
         decided.select(
             "case_id",

@@ -67,7 +67,9 @@ class Views:
                 F.when(F.col("status") != "pending", F.round((key % 1001) / 1000.0, 3)).alias("risk_score"),
                 F.col("o_orderdate").alias("created_at"),
                 F.when(decided, F.col("o_orderdate") + F.expr("interval 1 day")).alias("decided_at"),
-                F.when(key % 3 != 0, _text(F.col("o_custkey") % 200)).alias("idempotency_key"),
+                F.when(key % 3 != 0, F.when(F.col("o_custkey") % 200 == 0, "").otherwise(_text(F.col("o_custkey") % 200))).alias(
+                    "idempotency_key"
+                ),
             )
         )
 
@@ -146,14 +148,23 @@ class Views:
             .otherwise(F.lit("escalated"))
         )
         lost = F.col("event_id") % 101 == 0
-        return self.t["events"].select(
-            F.col("event_id").alias("decision_id"),
-            F.col("user_id").alias("reviewer_id"),
-            F.when(lost, -F.col("event_id")).otherwise(F.col("event_id") % n).alias("case_id"),
-            decision.alias("decision"),
-            F.col("props").alias("justification"),
-            F.col("ts").alias("decided_at"),
-        )
+        return self._by_reviewer(
+            self.t["events"].select(
+                F.col("event_id").alias("decision_id"),
+                F.col("user_id").alias("reviewer_id"),
+                F.when(lost, -F.col("event_id")).otherwise(F.col("event_id") % n).alias("case_id"),
+                decision.alias("decision"),
+                F.col("props").alias("justification"),
+                F.col("ts").alias("decided_at"),
+            ),
+            "decision_id",
+        )
+
+    def _by_reviewer(self, rows: DataFrame, key: str) -> DataFrame:
+        """The tenant of the reviewer: mostly the case's own."""
+        of_case = self.cases().select("case_id", F.col("tenant_id").alias("case_tenant"))
+        other = (F.coalesce("case_tenant", F.lit(0)) + F.when(F.col(key) % 13 == 5, 1).otherwise(0)) % 25
+        return rows.join(of_case, "case_id", "left").withColumn("tenant_id", other.cast("long")).drop("case_tenant")
 
     def mutations(self) -> DataFrame:
         return self.mutations_of(self.t["events"])
@@ -173,11 +184,14 @@ class Views:
 
     def claims(self) -> DataFrame:
         n = self.t["orders"].agg(F.floor(F.count("*") / 5)).scalar()
-        return self.t["events"].select(
-            F.col("event_id").alias("claim_id"),
-            (F.col("event_id") % n).alias("case_id"),
-            F.col("user_id").alias("reviewer_id"),
-            F.col("ts").alias("claimed_at"),
+        return self._by_reviewer(
+            self.t["events"].select(
+                F.col("event_id").alias("claim_id"),
+                (F.col("event_id") % n).alias("case_id"),
+                F.col("user_id").alias("reviewer_id"),
+                F.col("ts").alias("claimed_at"),
+            ),
+            "claim_id",
         )
 
     def reviewers(self) -> DataFrame:
@@ -353,6 +367,8 @@ class Views:
             .when(kind == 2, F.lit('{"document_visible": true, "document": null}'))
             .when(kind == 3, response("", "1980-01-02", ""))
             .when(kind == 4, response("ANNA MARIA", "1980-13-02", ""))
+            .when((kind == 5) & (F.col("conv_id") % 11 == 3), F.concat(response("ANNA MARIA", "1980-01-02", ""), F.lit(" ok")))
+            .when((kind == 5) & (F.col("conv_id") % 11 == 5), response('","nationality": 7,"x":"', "1980-01-02", ""))
             .when(kind == 5, response("ANNA MARIA", "1980-01-02", ""))
             .otherwise(response("JON DOE", "1990-12-31", ', "expiry_date": "2031-05-06"'))
         )

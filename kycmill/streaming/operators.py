@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.audit import build_audit_chain, chain_heads
+from ..operators.mutations import without_empty_keys
 from ..schemas import NO_EXTRACTION, QUOTA_LIMIT, QUOTA_WINDOW_S
 from .runs import run_batches, run_to_files
 
@@ -152,8 +153,9 @@ def stream_ingest(requests: DataFrame) -> DataFrame:
     """Idempotent ingest of a stream: ``(request_id, tenant_id, case_id, is_replay)``.
 
     State holds the case of every (tenant, key) for good, so a key is recognised however late it comes
-    again, and a batch costs what the batch holds. Requests without a key never meet the state.
+    again, and a batch costs what the batch holds. Requests without a key (null or empty) never meet the state.
     """
+    requests = without_empty_keys(requests)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(batches).sort_values(["created_at", "case_id"])

@@ -82,6 +82,30 @@ def test_chain_continues_from_heads(spark, slice_rows):
     assert collected(first) | collected(rest) == expected_chain(rows)
 
 
+@pytest.mark.parametrize("slice_rows", [1 << 20, 25])
+def test_rows_without_tenant_or_id_stay(spark, slice_rows):
+    rows = make_rows(120)
+    odd = [(None if i % 9 == 0 else r[0], None if i % 7 == 0 else r[1], *r[2:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(odd, SCHEMA)
+    chain = audit.build_audit_chain(df, slice_rows=slice_rows, width=8)
+    assert chain.count() == len(rows)
+    free = {r.id: (r.prev_row_hash, r.row_hash) for r in chain.filter("tenant_id IS NULL AND id IS NOT NULL").collect()}
+    links = {row_hash for _, row_hash in free.values()}
+    assert sum(prev not in links for prev, _ in free.values()) == 1
+
+
+def test_newest_row_with_erased_hash_is_named(spark):
+    rows = make_rows(60)
+    chain = audit.build_audit_chain(spark.createDataFrame(rows, SCHEMA))
+    last = max(r[0] for r in rows if r[1] == "hot")
+    erased = F.when(F.col("id") != last, F.col("row_hash"))
+    verified = audit.verify_audit_chain(chain.withColumn("row_hash", erased).withColumn(
+        "payload", F.when(F.col("id") == last, F.lit("{}")).otherwise(F.col("payload"))))
+    assert {r.id: r.violations for r in verified.collect() if r.violations} == {last: ["row_hash"]}
+    report = {r.tenant_id: r.status for r in audit.audit_chain_report(verified).collect()}
+    assert report["hot"] == "BROKEN"
+
+
 @pytest.mark.parametrize("width", [7, 1 << 20])
 def test_tampering_is_named(spark, width):
     rows = make_rows(300)

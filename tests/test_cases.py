@@ -97,7 +97,11 @@ def test_review_resolution(spark):
         (1, "hit", "escalated", 7, at), (2, "hit", "approved", 8, at), (3, "hit", "rejected", 9, at + dt.timedelta(1)),
         (4, "fetch", "escalated", 7, at), (5, "clean", "rejected", 7, at),
     ]
-    log = spark.createDataFrame(rows, "decision_id int, case_id string, decision string, reviewer_id int, decided_at timestamp")
+    rows = [("t", *r) for r in rows] + [("u", 6, "fetch", "approved", 5, at), ("u", 0, "hit", "rejected", 5, at)]
+    log = spark.createDataFrame(
+        rows,
+        "tenant_id string, decision_id int, case_id string, decision string, reviewer_id int, decided_at timestamp",
+    )
     got = {r.case_id: r for r in decisions.review_resolution(_decided(spark), log).collect()}
     assert (got["hit"].final_status, got["hit"].reviewer_id, got["hit"].escalations) == ("approved", 8, 1)
     assert (got["fetch"].final_status, got["fetch"].escalations) == ("needs_review", 1)
@@ -110,11 +114,12 @@ def test_idempotent_ingest(spark):
     schema = "tenant_id string, idempotency_key string, created_at timestamp, case_id int"
     hot = [("a", "k", at + dt.timedelta(seconds=i), 100 + i) for i in range(50)]
     new = spark.createDataFrame(
-        [("b", "k", at, 2), ("a", None, at, 3), ("a", None, at, 4), ("a", "old", at, 5), *hot], schema
+        [("b", "k", at, 2), ("a", None, at, 3), ("a", "", at, 4), ("a", "", at, 6), ("a", "old", at, 5), *hot], schema
     )
     existing = spark.createDataFrame([("a", "old", at + dt.timedelta(9), 1), ("a", None, at, 0)], schema)
     got = {r.request_id: (r.case_id, r.is_replay) for r in mutations.idempotent_ingest(new, existing).collect()}
-    assert got[2] == (2, False) and got[3] == (3, False) and got[4] == (4, False) and got[5] == (1, True)
+    assert got[2] == (2, False) and got[3] == (3, False) and got[5] == (1, True)
+    assert got[4] == (4, False) and got[6] == (6, False)
     assert got[100] == (100, False) and all(got[100 + i] == (100, True) for i in range(1, 50))
 
 
@@ -134,7 +139,7 @@ def test_upsert_soft_delete_and_state(spark):
     later = at + dt.timedelta(1)
     base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, name string, role string")
     changes = spark.createDataFrame([(2, "z"), (3, "w")], "k int, role string")
-    merged = mutations.keyed_upsert(base, changes, ["k"])
+    merged = mutations.keyed_upsert(base, changes.unionByName(changes), ["k"])
     assert sorted(tuple(r) for r in merged.collect()) == [(1, "a", "x"), (2, "b", "z"), (3, None, "w")]
     rows = spark.createDataFrame([(1, None), (2, at), (3, None)], "k int, ended timestamp")
     ends = spark.createDataFrame([(1, later), (1, at), (2, later)], "k int, at timestamp")
@@ -157,13 +162,15 @@ def test_claims_and_admission(spark):
         "tenant_id string, case_id int, subject_name string, created_at timestamp, status string",
     )
     claims = spark.createDataFrame(
-        [(1, 1, 7, at), (2, 1, 8, at + dt.timedelta(1)), (3, 2, 7, at)],
-        "claim_id int, case_id int, reviewer_id int, claimed_at timestamp",
+        [("t", 1, 1, 7, at), ("t", 2, 1, 8, at + dt.timedelta(1)), ("t", 3, 2, 7, at), ("u", 4, 1, 9, at + dt.timedelta(2))],
+        "tenant_id string, claim_id int, case_id int, reviewer_id int, claimed_at timestamp",
     )
     assert [(r.case_id, r.claimed_by_reviewer_id) for r in mutations.apply_claims(cases, claims).collect()] == [(1, 8)]
-    asked = spark.createDataFrame([(1, 1), (2, 2), (3, 9)], "decision_id int, case_id int")
+    asked = spark.createDataFrame(
+        [("t", 1, 1), ("t", 2, 2), ("t", 3, 9), ("u", 4, 1)], "tenant_id string, decision_id int, case_id int"
+    )
     got = {r.decision_id: r.outcome for r in mutations.decision_admission(asked, cases).collect()}
-    assert got == {1: "accepted", 2: "conflict", 3: "not_found"}
+    assert got == {1: "accepted", 2: "conflict", 3: "not_found", 4: "not_found"}
 
 
 def test_counts_of_an_empty_tenant(spark):

@@ -104,10 +104,15 @@ GOOD = (
         (["nonsense", GOOD], 0.85, None),
         (['{"document_visible": false}', "{}", GOOD], 0.7, None),
         (['{"document_visible": false}'] * 3 + [GOOD], 0.0, "exhausted 3 retries; last issue: no document visible"),
-        ([GOOD.replace("1980-01-01", "1980-02-31")], 0.0, "exhausted 3 retries; last issue: date_of_birth invalid"),
-        ([GOOD.replace("A B", "")], 0.0, "exhausted 3 retries; last issue: full_name empty"),
+        ([GOOD.replace("1980-01-01", "1980-02-31")] * 3, 0.0, "exhausted 3 retries; last issue: date_of_birth invalid"),
+        ([GOOD.replace("A B", "")] * 3, 0.0, "exhausted 3 retries; last issue: full_name empty"),
         ([GOOD.replace("true", '"yes"')], 1.0, None),
-        ([GOOD.replace("true", "7")], 0.0, "exhausted 3 retries; last issue: document_visible missing"),
+        ([GOOD.replace("true", "7")] * 3, 0.0, "exhausted 3 retries; last issue: document_visible missing"),
+        ([GOOD + " and more"] * 3, 0.0, "exhausted 3 retries; last issue: not valid JSON"),
+        ([GOOD + "," + GOOD] * 3, 0.0, "exhausted 3 retries; last issue: not valid JSON"),
+        ([GOOD.replace('"A B"', '{"x": 1}')] * 3, 0.0, "exhausted 3 retries; last issue: full_name not a text"),
+        ([GOOD.replace('"1"', "1")] * 3, 0.0, "exhausted 3 retries; last issue: document_number not a text"),
+        ([GOOD[:-9]] * 2 + [GOOD], 0.7, None),
     ],
 )
 def test_responses(spark, raws, confidence, reason):
