@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,13 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, which bounds what a task holds for long texts."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows from a reliable checkpoint in the shared folder; for narrow tables and loops."""
     context = df.sparkSession.sparkContext

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored
+from .common import checkpointed, packed, small, stored
 from .hashing import U, byte_set, run_hashes, run_sums, sliding_min, text_words, word_bounds
 
 LENGTH = 50
@@ -54,7 +54,7 @@ def anchors(words: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]
 
 def _anchor_rows(length: int, seed: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found, counts = [], []
             for text in batch.column("text"):
                 found.append(anchors(text_words(text.as_py(), GAP), length, seed))
@@ -82,7 +82,7 @@ def _run_rows(length: int):
     """The runs of the given anchors, one by one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, th = batch.column("id").to_numpy(), batch.column("th").to_numpy()
             for i, text in enumerate(batch.column("text")):
                 todo = batch.column("todo")[i].as_py()
@@ -104,7 +104,7 @@ def _run_rows(length: int):
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         out: tuple[list, ...] = ([], [], [], [])
         for text, spans in zip(batch.column("text"), batch.column("spans")):
             data = text.as_py().encode("utf-8", "surrogatepass")
@@ -142,14 +142,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
         ),
         "substring-anchors",
     )
-    shared = (
+    # Aggregates are cut off before they are joined back, so that Spark can split a hot seed in the join.
+    shared = checkpointed(
         found.groupBy("h")
         .agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("reach").alias("c"), F.max("reach").alias("d"))
         .filter("a < b")
         .select("h", (F.col("c") != F.col("d")).alias("several"))
     )
     seeds = stored(found.join(shared, "h"), "substring-seeds")
-    reaches = seeds.groupBy("h", "reach").agg(F.min("id").alias("least"))
+    reaches = checkpointed(seeds.groupBy("h", "reach").agg(F.min("id").alias("least")))
     placed = seeds.join(reaches, ["h", "reach"])
     whole = placed.filter("id > least").select("id", "th", "first", (F.col("last") + length).alias("past"))
     todo = (
@@ -163,7 +164,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
         .mapInArrow(_run_rows(length), "id long, th long, h long, run long, first int"),
         "substring-runs",
     )
-    least = runs.groupBy("h", "run").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    least = checkpointed(
+        runs.groupBy("h", "run").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    )
     single = (
         runs.join(least, ["h", "run"])
         .filter("id > least")
