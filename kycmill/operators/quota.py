@@ -147,9 +147,16 @@ def quota_admission(
     Requests without a key share one; a request without a time fits no window and is not allowed.
     """
     placed = window_starts(requests, window_s, windows_per_span)
-    order = Window.partitionBy("key", "anchor").orderBy("t", "request_id")
-    ranked = placed.withColumn("rank", F.row_number().over(order))
-    decided = admission_columns(F.col("rank"), F.col("t"), F.col("anchor"), limit, window_s)
+    # Only the first ``limit`` of a window matter, and each task passes on no more than that many; the last
+    # of them tells for every other request of the window whether it came too late.
+    place = F.struct("t", "request_id")
+    order = Window.partitionBy("owner", "anchor").orderBy("t", "request_id")
+    owned = placed.withColumn("owner", F.struct("key"))
+    first = owned.select("owner", "anchor", "t", "request_id").withColumn("rank", F.row_number().over(order))
+    cut = first.filter(F.col("rank") <= limit).groupBy("owner", "anchor").agg(F.max(place).alias("cut"))
+    ranked = owned.join(cut, ["owner", "anchor"])
+    rank = F.when(place <= F.col("cut"), F.lit(1)).otherwise(F.lit(limit + 1))
+    decided = admission_columns(rank, F.col("t"), F.col("anchor"), limit, window_s)
     columns = ["key", "request_id", "ts", "allowed", "retry_after"]
     untimed = requests.filter(F.col("ts").isNull()).withColumns(
         {"allowed": F.lit(False), "retry_after": F.lit(None).cast("int")}

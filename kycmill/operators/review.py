@@ -80,6 +80,10 @@ _RAW_JSON = (
 )
 
 
+HIT_FIELDS = ("list_source", "matched_name", "match_score", "method")
+_HITS = "array<struct<list_source:string,matched_name:string,match_score:double,method:string>>"
+
+
 def case_detail(
     cases: DataFrame,
     documents: DataFrame,
@@ -87,22 +91,24 @@ def case_detail(
     face_matches: DataFrame,
     hits: DataFrame,
 ) -> DataFrame:
-    """One row per case with its documents, newest extraction and face match, and hit figures.
+    """One row per case with its documents, newest extraction and face match, and its hits as an array.
 
-    Every child is reduced to one row per case before it is joined. The hits themselves stay rows
-    (``case_hits``): a case may have any number of them, so they are not packed into one value here.
+    Every child is reduced to one row per case before it is joined. A screening keeps a few hits per name,
+    so a case's array is short (``[]`` without hits); ``case_hits`` lists them as rows.
     """
     extraction = latest_per(
         extractions,
         ["case_id"],
         ["created_at", "extraction_id"],
-        ["extraction_id", "model_version", "raw_json", "confidence", "valid"],
+        ["extraction_id", "document_id", "model_version", "raw_json", "confidence", "valid"],
     ).select("*", F.lit(True).alias("has_extraction"), F.from_json("raw_json", _RAW_JSON).alias("doc"))
     face = latest_per(
         face_matches, ["case_id"], ["created_at", "face_match_id"], ["similarity_score"]
     ).withColumn("has_face_match", F.lit(True))
     hit_figures = hits.groupBy("case_id").agg(
-        F.count("*").alias("hit_count"), F.max("match_score").alias("highest_score")
+        F.count("*").alias("hit_count"),
+        F.max("match_score").alias("highest_score"),
+        F.array_sort(F.collect_list(F.struct(*HIT_FIELDS))).alias("sanctions_hits"),
     )
     no_face = F.col("has_face_match") & F.col("similarity_score").isNull()
     return (
@@ -115,12 +121,14 @@ def case_detail(
             "case_id",
             "status",
             "subject_name",
+            "subject_dob",
             "decision",
             "created_at",
             "risk_score",
             "id_document_key",
             "selfie_key",
             "extraction_id",
+            "document_id",
             F.when(F.col("has_extraction"), extraction_method(F.col("model_version"))).alias("method"),
             "confidence",
             "valid",
@@ -134,6 +142,7 @@ def case_detail(
             F.when(no_face, F.lit(NO_FACE_SHOWN)).alias("face_reason"),
             F.coalesce("hit_count", F.lit(0)).cast("bigint").alias("hit_count"),
             "highest_score",
+            F.coalesce("sanctions_hits", F.array().cast(_HITS)).alias("sanctions_hits"),
         )
     )
 
@@ -150,15 +159,14 @@ def nest_hits(detail: DataFrame, hits: DataFrame) -> DataFrame:
 
     For the page of cases a reviewer has open: give it the detail of selected cases.
     """
-    item = F.struct("list_source", "matched_name", "match_score", "method")
+    item = F.struct(*HIT_FIELDS)
     arrays = (
         hits.join(detail.select("case_id"), "case_id", "left_semi")
         .groupBy("case_id")
         .agg(F.array_sort(F.collect_list(item)).alias("sanctions_hits"))
     )
-    empty = F.array().cast("array<struct<list_source:string,matched_name:string,match_score:double,method:string>>")
     return detail.join(arrays, "case_id", "left").withColumn(
-        "sanctions_hits", F.coalesce("sanctions_hits", empty)
+        "sanctions_hits", F.coalesce("sanctions_hits", F.array().cast(_HITS))
     )
 
 

@@ -3,27 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordering import top_per
 from ..functions.phonetic import phonetic_codes
 from ..schemas import PHONETIC_LIMIT, VECTOR_LIMIT, VECTOR_THRESHOLD
+from ..session import scratch_path
 from .mutations import watchlist_ingest
 
-if TYPE_CHECKING:
-    from pyspark.sql.types import DataType
-
-#: Largest watchlist that is broadcast, and rows per block beyond it (about 150 MB at 768 floats).
+#: Entries of a block of the watchlist (about 150 MB at 768 floats).
 BLOCK_ROWS = 50_000
-#: Queries per fragment when the watchlist is too large to broadcast.
-FRAGMENT_ROWS = 100_000
 _TILE = 2048
 
 
@@ -59,16 +54,36 @@ def _similar(queries: np.ndarray, entries: np.ndarray, k: int, threshold: float)
     return [np.concatenate([f[i] for f in found]) for i in range(3)]
 
 
-def _hits(queries: pa.RecordBatch | pa.Table, entries: pa.Table, k: int, threshold: float) -> pa.Table:
-    q, w = _matrix(queries.column("vector")), _matrix(entries.column("vector"))
-    r, c, s = _similar(q, w, k, threshold) if len(q) and len(w) else ([], [], np.array([], "float64"))
-    names = entries.select(["entry_id", "list_source", "name"]).take(pa.array(c, pa.int64()))
-    ids = queries.column("query_id").take(pa.array(r, pa.int64()))
-    return pa.table([ids, *names.columns, pa.array(s)], names=["query_id", *names.column_names, "score"])
+HIT = "struct<entry_id:string,list_source:string,name:string,score:double>"
+
 
+def _merged(before: list[dict], new: list[dict], k: int) -> list[dict]:
+    return sorted([*before, *new], key=lambda h: (-h["score"], h["entry_id"]))[:k]
 
-def _hit_schema(query_id: DataType) -> str:
-    return f"query_id {query_id.simpleString()}, entry_id string, list_source string, name string, score double"
+
+def _screen_block(shared, k: int, threshold: float):
+    """Queries with their best hits so far meet one block of entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = shared.value
+        w = _matrix(entries.column("vector"))
+        for batch in batches:
+            q = _matrix(batch.column("vector"))
+            best = batch.column("best").to_pylist()
+            if len(q) and len(w):
+                rows, found, scores = _similar(q, w, k, threshold)
+                named = entries.select(["entry_id", "list_source", "name"]).take(pa.array(found, pa.int64())).to_pylist()
+                new: dict[int, list[dict]] = {}
+                for r, hit, score in zip(rows.tolist(), named, scores.tolist()):
+                    new.setdefault(r, []).append({**hit, "score": score})
+                for r, hits in new.items():
+                    best[r] = _merged(best[r], hits, k)
+            hit_type = batch.schema.field("best").type
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_id"), batch.column("vector"), pa.array(best, hit_type)], ["query_id", "vector", "best"]
+            )
+
+    return run
 
 
 def vector_screen(
@@ -77,45 +92,39 @@ def vector_screen(
     k: int = VECTOR_LIMIT,
     threshold: float = VECTOR_THRESHOLD,
     block_rows: int = BLOCK_ROWS,
-    fragment_rows: int = FRAGMENT_ROWS,
 ) -> DataFrame:
-    """Up to ``k`` entries per query vector with cosine at or above ``threshold``; exact.
+    """Up to ``k`` entries per query row with cosine at or above ``threshold``; exact.
 
-    Vectors are unit length and ``query_id`` is unique. No pair of rows is ever formed in Spark: a batch of queries meets a block
-    of entries as one matrix product and only its best hits leave the task. A watchlist counted to fit
-    one block is broadcast, so the queries are not shuffled at all. A larger one is cut into blocks,
-    queries into fragments, and each (fragment, block) is one bounded task.
+    Vectors are unit length. No pair of rows is ever formed in Spark and queries are never shuffled: each
+    batch of queries meets one block of the list after another as matrix products and carries its best hits
+    along. A block has a fixed bound and is broadcast; between blocks the queries are written to the shared
+    folder, so one block is in memory at a time and a lost executor costs one block.
     """
-    q = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
+    spark = queries.sparkSession
     w = watchlist.select("entry_id", "list_source", "name", "vector").filter(F.col("vector").isNotNull())
-    schema = _hit_schema(q.schema["query_id"].dataType)
-    entries = w.count()
-    if entries <= block_rows:
-        block = queries.sparkSession.sparkContext.broadcast(w.orderBy("entry_id").toArrow())
-
-        def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield from _hits(batch, block.value, k, threshold).to_batches()
-
-        return q.mapInArrow(screen, schema)
-
-    blocks = -(-entries // block_rows)
-    fragments = max(1, -(-q.count() // fragment_rows))
-
-    def numbers(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def place(column: str, n: int):
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    fragmented = q.withColumn("f", place("query_id", fragments)).withColumn("b", numbers(blocks))
-    blocked = w.withColumn("b", place("entry_id", blocks)).withColumn("f", numbers(fragments))
-
-    def screen_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _hits(left, right.sort_by("entry_id"), k, threshold)
-
-    parts = fragmented.groupBy("f", "b").cogroup(blocked.groupBy("f", "b")).applyInArrow(screen_block, schema)
-    return top_per(parts, ["query_id"], [F.desc("score"), F.col("entry_id")], k)
+    best = queries.select("query_id", "vector", F.array().cast(f"array<{HIT}>").alias("best")).filter(
+        F.col("vector").isNotNull()
+    )
+    blocks = max(1, -(-w.count() // block_rows))
+    if blocks > 1:
+        path = scratch_path(spark, "watchlist")
+        block = F.pmod(F.xxhash64("entry_id"), F.lit(blocks)).cast("int")
+        w.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(path)
+    for n in range(blocks):
+        part = w if blocks == 1 else spark.read.schema(w.schema).parquet(f"{path}/block={n}")
+        shared = spark.sparkContext.broadcast(part.orderBy("entry_id").toArrow())
+        best = best.mapInArrow(_screen_block(shared, k, threshold), best.schema)
+        if n + 1 < blocks:
+            done = scratch_path(spark, "screened")
+            best.write.parquet(done)
+            best = spark.read.schema(best.schema).parquet(done)
+            shared.unpersist()
+    return best.select("query_id", F.inline("best"))
+
+
+def phonetic_match(a: Column, b: Column) -> Column:
+    """Whether two names share a phonetic code."""
+    return F.coalesce(F.arrays_overlap(phonetic_codes(a), phonetic_codes(b)), F.lit(False))
 
 
 def with_codes(df: DataFrame, name: str = "name") -> DataFrame:
@@ -207,13 +216,14 @@ def ingest_watchlist(
 
 
 def embed_names(names: DataFrame, make_client: Callable[[], Callable[[str], list[float]]]) -> DataFrame:
-    """Add ``vector`` by a user's embedding client, made once per task, called once per name of a batch."""
+    """Add ``vector`` by a user's embedding client, made once per task, called once per distinct name."""
 
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         client = make_client()
         for batch in batches:
-            vectors = {n: client(n) for n in batch.dropna().unique()}
-            yield batch.map(lambda n: vectors.get(n))
+            yield batch.map(client)
 
     embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return names.withColumn("vector", F.pandas_udf(embed, T.ArrayType(T.FloatType()))("name"))
+    distinct = names.select("name").filter(F.col("name").isNotNull()).distinct()
+    vectors = distinct.withColumn("vector", F.pandas_udf(embed, T.ArrayType(T.FloatType()))("name"))
+    return names.join(vectors, "name", "left").select(*names.columns, "vector")

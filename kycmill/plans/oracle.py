@@ -362,12 +362,16 @@ with_e as (select *, row_number() over (partition by l_orderkey order by l_shipd
   concat_ws('-',l_linenumber,l_partkey,l_suppkey) desc) as rn from lineitem),
 with_f as (select *, row_number() over (partition by l_orderkey order by l_shipdate desc,
   concat_ws('-',l_linenumber,l_partkey,l_suppkey) desc) as rn from lineitem where l_quantity>10),
-with_h as (select l_orderkey, count(*) as n, max(round(l_quantity/50,3)) as top from lineitem where l_quantity>=49 group by 1)
-select c.tenant_id, c.case_id, c.status, c.subject_name, c.decision, c.created_at, c.risk_score,
+with_h as (select l_orderkey, count(*) as n, max(round(l_quantity/50,3)) as top,
+  string_agg('LIST-'||l_returnflag||'|Part '||l_partkey||'|'||case when l_linestatus='F' then 'vector' else 'phonetic' end, ';'
+    order by l_returnflag, 'Part '||l_partkey, l_quantity, l_linestatus desc) as hits
+  from lineitem where l_quantity>=49 group by 1)
+select c.tenant_id, c.case_id, c.status, c.subject_name, c.subject_dob, c.decision, c.created_at, c.risk_score,
   case when c.case_id%25=0 then c.tenant_id||'/'||c.case_id||'/id_document/v2'
     when c.case_id%50<>7 then c.tenant_id||'/'||c.case_id||'/id_document' end as id_document_key,
   case when c.case_id%40<>3 then c.tenant_id||'/'||c.case_id||'/selfie' end as selfie_key,
   concat_ws('-',e.l_linenumber,e.l_partkey,e.l_suppkey) as extraction_id_raw,
+  e.l_orderkey||'-id_document-0' as document_id, coalesce(h.hits,'') as sanctions_hits,
   case when e.l_linestatus='O' then 'mrz' when e.l_orderkey is not null then 'vlm' end as method,
   round(1-e.l_discount,3) as confidence, e.l_returnflag<>'R' as valid,
   case when e.l_returnflag<>'R' then 'P'||e.l_partkey end as full_name, null::varchar as date_of_birth,
@@ -502,6 +506,8 @@ select case_id, s as similarity_score, s is null as needs_review,
   min(id) filter (violations<>'') as first_broken_id, case when count(*) filter (violations<>'')=0 then 'OK' else 'BROKEN' end as status
 from v_verified group by 1""",
     "audit_events": _STEP_EVENTS,
+    "audit_log": f"""select tenant_id, count(*) as n, 0::bigint as n_broken, 'OK' as status, max(id) as last_id from (
+  select *, row_number() over (order by created_at, tenant_id, case_id, seq, event_type) as id from ({_STEP_EVENTS})) group by 1""",
     "orphan_steps": """select tenant_id, case_id, step, id, created_at from v_paired
 where phase='started' and coalesce(next_phase,'started')='started'""",
     "step_durations": """select tenant_id, case_id, step, id, next_phase as outcome,

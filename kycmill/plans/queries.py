@@ -156,7 +156,10 @@ def doc_types(v: Views) -> DataFrame:
 @query
 def case_detail(v: Views) -> DataFrame:
     detail = review.case_detail(v.cases(), v.documents(), v.extractions(), v.face_matches(), v.hits())
-    return detail.withColumn("extraction_id_raw", F.coalesce("extraction_id", F.lit(""))).drop("extraction_id")
+    hits = F.transform("sanctions_hits", lambda h: F.concat_ws("|", h["list_source"], h["matched_name"], h["method"]))
+    return detail.withColumns(
+        {"extraction_id_raw": F.coalesce("extraction_id", F.lit("")), "sanctions_hits": F.array_join(hits, ";")}
+    ).drop("extraction_id")
 
 
 @query
@@ -454,6 +457,18 @@ def audit_events(v: Views) -> DataFrame:
     return audit.audit_events(v.steps(), created, recorded)
 
 
+@query
+def audit_log(v: Views) -> DataFrame:
+    """Events to chain to verdict: what a tenant's log looks like once all its events are linked."""
+    log = audit.build_audit_chain(audit.assign_ids(audit_events(v)).drop("seq"))
+    path = scratch_path(v.spark, "audit-log")
+    audit.append_audit(log, path)
+    stored = v.spark.read.schema(log.schema).parquet(path)
+    report = audit.audit_chain_report(audit.verify_audit_chain(stored))
+    last = stored.groupBy("tenant_id").agg(F.max("id").alias("last_id"))
+    return report.join(last, "tenant_id").select("tenant_id", "n", "n_broken", "status", "last_id")
+
+
 @query
 def build_audit_chain(v: Views) -> DataFrame:
     return audit.build_audit_chain(v.audit()).select("id", "tenant_id", "prev_row_hash", "row_hash")

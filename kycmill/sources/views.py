@@ -258,6 +258,7 @@ class Views:
         return self.t["lineitem"].select(
             F.col("l_orderkey").alias("case_id"),
             F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("extraction_id"),
+            F.concat(_text("l_orderkey"), F.lit("-id_document-0")).alias("document_id"),
             F.when(F.col("l_linestatus") == "O", F.lit(MRZ_MODEL)).otherwise(F.lit("model")).alias("model_version"),
             F.when(F.col("l_returnflag") == "R", F.lit("{}")).otherwise(document).alias("raw_json"),
             F.round(1 - F.col("l_discount"), 3).alias("confidence"),

@@ -61,7 +61,7 @@ def test_vector_screen_equals_brute_force(spark):
         best = sorted((-s, j) for j, s in enumerate(row) if s >= 0.5)[:5]
         want |= {(i, f"e{j:04d}") for _, j in best}
     small = screening.vector_screen(queries, watch, 5, 0.5)
-    blocks = screening.vector_screen(queries, watch, 5, 0.5, block_rows=17, fragment_rows=50)
+    blocks = screening.vector_screen(queries, watch, 5, 0.5, block_rows=17)
     for hits in (small, blocks):
         assert {(r.query_id, r.entry_id) for r in hits.collect()} == want
 
