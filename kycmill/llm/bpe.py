@@ -36,12 +36,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import packed, small
 
 #: Characters cut from a text at a time, and ids decoded at a time.
 PIECE = 1 << 16
 #: Longer words are streamed; words remembered per generation.
-SHORT, REMEMBERED = 64, 1 << 18
+SHORT, REMEMBERED = 64, 1 << 17
 #: Fixed values of the public file formats: the pattern that byte-level files leave unnamed.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points assigned after Unicode 16, which the tokenizers library does not count as letters
@@ -310,7 +310,7 @@ def _opened(shared, make):
 def _encode_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _opened(shared, Tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             found = [tokenizer.encode(t.as_py()) for t in batch.column("text")]
             bounds = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
@@ -325,7 +325,7 @@ def _decode_rows(shared, as_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = decoder(shared.value["source"])
-        for batch in batches:
+        for batch in small(batches):
             texts = [opened.decode(np.asarray(ids.values)) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
