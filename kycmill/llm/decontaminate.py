@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small
 from .hashing import U
 
 Q = 12
@@ -201,7 +202,7 @@ def _leak_rows(shared, text: str):
         kind = pa.list_(
             pa.struct([("item_id", pa.int64()), ("n_edits", pa.int32()), ("first", pa.int64()), ("past", pa.int64())])
         )
-        for batch in batches:
+        for batch in small(batches):
             row, before = batch.column("row"), batch.column("leaks").to_pylist()
             found = [
                 had + leaks(value.as_py() or "", index)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, small
 
 #: Training documents per language.
 SAMPLE = 500
@@ -229,7 +229,7 @@ def learn(docs: DataFrame, vocabulary_path: str, sample: int = SAMPLE, rounds: i
 
 def _prediction_rows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
-    for batch in batches:
+    for batch in small(batches):
         row = batch.column("row")
         texts = row.field(row.type.get_field_index("text"))
         named: list[str] = []

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, packed, stored
+from .common import checkpointed, packed, small, stored
 from .graph import components
 from .hashing import U, byte_set, mixed, run_hashes, run_sums, text_words
 
@@ -111,7 +111,7 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
 
 def _signature_rows(bands: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             profile, keys = [], []
             for text in batch.column("text"):
                 items, weights = shingles(text.as_py(), size)
@@ -137,7 +137,7 @@ def _signature_rows(bands: int, rows: int, size: int):
 
 def _shingle_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [shingles(text.as_py(), size) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -159,7 +159,7 @@ def _unpacked(items: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _link_rows(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sides = [[batch.column(c) for c in (f"items_{s}", f"weights_{s}")] for s in "ab"]
             close = [
                 similarity(*(part for side in sides for part in _unpacked(*(c[i].as_py() for c in side)))) >= threshold
@@ -319,9 +319,12 @@ def near_classes(
     # A text without words is a class of its own: a number that no node has.
     named = named.select("doc_id", "th", F.coalesce("root", -1 - F.monotonically_increasing_id()).alias("class"))
     named = stored(named, "minhash-classes")
-    sized = named.groupBy("class").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"),
-        F.count("*").alias("class_size"),
+    # Cut off before it is joined back, so that Spark can split a large class in the join.
+    sized = checkpointed(
+        named.groupBy("class").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"),
+            F.count("*").alias("class_size"),
+        )
     )
     joined = named.join(sized, "class")
     first = joined["doc_id"].eqNullSafe(F.col("first.doc_id")) & (joined["th"] == F.col("first.th"))
