@@ -339,8 +339,15 @@ BODIES = {
 where tenant_id=3 and status='approved' order by created_at desc, case_id desc limit 200""",
     "review_queue": """select case_id, subject_name, subject_dob, risk_score, created_at from v_cases
 where tenant_id=3 and status='needs_review'""",
-    "domain_quarantine": """select reviewer_id, role, 'role_domain' as failed_rules from v_reviewers
-where role not in ('reviewer','admin','auditor')""",
+    "domain_quarantine": """select table_name, failed_rules, count(*) as n, min(row_id) as first_row from (
+  select 'tenants' as table_name, tenant_id::varchar as row_id,
+    case when plan_tier not in ('standard','pro','enterprise') then 'plan_tier_domain' else '' end as failed_rules from v_tenants
+  union all select 'cases', case_id::varchar, '' from v_cases
+  union all select 'reviewers', reviewer_id::varchar, case when role not in ('reviewer','admin','auditor') then 'role_domain' else '' end
+    from v_reviewers
+  union all select 'review_decisions', decision_id::varchar, '' from v_decisions
+  union all select 'sanctions_hits', l_orderkey::varchar, '' from lineitem where l_quantity>=49
+  union all select 'webhook_deliveries', delivery_id, '' from v_deliveries) group by 1, 2""",
     "upload_validation": """select doc_id, content_type, size_bytes, case
   when content_type='text/plain' then 'content_type must be one of [''application/pdf'', ''image/jpeg'', ''image/png'']'
   when size_bytes<=0 then 'size_bytes must be positive'
@@ -419,7 +426,14 @@ from supplier
 union all select -s_suppkey, s_nationkey, null, 'auditor' from supplier where s_suppkey%6=0 and s_suppkey>0""",
     "soft_delete": """select s_suppkey as webhook_id, coalesce(case when s_acctbal<0 then timestamp '2024-01-01' end,
   (select min(ts) from events where user_id=s_suppkey and event_type='error')) as disabled_at from supplier""",
-    "unique_conflicts": "select tenant_id, email, count(*) as n from v_reviewers group by all having count(*)>1",
+    "unique_conflicts": """select * from (
+  select 'reviewer_email' as key_name, tenant_id||'|'||email as value, count(*) as n from v_reviewers group by 1, 2
+  union all select 'reviewer_token', token_hash, count(*) from v_reviewers group by 1, 2
+  union all select 'tenant_slug', slug, count(*) from v_tenants group by 1, 2
+  union all select 'case_idempotency', tenant_id||'|'||idempotency_key, count(*) from v_cases
+    where idempotency_key is not null group by 1, 2
+  union all select 'hit_name', l_orderkey||'|LIST-'||l_returnflag||'|Part '||l_partkey, count(*) from lineitem
+    where l_quantity>=49 group by 1, 2) where n>1""",
     "apply_claims": """select c.tenant_id, c.case_id, c.subject_name, c.created_at, user_id as claimed_by_reviewer_id, ts as claimed_at
 from v_cases c join (select event_id%(select count(*)//5 from orders) as case_id, user_id, ts,
   row_number() over (partition by event_id%(select count(*)//5 from orders) order by ts desc, event_id desc) as rn from events
@@ -454,7 +468,23 @@ where reviewer_id not in (select reviewer_id from v_reviewers)
 union all select 'delivery.webhook', delivery_id, webhook_id::varchar from v_deliveries
 where webhook_id not in (select webhook_id from v_webhooks)
 union all select 'case.tenant', case_id::varchar, tenant_id::varchar from v_cases
-where tenant_id not in (select tenant_id from v_tenants)""",
+where tenant_id not in (select tenant_id from v_tenants)
+union all select 'reviewer.tenant', reviewer_id::varchar, tenant_id::varchar from v_reviewers
+where tenant_id not in (select tenant_id from v_tenants)
+union all select 'webhook.tenant', webhook_id::varchar, tenant_id::varchar from v_webhooks
+where tenant_id not in (select tenant_id from v_tenants)
+union all select 'api_key.tenant', c_custkey::varchar, c_nationkey::varchar from customer
+where c_nationkey not in (select tenant_id from v_tenants)
+union all select 'document.case', document_id, case_id::varchar from v_documents
+where case_id not in (select case_id from v_cases)
+union all select 'extraction.case', concat_ws('-',l_linenumber,l_partkey,l_suppkey), l_orderkey::varchar from lineitem
+where l_orderkey not in (select case_id from v_cases)
+union all select 'extraction.document', concat_ws('-',l_linenumber,l_partkey,l_suppkey), l_orderkey||'-id_document-0' from lineitem
+where l_orderkey||'-id_document-0' not in (select document_id from v_documents)
+union all select 'hit.case', 'Part '||l_partkey, l_orderkey::varchar from lineitem
+where l_quantity>=49 and l_orderkey not in (select case_id from v_cases)
+union all select 'delivery.case', delivery_id, case_id::varchar from v_deliveries
+where case_id not in (select case_id from v_cases)""",
     "status_counts": "select * from v_counts",
     "overview_cards": """select tenant_id, (sum(n) filter (status='needs_review'))::bigint as needs_review,
   (sum(n) filter (status in ('processing','pending')))::bigint as in_progress,

@@ -61,8 +61,23 @@ def tenant_scope(v: Views) -> DataFrame:
 
 @query
 def domain_quarantine(v: Views) -> DataFrame:
-    _, rejected = rules.domain_quarantine(v.reviewers(), DOMAINS["reviewers"])
-    return _joined(rejected.select("reviewer_id", "role", "failed_rules"), "failed_rules")
+    tables = {
+        "tenants": (v.tenants(), "tenant_id"),
+        "cases": (v.cases(), "case_id"),
+        "reviewers": (v.reviewers(), "reviewer_id"),
+        "review_decisions": (v.decisions(), "decision_id"),
+        "sanctions_hits": (v.hits(), "case_id"),
+        "webhook_deliveries": (v.deliveries(), "delivery_id"),
+    }
+    found = None
+    for name, (df, key) in tables.items():
+        valid, rejected = rules.domain_quarantine(df, DOMAINS[name])
+        row = [F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_id")]
+        both = valid.select(*row, F.lit("").alias("failed_rules")).unionByName(
+            rejected.select(*row, F.array_join("failed_rules", ",").alias("failed_rules"))
+        )
+        found = both if found is None else found.unionByName(both)
+    return found.groupBy("table_name", "failed_rules").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
 
 
 @query
@@ -101,13 +116,35 @@ def fk_violations(v: Views) -> DataFrame:
             fk("decision.reviewer", d, "decision_id", "reviewer_id", v.reviewers(), "reviewer_id"),
             fk("delivery.webhook", v.deliveries(), "delivery_id", "webhook_id", v.webhooks(), "webhook_id"),
             fk("case.tenant", v.cases(), "case_id", "tenant_id", v.tenants(), "tenant_id"),
+            fk("reviewer.tenant", v.reviewers(), "reviewer_id", "tenant_id", v.tenants(), "tenant_id"),
+            fk("webhook.tenant", v.webhooks(), "webhook_id", "tenant_id", v.tenants(), "tenant_id"),
+            fk("api_key.tenant", v.api_keys(), "api_key_id", "tenant_id", v.tenants(), "tenant_id"),
+            fk("document.case", v.documents(), "document_id", "case_id", v.cases(), "case_id"),
+            fk("extraction.case", v.extractions(), "extraction_id", "case_id", v.cases(), "case_id"),
+            fk("extraction.document", v.extractions(), "extraction_id", "document_id", v.documents(), "document_id"),
+            fk("hit.case", v.hits(), "matched_name", "case_id", v.cases(), "case_id"),
+            fk("delivery.case", v.deliveries(), "delivery_id", "case_id", v.cases(), "case_id"),
         ]
     )
 
 
 @query
 def unique_conflicts(v: Views) -> DataFrame:
-    return rules.unique_conflicts(v.reviewers(), ["tenant_id", "email"])
+    """Every unique key, those with conflicts as (constraint, key, rows)."""
+    keys = {
+        "reviewer_email": (v.reviewers(), ["tenant_id", "email"]),
+        "reviewer_token": (v.reviewers(), ["token_hash"]),
+        "tenant_slug": (v.tenants(), ["slug"]),
+        "case_idempotency": (v.cases(), ["tenant_id", "idempotency_key"]),
+        "hit_name": (v.hits(), ["case_id", "list_source", "matched_name"]),
+    }
+    found = None
+    for name, (df, columns) in keys.items():
+        bad = rules.unique_conflicts(df, columns).select(
+            F.lit(name).alias("key_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("value"), "n"
+        )
+        found = bad if found is None else found.unionByName(bad)
+    return found
 
 
 # Lists, detail and dashboard

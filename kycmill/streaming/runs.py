@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import scratch_path
 from ..sources.tables import SCHEMAS
@@ -26,12 +27,12 @@ def file_stream(like: DataFrame, path: str, files_per_batch: int = 1000) -> Data
 
 
 @contextmanager
-def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+def state_settings(spark: SparkSession, partitions: int | None, finite: bool = True) -> Iterator[None]:
     """State in RocksDB, in a number of partitions that is fixed for the life of the checkpoint."""
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
-    # A run over what is there ends with its last data: batches without data, which only serve
-    # timeouts, would keep it going for ever.
-    wanted["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    # A finite run ends with its last data: batches without data, which only serve timeouts, would keep it
+    # going for ever. A lasting one needs them, so that a timeout fires in a quiet stream too.
+    wanted["spark.sql.streaming.noDataMicroBatches.enabled"] = "false" if finite else "true"
     wanted["spark.sql.shuffle.partitions"] = str(partitions or 2 * spark.sparkContext.defaultParallelism)
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, value in wanted.items():
@@ -46,27 +47,45 @@ def state_settings(spark: SparkSession, partitions: int | None) -> Iterator[None
                 spark.conf.set(k, value)
 
 
-def run_to_files(
-    stream: DataFrame, name: str, partitions: int | None = None, folders: Sequence[str] = ()
-) -> DataFrame:
-    """Process what is there, append the results to files, and read them back.
+def start_to_files(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: Mapping[str, object],
+    partitions: int | None = None,
+    folders: Sequence[str] = (),
+) -> StreamingQuery:
+    """Start a stream that appends to Parquet files below ``path`` and goes on where ``checkpoint`` stopped.
 
-    With ``folders=["tenant_id"]`` every tenant gets a folder of its own to listen to.
+    ``trigger`` is that of ``writeStream``: ``{"availableNow": True}`` for a finite run, or
+    ``{"processingTime": "10 seconds"}`` for a lasting one. With ``folders=["tenant_id"]`` every tenant gets a
+    folder of its own to listen to.
     """
-    spark = stream.sparkSession
-    out = scratch_path(spark, name)
-    with state_settings(spark, partitions):
+    with state_settings(stream.sparkSession, partitions, finite="processingTime" not in trigger):
         writer = stream.writeStream.partitionBy(*folders) if folders else stream.writeStream
-        q = (
+        return (
             writer.format("parquet")
-            .option("checkpointLocation", f"{out}/checkpoint")
-            .option("path", f"{out}/rows")
+            .option("checkpointLocation", checkpoint)
+            .option("path", path)
             .outputMode("append")
-            .trigger(availableNow=True)
+            .trigger(**trigger)
             .start()
         )
-        q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def run_to_files(
+    stream: DataFrame, name: str, partitions: int | None = None, folders: Sequence[str] = (), at: str | None = None
+) -> DataFrame:
+    """Process what is there, append the results to files, and read them back.
+
+    ``at`` is a lasting folder for results and checkpoint: a later run with the same one goes on from there.
+    Without it the run is on its own, in a fresh folder.
+    """
+    out = at or scratch_path(stream.sparkSession, name)
+    start_to_files(
+        stream, f"{out}/rows", f"{out}/checkpoint", {"availableNow": True}, partitions, folders
+    ).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
 def run_batches(
@@ -75,15 +94,15 @@ def run_batches(
     each: Callable[[DataFrame, int, str], None],
     mode: str = "append",
     partitions: int | None = None,
+    at: str | None = None,
 ) -> str:
-    """Hand every micro-batch to ``each(batch, batch_id, path)`` and return ``path``.
+    """Hand every micro-batch to ``each(batch, batch_id, path)`` and return ``path``; ``at`` as above.
 
     ``each`` writes below ``batch=<id>`` with overwrite, so a batch that is repeated after a failure
     replaces its own earlier attempt.
     """
-    spark = stream.sparkSession
-    out = scratch_path(spark, name)
-    with state_settings(spark, partitions):
+    out = at or scratch_path(stream.sparkSession, name)
+    with state_settings(stream.sparkSession, partitions):
         q = (
             stream.writeStream.foreachBatch(lambda batch, n: each(batch, n, out))
             .option("checkpointLocation", f"{out}/checkpoint")

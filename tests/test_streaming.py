@@ -92,6 +92,20 @@ def test_ingest_stream(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_ingest_goes_on_after_a_stop(spark, tmp_path):
+    schema = "tenant_id string, case_id int, idempotency_key string, created_at timestamp"
+    rows = [("a", i, f"k{i % 5}", START + dt.timedelta(seconds=i)) for i in range(40)]
+    df = spark.createDataFrame(rows, schema)
+    at = str(tmp_path / "lasting")
+    for n, part in enumerate((df.filter("case_id < 25"), df.filter("case_id >= 25"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = file_stream(df, str(tmp_path / "in"))
+        got = run_to_files(operators.stream_ingest(stream), "ingest", 4, at=at)
+        assert got.count() == (25, 40)[n]
+    want = mutations.idempotent_ingest(df, df.limit(0))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_status_stream(spark, tmp_path):
     rows = [(i % 7, i, ["pending", "needs_review", "approved"][(i * 5) % 3]) for i in range(60)]
     stream = parts(spark, rows, "case_id int, seq int, status string", tmp_path / "in")
