@@ -65,11 +65,11 @@ RULES = [
     (r"^G(?:Y|E(?=[SPBLYIR])|I(?=[BLNE]))", "K", "J", ANY),
     (r"(?<!^[DRM]AN(?=GER)|^[DRM]ANGER.*)(?<![EI])G(?:E(?=R)|(?<![RO]G)Y)", "K", "J", ANY),
     (rf"{GERMANIC}G(?:[EIY]|G(?<=[AO]GG)(?=I))|GE(?=T)", "K", "K", ANY),
-    (r"GI(?=ER )", "J", "J", ANY),
+    (r"GI(?=ER(?: |$))", "J", "J", ANY),
     (r"G[EIY]|(?<=[AO])GG(?=I)", "J", "K", ANY),
     (r"GG?", "K", "K", ANY),
     (rf"(?:^|(?<={V}))H{V}", "H", "H", ANY),
-    (r"(?<=^SAN .*)JJ?|^J(?=OSE )", "H", "H", ANY),
+    (r"(?<=^SAN .*)JJ?|^J(?=OSE(?: |$))", "H", "H", ANY),
     (r"J(?=OSE)", "J", "H", ANY),
     (r"^JJ?", "J", "A", ANY),
     (rf"(?<={V})J(?=[AO])", "J", "H", OTHER),

@@ -14,6 +14,7 @@ from kycmill.operators import screening
         ("aubrey", ("APR", "")), ("richard", ("RXRT", "RKRT")), ("world", ("ARLT", "FRLT")), ("Thumb", ("0M", "TM")),
         ("filipowicz", ("FLPTS", "FLPFX")), ("Wasserman", ("ASRMN", "FSRMN")), ("cabrillo", ("KPRL", "KPR")),
         ("Schneider", ("XNTR", "SNTR")), ("laugh", ("LF", "")), ("knight", ("NT", "")), ("island", ("ALNT", "")), ("", ("", "")),
+        ("Jose", ("HS", "")), ("Jose Diaz", ("HSTS", "")), ("Josef", ("JSF", "HSF")),
     ],
 )
 def test_double_metaphone(name, codes):
