@@ -30,13 +30,22 @@ def load_content(documents: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def photo_pair_digest(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Digest of ID photo and selfie together, null while one of them is missing."""
-    content = blobs.select("s3_key", "content")
-    id_photo = content.withColumnsRenamed({"s3_key": "id_document_key", "content": "__id"})
-    selfie = content.withColumnsRenamed({"s3_key": "selfie_key", "content": "__selfie"})
-    joined = pairs.join(id_photo, "id_document_key", "left").join(selfie, "selfie_key", "left")
-    digest = F.sha2(F.concat("__id", "__selfie"), 256)
-    return joined.withColumn("input_hash", digest).drop("__id", "__selfie")
+    """Digest of ID photo and selfie together, null while one of them is missing.
+
+    Keys go to the images, not images to the keys: each image that is asked for meets the (narrow) list of
+    wanted keys, and the two of a pair come together in one aggregate.
+    """
+    keys = ["id_document_key", "selfie_key"]
+    asked = pairs.select(*keys).distinct()
+    sides = [F.struct(F.col(k).alias("s3_key"), F.lit(i).alias("side")) for i, k in enumerate(keys)]
+    wanted = asked.select(*keys, F.explode(F.array(*sides)).alias("w")).select(*keys, "w.*").filter("s3_key IS NOT NULL")
+    found = blobs.select("s3_key", "content").join(wanted, "s3_key")
+
+    def image(side: int) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col("content")))
+
+    digests = found.groupBy(*keys).agg(F.sha2(F.concat(image(0), image(1)), 256).alias("input_hash"))
+    return pairs.join(digests, keys, "left")
 
 
 def mrz_lines(boxes: DataFrame) -> DataFrame:

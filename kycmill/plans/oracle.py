@@ -556,6 +556,8 @@ from v_cases""",
     "stream_status_counts": """select status, count(*) as n from (
   select case_id, arg_max(status,seq) as status from v_mutations where status is not null group by 1) group by 1""",
     "stream_case_lifecycle": "select case_id, final_status from v_resolution",
+    "photo_pair_digest": """select a.doc_id as case_id, case when a.doc_id%6<>0 and b.doc_id%6<>0 then sha256(a.text||b.text) end as input_hash
+from documents a left join documents b on b.doc_id=a.doc_id+1 where a.doc_id%2=0""",
     "blob_digest": """select doc_id, case when doc_id%6<>0 then sha256(text) end as sha256, doc_id%6<>0 as is_uploaded from documents""",
     "evidence_numeric": """select case_id, evidence_id, created_at, confidence::decimal(5,4)::double as confidence,
   face::decimal(5,4)::double as face from v_evidence""",

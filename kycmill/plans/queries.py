@@ -341,6 +341,14 @@ def blob_digest(v: Views) -> DataFrame:
     return extraction.attach_blobs(documents, v.blobs()).select("doc_id", "sha256", "is_uploaded")
 
 
+@query
+def photo_pair_digest(v: Views) -> DataFrame:
+    first = v.t["documents"].filter(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("case_id"))
+    key = lambda step: F.concat(F.lit("doc/"), (F.col("case_id") + step).cast("string"))
+    pairs = first.select("case_id", key(0).alias("id_document_key"), key(1).alias("selfie_key"))
+    return extraction.photo_pair_digest(pairs, v.blobs()).select("case_id", "input_hash")
+
+
 @query
 def mrz_lines(v: Views) -> DataFrame:
     return extraction.mrz_lines(v.boxes())
