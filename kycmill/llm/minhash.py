@@ -335,11 +335,10 @@ def near_classes(
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with the columns the rows came with."""
-    winners = near_classes(docs, key, text, threshold).filter("kept").select("doc_id", "th").distinct()
-    rows = packed(docs, key, text).select(
-        F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_th"), "row"
-    )
-    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_th") == F.col("th"))
-    order = Window.partitionBy("own_id", "own_th").orderBy("own_id")
-    kept = rows.join(winners, same, "left_semi").withColumn("place", F.row_number().over(order))
+    # A struct is equal to another with the same fields, nulls too, so the join and the window share one exchange.
+    name = F.struct("doc_id", "th").alias("name")
+    winners = near_classes(docs, key, text, threshold).filter("kept").select(name).distinct()
+    rows = packed(docs, key, text).select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("name"), "row")
+    order = Window.partitionBy("name").orderBy("name")
+    kept = rows.join(winners, "name", "left_semi").withColumn("place", F.row_number().over(order))
     return kept.filter("place = 1").select("row.*")
