@@ -19,6 +19,7 @@ held out; other columns do not matter.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -39,27 +40,37 @@ PRIOR, UNKNOWN = 0.01, 1e-7
 UNDETERMINED = "und"
 START = "▁"
 #: Words kept with their scores in a task.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
+#: Characters of texts scored together.
+GROUP_CHARS = 1 << 21
 _WORDS = re.compile(r"[^\W\d_]+")
-_NONE, _UNKNOWN = 0, 1
+_BEGINS, _UNKNOWN = 0, 1
 
 
 class Model(NamedTuple):
     languages: list[str]
-    #: Piece to row number; row 0 is for what is no piece, row 1 for unknown letters.
+    #: Piece to row number; row 0 is for beginnings of pieces and has no probability, row 1 for unknown letters.
     pieces: dict[str, int]
     #: Probability by row and language.
     p: np.ndarray
 
 
 def vocabulary(path: str) -> dict[str, int]:
-    """Pieces of lower-case letters in a public sentencepiece file, numbered from 2."""
+    """Pieces of lower-case letters in a public sentencepiece file, numbered from 2.
+
+    Beginnings of pieces that are none themselves have row 0, so that a search stops where no piece can follow.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if model.is_byte(i) is False)
     kept = sorted({p for p in found if p == START or (p.lstrip(START).isalpha() and p == p.lower())})
-    return {p: i for i, p in enumerate(kept, 2)}
+    begins = {p[:n]: _BEGINS for p in kept for n in range(1, len(p))}
+    return begins | {p: i for i, p in enumerate(kept, 2)}
+
+
+def n_rows(pieces: dict[str, int]) -> int:
+    return max(pieces.values(), default=_UNKNOWN) + 1
 
 
 def words_of(text: str) -> list[str]:
@@ -75,42 +86,48 @@ def _parts(word: str) -> list[str]:
 
 
 class Spans(NamedTuple):
-    """Row numbers of all pieces in words of one length, by first and past-last letter."""
+    """All pieces in some words of one length: by first and past-last letter, the words and the pieces' rows."""
 
     n: int
-    rows: dict[tuple[int, int], np.ndarray]
+    n_words: int
+    at: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
 
 
 def spans(words: list[str], pieces: dict[str, int]) -> Spans:
-    longest = max(map(len, pieces), default=1)
     n = len(words[0])
-    rows = {}
-    for i in range(n):
-        for j in range(i + 1, min(n, i + longest) + 1):
-            missing = _UNKNOWN if j == i + 1 else _NONE
-            found = np.array([pieces.get(w[i:j], missing) for w in words])
-            if j == i + 1 or found.any():
-                rows[i, j] = found
-    return Spans(n, rows)
+    at: defaultdict[tuple[int, int], tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+    for k, word in enumerate(words):
+        for i in range(n):
+            if not pieces.get(word[i]):
+                at[i, i + 1][0].append(k)
+                at[i, i + 1][1].append(_UNKNOWN)
+            for j in range(i + 1, n + 1):
+                row = pieces.get(word[i:j])
+                if row is None:
+                    break
+                if row:
+                    which, rows = at[i, j]
+                    which.append(k)
+                    rows.append(row)
+    return Spans(n, len(words), {place: (np.array(w), np.array(r)) for place, (w, r) in sorted(at.items())})
 
 
 def forward(found: Spans, p: np.ndarray, language: np.ndarray | None = None) -> list[np.ndarray]:
     """Probability of every beginning of the words: in all languages, or each word in its own."""
-    first = next(iter(found.rows.values()))
-    shape = (len(first), p.shape[1]) if language is None else (len(first),)
+    shape = (found.n_words, p.shape[1]) if language is None else (found.n_words,)
     ahead = [np.zeros(shape) for _ in range(found.n + 1)]
     ahead[0] += 1
-    for (i, j), row in sorted(found.rows.items(), key=lambda x: x[0][1]):
-        ahead[j] += ahead[i] * (p[row] if language is None else p[row, language])
+    for (i, j), (which, row) in found.at.items():
+        ahead[j][which] += ahead[i][which] * (p[row] if language is None else p[row, language[which]])
     return ahead
 
 
 def backward(found: Spans, p: np.ndarray, language: np.ndarray) -> list[np.ndarray]:
     """Probability of every end of the words."""
-    behind = [np.zeros(len(language)) for _ in range(found.n + 1)]
+    behind = [np.zeros(found.n_words) for _ in range(found.n + 1)]
     behind[-1] += 1
-    for (i, j), row in sorted(found.rows.items(), reverse=True):
-        behind[i] += behind[j] * p[row, language]
+    for (i, j), (which, row) in reversed(found.at.items()):
+        behind[i][which] += behind[j][which] * p[row, language[which]]
     return behind
 
 
@@ -170,8 +187,10 @@ def _expected_rows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[
             language = np.array([x for _, x, _ in group])
             ahead, behind = forward(found, model.p, language), backward(found, model.p, language)
             weight = np.array([n for _, _, n in group]) / ahead[-1]
-            for (i, j), row in found.rows.items():
-                np.add.at(total, (row, language), ahead[i] * model.p[row, language] * behind[j] * weight)
+            for (i, j), (which, row) in found.at.items():
+                own = language[which]
+                uses = ahead[i][which] * model.p[row, own] * behind[j][which] * weight[which]
+                np.add.at(total, (row, own), uses)
     total[:2] = 0
     row, language = np.nonzero(total)
     yield pa.RecordBatch.from_arrays(
@@ -212,7 +231,7 @@ def learn(docs: DataFrame, vocabulary_path: str, sample: int = SAMPLE, rounds: i
     counted = checkpointed(counted.agg(F.count("*").alias("n")))
     languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     number = F.create_map(*(F.lit(x) for i, name in enumerate(languages) for x in (name, i))) if languages else None
-    uses = np.ones((len(pieces) + 2, len(languages)))
+    uses = np.ones((n_rows(pieces), len(languages)))
     for _ in range(rounds if languages else 0):
         shared = spark.sparkContext.broadcast(Model(languages, pieces, _normalised(uses)))
         expected = (
@@ -227,15 +246,27 @@ def learn(docs: DataFrame, vocabulary_path: str, sample: int = SAMPLE, rounds: i
     return Model(languages, pieces, _normalised(uses))
 
 
+def _groups(texts: Iterable[str]) -> Iterator[list[list[str]]]:
+    """The words of the texts, in groups of so many characters that scoring new words together pays."""
+    group: list[list[str]] = []
+    chars = 0
+    for text in texts:
+        group.append(words_of(text))
+        chars += len(text)
+        if chars >= GROUP_CHARS:
+            yield group
+            group, chars = [], 0
+    yield group
+
+
 def _prediction_rows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
-    for batch in small(batches):
+    for batch in small(batches, 2048):
         row = batch.column("row")
         texts = row.field(row.type.get_field_index("text"))
         named: list[str] = []
         scores: list[float] = []
-        for first in range(0, len(texts), 64):
-            words = [words_of(t.as_py() or "") for t in texts[first : first + 64]]
+        for words in _groups(t.as_py() or "" for t in texts):
             for found, sums in zip(words, scorer.score(words)):
                 if not model.languages or not has_letter(found):
                     named.append(UNDETERMINED)

@@ -115,8 +115,9 @@ def slow_sum(word, model):
             return 1.0
         out = 0.0
         for j in range(1, len(rest) + 1):
-            row = model.pieces.get(rest[:j], language_id._UNKNOWN if j == 1 else language_id._NONE)
-            out += model.p[row, language] * total(rest[j:], language)
+            row = model.pieces.get(rest[:j], language_id._UNKNOWN if j == 1 else None)
+            if row is not None:
+                out += model.p[row, language] * total(rest[j:], language)
         return out
 
     return [total(language_id.START + word, k) for k in range(len(model.languages))]
