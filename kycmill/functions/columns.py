@@ -132,6 +132,16 @@ def json_number(value: Column) -> Column:
     return F.coalesce(text, F.lit("null"))
 
 
+def json_integer(value: Column) -> Column:
+    return F.coalesce(value.cast("bigint").cast("string"), F.lit("null"))
+
+
+def json_texts(values: Column) -> Column:
+    """A JSON array of texts; a null array is empty."""
+    items = F.transform(F.coalesce(values, F.array().cast("array<string>")), json_text)
+    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
+
 def json_bool(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("null")).when(value, F.lit("true")).otherwise(F.lit("false"))
 

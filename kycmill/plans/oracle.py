@@ -536,6 +536,24 @@ select case_id, s as similarity_score, s is null as needs_review,
   min(id) filter (violations<>'') as first_broken_id, case when count(*) filter (violations<>'')=0 then 'OK' else 'BROKEN' end as status
 from v_verified group by 1""",
     "audit_events": _STEP_EVENTS,
+    "step_payloads": """select case_id, step, case step
+  when 'fetch_case_documents' then '{"doc_types_found": ['||concat_ws(', ', case when case_id%50<>7 then '"id_document"' end,
+    case when case_id%40<>3 then '"selfie"' end)||']}'
+  when 'extract_document' then '{"confidence": '||coalesce(case when conf is null then null when conf=floor(conf) then conf::int||'.0' else rtrim(printf('%.4f',conf),'0') end,'null')||', "method": "'||case when case_id%2=0 then 'mrz' else 'vlm' end
+    ||'", "needs_review": '||(case_id%3=0)||'}'
+  when 'face_match' then '{"needs_review": '||(case_id%3=0)||', "reason": '||why||', "similarity_score": '
+    ||coalesce(case when face is null then null when face=floor(face) then face::int||'.0' else rtrim(printf('%.4f',face),'0') end,'null')||'}'
+  when 'sanctions_screen' then '{"highest_score": '||coalesce(case when top is null then null when top=floor(top) then top::int||'.0' else rtrim(printf('%.4f',top),'0') end,'null')||', "hit_count": '||case_id%4||'}'
+  when 'update_case_status' then '{"status": "'||status||'"}'
+  when 'risk_score' then '{"needs_review": '||(case_id%3=0)||', "reason": '||why||', "risk_score": '
+    ||coalesce(case when risk_score is null then null when risk_score=floor(risk_score) then risk_score::int||'.0' else rtrim(printf('%.4f',risk_score),'0') end,'null')||'}'
+  when 'finalize_case' then '{"decision": '||coalesce('"'||decision||'"','null')||', "status": "'||status||'"}'
+  when 'deliver_webhooks' then '{"delivered_count": '||case_id%3||', "failed_count": '||case_id%2||', "webhook_count": '
+    ||(case_id%3+case_id%2)||'}' end as payload
+from (select s.case_id, s.step, c.status, c.decision, c.risk_score, (s.case_id%101)/100 as conf,
+  case when s.case_id%3=0 then '"score \\"low\\""' else 'null' end as why,
+  case when s.case_id%83<>0 then (s.case_id%1001)/1000 end as face, case when s.case_id%4<>0 then (s.case_id%97)/100 end as top
+  from v_steps s join v_cases c on c.case_id=s.case_id where s.outcome='completed')""",
     "audit_log": f"""select tenant_id, count(*) as n, 0::bigint as n_broken, 'OK' as status, max(id) as last_id from (
   select *, row_number() over (order by created_at, tenant_id, case_id, seq, event_type) as id from ({_STEP_EVENTS})) group by 1""",
     "orphan_steps": """select tenant_id, case_id, step, id, created_at from v_paired

@@ -502,6 +502,29 @@ def audit_events(v: Views) -> DataFrame:
     return audit.audit_events(v.steps(), created, recorded)
 
 
+@query
+def step_payloads(v: Views) -> DataFrame:
+    key = F.col("case_id")
+    results = {
+        "doc_types": F.array_compact(
+            F.array(F.when(key % 40 != 3, F.lit("selfie")), F.when(key % 50 != 7, F.lit("id_document")))
+        ),
+        "method": F.when(key % 2 == 0, F.lit("mrz")).otherwise(F.lit("vlm")),
+        "confidence": (key % 101) / 100,
+        "needs_review": key % 3 == 0,
+        "reason": F.when(key % 3 == 0, F.lit('score "low"')),
+        "similarity_score": F.when(key % 83 != 0, (key % 1001) / 1000),
+        "hit_count": key % 4,
+        "highest_score": F.when(key % 4 != 0, (key % 97) / 100),
+        "delivered_count": key % 3,
+        "failed_count": key % 2,
+        "webhook_count": key % 3 + key % 2,
+    }
+    facts = v.cases().select("case_id", "status", "decision", "risk_score")
+    done = v.steps().filter(F.col("outcome") == "completed").select("case_id", "step").join(facts, "case_id")
+    return audit.step_payloads(done.withColumns(results)).select("case_id", "step", "payload")
+
+
 @query
 def audit_log(v: Views) -> DataFrame:
     """Events to chain to verdict: what a tenant's log looks like once all its events are linked."""
