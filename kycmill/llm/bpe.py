@@ -41,7 +41,7 @@ from .common import packed, small
 #: Characters cut from a text at a time, and ids decoded at a time.
 PIECE = 1 << 16
 #: Longer words are streamed; words remembered per generation.
-SHORT, REMEMBERED = 64, 1 << 17
+SHORT, REMEMBERED = 64, 1 << 16
 #: Fixed values of the public file formats: the pattern that byte-level files leave unnamed.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points assigned after Unicode 16, which the tokenizers library does not count as letters

@@ -20,12 +20,18 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on Python gets fewer of them at a time, as texts are long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return df
+
+
 def packed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and all columns of the input in ``row``.
 
     The input may have columns of any other name; inside the struct they cannot clash with ours.
     """
-    return docs.select(
+    return short_batches(docs).select(
         F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"), F.struct("*").alias("row")
     )
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small
+from .common import short_batches, small
 from .hashing import U
 
 Q = 12
@@ -218,7 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", index_
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-chars // index_chars)
-    rows = docs.select(F.struct("*").alias("row"), F.array().cast(LEAKS).alias("leaks"))
+    rows = short_batches(docs).select(F.struct("*").alias("row"), F.array().cast(LEAKS).alias("leaks"))
     dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts))))
     for part in range(parts):
         texts = dealt.filter(F.col("part") == part).select("item_id", "text").distinct().collect()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, small
+from .common import checkpointed, short_batches, small
 
 #: Training documents per language.
 SAMPLE = 500
@@ -40,9 +40,9 @@ PRIOR, UNKNOWN = 0.01, 1e-7
 UNDETERMINED = "und"
 START = "▁"
 #: Words kept with their scores in a task.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Characters of texts scored together.
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 19
 _WORDS = re.compile(r"[^\W\d_]+")
 _BEGINS, _UNKNOWN = 0, 1
 
@@ -261,7 +261,7 @@ def _groups(texts: Iterable[str]) -> Iterator[list[list[str]]]:
 
 def _prediction_rows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
-    for batch in small(batches, 2048):
+    for batch in small(batches, 512):
         row = batch.column("row")
         texts = row.field(row.type.get_field_index("text"))
         named: list[str] = []
@@ -281,7 +281,7 @@ def _prediction_rows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterato
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All rows: ``row`` (the columns they came with), ``lang_pred``, ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("row"))
+    rows = short_batches(docs).select(F.struct("*").alias("row"))
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType([*rows.schema.fields, *added])
     return rows.mapInArrow(_shared_rows(shared, _prediction_rows), schema)
