@@ -1,15 +1,15 @@
 """Benchmark passages in documents: q-gram lemma filter, then banded alignment.
 
 Texts are compared in lower case, with every run of characters that are neither letters nor digits as one
-blank. Benchmark items are cut into overlapping segments of ``SEGMENT`` characters (a shorter item is one
-segment), so a part of an item is found as well. A segment of m characters with at most e edits shares at
-least m - q + 1 - q e of its q-grams with the document, on diagonals at most e apart. Shared q-grams are
-counted in overlapping bands of diagonals, bands that reach the bound are kept, and a banded alignment of
-the segment against each of them decides.
+blank. A leak is any stretch of ``SEGMENT`` characters of a benchmark item, wherever it starts (a shorter
+item is one stretch), with at most ``EDIT_RATE`` edits. A stretch of m characters with at most e edits shares
+at least m - q + 1 - q e of its q-grams with the document, on diagonals at most e apart. The q-grams an item
+shares with a document are gathered in overlapping bands of diagonals; a stretch that reaches the bound
+within a band is aligned with the document in that band, which decides.
 
 The index of the benchmark has a fixed bound: a larger benchmark is dealt into several indexes, and the
 documents pass through all of them in the same stage. Documents are never shuffled, and a long text is read
-in pieces that overlap by more than a segment.
+in pieces that overlap by more than a stretch.
 
 Defined cases: null text counts as empty; items under ``Q`` characters are not searched; repeated rows and
 items get the same answer; an empty benchmark or table finds nothing; other columns do not matter.
@@ -35,6 +35,8 @@ SEGMENT, STRIDE = 100, 50
 EDIT_RATE = 0.05
 #: Half the width of a band of diagonals; more than the edits of a segment.
 BAND = 16
+#: Stretches aligned at a time.
+GROUP = 128
 #: Characters of the benchmark in one index.
 INDEX_CHARS = 4_000_000
 #: Characters of a text read at a time.
@@ -91,6 +93,13 @@ def grams(code: np.ndarray) -> np.ndarray:
     return (eight[:-4] << U(20)) | four[8:]
 
 
+def _limits(chars: int) -> tuple[int, int, int]:
+    """Length of the stretches of an item, the edits they may have, and the q-grams they must share."""
+    size = min(chars, SEGMENT)
+    edits = min(int(size * EDIT_RATE), (size - Q) // Q)
+    return size, edits, size - Q + 1 - Q * edits
+
+
 class Segment(NamedTuple):
     item_id: int
     code: np.ndarray
@@ -98,25 +107,28 @@ class Segment(NamedTuple):
     bound: int
 
 
-def segments(item_id: int, text: str) -> Iterator[Segment]:
+def _item_code(text: str) -> np.ndarray:
     code = normalised(text)[0]
-    if len(code) and code[-1] == _BLANK:
-        code = code[:-1]
-    starts = {*range(0, max(1, len(code) - SEGMENT + 1), STRIDE), max(0, len(code) - SEGMENT)}
-    for start in sorted(starts):
-        part = code[start : start + SEGMENT]
-        if len(part) < Q:
-            continue
-        edits = min(int(len(part) * EDIT_RATE), (len(part) - Q) // Q)
-        yield Segment(item_id, part, edits, len(part) - Q + 1 - Q * edits)
+    return code[:-1] if len(code) and code[-1] == _BLANK else code
+
+
+def segments(item_id: int, text: str, stride: int = STRIDE) -> Iterator[Segment]:
+    """Stretches of an item at every ``stride``-th place and at its end; a stride of 1 gives all there are."""
+    code = _item_code(text)
+    if len(code) < Q:
+        return
+    size, edits, bound = _limits(len(code))
+    for start in sorted({*range(0, len(code) - size + 1, stride), len(code) - size}):
+        yield Segment(item_id, code[start : start + size], edits, bound)
 
 
 class Index:
-    """q-grams of the segments of some items, with a table that rules out most q-grams of a text."""
+    """q-grams of some items, with a table that rules out most q-grams of a text."""
 
     def __init__(self, items: Iterable[tuple[int, str]]):
-        self.segments = [s for item_id, text in items for s in segments(item_id, text)]
-        found = [grams(s.code) for s in self.segments]
+        coded = [(item_id, _item_code(text)) for item_id, text in items]
+        self.items = [(item_id, code) for item_id, code in coded if len(code) >= Q]
+        found = [grams(code) for _, code in self.items]
         every = np.concatenate([np.zeros(0, U), *found])
         which = np.repeat(np.arange(len(found)), [len(g) for g in found])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in found)])
@@ -126,14 +138,16 @@ class Index:
         self.past = np.r_[self.first[1:], len(every)]
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[self._slot(self.grams)] = True
-        self.bound = np.array([s.bound for s in self.segments], np.int64)
+        limits = np.array([_limits(len(code)) for _, code in self.items], np.int64).reshape(-1, 3)
+        self.size, self.edits, self.bound = limits.T
+        self.chars = np.array([len(code) for _, code in self.items], np.int64)
 
     @staticmethod
     def _slot(gram: np.ndarray) -> np.ndarray:
         return (gram * U(0x9E3779B97F4A7C15)) >> U(64 - _BITS)
 
-    def regions(self, code: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Segment and band number wherever a band of diagonals shares enough q-grams."""
+    def regions(self, code: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Item, lowest diagonal of a band, and the stretches that share enough q-grams with the text in it."""
         if not len(self.grams):
             return
         gram = grams(code)
@@ -146,53 +160,87 @@ class Index:
         if not n.sum():
             return
         entry = np.repeat(self.first[slot] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        band = (np.repeat(at, n) - self.place[entry] + SEGMENT) // BAND
-        wide = len(code) // BAND + SEGMENT  # more than any band number
-        key = self.which[entry] * wide + band
-        keys, counts = np.unique(np.r_[key, key - 1], return_counts=True)
-        for k in keys[counts >= self.bound[keys // wide]]:
-            yield int(k // wide), int(k % wide) * BAND - SEGMENT
-
-
-def align(part: np.ndarray, code: np.ndarray, diagonal: int, most: int) -> tuple[int, int] | None:
-    """Edits and end of the best place for ``part`` in ``code``, starting within the band from ``diagonal``.
-
-    Only cells whose diagonal is at most ``most`` outside the band are computed.
+        which, place = self.which[entry], self.place[entry]
+        longest = (int(self.chars.max()) // BAND + 1) * BAND
+        band = (np.repeat(at, n) - place + longest) // BAND
+        wide = (len(code) + longest) // BAND + 2  # more than any band number
+        # A band is two steps wide: what lies in step b belongs to the bands b and b - 1.
+        key = which * wide + band + 1
+        keys, counts = np.unique(key, return_counts=True)
+        near = np.r_[counts, 0][np.where(np.isin(keys + 1, keys), np.searchsorted(keys, keys + 1), len(keys))]
+        back = np.r_[counts, 0][np.where(np.isin(keys - 1, keys), np.searchsorted(keys, keys - 1), len(keys))]
+        full = counts + np.maximum(near, back) >= self.bound[keys // wide]
+        kept = full[np.searchsorted(keys, key)]
+        if not kept.any():
+            return
+        key, place = np.r_[key[kept], key[kept] - 1], np.r_[place[kept], place[kept]]
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])]
+        key, place = key[new], place[new]
+        item = key // wide
+        # ``bound`` q-grams from each on, if one stretch holds them all.
+        last = np.arange(len(key)) + self.bound[item] - 1
+        inside = last < len(key)
+        last[~inside] = 0
+        inside &= (key[last] == key) & (place[last] - place <= self.size[item] - Q)
+        low = np.maximum(place[last] - (self.size[item] - Q), 0)
+        high = np.minimum(place, self.chars[item] - self.size[item])
+        inside &= low <= high
+        hits = np.flatnonzero(inside)
+        for group in np.split(hits, np.flatnonzero(np.diff(key[hits])) + 1):
+            if len(group):
+                n = int(item[group[0]])
+                edge = np.zeros(self.chars[n] + 2, np.int64)
+                np.add.at(edge, low[group], 1)
+                np.add.at(edge, high[group] + 1, -1)
+                yield n, int(key[group[0]] % wide - 1) * BAND - longest, np.flatnonzero(np.cumsum(edge) > 0)
+
+
+def align(parts: np.ndarray, code: np.ndarray, diagonals: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits and end of the best place in ``code`` for each of the parts (rows of equal length).
+
+    A part starts within the band from its own diagonal. Only cells whose diagonal is at most ``most``
+    outside the band are computed.
     """
-    low = diagonal - most
+    size = parts.shape[1]
     width = 2 * BAND + 2 * most
-    step = np.arange(width)
-    padded = np.full(len(part) + width, 256, np.int16)
-    begin, end = max(low, 0), min(low + len(padded), len(code))
-    padded[begin - low : max(end, begin) - low] = code[begin : max(end, begin)]
-    inside = (low + step >= 0) & (low + step <= len(code))
-    costs = np.where(inside, 0, len(part) + 1)
-    for i, c in enumerate(part):
-        change = costs + (padded[i : i + width] != c)
-        drop = np.r_[costs[1:], len(part) + 1] + 1
+    step = np.arange(width, dtype=np.int32)
+    low = diagonals - most
+    cell = low[:, None] + np.arange(size + width)
+    known = (cell >= 0) & (cell < len(code))
+    padded = np.where(known, code[np.clip(cell, 0, len(code) - 1)], 256).astype(np.int16)
+    start = low[:, None] + step
+    costs = np.where((start >= 0) & (start <= len(code)), 0, size + 1).astype(np.int32)
+    outside = np.full((len(parts), 1), size + 1, np.int32)
+    for i in range(size):
+        change = costs + (padded[:, i : i + width] != parts[:, i : i + 1])
+        drop = np.concatenate([costs[:, 1:], outside], axis=1) + 1
         best = np.minimum(change, drop)
-        costs = np.minimum.accumulate(best - step) + step
-    least = int(costs.argmin())
-    return (int(costs[least]), low + len(part) + least) if costs[least] <= most else None
+        costs = np.minimum.accumulate(best - step, axis=1) + step
+    least = costs.argmin(axis=1)
+    return costs[np.arange(len(parts)), least], low + size + least
 
 
 def leaks(text: str, index: Index) -> list[dict]:
-    """Each item of the index with a segment in the text: its best segment's edits and place."""
+    """Each item of the index with a stretch in the text: the fewest edits of one, and a place that has them."""
     best: dict[int, tuple[int, int, int]] = {}
     keep = 2 * SEGMENT + 4 * BAND
     code, where = np.zeros(0, np.uint8), np.zeros(0, np.int64)
     for base in range(0, len(text), PIECE):
         new, place = normalised(text[base : base + PIECE], not len(code) or code[-1] == _BLANK)
         code, where = np.r_[code[-keep:], new], np.r_[where[-keep:], place + base]
-        for number, diagonal in index.regions(code):
-            s = index.segments[number]
-            found = align(s.code, code, diagonal, s.n_edits)
-            if found is None:
-                continue
-            edits, past = found
-            first = max(0, past - len(s.code))
-            value = (edits, int(where[first]), int(where[min(past, len(where)) - 1]) + 1)
-            best[s.item_id] = min(best.get(s.item_id, value), value)
+        for number, diagonal, starts in index.regions(code):
+            item_id, item = index.items[number]
+            size, most = int(index.size[number]), int(index.edits[number])
+            for first in range(0, len(starts), GROUP):
+                if best.get(item_id, (1,))[0] == 0:
+                    break
+                some = starts[first : first + GROUP]
+                edits, past = align(item[some[:, None] + np.arange(size)], code, diagonal + some, most)
+                for e, end in zip(edits[edits <= most].tolist(), past[edits <= most].tolist()):
+                    value = (e, int(where[max(0, end - size)]), int(where[min(end, len(where)) - 1]) + 1)
+                    best[item_id] = min(best.get(item_id, value), value)
     return [{"item_id": i, "n_edits": e, "first": a, "past": b} for i, (e, a, b) in sorted(best.items())]
 
 

@@ -197,3 +197,22 @@ def test_leaks_are_those_of_full_alignment(spark, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == sum(not x for x in got.values())
     assert decontaminate.drop_leaks(docs, bench.limit(0)).count() == len(texts)
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_every_stretch_of_an_item_is_found():
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randrange(2, 9))) for _ in range(500)]
+    items = [" ".join(draw.choices(words, k=k)) for k in (40, 65, 22)]
+    index = decontaminate.Index(enumerate(items))
+    size = decontaminate.SEGMENT
+    for number, item in enumerate(items):
+        code = decontaminate.normalised(item)[0]
+        for start in range(len(code) - size + 1):
+            around = [" ".join(draw.choices(words, k=30)) for _ in range(2)]
+            part = list(item[start : start + size])
+            for spot in draw.sample(range(0, size, 4), start % 6):
+                part[spot] = "z"
+            found = decontaminate.leaks(around[0] + " " + "".join(part) + " " + around[1], index)
+            assert number in {x["item_id"] for x in found}, (number, start)
+            short = item[start : start + size - 10]
+            assert not decontaminate.leaks(around[0] + "zzzzz" + short + "zzzzz" + around[1], index)
