@@ -1,11 +1,14 @@
 """Licence notices in documents, by diagonal voting.
 
-Every rolling word k-gram of a document is joined by hash with the positions of the same k-gram in the
-templates, a fixed list that is broadcast; the join also compares the words themselves. A match votes for the
-diagonal (position in the document minus position in the template). Votes are counted per diagonal,
-neighbouring diagonals of a template (a word was put in or left out) are merged while they move forward
-together, and a merged span is a finding if it covers enough of the template's k-grams. Base phrases count
-where one diagonal has all their k-grams, so all their words stand one after the other.
+Base phrases: every rolling word k-gram of a document is joined by hash with the positions of the same k-gram
+in the phrases, a fixed list that is broadcast; the join also compares the words themselves. A match votes for
+the diagonal (position in the document minus position in the template). A phrase counts where one diagonal has
+all its k-grams, so all its words stand one after the other.
+
+Notices: a notice is found where at most ``1 - COVER`` of its words are left out, changed, or have up to
+``NEIGHBOUR`` words put in before them. Each edit takes at most two of the notice's 2-grams and moves the
+diagonal by at most ``NEIGHBOUR`` to either side, so 2-grams on neighbouring diagonals bound where a notice
+can stand, and an alignment by words decides there.
 
 Defined cases: null text counts as empty and has no words; rows are judged one by one, so repeated rows and
 null ids do not matter; an empty table gives an empty table; other columns do not matter.
@@ -13,17 +16,20 @@ null ids do not matter; an empty table gives an empty table; other columns do no
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, stored
+from .common import packed, small, stored
 
 #: Words per k-gram; a template of two words is one 2-gram.
 GRAM = 3
-#: Words between diagonals that are still neighbours, and share of a template's k-grams a finding needs.
+#: Words put in at one place that count as one edit, and share of a notice's words a finding needs unedited.
 NEIGHBOUR, COVER = 3, 0.8
 
 #: Base phrases.
@@ -46,6 +52,7 @@ NOTICES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAPS = re.compile(GAPS)
 
 
 class Template(NamedTuple):
@@ -87,16 +94,108 @@ def _positions(spark: SparkSession, known: list[Template], gram: int) -> DataFra
     )
 
 
+class Notices:
+    """The notices as word numbers, with a table of their 2-grams (a single word is its own 2-gram)."""
+
+    def __init__(self, known: Sequence[Template]):
+        self.known = [t for t in known if not t.base and t.words]
+        self.number = {w: i for i, w in enumerate(sorted({w for t in self.known for w in t.words}), 1)}
+        self.wide = len(self.number) + 1
+        self.coded = [np.array([self.number[w] for w in t.words], np.int64) for t in self.known]
+        self.places: list[dict[int, list[int]]] = []
+        for code in self.coded:
+            where: dict[int, list[int]] = {}
+            for i, pair in enumerate(self._pairs(code, len(code) == 1).tolist()):
+                where.setdefault(pair, []).append(i)
+            self.places.append(where)
+        self.telling = np.zeros(self.wide * self.wide, bool)
+        for where in self.places:
+            self.telling[list(where)] = True
+
+    def _pairs(self, code: np.ndarray, single: bool = False) -> np.ndarray:
+        return code if single else code[:-1] * self.wide + code[1:]
+
+    def find(self, text: str) -> list[tuple[int, int, int, float]]:
+        """Number of the template, first and past-last word, and share of unedited words, of all notices."""
+        numbers = map(self.number.get, filter(None, _GAPS.split(text.lower())))
+        code = np.array([n or 0 for n in numbers], np.int64)
+        pairs = self._pairs(code) if len(code) else code
+        at = np.flatnonzero(self.telling[pairs])
+        pair_list = list(zip(at.tolist(), pairs[at].tolist()))
+        alone = list(enumerate(code.tolist()))
+        out = []
+        for t, own, where in zip(self.known, self.coded, self.places):
+            most = int(len(own) * (1 - COVER) + 1e-9)
+            seeds = alone if len(own) == 1 else pair_list
+            votes = sorted((i - j, j) for i, pair in seeds for j in where.get(pair, ()))
+            step, first = NEIGHBOUR * max(most, 1), 0
+            for k in range(1, len(votes) + 1):
+                if k < len(votes) and votes[k][0] - votes[k - 1][0] <= step:
+                    continue
+                if len({j for _, j in votes[first:k]}) >= max(1, len(own) - 1 - 2 * most):
+                    low = max(0, votes[first][0] - step)
+                    high = min(len(code), votes[k - 1][0] + len(own) + step)
+                    for a, b, edits in word_places(own, code[low:high], most):
+                        out.append((t.number, low + a, low + b, 1 - edits / len(own)))
+                first = k
+        return out
+
+
+def word_places(own: np.ndarray, code: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """First and past-last word, and edits, of the best place in every stretch where ``own`` has few edits."""
+    unit = np.int64(1) << 32
+    # Edits in the high part; the start in the low one, so that of equal edits the shortest place wins.
+    costs = unit - 1 - np.arange(len(code) + 1, dtype=np.int64)
+    far = np.full(NEIGHBOUR, unit * (len(own) + 2))
+    for i, word in enumerate(own):
+        best = costs + unit
+        best[1:] = np.minimum(best[1:], costs[:-1] + unit * (code != word))
+        costs = best
+        for _ in range(most if i + 1 < len(own) else 0):
+            padded = np.r_[far, costs]
+            for back in range(1, NEIGHBOUR + 1):
+                shifted = padded[NEIGHBOUR - back : len(padded) - back]
+                costs = np.minimum(costs, shifted + unit)
+    edits = costs // unit
+    ends = np.flatnonzero(edits <= most)
+    out = []
+    for group in np.split(ends, np.flatnonzero(np.diff(ends) > 1) + 1):
+        if len(group):
+            end = int(group[edits[group].argmin()])
+            out.append((int(unit - 1 - costs[end] % unit), end, int(edits[end])))
+    return out
+
+
+def _notice_rows(known: list[Template]):
+    kind = pa.list_(
+        pa.struct([("template", pa.int32()), ("first", pa.int32()), ("past", pa.int32()), ("cover", pa.float64())])
+    )
+    names = ("template", "first", "past", "cover")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notices = Notices(known)
+        for batch in small(batches):
+            found = [[dict(zip(names, x)) for x in notices.find(t.as_py())] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text"), pa.array(found, kind)], ["doc_id", "text", "notices"]
+            )
+
+    return rows
+
+
+NOTICE = "notices array<struct<template:int,first:int,past:int,cover:double>>"
+
+
 def license_hits(docs: DataFrame, known: list[Template]) -> DataFrame:
-    """``row_id``, ``doc_id``, ``n_words``, ``at``, ``hits``: k-grams that stand in a template, and the first of each row."""
+    """``row_id``, ``doc_id``, ``notices``, ``n_words``, ``at``, ``hits``: k-grams of phrases, and the first of each row."""
     words = F.filter(F.split(F.lower("text"), GAPS), lambda w: w != "")
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", words.alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "notices", words.alias("words"))
     n = F.size("words")
     shifted = [F.slice("words", i + 1, F.greatest(n, F.lit(1))).alias(f"w{i}") for i in range(GRAM)]
-    grams = rows.select("row_id", "doc_id", n.alias("n_words"), F.arrays_zip(*shifted).alias("grams"))
-    exploded = grams.select("row_id", "doc_id", "n_words", F.posexplode_outer("grams").alias("at", "gram")).select(
-        "row_id", "doc_id", "n_words", "at", "gram.*"
-    )
+    grams = rows.select("row_id", "doc_id", "notices", n.alias("n_words"), F.arrays_zip(*shifted).alias("grams"))
+    exploded = grams.select(
+        "row_id", "doc_id", "notices", "n_words", F.posexplode_outer("grams").alias("at", "gram")
+    ).select("row_id", "doc_id", "notices", "n_words", "at", "gram.*")
     sizes = sorted({t.gram for t in known})
     for size in sizes:
         table = _positions(docs.sparkSession, known, size)
@@ -109,14 +208,20 @@ def license_hits(docs: DataFrame, known: list[Template]) -> DataFrame:
     wanted = F.coalesce(F.col("at"), F.lit(0)) == 0
     for hit in hits:
         wanted = wanted | hit.isNotNull()
-    return exploded.filter(wanted).select("row_id", "doc_id", "n_words", "at", F.array(*hits).alias("hits"))
+    once = F.when(F.coalesce(F.col("at"), F.lit(0)) == 0, F.col("notices"))
+    return exploded.filter(wanted).select(
+        "row_id", "doc_id", once.alias("notices"), "n_words", "at", F.array(*hits).alias("hits")
+    )
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", known: list[Template] | None = None) -> DataFrame:
     """One row per document: counts, places and labels of base phrases, all ``findings``, ``labels``, ``score``."""
     known = known or templates()
     spark = docs.sparkSession
-    found = stored(license_hits(packed(docs, key).select("doc_id", "text"), known), "license-hits")
+    marked = packed(docs, key).select("doc_id", "text").mapInArrow(
+        _notice_rows(known), "doc_id long, text string, " + NOTICE
+    )
+    found = stored(license_hits(marked, [t for t in known if t.base]), "license-hits")
     facts = spark.createDataFrame(
         [(t.number, t.label, t.base, t.n_grams, t.gram) for t in known],
         "template int, label string, base boolean, n_grams int, gram int",
@@ -127,29 +232,18 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", known: list[Template] |
         .select("row_id", "hit.template", F.col("hit.at").alias("place"), "at")
         .distinct()
         .groupBy("row_id", "template", (F.col("at") - F.col("place")).alias("diagonal"))
-        .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"))
+        .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.size(F.collect_set("place")).alias("n_places"))
         .join(F.broadcast(facts), "template")
     )
-    base = diagonals.filter("base AND size(places) = n_grams")
-    order = Window.partitionBy("row_id", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOUR) | (
-        F.col("first") < F.lag("first").over(order)
-    )
-    merged = (
-        diagonals.filter("NOT base")
-        .withColumn("part", F.coalesce(apart, F.lit(True)).cast("int"))
-        .withColumn("span", F.sum("part").over(order))
-        .groupBy("row_id", "template", "span", "label", "n_grams", "gram")
-        .agg(
-            F.min("first").alias("first"),
-            F.max("last").alias("last"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"),
-        )
-        .withColumn("cover", F.col("covered") / F.col("n_grams"))
-        .filter(F.col("cover") >= COVER)
+    base = diagonals.filter("n_places = n_grams")
+    notices = (
+        found.select("row_id", F.explode("notices").alias("n"))
+        .select("row_id", "n.*")
+        .join(F.broadcast(facts), "template")
     )
-    every = base.select("row_id", "label", "base", "first", F.col("last"), "gram", F.lit(1.0).alias("cover")).unionByName(
-        merged.select("row_id", "label", F.lit(False).alias("base"), "first", "last", "gram", "cover")
+    past = (F.col("last") + F.col("gram")).alias("past")
+    every = base.select("row_id", "label", "base", "first", "last", past, F.lit(1.0).alias("cover")).unionByName(
+        notices.select("row_id", "label", "base", "first", F.lit(None).cast("int").alias("last"), "past", "cover")
     )
     only = F.when(F.col("base"), F.col("first"))
     judged = every.groupBy("row_id").agg(
@@ -159,9 +253,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", known: list[Template] |
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("cover").alias("score"),
-        F.array_sort(
-            F.collect_list(F.struct("first", (F.col("last") + F.col("gram")).alias("past"), "label", "cover"))
-        ).alias("findings"),
+        F.array_sort(F.collect_list(F.struct("first", "past", "label", "cover"))).alias("findings"),
     )
     rows = found.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"))
     return rows.join(judged, "row_id", "left").select(

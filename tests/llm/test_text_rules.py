@@ -83,6 +83,24 @@ def test_licenses_on_driver_tables(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == slow_base(texts[r.doc_id])
 
 
+def test_licenses_with_one_word_edited(spark):
+    rows = []
+    for label, notice in license_scan.NOTICES:
+        words = notice.split()
+        for i in range(len(words)):
+            edited = [words[:i] + words[i + 1 :], [*words[:i], "zebra", *words[i + 1 :]]]
+            edited += [[*words[:i], *["zebra"] * n, *words[i:]] for n in (1, 3) if i]
+            rows += [(label, "so it was said " + " ".join(x) + " and so on") for x in edited]
+    texts = [(i, t) for i, (_, t) in enumerate(rows)]
+    texts.append((len(rows), "the zebra license of the free world may be used by any person under the sun"))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    for i, (label, text) in enumerate(rows):
+        assert label in got[i].labels.split(","), text
+        assert any(f.label == label and 4 <= f.first <= 8 for f in got[i].findings), text
+    assert got[len(rows)].labels == ""
+
+
 def test_urls(spark):
     def page(url, link=None, refresh=None):
         head = f'<LINK rel="canonical" href="{link}">' if link else ""
