@@ -1,19 +1,23 @@
 """Block lists for URLs whose decisions reach every alias of a page.
 
-Redirects (``meta refresh``) and canonical links of the pages are edges between URLs. Their connected
-components are found by distributed star operations; a component with a blocked member and no explicitly
+All redirects (``meta refresh``) and canonical links of the pages are edges between URLs. Targets are decoded
+from HTML and resolved against the URL of their page. The connected components are found by distributed star operations; a component with a blocked member and no explicitly
 allowed one is blocked as a whole. A rule that fits a URL itself always decides that URL.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, no rule and no alias, and is
-allowed; a repeated page is judged like the first; the longest rule wins, and of equally long ones allow; an
+allowed; a target is absolute if it starts with a scheme and ``://``, and one with another scheme
+(``mailto:``) is no alias; dot segments of targets are removed, URLs of pages stay as they are; a repeated page is judged like the first; the longest rule wins, and of equally long ones allow; an
 empty table gives an empty table; other columns do not matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import html
+import re
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,24 +71,72 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return chosen
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'>\s]+)", 1)
+_SCHEME = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*:")
+_ABSOLUTE = re.compile(r"(?s)(.*?://[^/?#]*)([^?#]*)(\?[^#]*)?")
+_ODD = re.compile(r"[\t\n\r]")
+
+
+def _without_dots(path: str) -> str:
+    """The path without dot segments (RFC 3986, 5.2.4)."""
+    out: list[str] = []
+    parts = path.split("/")
+    for i, part in enumerate(parts):
+        if part in (".", ".."):
+            if part == ".." and len(out) > 1:
+                out.pop()
+            if i + 1 == len(parts):
+                out.append("")
+        else:
+            out.append(part)
+    return "/".join(out)
+
+
+def resolved(url: str | None, target: str) -> str | None:
+    """The absolute URL a target in the HTML of the page stands for; null if it stands for none."""
+    target = _ODD.sub("", html.unescape(target).strip()).partition("#")[0]
+    base = _ABSOLUTE.match(url or "")
+    if target.startswith("//"):
+        target = "http:" + target
+    if scheme := _SCHEME.match(target):
+        if not target.startswith("//", scheme.end()):
+            return None
+        site, path, query = _ABSOLUTE.match(target).groups()
+        return site + _without_dots(path) + (query or "")
+    if base is None:
+        return None
+    site, path, query = base.groups()
+    if not target:
+        return site + path + (query or "")
+    if target.startswith("?"):
+        return site + path + target
+    own, mark, query = target.partition("?")
+    if not own.startswith("/"):
+        own = path[: path.rfind("/") + 1] + own if "/" in path else "/" + own
+    return site + _without_dots(own) + mark + query
+
+
+def _resolved_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        urls = batch.column("url")
+        found = [resolved(u, t) for u, t in zip(urls.to_pylist(), batch.column("target").to_pylist())]
+        yield pa.RecordBatch.from_arrays([urls, pa.array(found, pa.string())], ["url", "target"])
+
+
+def _values(tags: Column, pattern: str) -> Column:
+    """In every tag the first of the pattern's three groups (in double, single or no quotes) that matched."""
+    return F.transform(tags, lambda tag: F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3))))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``a``, ``b``: nodes joined by a canonical link or a redirect in ``html``."""
-    canonical = F.regexp_extract("html", r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    refresh = F.regexp_extract("html", r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    targets = F.array(
-        _attribute(canonical, "href"), F.regexp_extract(refresh, r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)", 1)
-    )
+    tags = r"(?is)<{}\b[^>]*\b{}\s*=\s*[\"']?{}\b[^>]*>"
+    quoted = r"""(?is)(?<![-\w]){}\s*=\s*(?:"([^">]*)"|'([^'>]*)'|["']?([^"'>\s]+))"""
+    canonical = F.regexp_extract_all("html", F.lit(tags.format("link", "rel", "canonical")), F.lit(0))
+    refresh = F.regexp_extract_all("html", F.lit(tags.format("meta", "http-equiv", "refresh")), F.lit(0))
+    targets = F.concat(_values(canonical, quoted.format("href")), _values(refresh, quoted.format("url")))
     linked = pages.select("url", F.explode(targets).alias("target")).filter("target <> ''")
-    absolute = (
-        F.when(F.col("target").contains("://"), F.col("target"))
-        .when(F.col("target").startswith("//"), F.concat(F.lit("http:"), F.col("target")))
-        .when(F.col("target").startswith("/"), F.concat(F.lit("http://"), url_host(F.col("url")), F.col("target")))
-    )
-    return linked.select(url_node(F.col("url")).alias("a"), url_node(absolute).alias("b"))
+    absolute = linked.mapInArrow(_resolved_rows, "url string, target string")
+    return absolute.select(url_node(F.col("url")).alias("a"), url_node(F.col("target")).alias("b"))
 
 
 def alias_verdicts(edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:

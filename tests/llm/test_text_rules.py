@@ -127,6 +127,36 @@ def test_urls(spark):
     assert url_filter.url_filter(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "target,want",
+    [
+        ("page2.html", "http://a.org/x/page2.html"), ("../y", "http://a.org/y"), ("../../../y/./z/..", "http://a.org/y/"),
+        ("?id=3", "http://a.org/x/p?id=3"), ("?a=2&amp;b=x", "http://a.org/x/p?a=2&b=x"), ("/q?to=http://bad.net/", "http://a.org/q?to=http://bad.net/"),
+        ("//c.org/", "http://c.org/"), ("https://c.org/a/../b?x=../y", "https://c.org/b?x=../y"), ("#top", "http://a.org/x/p?q=1"),
+        ("mailto:x@b.net", None), ("q&#63;v=1", "http://a.org/x/q?v=1"), ("&amp;#47;z", "http://a.org/x/&"), ("./", "http://a.org/x/"),
+    ],
+)
+def test_targets(target, want):
+    assert url_filter.resolved("http://a.org/x/p?q=1", target) == want
+    assert url_filter.resolved("http://a.org", "p2") == "http://a.org/p2" and url_filter.resolved(None, "p2") is None
+
+
+def test_aliases_of_every_form(spark):
+    canonical = '<link rel="canonical" href="{}">'.format
+    refresh = "<meta http-equiv=refresh content=\"0; url={}\">".format
+    rows = [
+        ("http://a.example/x/1", canonical("page2.html")), ("http://a.example/x/page2.html", refresh("http://bad.net/")),
+        ("http://b.example/x/y/1", refresh("../2")), ("http://b.example/x/2", canonical("http://bad.net/")),
+        ("http://c.example/1", canonical("?page=2&amp;ref=x")), ("http://c.example/1?page=2&ref=x", canonical("http://bad.net/")),
+        ("http://d.example/1", canonical("/good") + canonical("http://bad.net/")), ("http://e.example/1", refresh("/good") + refresh("http://bad.net/")),
+        ("http://f.example/1", canonical("/out?to=http://bad.net/")), ("http://g.example/1", "<link href='http://bad.net/' rel=canonical>"),
+        ("http://h.example/1", canonical("mailto:x@bad.net")), ("http://i.example/1", None),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages).collect()}
+    assert [got[i] for i in range(len(rows))] == ["block"] * 8 + ["allow", "block", "allow", "allow"]
+
+
 def slow_sum(word, model):
     def total(rest, language):
         if not rest:
