@@ -66,6 +66,8 @@ _SMALL = {
 }
 _HAS_NEWER_CAPITALS = re.compile("[" + "".join(map(chr, _SMALL)) + "]").search
 _HAS_NEWER = re.compile(f"[{_NEWER}]").search
+#: White space as the tokenizers' patterns have it; ``str.isspace`` also holds for 1C to 1F, which are symbols.
+_BLANK = regex.compile(r"\s")
 
 
 def byte_alphabet() -> list[str]:
@@ -199,12 +201,8 @@ class Tokenizer:
         """The ids of a text without special tokens, word by word."""
         start = 0
         while start < len(text):
-            past = min(start + PIECE, len(text))
-            if self.drops_blanks:
-                while past < len(text) and not text[past].isspace():
-                    past += 1
-            else:
-                past = len(text)
+            blank = _BLANK.search(text, start + PIECE) if self.drops_blanks else None
+            past = blank.start() if blank else len(text)
             piece = self.normalised(text[start:past])
             newer = not piece.isascii() and _HAS_NEWER(piece)
             yield from map(self.remembered, (self.careful_words if newer else self.words).findall(piece))

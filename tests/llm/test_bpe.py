@@ -38,6 +38,15 @@ def test_ids_and_text_as_the_library(name):
         assert decoder.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_long_texts_are_cut_at_white_space_only(name):
+    own, library = loaded(name)
+    before = ("ab cd " * bpe.PIECE)[: bpe.PIECE - 1]
+    for odd in "\x1c\x1d\x1e\x1f\x85\u00a0\u2028\u3000":
+        text = f"{before}!{odd}! ab ! ab"
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(odd)
+
+
 def test_every_character_as_the_library():
     own, library = loaded(FILES[0])
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
