@@ -288,6 +288,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows whose language is clear: one language has at least ``least`` of the sum over all."""
+    """The rows in which one language has at least ``least`` of the sum over all learned languages.
+
+    The sum is over whole texts, so nearly every text of more than a few words passes. In effect only texts
+    without letters are rejected; letter junk and languages that were never learned stay.
+    """
     found = predict(docs, model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
     return found.select("row.*")
