@@ -17,7 +17,7 @@ from ..schemas import PHONETIC_LIMIT, VECTOR_LIMIT, VECTOR_THRESHOLD
 from ..session import scratch_path
 from .mutations import watchlist_ingest
 
-#: Entries of a block of the watchlist (about 150 MB at 768 floats).
+#: Rows of a block of queries or entries, and never more than a tile: a block is one row of a task's input.
 BLOCK_ROWS = 50_000
 _TILE = 2048
 
@@ -54,34 +54,73 @@ def _similar(queries: np.ndarray, entries: np.ndarray, k: int, threshold: float)
     return [np.concatenate([f[i] for f in found]) for i in range(3)]
 
 
-HIT = "struct<entry_id:string,list_source:string,name:string,score:double>"
+def _blocks(rows: int):
+    """Tables of up to ``rows`` rows, each as one binary value in Arrow's stream format."""
 
+    def sealed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
 
-def _merged(before: list[dict], new: list[dict], k: int) -> list[dict]:
-    return sorted([*before, *new], key=lambda h: (-h["score"], h["entry_id"]))[:k]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, rows - n)
+                batch = batch.slice(part.num_rows)
+                held.append(part)
+                n += part.num_rows
+                if n == rows:
+                    yield sealed(held)
+                    held, n = [], 0
+        if held:
+            yield sealed(held)
+
+    return run
+
+
+def _stored_blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.mapInArrow(_blocks(rows), "block binary").write.parquet(path)
+    return df.sparkSession.read.schema("block binary").parquet(path)
+
+
+def _screen_blocks(k: int, threshold: float):
+    """Every block of queries meets the blocks of entries one after another and carries its best hits along."""
+    order = [("at", "ascending"), ("score", "descending"), ("entry_id", "ascending")]
+
+    def opened(block: pa.BinaryScalar) -> pa.Table:
+        return pa.ipc.open_stream(block.as_buffer()).read_all()
 
+    def merged(best: pa.Table, new: pa.Table) -> pa.Table:
+        both = pa.concat_tables([best, new]).sort_by(order).combine_chunks()
+        at = both["at"].to_numpy()
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+        place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+        return both.take(pa.array(np.flatnonzero(place < k)))
 
-def _screen_block(shared, k: int, threshold: float):
-    """Queries with their best hits so far meet one block of entries."""
+    def named(queries: pa.Table, best: pa.Table) -> list[pa.RecordBatch]:
+        return best.set_column(0, "query_id", queries["query_id"].take(best["at"])).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = shared.value
-        w = _matrix(entries.column("vector"))
+        number, queries, best = None, None, None
         for batch in batches:
-            q = _matrix(batch.column("vector"))
-            best = batch.column("best").to_pylist()
-            if len(q) and len(w):
-                rows, found, scores = _similar(q, w, k, threshold)
-                named = entries.select(["entry_id", "list_source", "name"]).take(pa.array(found, pa.int64())).to_pylist()
-                new: dict[int, list[dict]] = {}
-                for r, hit, score in zip(rows.tolist(), named, scores.tolist()):
-                    new.setdefault(r, []).append({**hit, "score": score})
-                for r, hits in new.items():
-                    best[r] = _merged(best[r], hits, k)
-            hit_type = batch.schema.field("best").type
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query_id"), batch.column("vector"), pa.array(best, hit_type)], ["query_id", "vector", "best"]
-            )
+            for left, right in zip(batch.column("queries"), batch.column("entries")):
+                block = opened(left)
+                if block["row"][0] != number:
+                    if best is not None:
+                        yield from named(queries, best)
+                    number, queries, best = block["row"][0], block, None
+                entries = opened(right).sort_by("entry_id")
+                rows, found, scores = _similar(_matrix(queries["vector"]), _matrix(entries["vector"]), k, threshold)
+                entry = entries.select(["entry_id", "list_source", "name"]).take(pa.array(found, pa.int64()))
+                columns = [pa.array(rows, pa.int64()), *entry.columns, pa.array(scores, pa.float64())]
+                new = pa.Table.from_arrays(columns, ["at", *entry.column_names, "score"])
+                best = new if best is None else merged(best, new)
+        if best is not None:
+            yield from named(queries, best)
 
     return run
 
@@ -95,31 +134,26 @@ def vector_screen(
 ) -> DataFrame:
     """Up to ``k`` entries per query row with cosine at or above ``threshold``; exact.
 
-    Vectors are unit length. No pair of rows is ever formed in Spark and queries are never shuffled: each
-    batch of queries meets one block of the list after another as matrix products and carries its best hits
-    along. A block has a fixed bound and is broadcast; between blocks the queries are written to the shared
-    folder, so one block is in memory at a time and a lost executor costs one block.
+    Vectors are unit length. Queries and list are packed into blocks of rows, which lie in the shared folder.
+    A task reads some blocks of queries and all of the list, one after another, and multiplies them as
+    matrices: nothing passes the driver, queries are never shuffled, and no pair of rows is ever formed.
     """
     spark = queries.sparkSession
     w = watchlist.select("entry_id", "list_source", "name", "vector").filter(F.col("vector").isNotNull())
-    best = queries.select("query_id", "vector", F.array().cast(f"array<{HIT}>").alias("best")).filter(
-        F.col("vector").isNotNull()
+    # The number of its first row tells a block from others.
+    q = queries.filter(F.col("vector").isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), "query_id", "vector"
     )
-    blocks = max(1, -(-w.count() // block_rows))
-    if blocks > 1:
-        path = scratch_path(spark, "watchlist")
-        block = F.pmod(F.xxhash64("entry_id"), F.lit(blocks)).cast("int")
-        w.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(path)
-    for n in range(blocks):
-        part = w if blocks == 1 else spark.read.schema(w.schema).parquet(f"{path}/block={n}")
-        shared = spark.sparkContext.broadcast(part.orderBy("entry_id").toArrow())
-        best = best.mapInArrow(_screen_block(shared, k, threshold), best.schema)
-        if n + 1 < blocks:
-            done = scratch_path(spark, "screened")
-            best.write.parquet(done)
-            best = spark.read.schema(best.schema).parquet(done)
-            shared.unpersist()
-    return best.select("query_id", F.inline("best"))
+    rows = min(block_rows, _TILE)
+    left = _stored_blocks(q, rows, "queries").withColumnRenamed("block", "queries")
+    right = _stored_blocks(w, rows, "watchlist").withColumnRenamed("block", "entries").coalesce(1)
+    # Blocks are large rows: after a few of them Spark holds the list where it can spill.
+    spark.conf.set("spark.sql.cartesianProductExec.buffer.in.memory.threshold", "16")
+    # The hint asks for the product of partitions; without it a short list would be sent through the driver.
+    pairs = left.crossJoin(right.hint("shuffle_replicate_nl"))
+    score = T.StructField("score", T.DoubleType())
+    schema = T.StructType([q.schema["query_id"], *w.drop("vector").schema.fields, score])
+    return pairs.mapInArrow(_screen_blocks(k, threshold), schema)
 
 
 def phonetic_match(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kycmill.functions.phonetic import double_metaphone
 from kycmill.operators import screening
@@ -67,6 +68,23 @@ def test_vector_screen_equals_brute_force(spark):
         assert {(r.query_id, r.entry_id) for r in hits.collect()} == want
 
 
+def test_vector_screen_passes_no_list_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"e{i}", "L", f"n{i}", v.tolist()) for i, v in enumerate(_unit(rng, 30))]
+    watch = spark.createDataFrame(rows, "entry_id string, list_source string, name string, vector array<float>")
+    queries = watch.select(F.lit(1).alias("query_id"), "vector")
+
+    def refused(*_):
+        raise AssertionError("through the driver")
+
+    monkeypatch.setattr(type(watch), "toArrow", refused)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    hits = screening.vector_screen(queries, watch, 1, 0.9, block_rows=7)
+    assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
+    # Rows of one query id keep hits of their own.
+    assert sorted(r.entry_id for r in hits.collect()) == sorted(r[0] for r in rows)
+
+
 def test_phonetic_screen_equals_brute_force(spark):
     # One code is shared by most queries and entries.
     names = ["Smith", "Schmidt", "Smyth", "Mohammed", "Muhammad", "Katarzyna", "Nowak"]
