@@ -121,10 +121,87 @@ SELECT c.page_id, c.host, c.path, o.rule, coalesce(o.verdict, a.verdict, 'allow'
 FROM cut c LEFT JOIN own o USING (page_id) LEFT JOIN alias a ON a.node = c.host || c.path || c.query AND c.host <> ''
 """
 
+_ROUND = """
+), p{i} AS (
+  SELECT v.place, c.n, list_sum(list_transform(range(1, 65), lambda j: (v.x[j] - c.x[j]) * (v.x[j] - c.x[j]))) AS d
+  FROM kept v CROSS JOIN c{i} c
+), a{i} AS (
+  SELECT place, n, d FROM p{i} QUALIFY row_number() OVER (PARTITION BY place ORDER BY d, n) = 1
+"""
+_MEANS = """
+), m{i} AS (
+  SELECT n, list(CAST(floor(s / m) AS BIGINT) ORDER BY j) AS x FROM (
+    SELECT a.n, u.j, sum(v.x[u.j])::DOUBLE AS s, count(*) AS m
+    FROM a{i} a JOIN kept v USING (place), unnest(range(1, 65)) AS u(j) GROUP BY a.n, u.j) GROUP BY n
+), c{k} AS (
+  SELECT c.n, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (n)
+"""
+
+OP12 = (
+    r"""
+WITH kept AS (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS n, x FROM kept
+  ORDER BY sha256('1:' || vec_id), x LIMIT 16
+"""
+    + "".join(_ROUND.format(i=i) + _MEANS.format(i=i, k=i + 1) for i in range(3))
+    + _ROUND.format(i=3)
+    + """
+)
+SELECT vec_id, CAST(n AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY n) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a3 JOIN kept USING (place) JOIN c3 c USING (n)
+"""
+)
+
+OP13 = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT doc_id, part, (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * list_unique(words) < 50 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 'E' ELSE '' END) AS fails
+  FROM texts
+), rows AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failed LEFT JOIN marks USING (doc_id) GROUP BY part, fails
+), orders(filter_order) AS (
+  SELECT '' UNION ALL
+  SELECT filter_order || l FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) f(l) WHERE NOT contains(filter_order, l)
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS letter, filter_order[:step - 1] AS before
+  FROM orders, range(1, 6) AS r(step) WHERE length(filter_order) = 5
+), marked AS (
+  SELECT *, contains(fails, letter) AS hit, before <> '' AND regexp_matches(fails, '[' || before || '_]') AS gone
+  FROM steps CROSS JOIN rows
+), counted AS (
+  SELECT part, filter_order, step, letter, sum(CASE WHEN hit OR gone THEN 0 ELSE n END) AS kept,
+    sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM marked GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM counted
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": OP2,
     "op6_line_dedup": OP6,
     "op8_substring_dedup": OP8,
     "op9_exact_dedup": OP9,
     "op10_url_filter": OP10,
+    "op12_centroid_cluster": OP12,
+    "op13_filter_audit": OP13,
 }

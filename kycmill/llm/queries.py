@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    centroid_cluster,
     chat_format,
     decontaminate,
     exact_dedup,
+    filter_audit,
+    hamming_index,
     language_id,
     license_scan,
     line_dedup,
@@ -110,3 +113,19 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.url_filter(table(spark, folder, "pages"))
+
+
+@query
+def op11_hamming_index(spark: SparkSession, folder: str) -> DataFrame:
+    return hamming_index.nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_centroid_cluster(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroid_cluster.cluster_vectors(table(spark, folder, "embeddings"))
+    return found.withColumn("centroid_sha256", centroid_cluster.centroid_digest(F.col("centroid"))).drop("centroid")
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
