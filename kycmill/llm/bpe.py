@@ -1,10 +1,10 @@
 """Byte-pair encoding as a streaming transducer with bounded lookahead, and incremental decoding.
 
 Encoding. A text is cut where white space stands and into words by the tokenizer's pattern. Merges never
-cross words; short words are merged at once and remembered (in a bounded memory). A longer word streams
-through ``Transducer``: from the merge list alone a number of symbols is computed that is enough to look
-ahead, and a token is put out as soon as so many symbols after it have been read. Memory is the lookahead
-plus one piece, whatever the word's length.
+cross words. Every word that is not remembered streams through ``Transducer``: from the merge list alone a
+number of symbols is computed that is enough to look ahead, and a token is put out as soon as so many symbols
+after it have been read (a short word ends before any is due). Memory is the lookahead plus one piece, whatever
+the word's length, plus the remembered words, which are bounded in bytes.
 
 Why the lookahead suffices. Take merges in the order of the list. Whether a token u ends at a place after
 merge r depends on the text up to ``reach[u]`` symbols further: to be sure that merge (u, v) does not take
@@ -27,8 +27,9 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,9 @@ from .common import packed, small
 
 #: Characters cut from a text at a time, and ids decoded at a time.
 PIECE = 1 << 16
-#: Longer words are streamed; words remembered per generation.
-SHORT, REMEMBERED = 64, 1 << 16
+#: Longer words are not remembered; bytes of words remembered per generation (there are two), a word's share of
+#: tables and headers; lists of symbols up to a length are merged by scanning, longer ones by a heap.
+REMEMBERED, MEMORY_BYTES, WORD_BYTES, SCANNED = 64, 64 << 20, 200, 64
 #: Fixed values of the public file formats: the pattern that byte-level files leave unnamed.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points assigned after Unicode 16, which the tokenizers library does not count as letters
@@ -66,6 +68,20 @@ _SMALL = {
 }
 _HAS_NEWER_CAPITALS = re.compile("[" + "".join(map(chr, _SMALL)) + "]").search
 _HAS_NEWER = re.compile(f"[{_NEWER}]").search
+#: One range that holds all of the above: most texts are settled by it, or by their encoding.
+_HAS_HIGH = re.compile("[\u0558-\U0010ffff]").search
+
+
+def _may_be_newer(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _HAS_HIGH(text) is not None
+    return False
+
+
 #: White space as the tokenizers' patterns have it; ``str.isspace`` also holds for 1C to 1F, which are symbols.
 _BLANK = regex.compile(r"\s")
 
@@ -100,10 +116,20 @@ class Tokenizer:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {pair: i for i, pair in enumerate(merges)}
         self.lookahead = sufficient_lookahead(merges, self.suffix)
+        # A pair of ids is one number; its rank is its place in the merge list, and each rank has a result.
+        self.base = max(self.vocab.values(), default=0) + 1
+        self.rank = {self.vocab[a] * self.base + self.vocab[b]: i for i, (a, b) in enumerate(merges)}
+        self.result = [self.vocab[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.alphabet = byte_alphabet()
+        #: Ids of the symbols of a byte: inside a word, and at its end.
+        self.inside = [self.vocab.get(c, -1) for c in self.alphabet]
+        self.at_end = [self.vocab.get(c + self.suffix, -1) for c in self.alphabet]
+        #: How many symbols a token stands for.
+        self.length = [0] * self.base
+        for token, i in self.vocab.items():
+            self.length[i] = len(token) - (len(self.suffix) if self.suffix and token.endswith(self.suffix) else 0)
         steps = self._parts(spec.get("normalizer"), "normalizers")
         self.nfc = any(s["type"] == "NFC" for s in steps)
         self.lower = any(s["type"] == "Lowercase" for s in steps)
@@ -120,82 +146,65 @@ class Tokenizer:
         self.byte_decoder = bool(spec.get("decoder"))
         known = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, known))) if known else None
-        self.memory: tuple[dict, dict] = ({}, {})
+        self.stream = Transducer(self)
+        self.memory = Memory(self.word_ids)
 
     @staticmethod
     def _parts(step: dict | None, name: str) -> list[dict]:
         return [] if step is None else step.get(name, [step])
 
-    def normalised(self, text: str) -> str:
+    def normalised(self, text: str, newer: bool = True) -> str:
+        """As the file's normaliser; ``newer`` is false where no character can be one of the newer ones."""
         if self.nfc and not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if not self.lower:
             return text
-        if not text.isascii() and _HAS_NEWER_CAPITALS(text):
+        if newer and _HAS_NEWER_CAPITALS(text):
             text = text.translate(_SMALL)
         # Characters are lowered one by one: a sigma is not treated differently at a word's end.
         return text.replace("Σ", "σ").lower()
 
-    def symbols(self, word: str) -> list[str]:
-        found = [self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
-        found[-1] += self.suffix
-        return found
-
-    def merged(self, symbols: list[str]) -> list[str]:
+    def merged(self, ids: list[int]) -> list[int]:
         """All merges of a list of symbols: always the earliest of the merge list, leftmost first."""
-        none = len(self.rank)
-        if len(symbols) <= SHORT:
-            ranks = [self.rank.get(p, none) for p in zip(symbols, symbols[1:])]
+        base, rank, result, none = self.base, self.rank.get, self.result, len(self.result)
+        if len(ids) <= SCANNED:
+            ranks = [rank(a * base + b, none) for a, b in zip(ids, ids[1:])]
             while ranks and (best := min(ranks)) < none:
                 i = ranks.index(best)
-                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+                ids[i : i + 2] = [result[best]]
                 del ranks[i]
                 if i:
-                    ranks[i - 1] = self.rank.get((symbols[i - 1], symbols[i]), none)
+                    ranks[i - 1] = rank(ids[i - 1] * base + ids[i], none)
                 if i < len(ranks):
-                    ranks[i] = self.rank.get((symbols[i], symbols[i + 1]), none)
-            return symbols
-        after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        heap = [(self.rank[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in self.rank]
+                    ranks[i] = rank(ids[i] * base + ids[i + 1], none)
+            return ids
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank(a * base + b, none)) < none]
         heapq.heapify(heap)
-        found: list[str | None] = list(symbols)
+        found: list[int | None] = list(ids)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            best, i, left, right = heapq.heappop(heap)
             j = after[i]
             if found[i] != left or j >= len(found) or found[j] != right:
                 continue
-            found[i], found[j] = left + right, None
+            found[i], found[j] = result[best], None
             after[i] = after[j]
             if after[j] < len(found):
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(found) and (pair := (found[a], found[b])) in self.rank:
-                    heapq.heappush(heap, (self.rank[pair], a, *pair))
+                if a >= 0 and b < len(found) and (r := rank(found[a] * base + found[b], none)) < none:
+                    heapq.heappush(heap, (r, a, found[a], found[b]))
         return [t for t in found if t is not None]
 
     def word_ids(self, word: str) -> bytes:
         """The ids of a word as 32-bit numbers."""
-        if len(word) <= SHORT:
-            tokens: Iterable[str] = self.merged(self.symbols(word))
+        data = word.encode("utf-8", "surrogatepass")
+        if len(data) <= PIECE:
+            found = self.stream.feed(data)
         else:
-            stream = Transducer(self)
-            tokens = [t for i in range(0, len(word), PIECE) for t in stream.feed(word[i : i + PIECE])]
-            tokens += stream.finish()
-        return np.array([self.vocab[t] for t in tokens], np.int32).tobytes()
-
-    def remembered(self, word: str) -> bytes:
-        """As ``word_ids``; the newest words are kept, in two generations."""
-        young, old = self.memory
-        found = young.get(word)
-        if found is None:
-            found = old.get(word)
-            if found is None:
-                found = self.word_ids(word)
-            if len(word) <= SHORT:
-                if len(young) >= REMEMBERED:
-                    self.memory = young, old = {}, young
-                young[word] = found
-        return found
+            found = [t for i in range(0, len(data), PIECE) for t in self.stream.feed(data[i : i + PIECE])]
+        found += self.stream.finish()
+        return array("i", found).tobytes()
 
     def plain_ids(self, text: str) -> Iterator[bytes]:
         """The ids of a text without special tokens, word by word."""
@@ -203,9 +212,12 @@ class Tokenizer:
         while start < len(text):
             blank = _BLANK.search(text, start + PIECE) if self.drops_blanks else None
             past = blank.start() if blank else len(text)
-            piece = self.normalised(text[start:past])
-            newer = not piece.isascii() and _HAS_NEWER(piece)
-            yield from map(self.remembered, (self.careful_words if newer else self.words).findall(piece))
+            piece = text[start:past]
+            # Composing never leads up to the newer characters, lowering only from others of them.
+            newer = _may_be_newer(piece)
+            piece = self.normalised(piece, newer)
+            newer = newer and _HAS_NEWER(piece)
+            yield from map(self.memory.__getitem__, (self.careful_words if newer else self.words).findall(piece))
             start = past
 
     def encode(self, text: str) -> np.ndarray:
@@ -219,34 +231,59 @@ class Tokenizer:
         return np.frombuffer(b"".join(found), np.int32)
 
 
+class Memory(dict):
+    """Words with what ``make`` makes of them; the newest are kept, in two generations of bounded size."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.old, self.size = make, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= REMEMBERED:
+            self.size += WORD_BYTES + 4 * len(word) + len(found)
+            if self.size > MEMORY_BYTES:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Transducer:
-    """One word, fed in pieces; tokens come out once nothing that follows can change them."""
+    """One word after another, fed in pieces of bytes; ids come out once nothing that follows can change them."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
-        self.waiting: list[str] = []
-        self.step = max(256, tokenizer.lookahead)
-
-    def feed(self, piece: str) -> Iterator[str]:
-        alphabet, ahead = self.tokenizer.alphabet, self.tokenizer.lookahead
-        for byte in piece.encode("utf-8", "surrogatepass"):
-            self.waiting.append(alphabet[byte])
-            # The last symbol of a word has a suffix, so one more is always held back.
-            if len(self.waiting) > ahead + self.step + 1:
-                last = self.waiting.pop()
+        self.waiting: list[int] = []
+        #: The byte read last: the last symbol of a word differs, so one is always held back.
+        self.last: int | None = None
+        self.step = max(256, tokenizer.lookahead, *tokenizer.length)
+
+    def feed(self, piece: bytes) -> list[int]:
+        t, out = self.tokenizer, []
+        read = list(map(t.inside.__getitem__, piece))
+        if self.last is not None:
+            self.waiting.append(t.inside[self.last])
+        if read:
+            self.last = piece[-1]
+            read.pop()
+        most = t.lookahead + self.step
+        for start in range(0, len(read), most):
+            self.waiting += read[start : start + most]
+            while len(self.waiting) > most:
                 place = 0
-                for token in self.tokenizer.merged(list(self.waiting)):
-                    if place + len(token) > len(self.waiting) - ahead:
+                for token in t.merged(self.waiting[:most]):
+                    if place + t.length[token] > most - t.lookahead:
                         break
-                    place += len(token)
-                    yield token
-                self.waiting = [*self.waiting[place:], last]
-
-    def finish(self) -> list[str]:
-        if not self.waiting:
-            return []
-        self.waiting[-1] += self.tokenizer.suffix
-        found, self.waiting = self.tokenizer.merged(self.waiting), []
+                    place += t.length[token]
+                    out.append(token)
+                del self.waiting[:place]
+        return out
+
+    def finish(self) -> list[int]:
+        found = [] if self.last is None else self.tokenizer.merged([*self.waiting, self.tokenizer.at_end[self.last]])
+        self.waiting, self.last = [], None
         return found
 
 
@@ -293,21 +330,20 @@ class Decoder:
         return "".join([*parts, self.finish()])
 
 
-_OPEN: dict[int, object] = {}
+_OPEN: dict[str, tuple[tuple, object]] = {}
 
 
-def _opened(shared, make):
-    """What a task makes of the broadcast file, kept for the next task of the same worker."""
-    key = (shared.value["key"], make.__name__)
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = make(shared.value["source"])
-    return _OPEN[key]
+def _opened(shared, use: str, make: Callable[[str], object], *how):
+    """What a task makes of the broadcast file, kept for the next task of the same worker; one for each use."""
+    key = (shared.value["key"], *how)
+    if use not in _OPEN or _OPEN[use][0] != key:
+        _OPEN[use] = key, make(shared.value["source"])
+    return _OPEN[use][1]
 
 
 def _encode_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _opened(shared, Tokenizer)
+        tokenizer = _opened(shared, "encode", Tokenizer)
         for batch in small(batches):
             found = [tokenizer.encode(t.as_py()) for t in batch.column("text")]
             bounds = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
@@ -318,11 +354,8 @@ def _encode_rows(shared):
 
 
 def _decode_rows(shared, as_text: bool):
-    def decoder(source: str) -> Decoder:
-        return Decoder(Tokenizer(source), as_text)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = decoder(shared.value["source"])
+        opened = _opened(shared, "decode", lambda source: Decoder(Tokenizer(source), as_text), as_text)
         for batch in small(batches):
             texts = [opened.decode(np.asarray(ids.values)) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])

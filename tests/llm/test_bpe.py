@@ -65,12 +65,30 @@ def test_streamed_words_equal_whole_words(name):
         tokens, i, held = [], 0, 0
         while i < len(word):
             n = draw.randrange(1, 300)
-            tokens += stream.feed(word[i : i + n])
+            tokens += stream.feed(word[i : i + n].encode())
             held = max(held, len(stream.waiting))
             i += n
         tokens += stream.finish()
-        assert tokens == own.merged(own.symbols(word))
-        assert held <= own.lookahead + stream.step + 2
+        whole = [own.inside[b] for b in word[:-1].encode()] + [own.at_end[ord(word[-1])]]
+        assert tokens == own.merged(whole)
+        assert held <= own.lookahead + stream.step
+
+
+def test_every_new_word_goes_through_the_transducer():
+    own, _ = loaded(FILES[0])
+    fed, feed = [], own.stream.feed
+    own.stream.feed = lambda piece: fed.append(bytes(piece)) or feed(piece)
+    text = "the cat and " + "x" * 200 + " the cat " + "x" * 200
+    own.encode(text)
+    assert fed == [b"the", b"cat", b"and", b"x" * 200, b"x" * 200]
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    own, library = loaded(FILES[0])
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 20_000)
+    words = [f"w{i % 97}{'abc' * (i % 5)}" for i in range(3000)]
+    assert own.encode(" ".join(words)).tolist() == library.encode(" ".join(words), add_special_tokens=False).ids
+    assert own.memory.size <= 20_000 and len(own.memory) + len(own.memory.old) < 200
 
 
 def test_lookahead_of_a_chain():
