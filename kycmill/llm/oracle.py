@@ -30,13 +30,18 @@ WITH texts AS (
 ), lines AS (
   SELECT place, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM texts
 ), filled AS (
-  SELECT *, row_number() OVER w AS n, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run
-  FROM lines WHERE NOT regexp_full_match(line, '[\x20\x09\x0B-\x0D]*') WINDOW w AS (PARTITION BY place ORDER BY i)
+  SELECT *, row_number() OVER w AS n, sum(length(line)) OVER w AS upto, array_agg(line) OVER (w ROWS BETWEEN CURRENT ROW
+    AND 19 FOLLOWING) AS next FROM lines WHERE NOT regexp_full_match(line, '[\x20\x09\x0B-\x0D]*')
+  WINDOW w AS (PARTITION BY place ORDER BY i)
+), windows AS (
+  SELECT a.place, a.doc_id, a.n, b.n AS last, array_to_string(a.next[:b.n - a.n + 1], chr(10)) AS run,
+    b.upto - a.upto + length(a.line) AS chars
+  FROM filled a JOIN filled b ON a.place = b.place AND b.n BETWEEN a.n AND a.n + 19
+  WHERE chars >= 20 AND (chars - length(a.line) < 20 OR chars - length(b.line) < 20)
 ), repeated AS (
-  SELECT place, n FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, place, n) AS nth FROM filled
-    WHERE run IS NOT NULL) WHERE nth > 1
+  SELECT place, n, last FROM windows QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, place, n) > 1
 ), gone AS (
-  SELECT DISTINCT f.place, f.i FROM (SELECT place, unnest(range(n, n + 3)) AS n FROM repeated) JOIN filled f USING (place, n)
+  SELECT DISTINCT f.place, f.i FROM (SELECT place, unnest(range(n, last + 1)) AS n FROM repeated) JOIN filled f USING (place, n)
 )
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS kept_sha256

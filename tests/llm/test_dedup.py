@@ -100,28 +100,41 @@ def test_substring_passages(spark):
     assert substring_dedup.drop_repeats(docs.limit(0)).count() == 0
 
 
-def slow_lines(rows, run):
+def slow_lines(rows, chars):
     seen, out = set(), []
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     for i, text in order:
         lines = (text or "").split("\n")
         filled = [k for k, line in enumerate(lines) if line.strip(" \t\r\v\f")]
         gone = set()
-        for s in range(len(filled) - run + 1):
-            key = tuple(lines[k] for k in filled[s : s + run])
-            if key in seen:
-                gone.update(filled[s : s + run])
-            seen.add(key)
+        for s in range(len(filled)):
+            for e in range(s + 1, len(filled) + 1):
+                key = tuple(lines[k] for k in filled[s:e])
+                if sum(map(len, key)) >= chars:
+                    if key in seen:
+                        gone.update(filled[s:e])
+                    seen.add(key)
         out.append((i, len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return out
 
 
-@pytest.mark.parametrize("run", [1, 2, 3])
-def test_lines(spark, run):
-    draw = random.Random(run)
-    rows = [(i, "\n".join(draw.choices(["a", "b", "c", "d", "", " \t", "line é"], k=draw.randrange(12)))) for i in range(60)]
-    rows += [(100, None), (101, "a\na\na\na\na\na"), (102, "\n\n"), (103, "x\r\ny\r\nz" * 500), (None, "b\nc\nd\na")]
+def lines_of(docs, chars):
+    return [(r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.drop_repeated_lines(docs, chars).collect()]
+
+
+@pytest.mark.parametrize("chars", [1, 4, 9, 20])
+def test_lines(spark, chars):
+    draw = random.Random(chars)
+    pool = ["a", "b", "ccc", "dd", "", " \t", "line é", "a line of more than twenty"]
+    rows = [(i, "\n".join(draw.choices(pool, k=draw.randrange(14)))) for i in range(60)]
+    rows += [(100, None), (101, "a\na\na\na\na\na"), (102, "\n\n"), (103, "x\r\ny\r\nz" * 30), (None, "b\nccc\nd\na")]
     docs = frame(spark, rows)
-    got = [(r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.drop_repeated_lines(docs, run).collect()]
-    assert sorted(got, key=key_of) == sorted(slow_lines(rows, run), key=key_of)
-    assert line_dedup.drop_repeated_lines(docs.limit(0), run).count() == 0
+    assert sorted(lines_of(docs, chars), key=key_of) == sorted(slow_lines(rows, chars), key=key_of)
+    assert line_dedup.drop_repeated_lines(docs.limit(0), chars).count() == 0
+
+
+def test_single_lines_and_repeated_rows(spark):
+    rows = [(1, "one long line repeated"), (2, "one long line repeated"), (3, "short"), (4, "short")]
+    rows += [(5, "first line of this text\n\nsecond")] * 3 + [(None, "x"), (None, "x")]
+    assert sorted(lines_of(frame(spark, rows), 20), key=key_of) == sorted(slow_lines(rows, 20), key=key_of)
+    assert sorted((r[0], r[2]) for r in lines_of(frame(spark, rows[4:7]), 20)) == [(5, 0), (5, 2), (5, 2)]
