@@ -35,7 +35,7 @@ WALK = """
 WITH RECURSIVE walk(prefix, step, letter, applied, mask, removes, keeps, late) AS (
   SELECT '', 0, '', 0, mask, false, true, false FROM {masks}
   UNION ALL
-  SELECT w.prefix || f.letter, w.step + 1, f.letter, w.applied | f.bit, w.mask,
+  SELECT /*+ BROADCAST(f) */ w.prefix || f.letter, w.step + 1, f.letter, w.applied | f.bit, w.mask,
     (w.mask & f.bit) <> 0 AND (w.mask & w.applied) = 0,
     (w.mask & (w.applied | f.bit)) = 0,
     (w.mask & f.bit) <> 0 AND (w.mask & w.applied) <> 0
@@ -95,8 +95,8 @@ def mask_cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def walk(spark) -> DataFrame:
     """Every prefix of filters with every mask; the same for any input."""
-    masks = spark.range(1 << len(LETTERS)).select(F.col("id").cast("int").alias("mask"))
-    filters = spark.createDataFrame([(x, 1 << i) for i, x in enumerate(LETTERS)], "letter string, bit int")
+    masks = spark.range(0, 1 << len(LETTERS), 1, 1).select(F.col("id").cast("int").alias("mask"))
+    filters = spark.createDataFrame([(x, 1 << i) for i, x in enumerate(LETTERS)], "letter string, bit int").coalesce(1)
     bit = f"(1 << (instr('{LETTERS}', letter) - 1))"
     return spark.sql(WALK.replace("{bit}", bit), masks=masks, filters=filters)
 
@@ -104,12 +104,12 @@ def walk(spark) -> DataFrame:
 def audit_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per part, order of the five filters and step, zeros included."""
     cells = checkpointed(mask_cells(docs, labels))
-    levels = walk(docs.sparkSession)
+    levels = checkpointed(walk(docs.sparkSession).coalesce(1))
 
     def total(flag: str, weight: str = "n") -> Column:
         return F.sum(F.when(F.col(flag), F.col(weight)).otherwise(0)).cast("long")
 
-    steps = cells.join(levels, "mask").groupBy("part", "prefix", "step", "letter").agg(
+    steps = cells.join(F.broadcast(levels), "mask").groupBy("part", "prefix", "step", "letter").agg(
         total("keeps").alias("kept"),
         total("removes").alias("removed"),
         total("late").alias("redundant"),
@@ -117,11 +117,12 @@ def audit_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
         total("removes", "good").alias("good_lost"),
         total("removes", "toxic").alias("toxic_lost"),
     )
-    orders = levels.filter(F.col("step") == len(LETTERS)).select(F.col("prefix").alias("filter_order")).distinct()
+    # One mask of 32 is enough to name the orders. Levels and orders have a fixed number of rows.
+    orders = levels.filter(f"step = {len(LETTERS)} AND mask = 0").select(F.col("prefix").alias("filter_order"))
     places = orders.select("filter_order", F.explode(F.sequence(F.lit(1), F.lit(len(LETTERS)))).alias("upto")).select(
         "filter_order", F.expr("substring(filter_order, 1, upto)").alias("prefix")
     )
-    found = checkpointed(steps.join(places, "prefix"))
+    found = checkpointed(steps.join(F.broadcast(places), "prefix"))
     shares = found.groupBy("part", "letter").agg(F.sum("removed").alias("shapley"))
     return found.join(shares, ["part", "letter"]).select(
         "part", "filter_order", F.col("step").cast("int").alias("step"), "kept", "removed", "redundant",
