@@ -1,6 +1,6 @@
 """Benchmark passages in documents: q-gram lemma filter, then banded alignment.
 
-Texts are compared in lower case, with every run of characters that are neither letters nor digits as one
+Texts are compared in lower case, with every run of characters that are neither letters, marks nor digits as one
 blank. A leak is any stretch of ``SEGMENT`` characters of a benchmark item, wherever it starts (a shorter
 item is one stretch), with at most ``EDIT_RATE`` edits. A stretch of m characters with at most e edits shares
 at least m - q + 1 - q e of its q-grams with the document, on diagonals at most e apart. The q-grams an item
@@ -8,8 +8,10 @@ shares with a document are gathered in overlapping bands of diagonals; a stretch
 within a band is aligned with the document in that band, which decides.
 
 The index of the benchmark has a fixed bound: a larger benchmark is dealt into several indexes, and the
-documents pass through all of them in the same stage. Documents are never shuffled, and a long text is read
-in pieces that overlap by more than a stretch.
+documents pass through one after another; between two of them they are written to the shared folder, so a task
+holds one index. Documents are never shuffled. A text is read in pieces that overlap by more than a stretch, and
+a piece with very many shared q-grams (a page of one letter) is cut further and taken some items at a time, so
+that no more than about ``PAIRS`` shared places are held at once.
 
 Defined cases: null text counts as empty; items under ``Q`` characters are not searched; repeated rows and
 items get the same answer; an empty benchmark or table finds nothing; other columns do not matter.
@@ -17,6 +19,8 @@ items get the same answer; an empty benchmark or table finds nothing; other colu
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import short_batches, small
+from .common import short_batches, small, stored
 from .hashing import U
 
 Q = 12
@@ -39,8 +43,10 @@ BAND = 16
 GROUP = 128
 #: Characters of the benchmark in one index.
 INDEX_CHARS = 4_000_000
-#: Characters of a text read at a time.
-PIECE = 1 << 20
+#: Characters of a text read at a time, characters by which pieces overlap, shared places held at a time.
+PIECE, OVERLAP, PAIRS = 1 << 20, 2 * SEGMENT + 4 * BAND, 1 << 20
+#: Longer items are indexed in parts of so many characters.
+PART = 4096
 _BLANK = 0
 _BITS = 22
 
@@ -56,30 +62,21 @@ LEAKS = T.ArrayType(
 )
 
 
-def _code_table() -> np.ndarray:
-    """Codes below 256 of the first 0x3100 characters: 0 for what separates, else never 0."""
-    code = np.arange(0x3100) % 255 + 1
-    code[:0x80] = _BLANK
-    for low, high in (("0", "9"), ("a", "z")):
-        code[ord(low) : ord(high) + 1] = np.arange(ord(low), ord(high) + 1)
-    for low, high in ((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0x2000, 0x206F), (0x3000, 0x303F)):
-        code[low : high + 1] = _BLANK
-    return code.astype(np.uint8)
-
-
-_CODES = _code_table()
+@functools.cache
+def _separates() -> np.ndarray:
+    """For every code point whether it is neither letter, mark nor digit."""
+    return np.array([unicodedata.category(chr(c))[0] not in "LMN" for c in range(0x110000)])
 
 
 def normalised(text: str, after_blank: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the compared characters, and where in ``text`` each stands."""
+    """Code points of the compared characters (0: blank), and where in ``text`` each stands."""
     lower = text.lower()
     if len(lower) != len(text):  # a few characters grow in lower case; these stay as they are
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     points = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.where(points < len(_CODES), _CODES[np.minimum(points, len(_CODES) - 1)], points % 255 + 1)
-    blank = code == _BLANK
+    blank = _separates()[points]
     kept = np.flatnonzero(~(blank & np.r_[after_blank, blank[:-1]]))
-    return code[kept].astype(np.uint8), kept
+    return np.where(blank, _BLANK, points).astype(np.int32)[kept], kept
 
 
 def grams(code: np.ndarray) -> np.ndarray:
@@ -100,6 +97,12 @@ def _limits(chars: int) -> tuple[int, int, int]:
     return size, edits, size - Q + 1 - Q * edits
 
 
+def _parts(code: np.ndarray) -> Iterator[np.ndarray]:
+    """A long item in parts; every stretch lies in one of them."""
+    for start in range(0, max(1, len(code) - SEGMENT + 1), PART - SEGMENT + 1):
+        yield code[start : start + PART]
+
+
 class Segment(NamedTuple):
     item_id: int
     code: np.ndarray
@@ -126,7 +129,7 @@ class Index:
     """q-grams of some items, with a table that rules out most q-grams of a text."""
 
     def __init__(self, items: Iterable[tuple[int, str]]):
-        coded = [(item_id, _item_code(text)) for item_id, text in items]
+        coded = [(item_id, part) for item_id, text in items for part in _parts(_item_code(text))]
         self.items = [(item_id, code) for item_id, code in coded if len(code) >= Q]
         found = [grams(code) for _, code in self.items]
         every = np.concatenate([np.zeros(0, U), *found])
@@ -146,8 +149,11 @@ class Index:
     def _slot(gram: np.ndarray) -> np.ndarray:
         return (gram * U(0x9E3779B97F4A7C15)) >> U(64 - _BITS)
 
-    def regions(self, code: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Item, lowest diagonal of a band, and the stretches that share enough q-grams with the text in it."""
+    def regions(self, code: np.ndarray, done: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Item, lowest diagonal of a band, and the stretches that share enough q-grams with the text in it.
+
+        ``done`` flags items that are not looked for any more; the caller may set flags between results.
+        """
         if not len(self.grams):
             return
         gram = grams(code)
@@ -156,14 +162,51 @@ class Index:
         slot[slot == len(self.grams)] = 0
         real = self.grams[slot] == gram[at]
         at, slot = at[real], slot[real]
+        upto = np.cumsum(self.past[slot] - self.first[slot])
+        first = 0
+        while first < len(at):
+            before = int(upto[first - 1]) if first else 0
+            past = int(np.searchsorted(upto, before + PAIRS, "right"))
+            past = min(len(at), max(past, int(np.searchsorted(at, at[first] + 2 * OVERLAP))))
+            yield from self._found(at[first:past], slot[first:past], len(code), done)
+            if past == len(at):
+                return
+            first = int(np.searchsorted(at, at[past] - OVERLAP))
+
+    def _shared(self, at: np.ndarray, slot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Place in the text, item and place in the item of the shared q-grams, some at a time."""
         n = self.past[slot] - self.first[slot]
-        if not n.sum():
+        upto = np.cumsum(n)
+        for total in range(0, int(upto[-1]), PAIRS):
+            some = slice(*np.searchsorted(upto, (total, total + PAIRS), "right"))
+            m = n[some]
+            entry = np.repeat(self.first[slot[some]] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+            yield np.repeat(at[some], m), self.which[entry], self.place[entry]
+
+    def _found(self, at: np.ndarray, slot: np.ndarray, chars: int, done: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        if not len(at):
             return
-        entry = np.repeat(self.first[slot] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        which, place = self.which[entry], self.place[entry]
+        share = np.zeros(len(self.items), np.int64)
+        parts = self._shared(at, slot)
+        if (self.past[slot] - self.first[slot]).sum() <= PAIRS:
+            parts = list(parts)
+        else:
+            for _, which, _ in parts:
+                share += np.bincount(which, minlength=len(share))
+            parts = None
+        # Items are taken together up to the bound; each item's places are needed at once.
+        group = np.cumsum(share) // PAIRS
+        for g in np.unique(group):
+            mine = (group == g) & ~done
+            some = [tuple(x[mine[p[1]]] for x in p) for p in (parts or self._shared(at, slot))]
+            spots, which, place = (np.concatenate(x) for x in zip(*some))
+            if len(spots):
+                yield from self._bands(spots, which, place, chars)
+
+    def _bands(self, spots: np.ndarray, which: np.ndarray, place: np.ndarray, chars: int) -> Iterator[tuple[int, int, np.ndarray]]:
         longest = (int(self.chars.max()) // BAND + 1) * BAND
-        band = (np.repeat(at, n) - place + longest) // BAND
-        wide = (len(code) + longest) // BAND + 2  # more than any band number
+        band = (spots - place + longest) // BAND
+        wide = (chars + longest) // BAND + 2  # more than any band number
         # A band is two steps wide: what lies in step b belongs to the bands b and b - 1.
         key = which * wide + band + 1
         keys, counts = np.unique(key, return_counts=True)
@@ -209,7 +252,7 @@ def align(parts: np.ndarray, code: np.ndarray, diagonals: np.ndarray, most: int)
     low = diagonals - most
     cell = low[:, None] + np.arange(size + width)
     known = (cell >= 0) & (cell < len(code))
-    padded = np.where(known, code[np.clip(cell, 0, len(code) - 1)], 256).astype(np.int16)
+    padded = np.where(known, code[np.clip(cell, 0, len(code) - 1)], -1)
     start = low[:, None] + step
     costs = np.where((start >= 0) & (start <= len(code)), 0, size + 1).astype(np.int32)
     outside = np.full((len(parts), 1), size + 1, np.int32)
@@ -225,22 +268,24 @@ def align(parts: np.ndarray, code: np.ndarray, diagonals: np.ndarray, most: int)
 def leaks(text: str, index: Index) -> list[dict]:
     """Each item of the index with a stretch in the text: the fewest edits of one, and a place that has them."""
     best: dict[int, tuple[int, int, int]] = {}
-    keep = 2 * SEGMENT + 4 * BAND
-    code, where = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    done = np.zeros(len(index.items), bool)
+    code, where = np.zeros(0, np.int32), np.zeros(0, np.int64)
     for base in range(0, len(text), PIECE):
         new, place = normalised(text[base : base + PIECE], not len(code) or code[-1] == _BLANK)
-        code, where = np.r_[code[-keep:], new], np.r_[where[-keep:], place + base]
-        for number, diagonal, starts in index.regions(code):
+        code, where = np.r_[code[-OVERLAP:], new], np.r_[where[-OVERLAP:], place + base]
+        for number, diagonal, starts in index.regions(code, done):
             item_id, item = index.items[number]
             size, most = int(index.size[number]), int(index.edits[number])
             for first in range(0, len(starts), GROUP):
                 if best.get(item_id, (1,))[0] == 0:
+                    done[number] = True
                     break
                 some = starts[first : first + GROUP]
                 edits, past = align(item[some[:, None] + np.arange(size)], code, diagonal + some, most)
                 for e, end in zip(edits[edits <= most].tolist(), past[edits <= most].tolist()):
                     value = (e, int(where[max(0, end - size)]), int(where[min(end, len(where)) - 1]) + 1)
                     best[item_id] = min(best.get(item_id, value), value)
+            done[number] |= best.get(item_id, (1,))[0] == 0
     return [{"item_id": i, "n_edits": e, "first": a, "past": b} for i, (e, a, b) in sorted(best.items())]
 
 
@@ -272,6 +317,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", index_
         texts = dealt.filter(F.col("part") == part).select("item_id", "text").distinct().collect()
         shared = docs.sparkSession.sparkContext.broadcast(Index((r["item_id"], r["text"]) for r in texts))
         rows = rows.mapInArrow(_leak_rows(shared, text), rows.schema)
+        if part + 1 < parts:
+            rows = stored(rows, "decontaminate")
+            shared.destroy()
     return rows
 
 

@@ -264,3 +264,41 @@ def test_every_stretch_of_an_item_is_found():
             assert number in {x["item_id"] for x in found}, (number, start)
             short = item[start : start + size - 10]
             assert not decontaminate.leaks(around[0] + "zzzzz" + short + "zzzzz" + around[1], index)
+
+
+@pytest.mark.parametrize("pairs", [2000, 40_000, 1 << 20])
+def test_leaks_in_repetitive_texts(monkeypatch, pairs):
+    """Runs of one letter share q-grams at every place; results do not depend on how many are held at once."""
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    monkeypatch.setattr(decontaminate, "PART", 160)
+    items = [(0, "a" * 150), (1, "0 0 0 " * 20), (2, "a" * 60 + "b" * 90), (3, "a" * 50 + " plain words here " * 5), (4, "c" * 400)]
+    index = decontaminate.Index(items)
+    texts = ["a" * 600, "0 " * 200, "x" + "a" * 90 + "b" * 40 + "y", "a b " * 60, "a" * 99 + "zz", "c" * 130 + "a" * 57 + "b" * 60]
+    got = [[x["item_id"] for x in decontaminate.leaks(t, index)] for t in texts]
+    for text, found in zip(texts, got):
+        code = decontaminate.normalised(text)[0].tolist()
+        want = [i for i, t in items if any(edits(s.code.tolist(), code) <= s.n_edits for s in decontaminate.segments(i, t))]
+        assert found == want, text[:20]
+
+
+def test_leaks_bounded_memory():
+    """A megabyte of one letter against an item of it."""
+    import tracemalloc
+
+    index = decontaminate.Index([(0, "a" * 300), (1, "b" * 150 + "a" * 150)])
+    decontaminate.normalised("x")
+    tracemalloc.start()
+    found = decontaminate.leaks("a" * (1 << 20), index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x["item_id"] for x in found] == [0, 1] and peak < 400e6, peak
+
+
+def test_leaks_between_other_symbols():
+    """Symbols of any script are blanks; letters of any script count as they are."""
+    item = "the quick brown fox jumps over the lazy dog and runs far away from it all day long until night falls"
+    index = decontaminate.Index([(0, item), (1, "漢字かな" * 30)])
+    assert [x["item_id"] for x in decontaminate.leaks(item.replace(" ", "，"), index)] == [0]
+    assert [x["item_id"] for x in decontaminate.leaks(item.replace(" ", " 😀×"), index)] == [0]
+    assert [x["item_id"] for x in decontaminate.leaks("漢字かな" * 30, index)] == [1]
+    assert decontaminate.leaks("漢字かば" * 30, index) == []
