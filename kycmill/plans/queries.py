@@ -24,7 +24,7 @@ from ..operators import (
 from ..schemas import DOMAINS
 from ..session import configure, scratch_path
 from ..sources.views import Views
-from ..streaming import operators
+from ..streaming import lifecycle, operators
 from ..streaming.runs import file_stream, run_to_files, table_stream
 
 Query = Callable[[Views], DataFrame]
@@ -455,8 +455,8 @@ def risk_assessment(v: Views) -> DataFrame:
     return scored.select("case_id", "evidence_id", "created_at", "risk_score", "needs_review", "risk_reason")
 
 
-def decided_cases(v: Views) -> DataFrame:
-    """The whole decision path over all cases: newest evidence of each kind, then the cascade."""
+def _evidence_tables(v: Views) -> list[DataFrame]:
+    """Document keys, steps, and the newest evidence of each kind, one row per case."""
     latest = review.latest_evidence(v.evidence())
     unsure = F.col("confidence") < 0.905
     issue = "exhausted 3 retries; last issue: no document visible"
@@ -469,8 +469,12 @@ def decided_cases(v: Views) -> DataFrame:
     )
     faces = latest.select("case_id", F.col("face").alias("similarity_score"))
     screens = latest.select("case_id", F.col("hits").alias("hit_count"))
-    keys = review.document_keys(v.documents())
-    return decisions.case_decisions(v.cases(), keys, v.steps(), extractions, faces, screens)
+    return [review.document_keys(v.documents()), v.steps(), extractions, faces, screens]
+
+
+def decided_cases(v: Views) -> DataFrame:
+    """The whole decision path over all cases: newest evidence of each kind, then the cascade."""
+    return decisions.case_decisions(v.cases(), *_evidence_tables(v))
 
 
 @query
@@ -618,36 +622,13 @@ def stream_status_counts(v: Views) -> DataFrame:
     return operators.run_status_counts(stream.filter(F.col("status").isNotNull()))
 
 
-def lifecycle_events(v: Views) -> DataFrame:
-    """Assessments of all cases and all reviewer decisions as one log in order of arrival."""
-    null = F.lit(None).cast("string")
-    assessed = decided_cases(v).select(
-        "case_id",
-        (F.col("case_id") % 7 * 1000).cast("bigint").alias("seq"),
-        F.lit("assessed").alias("kind"),
-        "status",
-        "reason",
-    )
-    decided = v.decisions().join(
-        v.cases().select("tenant_id", "case_id"), ["tenant_id", "case_id"], "left_semi"
-    )
-    return assessed.unionByName(
-        decided.select(
-            "case_id",
-            F.col("decision_id").alias("seq"),
-            F.lit("decision").alias("kind"),
-            F.col("decision").alias("status"),
-            null.alias("reason"),
-        )
-    )
-
-
 @query
 def stream_case_lifecycle(v: Views) -> DataFrame:
-    log = lifecycle_events(v)
+    """All evidence and decisions as events, in several files and two batches that cut through the cases."""
+    log = lifecycle.lifecycle_log(v.cases(), *_evidence_tables(v), v.decisions())
     path = scratch_path(v.spark, "lifecycle-log")
-    log.write.parquet(path)
-    transitions = run_to_files(operators.stream_case_lifecycle(file_stream(log, path)), "lifecycle")
+    log.repartition(8, "seq").write.parquet(path)
+    transitions = run_to_files(lifecycle.stream_case_lifecycle(file_stream(log, path, 4)), "lifecycle")
     # A decision may follow the parking with the same number: the later of the two is the final one.
     rank = F.struct("seq", F.col("status") != "needs_review")
     return transitions.groupBy("case_id").agg(F.max_by("status", rank).alias("final_status"))

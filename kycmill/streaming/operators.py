@@ -1,8 +1,8 @@
-"""Streaming forms of the operators: event fan-out, ingest, quota, audit chain, case lifecycle, counts."""
+"""Streaming forms of the operators: event fan-out, ingest, quota, audit chain, counts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,11 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.audit import build_audit_chain, chain_heads
 from ..operators.mutations import without_empty_keys
-from ..schemas import NO_EXTRACTION, QUOTA_LIMIT, QUOTA_WINDOW_S
+from ..schemas import QUOTA_LIMIT, QUOTA_WINDOW_S
 from .runs import run_batches, run_to_files
 
 EVENT = "tenant_id string, case_id string, status string, decision string"
-UPLOAD_TIMEOUT_MIN = 20
 
 
 def stream_case_events(stream: DataFrame, tenant_id: object | None = None) -> DataFrame:
@@ -71,69 +70,6 @@ def stream_quota(
     )
 
 
-Event = tuple[int, str, str, str | None]  # seq, kind, status, reason
-CaseState = tuple[str, list[str]]  # phase, decisions that arrived and are not used yet
-
-
-def advance(events: Iterable[Event], known: CaseState | None) -> tuple[CaseState, list[tuple]]:
-    """Apply the events of one case, in order, to its state: new state and ``(status, reason, seq)`` rows.
-
-    Phases: open, parked (waiting for a reviewer), final.
-    """
-    phase, pending = (known[0], list(known[1])) if known else ("open", [])
-    out = []
-    for seq, kind, status, reason in events:
-        if kind == "assessed" and phase == "open":
-            phase = "parked" if status == "needs_review" else "final"
-            out.append((status, reason, seq))
-        elif kind == "decision" and phase != "final":
-            pending.append(status)
-        while phase == "parked" and pending:
-            decision = pending.pop(0)
-            if decision != "escalated":
-                phase = "final"
-                out.append((decision, None, seq))
-    return (phase, [] if phase == "final" else pending), out
-
-
-def timed_out(known: CaseState | None) -> tuple[CaseState, list[tuple]]:
-    """No evidence within the upload time: the case is parked, and earlier decisions are used."""
-    return advance([(-1, "assessed", "needs_review", NO_EXTRACTION)], known)
-
-
-def stream_case_lifecycle(events: DataFrame, timeout_min: float = UPLOAD_TIMEOUT_MIN) -> DataFrame:
-    """Status transitions of every case from ``events(case_id, seq, kind, status, reason)``.
-
-    Kinds: ``opened``, ``assessed`` (the outcome of the decision cascade) and ``decision`` (by a
-    reviewer). Decisions that come early are kept, escalations are used up, the first other one is
-    final. A case that is not assessed in time is parked.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get if state.exists else None
-        if state.hasTimedOut:
-            known, out = timed_out(known)
-        else:
-            columns = ("seq", "kind", "status", "reason")
-            arrived = [e for b in batches for e in zip(*(b[c].tolist() for c in columns))]
-            known, out = advance(sorted(arrived, key=lambda e: e[0]), known)
-        state.update(known)
-        if known[0] == "open":
-            state.setTimeoutDuration(int(timeout_min * 60_000))
-        if out:
-            statuses, reasons, seqs = zip(*out)
-            yield pd.DataFrame({"case_id": key[0], "status": statuses, "reason": reasons, "seq": seqs})
-
-    id_type = events.schema["case_id"].dataType.simpleString()
-    return events.groupBy("case_id").applyInPandasWithState(
-        run,
-        f"case_id {id_type}, status string, reason string, seq bigint",
-        "phase string, pending array<string>",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
-    )
-
-
 def run_audit_chain(stream: DataFrame) -> DataFrame:
     """Link a stream of audit rows, micro-batch by micro-batch, each from the heads the last one left."""
 
@@ -212,14 +148,11 @@ def run_status_counts(changes: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "advance",
     "run_audit_chain",
     "run_status_counts",
     "run_to_files",
     "stream_case_events",
-    "stream_case_lifecycle",
     "stream_ingest",
     "stream_quota",
     "stream_status_changes",
-    "timed_out",
 ]

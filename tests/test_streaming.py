@@ -123,54 +123,3 @@ def test_event_stream(spark, tmp_path):
     everyone = run_to_files(operators.stream_case_events(stream), "fan-out", folders=["tenant_id"])
     assert sorted((r.seq, r.tenant_id) for r in everyone.collect()) == [(1, "a"), (2, "b")]
     assert len({f.rsplit("/", 2)[1] for f in everyone.inputFiles()}) == 2
-
-
-def test_lifecycle_rules():
-    assess, decide = (lambda s, r=None: (1, "assessed", s, r)), (lambda d: (2, "decision", d, None))
-    assert operators.advance([assess("approved"), decide("rejected")], None) == (("final", []), [("approved", None, 1)])
-    early, out = operators.advance([decide("escalated"), decide("rejected")], None)
-    assert early == ("open", ["escalated", "rejected"]) and out == []
-    done, out = operators.advance([assess("needs_review", "why")], early)
-    assert done == ("final", []) and [o[0] for o in out] == ["needs_review", "rejected"]
-    parked, _ = operators.advance([assess("needs_review"), decide("escalated")], None)
-    assert parked == ("parked", [])
-    late, out = operators.timed_out(("open", ["approved"]))
-    assert late[0] == "final" and out[0][:2] == ("needs_review", "extraction failed or timed out")
-    assert operators.timed_out(("parked", []))[1] == []
-
-
-def test_lifecycle_stream(spark, tmp_path):
-    rows = [
-        (1, 1, "decision", "escalated", None), (1, 2, "decision", "approved", None), (2, 3, "assessed", "approved", None),
-        (3, 4, "assessed", "needs_review", "hit"), (1, 5, "assessed", "needs_review", "low"), (4, 6, "opened", None, None),
-        (3, 7, "decision", "escalated", None), (2, 8, "decision", "rejected", None), (3, 9, "decision", "rejected", None),
-    ]
-    schema = "case_id int, seq bigint, kind string, status string, reason string"
-    stream = parts(spark, rows, schema, tmp_path / "in")
-    got = run_to_files(operators.stream_case_lifecycle(stream), "lifecycle", 4).collect()
-    assert sorted((r.case_id, r.seq, r.status, r.reason) for r in got if r.status) == [
-        (1, 5, "approved", None), (1, 5, "needs_review", "low"), (2, 3, "approved", None),
-        (3, 4, "needs_review", "hit"), (3, 9, "rejected", None),
-    ]
-
-
-def test_lifecycle_timeout(spark, tmp_path):
-    """In a running stream, a case that is opened and never assessed is parked; an early decision is then used."""
-    import time
-
-    rows = [(1, 1, "opened", None, None), (2, 2, "opened", None, None), (2, 3, "decision", "rejected", None)]
-    schema = "case_id int, seq bigint, kind string, status string, reason string"
-    stream = parts(spark, rows, schema, tmp_path / "in", 1)
-    out = operators.stream_case_lifecycle(stream, timeout_min=0.02)
-    writer = out.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-    q = writer.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="1 second").start()
-    try:
-        want = [(1, "needs_review"), (2, "needs_review"), (2, "rejected")]
-        end, got = time.time() + 90, []
-        while time.time() < end and got != want:
-            time.sleep(2)
-            seen = spark.read.schema(out.schema).parquet(str(tmp_path / "out")) if (tmp_path / "out" / "_spark_metadata").exists() else None
-            got = sorted((r.case_id, r.status) for r in seen.collect()) if seen else []
-        assert got == want
-    finally:
-        q.stop()
