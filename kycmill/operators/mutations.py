@@ -129,10 +129,16 @@ def case_state(base: DataFrame, mutations: DataFrame) -> DataFrame:
 
 
 def case_events(mutations: DataFrame) -> DataFrame:
-    """Notification text of each committed status change, for the shared event channel."""
-    text = ordered_json_object(
-        [(c, json_text(F.col(c).cast("string"))) for c in ("tenant_id", "case_id", "status", "decision")]
-    )
+    """Notification text of each committed status change, for the shared event channel.
+
+    A change with ``claimed_by_reviewer_id`` is a claim, and says who claims.
+    """
+    members = [(c, json_text(F.col(c).cast("string"))) for c in ("tenant_id", "case_id", "status", "decision")]
+    text = ordered_json_object(members)
+    if "claimed_by_reviewer_id" in mutations.columns:
+        by = F.col("claimed_by_reviewer_id").cast("string")
+        claim = ordered_json_object([*members, ("claimed_by_reviewer_id", json_text(by))])
+        text = F.when(by.isNull(), text).otherwise(claim)
     return mutations.withColumn("payload", text)
 
 

@@ -562,8 +562,12 @@ where phase='started' and coalesce(next_phase,'started')='started'""",
   round((epoch_us(next_at)-epoch_us(created_at))/1e6,6) as seconds from v_paired
 where phase='started' and next_phase in ('completed','failed')""",
     "quota_admission": "select * from v_quota_result",
-    "stream_case_events": """select event_id as seq, '3' as tenant_id, event_id::varchar as case_id, event_type as status,
-  null::varchar as decision from events where user_id%25=3 and event_id%13<>0""",
+    "stream_case_events": """select *, '{"tenant_id": "'||tenant_id||'", "case_id": "'||case_id||'", "status": "'||status||
+  '", "decision": null'||coalesce(', "claimed_by_reviewer_id": "'||claimed_by_reviewer_id||'"','')||'}' as payload
+from (select event_id as seq, (user_id%25)::varchar as tenant_id, event_id::varchar as case_id,
+    case when event_type='click' then 'needs_review' else event_type end as status, null::varchar as decision,
+    case when event_type='click' then user_id::varchar end as claimed_by_reviewer_id
+  from events where event_id%13<>0)""",
     "stream_quota": "select * from v_quota_result",
     "stream_audit_chain": "select id, tenant_id, prev_row_hash, row_hash from v_chain",
     "stream_ingest": """select case_id as request_id, tenant_id, coalesce(case when nullif(idempotency_key,'') is not null then

@@ -577,24 +577,27 @@ def step_durations(v: Views) -> DataFrame:
 # Streams: each runs over everything there is and is read back
 
 
-def _event_texts(v: Views) -> DataFrame:
-    """The shared channel: one JSON text per event, some of them cut off."""
+def _case_changes(v: Views) -> DataFrame:
+    """Status changes and claims of all tenants as they come in."""
     events = table_stream(v.spark, v.t.folder, "events")
-    rows = events.select(
+    claimed = F.col("event_type") == "click"
+    return events.select(
         F.col("event_id").alias("seq"),
         (F.col("user_id") % 25).alias("tenant_id"),
         F.col("event_id").alias("case_id"),
-        F.col("event_type").alias("status"),
+        F.when(claimed, F.lit("needs_review")).otherwise(F.col("event_type")).alias("status"),
         F.lit(None).cast("string").alias("decision"),
+        F.when(claimed, F.col("user_id")).alias("claimed_by_reviewer_id"),
     )
-    text = F.col("payload")
-    cut = F.when(F.col("seq") % 13 == 0, F.substring(text, 1, 30)).otherwise(text)
-    return mutations.case_events(rows).select("seq", cut.alias("value"))
 
 
 @query
 def stream_case_events(v: Views) -> DataFrame:
-    return run_to_files(operators.stream_case_events(_event_texts(v), TENANT), "case-events")
+    """Changes are stored and published; the channel is read by all tenants. Some texts are cut off on the way."""
+    channel = operators.event_channel(v.spark, operators.run_case_changes(_case_changes(v)))
+    text = F.col("value")
+    cut = F.when(F.col("seq") % 13 == 0, F.substring(text, 1, 30)).otherwise(text)
+    return run_to_files(operators.stream_case_events(channel.select("seq", cut.alias("value"))), "case-events")
 
 
 @query
@@ -624,10 +627,16 @@ def stream_status_counts(v: Views) -> DataFrame:
 
 @query
 def stream_case_lifecycle(v: Views) -> DataFrame:
-    """All evidence and decisions as events, in several files and two batches that cut through the cases."""
+    """All evidence and decisions as events. They come in two batches: decisions in their order, and every eighth
+    case's evidence partly before and partly after its first decisions."""
     log = lifecycle.lifecycle_log(v.cases(), *_evidence_tables(v), v.decisions())
     path = scratch_path(v.spark, "lifecycle-log")
-    log.repartition(8, "seq").write.parquet(path)
+    decided = F.col("kind") == "decision"
+    middle = v.decisions().agg(F.max("decision_id") / 2).first()[0] or 0
+    torn = (F.col("case_id") % 8 == 0) & (F.xxhash64("case_id", "kind") % 2 == 0)
+    late = F.when(decided, F.col("seq") > middle).otherwise(torn)
+    for part in (log.filter(~late), log.filter(late)):
+        part.repartition(4).write.mode("append").parquet(path)
     transitions = run_to_files(lifecycle.stream_case_lifecycle(file_stream(log, path, 4)), "lifecycle")
     # A decision may follow the parking with the same number: the later of the two is the final one.
     rank = F.struct("seq", F.col("status") != "needs_review")

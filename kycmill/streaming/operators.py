@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.audit import build_audit_chain, chain_heads
-from ..operators.mutations import without_empty_keys
+from ..operators.audit import append_log, read_log
+from ..operators.mutations import case_events, without_empty_keys
 from ..schemas import QUOTA_LIMIT, QUOTA_WINDOW_S
+from ..session import scratch_path
+from ..sources.published import names_in, publish
 from .runs import run_batches, run_to_files
 
-EVENT = "tenant_id string, case_id string, status string, decision string"
+EVENT = "tenant_id string, case_id string, status string, decision string, claimed_by_reviewer_id string"
 
 
 def stream_case_events(stream: DataFrame, tenant_id: object | None = None) -> DataFrame:
-    """Events from the shared channel of JSON texts; texts that do not parse are ignored.
+    """Events from the shared channel of JSON texts, with the text as it came; what does not parse is ignored.
 
     With a tenant only its events pass. Without one all do: write them to one folder per tenant.
     """
@@ -30,7 +34,43 @@ def stream_case_events(stream: DataFrame, tenant_id: object | None = None) -> Da
     good = parsed.filter(F.col("e._corrupt").isNull() & F.col("e.tenant_id").isNotNull())
     if tenant_id is not None:
         good = good.filter(F.col("e.tenant_id") == str(tenant_id))
-    return good.select("seq", "e.tenant_id", "e.case_id", "e.status", "e.decision")
+    names = [c.split()[0] for c in EVENT.split(", ")]
+    return good.select("seq", *(f"e.{n}" for n in names), F.col("value").alias("payload"))
+
+
+def run_case_changes(
+    changes: DataFrame, at: str | None = None, trigger: Mapping[str, object] | None = None
+) -> str | StreamingQuery:
+    """Store changes of cases and publish their events, both or neither, each batch once; see ``run_batches``.
+
+    ``changes`` have ``tenant_id``, ``case_id``, ``seq``, ``status``, ``decision`` and whatever else is to be stored;
+    changes without a status have no event. A batch is written aside and then published under its number in one
+    step. A batch that is repeated after a failure is published already, or has been seen by nobody.
+    """
+
+    def each(batch: DataFrame, n: int, path: str) -> None:
+        spark = batch.sparkSession
+        if f"batch={n}" in names_in(spark, f"{path}/committed"):
+            return
+        aside = f"{path}/aside/{uuid.uuid4().hex}"
+        batch.write.parquet(f"{aside}/changes")
+        stored = spark.read.schema(batch.schema).parquet(f"{aside}/changes")
+        events = case_events(stored.filter(F.col("status").isNotNull()))
+        events.select("seq", F.col("payload").alias("value")).write.parquet(f"{aside}/events")
+        publish(spark, aside, f"{path}/committed/batch={n}")
+
+    return run_batches(changes, "case-changes", each, at=at, trigger=trigger)
+
+
+def committed_changes(like: DataFrame, path: str) -> DataFrame:
+    """The stored changes of ``run_case_changes``, with the columns of ``like``."""
+    return like.sparkSession.read.schema(like.schema).parquet(f"{path}/committed/batch=*/changes")
+
+
+def event_channel(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """The events of ``run_case_changes`` as a stream, for ``stream_case_events``."""
+    reader = spark.readStream.schema("seq bigint, value string").option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path}/committed/batch=*/events")
 
 
 def stream_quota(
@@ -70,19 +110,22 @@ def stream_quota(
     )
 
 
-def run_audit_chain(stream: DataFrame) -> DataFrame:
-    """Link a stream of audit rows, micro-batch by micro-batch, each from the heads the last one left."""
+def run_audit_chain(
+    stream: DataFrame, at: str | None = None, trigger: Mapping[str, object] | None = None
+) -> DataFrame | StreamingQuery:
+    """Link a stream of audit rows, micro-batch by micro-batch, each from the heads the log has then.
+
+    The log below ``at`` may have other writers. A later run with the same ``at`` goes on; a batch that is repeated
+    is not appended again. A lasting run (``trigger``) is returned as it runs; ``read_log`` reads what it has linked.
+    """
+    spark = stream.sparkSession
+    out = at or scratch_path(spark, "audit-stream")
 
     def each(batch: DataFrame, n: int, path: str) -> None:
-        heads = batch.sparkSession.read.parquet(f"{path}/heads/batch={n - 1}") if n else None
-        build_audit_chain(batch, heads).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
-        done = chain_heads(batch.sparkSession.read.parquet(f"{path}/rows/batch={n}"))
-        if heads is not None:
-            done = heads.join(done, "tenant_id", "left_anti").unionByName(done)
-        done.write.mode("overwrite").parquet(f"{path}/heads/batch={n}")
+        append_log(batch, path, f"batch-{n}")
 
-    path = run_batches(stream, "audit-stream", each)
-    return stream.sparkSession.read.parquet(f"{path}/rows").drop("batch")
+    done = run_batches(stream, "audit-stream", each, at=out, trigger=trigger)
+    return done if trigger is not None else read_log(spark, out)
 
 
 def stream_ingest(requests: DataFrame) -> DataFrame:
@@ -134,20 +177,58 @@ def stream_status_changes(changes: DataFrame) -> DataFrame:
     )
 
 
-def run_status_counts(changes: DataFrame) -> DataFrame:
-    """Cases per status, kept current: every batch adds a handful of sums, and their total is the count."""
+#: Sums of so many batches are put together in one folder.
+COMPACTED = 64
+
+
+def run_status_counts(
+    changes: DataFrame, at: str | None = None, trigger: Mapping[str, object] | None = None
+) -> DataFrame | StreamingQuery:
+    """Cases per status, kept current: every batch adds a handful of sums, and their total is the count.
+
+    Each ``COMPACTED`` batches the total so far is written as one, so what is read stays small however long the
+    stream runs. ``at`` and ``trigger`` as in ``run_audit_chain``; ``read_status_counts`` reads the counts.
+    """
+    spark = changes.sparkSession
+    out = at or scratch_path(spark, "status-stream")
 
     def each(batch: DataFrame, n: int, path: str) -> None:
         sums = batch.groupBy("status").agg(F.sum("delta").alias("delta"))
         sums.write.mode("overwrite").parquet(f"{path}/sums/batch={n}")
+        if n % COMPACTED == COMPACTED - 1:
+            total = _sums(batch.sparkSession, path, n)
+            total.groupBy("status").agg(F.sum("delta").alias("delta")).coalesce(1).write.mode("overwrite").parquet(
+                f"{path}/totals/batch={n}"
+            )
+
+    done = run_batches(stream_status_changes(changes), "status-stream", each, at=out, trigger=trigger)
+    return done if trigger is not None else read_status_counts(spark, out)
+
+
+def _sums(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The newest total before batch ``upto`` and the sums of the batches after it."""
+
+    def numbers(kind: str) -> list[int]:
+        return sorted(int(x.split("=")[1]) for x in names_in(spark, f"{path}/{kind}") if x.startswith("batch="))
+
+    total = [n for n in numbers("totals") if upto is None or n < upto][-1:]
+    rest = [n for n in numbers("sums") if n > (total[0] if total else -1) and (upto is None or n <= upto)]
+    folders = [f"{path}/totals/batch={n}" for n in total] + [f"{path}/sums/batch={n}" for n in rest]
+    if not folders:
+        return spark.createDataFrame([], "status string, delta bigint")
+    return spark.read.schema("status string, delta bigint").parquet(*folders)
+
 
-    path = run_batches(stream_status_changes(changes), "status-stream", each)
-    sums = changes.sparkSession.read.parquet(f"{path}/sums")
-    counts = sums.groupBy("status").agg(F.sum("delta").alias("n"))
+def read_status_counts(spark: SparkSession, path: str) -> DataFrame:
+    counts = _sums(spark, path).groupBy("status").agg(F.sum("delta").alias("n"))
     return counts.filter(F.col("n") > 0)
 
 
 __all__ = [
+    "committed_changes",
+    "event_channel",
+    "read_status_counts",
+    "run_case_changes",
     "run_audit_chain",
     "run_status_counts",
     "run_to_files",

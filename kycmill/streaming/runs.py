@@ -95,20 +95,27 @@ def run_batches(
     mode: str = "append",
     partitions: int | None = None,
     at: str | None = None,
-) -> str:
+    trigger: Mapping[str, object] | None = None,
+) -> str | StreamingQuery:
     """Hand every micro-batch to ``each(batch, batch_id, path)`` and return ``path``; ``at`` as above.
 
+    With a ``trigger`` for a lasting run, ``at`` is needed, and the running query is returned at once.
+
     ``each`` writes below ``batch=<id>`` with overwrite, so a batch that is repeated after a failure
     replaces its own earlier attempt.
     """
+    if trigger is not None and at is None:
+        raise ValueError("a lasting run needs a folder of its own")
     out = at or scratch_path(stream.sparkSession, name)
-    with state_settings(stream.sparkSession, partitions):
+    with state_settings(stream.sparkSession, partitions, finite=trigger is None):
         q = (
             stream.writeStream.foreachBatch(lambda batch, n: each(batch, n, out))
             .option("checkpointLocation", f"{out}/checkpoint")
             .outputMode(mode)
-            .trigger(availableNow=True)
+            .trigger(**(trigger or {"availableNow": True}))
             .start()
         )
+        if trigger is not None:
+            return q
         q.awaitTermination()
     return out

@@ -166,3 +166,40 @@ def test_append(spark, tmp_path):
     audit.append_audit(chain, str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
     assert audit.verify_audit_chain(log).filter(F.size("violations") > 0).count() == 0
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    """Two writers append to the same tenants at once: one unbroken chain, every event once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "log")
+    schema = SCHEMA.replace("id bigint, ", "") + ", seq int"
+
+    def writer(name):
+        for n in range(3):
+            rows = [(*r[1:3], f"{name}-{n}-{r[0]}", *r[4:], r[0]) for r in make_rows(10)] + [
+                (None, "c", f"{name}-{n}-none", "a", None, None, "{}", dt.datetime(2026, 1, 1), 99)
+            ]
+            audit.append_log(spark.createDataFrame(rows, schema), path, f"{name}-{n}")
+        # A batch that was appended before is not appended again.
+        audit.append_log(spark.createDataFrame(rows, schema), path, f"{name}-{n}")
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(writer, ["a", "b"]))
+    log = audit.read_log(spark, path)
+    ids = sorted(r.id for r in log.select("id").collect())
+    assert ids == list(range(1, 67))
+    assert log.select("event_type").distinct().count() == 66
+    assert audit.verify_audit_chain(log).filter(F.size("violations") > 0).count() == 0
+
+
+def test_a_folder_is_published_once(spark, tmp_path):
+    from kycmill.sources.published import names_in, publish
+
+    assert names_in(spark, str(tmp_path / "none")) == []
+    for name in ("x", "y"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "file").write_text(name)
+    target = f"file://{tmp_path}/out/v"
+    assert publish(spark, str(tmp_path / "x"), target) and not publish(spark, str(tmp_path / "y"), target)
+    assert (tmp_path / "out" / "v" / "file").read_text() == "x" and names_in(spark, f"{tmp_path}/out") == ["v"]

@@ -119,7 +119,77 @@ def test_event_stream(spark, tmp_path):
     rows = [(1, good % "a"), (2, good % "b"), (3, "{broken"), (4, "")]
     stream = parts(spark, rows, "seq int, value string", tmp_path / "in", 2)
     got = run_to_files(operators.stream_case_events(stream, "a"), "events").collect()
-    assert [(r.seq, r.tenant_id, r.status, r.decision) for r in got] == [(1, "a", "approved", None)]
+    assert [(r.seq, r.tenant_id, r.status, r.decision, r.payload) for r in got] == [(1, "a", "approved", None, good % "a")]
     everyone = run_to_files(operators.stream_case_events(stream), "fan-out", folders=["tenant_id"])
     assert sorted((r.seq, r.tenant_id) for r in everyone.collect()) == [(1, "a"), (2, "b")]
     assert len({f.rsplit("/", 2)[1] for f in everyone.inputFiles()}) == 2
+
+
+CHANGES = "seq bigint, tenant_id string, case_id string, status string, decision string, claimed_by_reviewer_id string"
+
+
+def published(spark, at, tenant=None):
+    found = run_to_files(operators.stream_case_events(operators.event_channel(spark, at), tenant), "channel")
+    return sorted((r.seq, r.tenant_id, r.status, r.claimed_by_reviewer_id) for r in found.collect())
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_changes_and_events_are_committed_together(spark, tmp_path, monkeypatch, when):
+    """A failure before or after a batch is published: the run that goes on publishes every event once."""
+    rows = [(i, "ab"[i % 2], f"c{i}", None if i % 5 == 4 else "needs_review", None, "r1" if i % 3 == 0 else None) for i in range(30)]
+    stream = parts(spark, rows, CHANGES, tmp_path / "in")
+    at, publish, calls = str(tmp_path / "at"), operators.publish, []
+
+    def failing(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            if when == "after":
+                publish(*args)
+            raise OSError("lost")
+        return publish(*args)
+
+    monkeypatch.setattr(operators, "publish", failing)
+    with pytest.raises(Exception, match="lost"):
+        operators.run_case_changes(stream, at)
+    seen = 10 if when == "before" else 20
+    like = spark.createDataFrame([], CHANGES)
+    assert operators.committed_changes(like, at).count() == seen
+    operators.run_case_changes(stream, at)
+    want = [(i, t, s, by) for i, t, _, s, _, by in rows if s]
+    assert published(spark, at) == want
+    assert published(spark, at, "a") == [r for r in want if r[1] == "a"]
+    assert sorted(map(tuple, operators.committed_changes(like, at).collect())) == rows
+
+
+def test_chain_stream_keeps_rows_without_tenant(spark, tmp_path):
+    """Three batches, half of the rows without a tenant: as many rows out, and one chain each."""
+    from test_audit import SCHEMA as AUDIT, make_rows
+
+    rows = [(r[0], None if r[0] % 2 else "t", *r[2:]) for r in make_rows(12)]
+    got = operators.run_audit_chain(parts(spark, rows, AUDIT, tmp_path / "in"))
+    assert sorted(r.id for r in got.collect()) == list(range(1, 13))
+    assert audit.verify_audit_chain(got).filter(F.size("violations") > 0).count() == 0
+
+
+def test_chain_stream_goes_on(spark, tmp_path):
+    from test_audit import SCHEMA as AUDIT, collected, expected_chain, make_rows
+
+    rows = make_rows(90)
+    stream = parts(spark, rows[:60], AUDIT, tmp_path / "in", 2)
+    at = str(tmp_path / "at")
+    assert operators.run_audit_chain(stream, at).count() == 60
+    spark.createDataFrame(rows[60:], AUDIT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert collected(operators.run_audit_chain(stream, at)) == expected_chain(rows)
+
+
+def test_status_counts_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(operators, "COMPACTED", 2)
+    rows = [(i % 7, i, ["pending", "needs_review", "approved"][(i * 5) % 3]) for i in range(60)]
+    schema, at = "case_id int, seq int, status string", str(tmp_path / "at")
+    stream = parts(spark, rows[:40], schema, tmp_path / "in", 4)
+    operators.run_status_counts(stream, at)
+    spark.createDataFrame(rows[40:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = operators.run_status_counts(stream, at)
+    last = {case: status for case, _, status in rows}
+    assert {r.status: r.n for r in got.collect()} == {s: list(last.values()).count(s) for s in set(last.values())}
+    assert len(got.inputFiles()) < 5 * 4
