@@ -20,6 +20,8 @@ from .mutations import watchlist_ingest
 #: Rows of a block of queries or entries, and never more than a tile: a block is one row of a task's input.
 BLOCK_ROWS = 50_000
 _TILE = 2048
+#: Centres of a list's blocks at most, and entries from which they are found.
+CENTRES, CENTRE_SAMPLE = 512, 4096
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -54,16 +56,20 @@ def _similar(queries: np.ndarray, entries: np.ndarray, k: int, threshold: float)
     return [np.concatenate([f[i] for f in found]) for i in range(3)]
 
 
-def _blocks(rows: int):
-    """Tables of up to ``rows`` rows, each as one binary value in Arrow's stream format."""
+def _sealed(batches: list[pa.RecordBatch]) -> bytes:
+    """The rows as one binary value in Arrow's stream format."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    def sealed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(batches).combine_chunks()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
 
+def _opened(block: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(block.as_buffer()).read_all()
+
+
+def _query_blocks(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -73,26 +79,106 @@ def _blocks(rows: int):
                 held.append(part)
                 n += part.num_rows
                 if n == rows:
-                    yield sealed(held)
+                    yield pa.RecordBatch.from_arrays([pa.array([_sealed(held)], pa.binary())], ["queries"])
                     held, n = [], 0
         if held:
-            yield sealed(held)
+            yield pa.RecordBatch.from_arrays([pa.array([_sealed(held)], pa.binary())], ["queries"])
 
     return run
 
 
-def _stored_blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.mapInArrow(_blocks(rows), "block binary").write.parquet(path)
-    return df.sparkSession.read.schema("block binary").parquet(path)
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(1))
 
 
-def _screen_blocks(k: int, threshold: float):
-    """Every block of queries meets the blocks of entries one after another and carries its best hits along."""
-    order = [("at", "ascending"), ("score", "descending"), ("entry_id", "ascending")]
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    length = _lengths(vectors)
+    return vectors / np.where(length > 0, length, 1.0)[:, None]
+
+
+def _angles(directions: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(directions @ others.T, -1.0, 1.0))
+
+
+def _centres(w: DataFrame, n: int, rows: int) -> np.ndarray:
+    """As many directions as the list has blocks (``CENTRES`` at most), from a sample of bounded size."""
+    share = min(1.0, CENTRE_SAMPLE / max(1, n))
+    hashed = F.pmod(F.xxhash64("entry_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    sample = w.filter(hashed).orderBy(F.xxhash64("entry_id")).select("vector").limit(2 * CENTRE_SAMPLE).collect()
+    if not sample:
+        return np.zeros((0, 0))
+    found = _directions(np.array([r.vector for r in sample], np.float64))
+    k = min(CENTRES, len(found), -(-n // rows))
+    centres = found[:k]
+    for _ in range(3):
+        own = (found @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, found)
+        centres = np.where(_lengths(sums)[:, None] > 0, _directions(sums), centres)
+    return centres
+
+
+def _near_centres(centres: np.ndarray):
+    """Each entry with its nearest centre and the angle to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            angle = _angles(_directions(_matrix(batch.column("vector")).astype("float64")), centres)
+            own = angle.argmin(1)
+            more = [pa.array(own, pa.int32()), pa.array(angle[np.arange(len(own)), own])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "centre", "angle"])
+
+    return run
 
-    def opened(block: pa.BinaryScalar) -> pa.Table:
-        return pa.ipc.open_stream(block.as_buffer()).read_all()
+
+_ENTRY_BLOCK = "entries binary, centre int, low double, high double, longest double"
+
+
+def _entry_blocks(rows: int):
+    """Sorted entries in blocks of one centre, each with the range of its angles and its longest vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            centre, angle = table["centre"][0].as_py(), table["angle"].to_numpy()
+            longest = float(_lengths(_matrix(table["vector"]).astype("float64")).max())
+            kept = table.drop_columns(["centre", "angle"]).to_batches()
+            values = [[_sealed(kept)], [centre], [angle.min()], [angle.max()], [longest]]
+            types = [pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(values, types)], ["entries", "centre", "low", "high", "longest"]
+            )
+
+        n = 0
+        for batch in batches:
+            own = batch.column("centre").to_numpy()
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), batch.num_rows]
+            for first, past in zip(cuts, cuts[1:]):
+                while first < past:
+                    if held and (n == rows or held[0].column("centre")[0].as_py() != own[first]):
+                        yield block()
+                        held, n = [], 0
+                    m = min(rows - n, past - first)
+                    held.append(batch.slice(first, m))
+                    n, first = n + m, first + m
+        if held:
+            yield block()
+
+    return run
+
+
+def _screen_blocks(k: int, threshold: float, centres: np.ndarray, counted: bool):
+    """Every block of queries meets the blocks of entries one after another and carries its best hits along.
+
+    By the triangle inequality an entry is at least as far from a query as the query's angle to the block's centre
+    is outside of the block's range. Queries for which that is further than a hit can be (the threshold, or their
+    own k-th best so far) skip the block.
+    """
+    order = [("at", "ascending"), ("score", "descending"), ("entry_id", "ascending")]
 
     def merged(best: pa.Table, new: pa.Table) -> pa.Table:
         both = pa.concat_tables([best, new]).sort_by(order).combine_chunks()
@@ -101,30 +187,93 @@ def _screen_blocks(k: int, threshold: float):
         place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
         return both.take(pa.array(np.flatnonzero(place < k)))
 
-    def named(queries: pa.Table, best: pa.Table) -> list[pa.RecordBatch]:
-        return best.set_column(0, "query_id", queries["query_id"].take(best["at"])).combine_chunks().to_batches()
+    class Held:
+        """One block of queries, and what it has found."""
+
+        def __init__(self, block: pa.Table):
+            self.block, self.best, self.seen, self.met = block, None, 0, 0
+            self.vectors = _matrix(block["vector"])
+            double = self.vectors.astype("float64")
+            self.lengths, self.directions = _lengths(double), _directions(double)
+            self.angles: dict[int, np.ndarray] = {}
+            self.least = np.full(len(double), threshold)
+
+        def possible(self, centre: int, low: float, high: float, longest: float) -> np.ndarray:
+            if centre not in self.angles:
+                self.angles[centre] = _angles(self.directions, centres[centre : centre + 1])[:, 0]
+            own = self.angles[centre]
+            scale = self.lengths * longest
+            # A hit's cosine is at least this; the last term is for rounding.
+            cosine = np.where((self.least > 0) & (scale > 0), self.least / np.where(scale > 0, scale, 1.0) - 1e-9, -1.0)
+            gap = np.maximum(own - high, low - own)
+            return np.flatnonzero(gap <= np.arccos(np.clip(cosine, -1.0, 1.0)) + 1e-7)
+
+        def meet(self, entries: pa.Table, rows: np.ndarray) -> None:
+            at, found, scores = _similar(self.vectors[rows], _matrix(entries["vector"]), k, threshold)
+            entry = entries.select(["entry_id", "list_source", "name"]).take(pa.array(found, pa.int64()))
+            columns = [pa.array(rows[at], pa.int64()), *entry.columns, pa.array(scores, pa.float64())]
+            new = pa.Table.from_arrays(columns, ["at", *entry.column_names, "score"])
+            self.best = new if self.best is None else merged(self.best, new)
+            at, scores = self.best["at"].to_numpy(), self.best["score"].to_numpy()
+            full = np.flatnonzero(np.bincount(at, minlength=len(self.least)) >= k)
+            self.least[full] = scores[np.searchsorted(at, full, "right") - 1]
+
+        def result(self) -> list[pa.RecordBatch]:
+            if counted:
+                figures = [pa.array([n], pa.int64()) for n in (self.seen, self.seen - self.met)]
+                return [pa.RecordBatch.from_arrays(figures, ["pairs", "skipped"])]
+            if self.best is None:
+                return []
+            ids = self.block["query_id"].take(self.best["at"])
+            return self.best.set_column(0, "query_id", ids).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, queries, best = None, None, None
+        number, held = None, None
         for batch in batches:
-            for left, right in zip(batch.column("queries"), batch.column("entries")):
-                block = opened(left)
+            bounds = zip(*[batch.column(c).to_pylist() for c in ("centre", "low", "high", "longest")])
+            for left, right, bound in zip(batch.column("queries"), batch.column("entries"), bounds):
+                block = _opened(left)
                 if block["row"][0] != number:
-                    if best is not None:
-                        yield from named(queries, best)
-                    number, queries, best = block["row"][0], block, None
-                entries = opened(right).sort_by("entry_id")
-                rows, found, scores = _similar(_matrix(queries["vector"]), _matrix(entries["vector"]), k, threshold)
-                entry = entries.select(["entry_id", "list_source", "name"]).take(pa.array(found, pa.int64()))
-                columns = [pa.array(rows, pa.int64()), *entry.columns, pa.array(scores, pa.float64())]
-                new = pa.Table.from_arrays(columns, ["at", *entry.column_names, "score"])
-                best = new if best is None else merged(best, new)
-        if best is not None:
-            yield from named(queries, best)
+                    if held is not None:
+                        yield from held.result()
+                    number, held = block["row"][0], Held(block)
+                rows, entries = held.possible(*bound), _opened(right).sort_by("entry_id")
+                held.seen += len(held.least) * entries.num_rows
+                held.met += len(rows) * entries.num_rows
+                if len(rows):
+                    held.meet(entries, rows)
+        if held is not None:
+            yield from held.result()
 
     return run
 
 
+def _met_blocks(queries: DataFrame, watchlist: DataFrame, block_rows: int) -> tuple[DataFrame, np.ndarray, T.StructType]:
+    """Pairs of stored blocks, the centres of the list's blocks, and the columns of a hit."""
+    spark = queries.sparkSession
+    w = watchlist.select("entry_id", "list_source", "name", "vector").filter(F.col("vector").isNotNull())
+    # The number of its first row tells a block from others.
+    q = queries.filter(F.col("vector").isNotNull()).select(
+        F.monotonically_increasing_id().alias("row"), "query_id", "vector"
+    )
+    rows = min(block_rows, _TILE)
+    n = w.count()
+    centres = _centres(w, n, rows)
+    extra = [T.StructField("centre", T.IntegerType()), T.StructField("angle", T.DoubleType())]
+    placed = w.mapInArrow(_near_centres(centres), T.StructType([*w.schema.fields, *extra]))
+    # A centre with a large part of the list is dealt over several tasks.
+    salt = F.pmod(F.xxhash64("entry_id"), F.lit(1 + n // (64 * rows)))
+    ordered = placed.repartition("centre", salt).sortWithinPartitions("centre", "angle", "entry_id")
+    left, right = scratch_path(spark, "queries"), scratch_path(spark, "watchlist")
+    q.mapInArrow(_query_blocks(rows), "queries binary").write.parquet(left)
+    ordered.mapInArrow(_entry_blocks(rows), _ENTRY_BLOCK).write.parquet(right)
+    blocks = spark.read.schema(_ENTRY_BLOCK).parquet(right).coalesce(1)
+    # The hint asks for the product of partitions; without it a short list would be sent through the driver.
+    pairs = spark.read.schema("queries binary").parquet(left).crossJoin(blocks.hint("shuffle_replicate_nl"))
+    score = T.StructField("score", T.DoubleType())
+    return pairs, centres, T.StructType([q.schema["query_id"], *w.drop("vector").schema.fields, score])
+
+
 def vector_screen(
     queries: DataFrame,
     watchlist: DataFrame,
@@ -134,26 +283,28 @@ def vector_screen(
 ) -> DataFrame:
     """Up to ``k`` entries per query row with cosine at or above ``threshold``; exact.
 
-    Vectors are unit length. Queries and list are packed into blocks of rows, which lie in the shared folder.
-    A task reads some blocks of queries and all of the list, one after another, and multiplies them as
-    matrices: nothing passes the driver, queries are never shuffled, and no pair of rows is ever formed.
+    Vectors are unit length (the score is their product). Queries and list are packed into blocks of rows, which lie
+    in the shared folder. Blocks of the list are formed around centres and know the range of their angles, so that
+    queries skip blocks that cannot hold a hit (see ``screened_share``). A task reads some blocks of queries and all
+    of the list, one after another, and multiplies what is left as matrices: of the list only a sample for the
+    centres passes the driver, queries are never shuffled, and no pair of rows is ever formed.
     """
-    spark = queries.sparkSession
-    w = watchlist.select("entry_id", "list_source", "name", "vector").filter(F.col("vector").isNotNull())
-    # The number of its first row tells a block from others.
-    q = queries.filter(F.col("vector").isNotNull()).select(
-        F.monotonically_increasing_id().alias("row"), "query_id", "vector"
-    )
-    rows = min(block_rows, _TILE)
-    left = _stored_blocks(q, rows, "queries").withColumnRenamed("block", "queries")
-    right = _stored_blocks(w, rows, "watchlist").withColumnRenamed("block", "entries").coalesce(1)
-    # Blocks are large rows: after a few of them Spark holds the list where it can spill.
-    spark.conf.set("spark.sql.cartesianProductExec.buffer.in.memory.threshold", "16")
-    # The hint asks for the product of partitions; without it a short list would be sent through the driver.
-    pairs = left.crossJoin(right.hint("shuffle_replicate_nl"))
-    score = T.StructField("score", T.DoubleType())
-    schema = T.StructType([q.schema["query_id"], *w.drop("vector").schema.fields, score])
-    return pairs.mapInArrow(_screen_blocks(k, threshold), schema)
+    pairs, centres, schema = _met_blocks(queries, watchlist, block_rows)
+    return pairs.mapInArrow(_screen_blocks(k, threshold, centres, False), schema)
+
+
+def screened_share(
+    queries: DataFrame,
+    watchlist: DataFrame,
+    k: int = VECTOR_LIMIT,
+    threshold: float = VECTOR_THRESHOLD,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """What ``vector_screen`` skips: one row with ``pairs``, ``skipped`` and their ``share``."""
+    pairs, centres, _ = _met_blocks(queries, watchlist, block_rows)
+    figures = pairs.mapInArrow(_screen_blocks(k, threshold, centres, True), "pairs bigint, skipped bigint")
+    total = figures.agg(F.sum("pairs").alias("pairs"), F.sum("skipped").alias("skipped"))
+    return total.withColumn("share", F.col("skipped") / F.col("pairs"))
 
 
 def phonetic_match(a: Column, b: Column) -> Column:

@@ -192,7 +192,7 @@ from embeddings join part on p_partkey=vec_id%(select count(*) from part)""",
     "v_watchlist": """
 select {UUID5(list_source||':'||name)} as entry_id, *
 from (select *, row_number() over (partition by list_source, name order by version desc) as rn
-  from (select 'LIST-'||(query_id%1000) as list_source, name, vector, query_id as version from v_subjects where label<2))
+  from (select 'LIST-'||(query_id%1000) as list_source, name, vector, query_id as version from v_subjects))
 where rn=1""",
     "v_vector_hits": """
 select query_id, entry_id, list_source, name, score from (

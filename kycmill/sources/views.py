@@ -464,10 +464,10 @@ class Views:
         )
 
     def watchlist(self) -> DataFrame:
-        """Two labels of the embeddings as list entries; every one is also a query, so it finds itself."""
+        """All embeddings as list entries; every one is also a query, so it finds itself."""
         from ..operators.mutations import watchlist_ingest
 
-        entries = self.subjects().filter(F.col("label") < 2).select(
+        entries = self.subjects().select(
             F.concat(F.lit("LIST-"), _text(F.col("query_id") % 1000)).alias("list_source"),
             "name",
             "vector",

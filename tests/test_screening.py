@@ -68,6 +68,38 @@ def test_vector_screen_equals_brute_force(spark):
         assert {(r.query_id, r.entry_id) for r in hits.collect()} == want
 
 
+def _clustered(rng, n, clusters, spread, d=24):
+    centres = _unit(rng, clusters, d)
+    m = centres[rng.integers(clusters, size=n)] + rng.normal(size=(n, d)) * spread
+    return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype("float32")
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.55, -0.2])
+def test_skipped_blocks_hold_no_hits(spark, threshold):
+    """Equal to all pairs; the share that is skipped grows with the list, as its blocks get narrower."""
+    rng = np.random.default_rng(3)
+    q, shares = _clustered(rng, 150, 40, 0.08), []
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id bigint, vector array<float>")
+    for n in (60, 600):
+        w = _clustered(np.random.default_rng(3), n, 40, 0.08)
+        watch = spark.createDataFrame(
+            [(f"e{i:04d}", "L", f"n{i}", v.tolist()) for i, v in enumerate(w)],
+            "entry_id string, list_source string, name string, vector array<float>",
+        ).repartition(3)
+        scores = q.astype("float64") @ w.astype("float64").T
+        want = set()
+        for i, row in enumerate(scores):
+            best = sorted((-s, j) for j, s in enumerate(row) if s >= threshold)[:5]
+            want |= {(i, f"e{j:04d}") for _, j in best}
+        hits = screening.vector_screen(queries, watch, 5, threshold, block_rows=16)
+        assert {(r.query_id, r.entry_id) for r in hits.collect()} == want
+        figures = screening.screened_share(queries, watch, 5, threshold, block_rows=16).first()
+        assert figures.pairs == 150 * n
+        shares.append(figures.share)
+    if threshold > 0:
+        assert shares[1] > max(0.5, shares[0])
+
+
 def test_vector_screen_passes_no_list_through_the_driver(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(f"e{i}", "L", f"n{i}", v.tolist()) for i, v in enumerate(_unit(rng, 30))]
