@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,38 @@ def test_quota_equals_loop(spark, window, limit, spans):
     assert {r.request_id: (r.allowed, r.retry_after) for r in got.collect()} == loop(rows, limit, window)
 
 
+@pytest.mark.parametrize(("window", "limit"), [(60, 5), (7, 2), (300, 3)])
+def test_quota_goes_on_from_open_windows(spark, window, limit):
+    """Runs over parts of the time equal one run; a window that reaches over the cut keeps its count."""
+    rows = sorted(requests(900, window), key=lambda r: (r[2], r[1]))
+    rows += [(None, 1000 + i, rows[-1][2] + dt.timedelta(seconds=i)) for i in range(20)]
+    found, still = {}, None
+    for part in (rows[:200], rows[200:210], rows[210:]):
+        decided, still = quota.quota_run(spark.createDataFrame(part, SCHEMA), still, limit, window, 2)
+        found |= {r.request_id: (r.allowed, r.retry_after) for r in decided.collect()}
+        still = spark.createDataFrame(still.collect(), "key string, anchor bigint, used int")
+    named = [("none" if k is None else k, i, at) for k, i, at in rows]
+    assert found == loop(named, limit, window)
+    assert still.count() == len({k for k, _, _ in rows})
+
+
+def test_quota_rows_are_bounded():
+    """A window with very many moments: no row holds more than a part of them, and the map of a span stays small."""
+    window, rng = 60_000_000, np.random.default_rng(1)
+    times = np.unique(rng.integers(0, 4 * window, 400_000))
+    exits, sub = quota._Exits(0, window), window // quota._SUBS
+    for n in range(4 * quota._SUBS):
+        part = times[(times >= n * sub) & (times < (n + 1) * sub)]
+        assert len(part) < 2 * len(times) / (4 * quota._SUBS)
+        exits.extend(part)
+    for free in [0, 1, int(times[5]), int(times[5]) + 1, window - 1, window]:
+        at = free
+        while (i := int(np.searchsorted(times, at))) < len(times):
+            at = int(times[i]) + window
+        assert exits.leave[np.searchsorted(exits.upto, free)] == at
+    assert len(exits.leave) <= (times < window).sum() + 1
+
+
 def test_quota_burst(spark):
     rows = [("k", i, START + dt.timedelta(milliseconds=i)) for i in range(65)]
     got = [r for r in quota.quota_admission(spark.createDataFrame(rows, SCHEMA)).orderBy("request_id").collect()]
