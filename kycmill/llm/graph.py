@@ -13,8 +13,11 @@ def _distinct(edges: DataFrame) -> DataFrame:
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """The least neighbour of every ``a``; tasks combine before the shuffle, so a hub sends a row per task."""
-    return edges.groupBy("a").agg(F.min("b").alias("m"))
+    """The least neighbour of every ``a``; tasks combine before the shuffle, so a hub sends a row per task.
+
+    It is cut off before it is joined back, so that Spark can split a hub's edges in the join.
+    """
+    return checkpointed(edges.groupBy("a").agg(F.min("b").alias("m")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
