@@ -35,10 +35,12 @@ _LAST = (1 << 63) - 1
 _PLACE = U((1 << 24) - 1)
 
 
-def _lines(text: str) -> tuple[list[bytes], np.ndarray]:
-    """All lines, and the numbers of those that are not blank."""
+def _lines(text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """All lines, the numbers of those that are not blank, and how many characters those have."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    return lines, np.array([i for i, line in enumerate(lines) if line.strip(_BLANK)], np.int64)
+    filled = np.array([i for i, line in enumerate(lines) if line.strip(_BLANK)], np.int64)
+    chars = lines if text.isascii() else text.split("\n")
+    return lines, filled, np.array([len(chars[i]) for i in filled], np.int64)
 
 
 def _line_hashes(lines: list[bytes], filled: np.ndarray) -> np.ndarray:
@@ -47,9 +49,9 @@ def _line_hashes(lines: list[bytes], filled: np.ndarray) -> np.ndarray:
     return word_hashes(np.frombuffer(data, np.uint8), np.r_[0, ends[:-1]][: len(ends)], ends)
 
 
-def _windows(lines: list[bytes], filled: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(sizes: np.ndarray, chars: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last line (among those that are not blank) of the windows, in order."""
-    size = np.cumsum([len(lines[i].decode("utf-8", "surrogatepass")) for i in filled], dtype=np.int64)
+    size = np.cumsum(sizes)
     before, line = np.r_[0, size[:-1]][: len(size)], np.arange(len(size))
     down, up = np.searchsorted(size, before + chars, "left"), np.searchsorted(before, size - chars, "right") - 1
     pairs = np.r_[(line * len(size) + down)[down < len(size)], (up * len(size) + line)[up >= 0]]
@@ -86,8 +88,8 @@ def _fingerprint_rows(chars: int):
         for batch in small(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for k, text in enumerate(batch.column("text")):
-                lines, filled = _lines(text.as_py())
-                hashes, (starts, ends) = _line_hashes(lines, filled), _windows(lines, filled, chars)
+                lines, filled, sizes = _lines(text.as_py())
+                hashes, (starts, ends) = _line_hashes(lines, filled), _windows(sizes, chars)
                 every = run_hashes(run_sums(hashes), starts, ends - starts + 1)
                 for h, reach, first, last in zip(*fingerprints(hashes, starts, ends)):
                     runs = every[first : last + 1]
@@ -111,8 +113,8 @@ def _fingerprint_rows(chars: int):
 
 def _kept_rows(chars: int):
     def kept(text: str, firsts: list[int] | None) -> tuple[int, int, str]:
-        lines, filled = _lines(text)
-        (starts, ends), gone = _windows(lines, filled, chars), np.zeros(len(lines), bool)
+        lines, filled, sizes = _lines(text)
+        (starts, ends), gone = _windows(sizes, chars), np.zeros(len(lines), bool)
         for n in range(len(ends)) if firsts is None else firsts:
             gone[filled[starts[n] : ends[n] + 1]] = True
         left = b"\n".join(line for line, g in zip(lines, gone) if not g)
@@ -126,7 +128,7 @@ def _kept_rows(chars: int):
                 for n, some in ((1, firsts or []), (copies - 1, None)):
                     if not n:
                         continue
-                    result = kept(text, some)
+                    result = (text.count("\n") + 1, 0, text) if some == [] else kept(text, some)
                     for done in range(0, n, 1024):
                         m = min(1024, n - done)
                         yield pa.RecordBatch.from_arrays(
