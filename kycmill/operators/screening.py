@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -390,7 +393,9 @@ def screen_summary(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def ingest_watchlist(
-    entries: DataFrame, make_client: Callable[[], Callable[[str], list[float]]], current: DataFrame | None = None
+    entries: DataFrame,
+    make_client: Callable[[], Callable[[str], list[float]]] | None = None,
+    current: DataFrame | None = None,
 ) -> DataFrame:
     """List entries ``(list_source, name, version)`` with vector and codes, upserted into ``current``.
 
@@ -400,8 +405,41 @@ def ingest_watchlist(
     return watchlist_ingest(enriched, current)
 
 
-def embed_names(names: DataFrame, make_client: Callable[[], Callable[[str], list[float]]]) -> DataFrame:
-    """Add ``vector`` by a user's embedding client, made once per task, called once per distinct name."""
+#: Dimension of the default embedder, and the lengths of its character n-grams.
+EMBEDDING_SIZE, NGRAMS = 256, (2, 3, 4)
+
+
+def hashed_ngrams(size: int = EMBEDDING_SIZE, ngrams: tuple[int, ...] = NGRAMS) -> Callable[[], Callable[[str], list[float]]]:
+    """The default embedding client: signed feature hashing of character n-grams, at unit length.
+
+    Needs no model and no network. Names that share most of their n-grams are near, whatever the order of their
+    parts; names are compared without accents, case and double blanks. A name without letters or digits is zero.
+    """
+
+    def make_client() -> Callable[[str], list[float]]:
+        def embed(name: str) -> list[float]:
+            plain = "".join(c for c in unicodedata.normalize("NFKD", name.casefold()) if not unicodedata.combining(c))
+            vector = np.zeros(size)
+            for word in re.findall(r"\w+", plain):
+                padded = f"<{word}>"
+                for n in ngrams:
+                    for i in range(len(padded) - n + 1):
+                        h = int.from_bytes(hashlib.blake2b(padded[i : i + n].encode(), digest_size=8).digest(), "little")
+                        vector[(h >> 1) % size] += 1.0 if h & 1 else -1.0
+            length = float(np.sqrt(vector @ vector))
+            return (vector / length if length else vector).tolist()
+
+        return embed
+
+    return make_client
+
+
+def embed_names(names: DataFrame, make_client: Callable[[], Callable[[str], list[float]]] | None = None) -> DataFrame:
+    """Add ``vector`` by a user's embedding client, made once per task, called once per distinct name.
+
+    Without a client the names are embedded by ``hashed_ngrams``.
+    """
+    make_client = make_client or hashed_ngrams()
 
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         client = make_client()

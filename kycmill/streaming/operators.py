@@ -159,6 +159,21 @@ def stream_ingest(requests: DataFrame) -> DataFrame:
     return keyed.unionByName(fresh)
 
 
+def stream_ingest_within(requests: DataFrame, horizon: str = "7 days") -> DataFrame:
+    """The cases of new requests, for streams whose state must not grow for good.
+
+    A request is new if its (tenant, key) has not come within the horizon before it, by ``created_at``. Keys older
+    than that leave the state and count as new when they come again; rows later than the horizon are dropped.
+    ``stream_ingest`` keeps keys for good and also answers replays. Requests without a key are always new.
+    """
+    requests = without_empty_keys(requests)
+    timed = requests.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    keyed = timed.filter(F.col("idempotency_key").isNotNull()).withWatermark("created_at", horizon)
+    first = keyed.dropDuplicatesWithinWatermark(["tenant_id", "idempotency_key"])
+    fresh = timed.filter(F.col("idempotency_key").isNull())
+    return first.unionByName(fresh)
+
+
 def stream_status_changes(changes: DataFrame) -> DataFrame:
     """What each batch of ``changes(case_id, seq, status)`` does to the counts: ``(status, delta)`` rows."""
 
@@ -232,6 +247,7 @@ __all__ = [
     "run_audit_chain",
     "run_status_counts",
     "run_to_files",
+    "stream_ingest_within",
     "stream_case_events",
     "stream_ingest",
     "stream_quota",
