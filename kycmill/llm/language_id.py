@@ -211,16 +211,27 @@ def held_out(key: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> DataFrame:
-    """``lang``, ``text`` of the documents to learn from. Found by one cut per language, so nothing is joined."""
+    """``lang``, ``text`` of the documents to learn from: per language those whose ids hash lowest.
+
+    A language's documents are counted first, and only the share of hashes that is expected to hold twice the sample
+    is ranked, so a language with most of the rows sends no more than that to the task that finds its cut. Where one
+    id has very many rows there may be fewer than ``sample``. Nothing is joined.
+    """
     place = F.xxhash64(F.col(key).cast("string"))
     known = docs.filter(~held_out(F.col(key)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+
+    def below(bounds: dict[str, int]) -> Column:
+        chosen = F.lit(False)
+        for lang, bound in bounds.items():
+            chosen = chosen | ((F.col("lang") == lang) & (place <= bound))
+        return chosen
+
+    shares = {lang: (1 << 64) * min(n, 2 * sample) // n - (1 << 63) - 1 for lang, n in counts.items()}
     order = Window.partitionBy("lang").orderBy("place")
-    lowest = known.select("lang", place.alias("place")).withColumn("n", F.row_number().over(order))
-    cuts = lowest.filter(F.col("n") <= sample).groupBy("lang").agg(F.max("place").alias("cut")).collect()
-    chosen = F.lit(False)
-    for cut in cuts:
-        chosen = chosen | ((F.col("lang") == cut["lang"]) & (place <= cut["cut"]))
-    return known.filter(chosen).select("lang", "text")
+    low = known.filter(below(shares)).select("lang", place.alias("place")).withColumn("n", F.row_number().over(order))
+    cuts = low.filter(F.col("n") <= sample).groupBy("lang").agg(F.max("place").alias("cut")).collect()
+    return known.filter(below({r["lang"]: r["cut"] for r in cuts})).select("lang", "text")
 
 
 def learn(docs: DataFrame, vocabulary_path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
