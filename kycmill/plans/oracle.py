@@ -430,6 +430,7 @@ union all select -s_suppkey, s_nationkey, null, 'auditor' from supplier where s_
   select 'reviewer_email' as key_name, tenant_id||'|'||email as value, count(*) as n from v_reviewers group by 1, 2
   union all select 'reviewer_token', token_hash, count(*) from v_reviewers group by 1, 2
   union all select 'tenant_slug', slug, count(*) from v_tenants group by 1, 2
+  union all select 'api_key_hash', key_hash, count(*) from v_api_keys group by 1, 2
   union all select 'case_idempotency', tenant_id||'|'||idempotency_key, count(*) from v_cases
     where idempotency_key is not null group by 1, 2
   union all select 'hit_name', l_orderkey||'|LIST-'||l_returnflag||'|Part '||l_partkey, count(*) from lineitem
@@ -484,7 +485,22 @@ where l_orderkey||'-id_document-0' not in (select document_id from v_documents)
 union all select 'hit.case', 'Part '||l_partkey, l_orderkey::varchar from lineitem
 where l_quantity>=49 and l_orderkey not in (select case_id from v_cases)
 union all select 'delivery.case', delivery_id, case_id::varchar from v_deliveries
-where case_id not in (select case_id from v_cases)""",
+where case_id not in (select case_id from v_cases)
+union all select 'face_match.case', concat_ws('-',l_linenumber,l_partkey,l_suppkey), l_orderkey::varchar from lineitem
+where l_quantity>10 and l_orderkey not in (select case_id from v_cases)
+union all select 'audit.case', id::varchar, case_id::varchar from v_audit where case_id not in (select case_id from v_cases)
+union all select 'case.reviewer', case_id::varchar, (case_id%110)::varchar from v_cases
+where case_id%7=0 and case_id%110 not in (select reviewer_id from v_reviewers)
+union all select 'document.tenant', document_id, tenant_id::varchar from v_documents
+where tenant_id not in (select tenant_id from v_tenants)
+union all select 'decision.tenant', decision_id::varchar, tenant_id::varchar from v_decisions
+where tenant_id not in (select tenant_id from v_tenants)
+union all select 'audit.tenant', id::varchar, tenant_id::varchar from v_audit where tenant_id not in (select tenant_id from v_tenants)
+union all select kind||'.tenant', row_id, (l_orderkey%25+25)::varchar from (
+  select 'extraction' as kind, concat_ws('-',l_linenumber,l_partkey,l_suppkey) as row_id, l_orderkey from lineitem
+  union all select 'face_match', concat_ws('-',l_linenumber,l_partkey,l_suppkey), l_orderkey from lineitem where l_quantity>10
+  union all select 'hit', 'Part '||l_partkey, l_orderkey from lineitem where l_quantity>=49
+  union all select 'delivery', delivery_id, case_id from v_deliveries) where l_orderkey%500=7""",
     "status_counts": "select * from v_counts",
     "overview_cards": """select tenant_id, (sum(n) filter (status='needs_review'))::bigint as needs_review,
   (sum(n) filter (status in ('processing','pending')))::bigint as in_progress,

@@ -108,22 +108,41 @@ def case_lookup(v: Views) -> DataFrame:
 
 @query
 def fk_violations(v: Views) -> DataFrame:
-    d = v.decisions()
-    fk = rules.ForeignKey
+    """All references of the model; where a view has no such column it is made up, with some values that are lost."""
+    tenant = (F.col("case_id") % 25 + F.when(F.col("case_id") % 500 == 7, 25).otherwise(0)).alias("tenant_id")
+    key = F.col("case_id")
+    cases = v.cases().select("case_id", "tenant_id", F.when(key % 7 == 0, key % 110).alias("claimed_by_reviewer_id"))
+    documents, reviewers, webhooks, tenants = v.documents(), v.reviewers(), v.webhooks(), v.tenants()
+    decided, api_keys, log = v.decisions(), v.api_keys(), v.audit()
+    extractions = v.extractions().select("extraction_id", "case_id", "document_id", tenant)
+    faces = v.face_matches().select("face_match_id", "case_id", tenant)
+    hits = v.hits().select("matched_name", "case_id", tenant)
+    deliveries = v.deliveries().select("delivery_id", "webhook_id", "case_id", tenant)
+    children = {
+        "case": (cases, "case_id", {"tenant": "tenant_id", "reviewer": "claimed_by_reviewer_id"}),
+        "document": (documents, "document_id", {"case": "case_id", "tenant": "tenant_id"}),
+        "extraction": (extractions, "extraction_id", {"case": "case_id", "document": "document_id", "tenant": "tenant_id"}),
+        "face_match": (faces, "face_match_id", {"case": "case_id", "tenant": "tenant_id"}),
+        "hit": (hits, "matched_name", {"case": "case_id", "tenant": "tenant_id"}),
+        "decision": (decided, "decision_id", {"case": "case_id", "reviewer": "reviewer_id", "tenant": "tenant_id"}),
+        "audit": (log, "id", {"case": "case_id", "tenant": "tenant_id"}),
+        "api_key": (api_keys, "api_key_id", {"tenant": "tenant_id"}),
+        "reviewer": (reviewers, "reviewer_id", {"tenant": "tenant_id"}),
+        "webhook": (webhooks, "webhook_id", {"tenant": "tenant_id"}),
+        "delivery": (deliveries, "delivery_id", {"tenant": "tenant_id", "webhook": "webhook_id", "case": "case_id"}),
+    }
+    parents = {
+        "tenant": (tenants, "tenant_id"),
+        "case": (cases, "case_id"),
+        "reviewer": (reviewers, "reviewer_id"),
+        "webhook": (webhooks, "webhook_id"),
+        "document": (documents, "document_id"),
+    }
     return rules.fk_violations(
         [
-            fk("decision.case", d, "decision_id", "case_id", v.cases(), "case_id"),
-            fk("decision.reviewer", d, "decision_id", "reviewer_id", v.reviewers(), "reviewer_id"),
-            fk("delivery.webhook", v.deliveries(), "delivery_id", "webhook_id", v.webhooks(), "webhook_id"),
-            fk("case.tenant", v.cases(), "case_id", "tenant_id", v.tenants(), "tenant_id"),
-            fk("reviewer.tenant", v.reviewers(), "reviewer_id", "tenant_id", v.tenants(), "tenant_id"),
-            fk("webhook.tenant", v.webhooks(), "webhook_id", "tenant_id", v.tenants(), "tenant_id"),
-            fk("api_key.tenant", v.api_keys(), "api_key_id", "tenant_id", v.tenants(), "tenant_id"),
-            fk("document.case", v.documents(), "document_id", "case_id", v.cases(), "case_id"),
-            fk("extraction.case", v.extractions(), "extraction_id", "case_id", v.cases(), "case_id"),
-            fk("extraction.document", v.extractions(), "extraction_id", "document_id", v.documents(), "document_id"),
-            fk("hit.case", v.hits(), "matched_name", "case_id", v.cases(), "case_id"),
-            fk("delivery.case", v.deliveries(), "delivery_id", "case_id", v.cases(), "case_id"),
+            rules.ForeignKey(f"{child}.{parent}", df, row_id, column, *parents[parent])
+            for child, (df, row_id, columns) in children.items()
+            for parent, column in columns.items()
         ]
     )
 
@@ -131,20 +150,17 @@ def fk_violations(v: Views) -> DataFrame:
 @query
 def unique_conflicts(v: Views) -> DataFrame:
     """Every unique key, those with conflicts as (constraint, key, rows)."""
-    keys = {
-        "reviewer_email": (v.reviewers(), ["tenant_id", "email"]),
-        "reviewer_token": (v.reviewers(), ["token_hash"]),
-        "tenant_slug": (v.tenants(), ["slug"]),
-        "case_idempotency": (v.cases(), ["tenant_id", "idempotency_key"]),
-        "hit_name": (v.hits(), ["case_id", "list_source", "matched_name"]),
-    }
-    found = None
-    for name, (df, columns) in keys.items():
-        bad = rules.unique_conflicts(df, columns).select(
-            F.lit(name).alias("key_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("value"), "n"
-        )
-        found = bad if found is None else found.unionByName(bad)
-    return found
+    reviewers = v.reviewers()
+    return rules.key_conflicts(
+        {
+            "reviewer_email": (reviewers, ["tenant_id", "email"]),
+            "reviewer_token": (reviewers, ["token_hash"]),
+            "tenant_slug": (v.tenants(), ["slug"]),
+            "api_key_hash": (v.api_keys(), ["key_hash"]),
+            "case_idempotency": (v.cases(), ["tenant_id", "idempotency_key"]),
+            "hit_name": (v.hits(), ["case_id", "list_source", "matched_name"]),
+        }
+    )
 
 
 # Lists, detail and dashboard

@@ -259,3 +259,23 @@ def test_keys(spark):
     assert [(r.fk, r.row_id, r.missing) for r in bad] == [("fk", "2", "6")]
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (1, None), (2, "a")], "t int, email string")
     assert [tuple(r) for r in rules.unique_conflicts(rows, ["t", "email"]).collect()] == [(1, "a", 2)]
+
+
+def test_many_references_and_keys_at_once(spark):
+    child = spark.createDataFrame([(1, 5, 50), (2, 6, 51), (3, None, 50)], "id int, ref int, other int")
+    other = spark.createDataFrame([("x", 6), ("y", 5)], "name string, ref int")
+    a, b = spark.createDataFrame([(5,)], "id bigint"), spark.createDataFrame([(50,), (5,)], "id bigint")
+    fk = rules.ForeignKey
+    keys = [
+        fk("child.a", child, "id", "ref", a, "id"), fk("child.a2", child, "id", "other", a, "id"), fk("other.a", other, "name", "ref", a, "id"),
+        fk("child.b", child, "id", "other", b, "id"),
+    ]
+    found = rules.fk_violations(keys)
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("child.a", "2", "6"), ("child.a2", "1", "50"), ("child.a2", "2", "51"), ("child.a2", "3", "50"), ("child.b", "2", "51"),
+        ("other.a", "x", "6"),
+    ]
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (1, None), (2, "a")], "t int, email string")
+    got = rules.key_conflicts({"both": (rows, ["t", "email"]), "one": (rows, ["email"]), "id": (child, ["id"])})
+    assert sorted(tuple(r) for r in got.collect()) == [("both", "1|a", 2), ("one", "a", 3)]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
