@@ -1,17 +1,21 @@
-"""Licence notices in documents, by diagonal voting.
+"""Licence phrases, notices and texts in documents, by diagonal voting.
 
-Base phrases: every rolling word k-gram of a document is joined by hash with the positions of the same k-gram
-in the phrases, a fixed list that is broadcast; the join also compares the words themselves. A match votes for
-the diagonal (position in the document minus position in the template). A phrase counts where one diagonal has
-all its k-grams, so all its words stand one after the other.
+Every rolling word k-gram of a document is joined by hash with the positions of the same k-gram in the templates, a
+fixed list that is broadcast; the join also compares the words themselves. A match votes for the diagonal (position
+in the document minus position in the template), and votes are counted by diagonal.
 
-Notices: a notice is found where at most ``1 - COVER`` of its words are left out, changed, or have up to
-``NEIGHBOUR`` words put in before them. Each edit takes at most two of the notice's 2-grams and moves the
-diagonal by at most ``NEIGHBOUR`` to either side, so 2-grams on neighbouring diagonals bound where a notice
-can stand, and an alignment by words decides there.
+Base phrases: a phrase counts where one diagonal has all its k-grams, so all its words stand one after the other.
+
+Notices and licence texts: one is found where at most ``1 - COVER`` of its words are left out, changed, or have up to
+``NEIGHBOUR`` words put in before them. Each edit takes at most k of its k-grams and moves the diagonal by at most
+``NEIGHBOUR``. So diagonals that lie near each other are merged, those with too few votes for that many edits are
+let go, and only the spans that are left are verified by an alignment of words.
+
+Texts are told apart by their SHA-256: copies vote for one text, and what is found holds for all of them.
 
 Defined cases: null text counts as empty and has no words; rows are judged one by one, so repeated rows and
-null ids do not matter; an empty table gives an empty table; other columns do not matter.
+null ids do not matter; an empty table gives an empty table; other columns do not matter. Input is read twice (once
+for the k-grams, once for the texts that have spans to verify), so it must give the same texts each time.
 """
 
 from __future__ import annotations
@@ -22,37 +26,30 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import packed, small, stored
+from .license_texts import LICENCES, NOTICES
 
-#: Words per k-gram; a template of two words is one 2-gram.
+#: Words per k-gram at most; shorter where a template's edits could leave no k-gram of this size.
 GRAM = 3
-#: Words put in at one place that count as one edit, and share of a notice's words a finding needs unedited.
+#: Words put in at one place that count as one edit, and share of a template's words a finding needs unedited.
 NEIGHBOUR, COVER = 3, 0.8
+#: Texts whose findings a task remembers, for their copies.
+REMEMBERED = 4096
 
 #: Base phrases.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
-#: Well-known notices, in lower case without punctuation.
-NOTICES = (
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related rights"),
-    ("gpl", "licensed under the gnu general public license"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "the terms of the gnu lesser general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit", "released under the mit license"),
-    ("mpl", "subject to the terms of the mozilla public license v 2 0"),
-    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_GAPS = re.compile(GAPS)
+_GAPS, _LOWER = re.compile(GAPS), str.maketrans(UPPER, LOWER)
+#: One edit, in costs that hold edits in the high part and the place where an alignment starts in the low one.
+_UNIT = np.int64(1) << 32
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in _GAPS.split(text.translate(_LOWER)) if w]
 
 
 class Template(NamedTuple):
@@ -61,192 +58,224 @@ class Template(NamedTuple):
     words: tuple[str, ...]
     base: bool
 
+    @property
+    def most(self) -> int:
+        """Edits that a finding may have."""
+        return 0 if self.base else int(len(self.words) * (1 - COVER) + 1e-9)
+
+    def left(self, gram: int) -> int:
+        """k-grams of this size that stay whatever the edits are."""
+        return len(self.words) - gram + 1 - gram * self.most
+
     @property
     def gram(self) -> int:
-        return min(GRAM, len(self.words))
+        return next(g for g in range(min(GRAM, len(self.words)), 0, -1) if self.left(g) > 0)
 
     @property
     def n_grams(self) -> int:
         return len(self.words) - self.gram + 1
 
+    @property
+    def step(self) -> int:
+        """How far apart the diagonals of one finding can lie."""
+        return NEIGHBOUR * self.most
 
-def templates(base: Sequence[tuple[str, str]] = BASE, notices: Sequence[tuple[str, str]] = NOTICES) -> list[Template]:
+
+def templates(
+    base: Sequence[tuple[str, str]] = BASE, notices: Sequence[tuple[str, str]] = NOTICES + LICENCES
+) -> list[Template]:
     every = [(label, text, True) for label, text in base] + [(label, text, False) for label, text in notices]
-    return [Template(i, label, tuple(text.split()), is_base) for i, (label, text, is_base) in enumerate(every)]
+    split = [(label, tuple(words_of(text)), is_base) for label, text, is_base in every]
+    return [Template(i, label, words, is_base) for i, (label, words, is_base) in enumerate(split) if words]
+
 
+def text_digest(text: str = "text") -> Column:
+    return F.unhex(F.sha2(text, 256))
 
-def _gram_hash(gram: int):
+
+def _gram_hash(gram: int) -> Column:
     words = [F.col(f"w{i}") for i in range(gram)]
     return F.when(words[-1].isNotNull(), F.xxhash64(*words))
 
 
 def _positions(spark: SparkSession, known: list[Template], gram: int) -> DataFrame:
-    """``key``, ``template``, ``at``, and the words, of every k-gram of the templates of this size."""
+    """Hash, words, and all ``(template, at)`` of every k-gram of this size in the templates; one row per k-gram."""
     rows = [
         (t.number, i, *t.words[i : i + gram]) for t in known if t.gram == gram for i in range(t.n_grams)
     ]
     names = [f"w{i}" for i in range(gram)]
     made = spark.createDataFrame(rows, "template int, at int, " + ", ".join(f"{n} string" for n in names))
-    return made.withColumn("key", _gram_hash(gram)).select(
-        F.col("key").alias(f"key{gram}"),
-        F.struct("template", "at").alias(f"hit{gram}"),
-        *(F.col(n).alias(f"t{gram}_{n}") for n in names),
+    grouped = made.groupBy(*names).agg(F.collect_list(F.struct("template", "at")).alias(f"hits{gram}"))
+    return grouped.withColumn("key", _gram_hash(gram)).select(
+        F.col("key").alias(f"key{gram}"), f"hits{gram}", *(F.col(n).alias(f"t{gram}_{n}") for n in names)
     )
 
 
-class Notices:
-    """The notices as word numbers, with a table of their 2-grams (a single word is its own 2-gram)."""
+def license_hits(docs: DataFrame, known: list[Template]) -> DataFrame:
+    """``doc_id``, ``digest``, ``n_words``, ``at``, ``hits``: k-grams that templates have, and the first of each row.
 
-    def __init__(self, known: Sequence[Template]):
-        self.known = [t for t in known if not t.base and t.words]
-        self.number = {w: i for i, w in enumerate(sorted({w for t in self.known for w in t.words}), 1)}
-        self.wide = len(self.number) + 1
-        self.coded = [np.array([self.number[w] for w in t.words], np.int64) for t in self.known]
-        self.places: list[dict[int, list[int]]] = []
-        for code in self.coded:
-            where: dict[int, list[int]] = {}
-            for i, pair in enumerate(self._pairs(code, len(code) == 1).tolist()):
-                where.setdefault(pair, []).append(i)
-            self.places.append(where)
-        self.telling = np.zeros(self.wide * self.wide, bool)
-        for where in self.places:
-            self.telling[list(where)] = True
-
-    def _pairs(self, code: np.ndarray, single: bool = False) -> np.ndarray:
-        return code if single else code[:-1] * self.wide + code[1:]
-
-    def find(self, text: str) -> list[tuple[int, int, int, float]]:
-        """Number of the template, first and past-last word, and share of unedited words, of all notices."""
-        numbers = map(self.number.get, filter(None, _GAPS.split(text.lower())))
-        code = np.array([n or 0 for n in numbers], np.int64)
-        pairs = self._pairs(code) if len(code) else code
-        at = np.flatnonzero(self.telling[pairs])
-        pair_list = list(zip(at.tolist(), pairs[at].tolist()))
-        alone = list(enumerate(code.tolist()))
-        out = []
-        for t, own, where in zip(self.known, self.coded, self.places):
-            most = int(len(own) * (1 - COVER) + 1e-9)
-            seeds = alone if len(own) == 1 else pair_list
-            votes = sorted((i - j, j) for i, pair in seeds for j in where.get(pair, ()))
-            step, first = NEIGHBOUR * max(most, 1), 0
-            for k in range(1, len(votes) + 1):
-                if k < len(votes) and votes[k][0] - votes[k - 1][0] <= step:
-                    continue
-                if len({j for _, j in votes[first:k]}) >= max(1, len(own) - 1 - 2 * most):
-                    low = max(0, votes[first][0] - step)
-                    high = min(len(code), votes[k - 1][0] + len(own) + step)
-                    for a, b, edits in word_places(own, code[low:high], most):
-                        out.append((t.number, low + a, low + b, 1 - edits / len(own)))
-                first = k
-        return out
+    ``docs`` has ``doc_id`` and ``text``. The row at the first word (or without a place, if there is no word) is
+    there for every document, so these rows are the documents.
+    """
+    words = F.filter(F.split(F.translate("text", UPPER, LOWER), GAPS), lambda w: w != "")
+    rows = docs.select("doc_id", text_digest().alias("digest"), words.alias("words"))
+    n = F.size("words")
+    shifted = [F.slice("words", i + 1, F.greatest(n, F.lit(1))).alias(f"w{i}") for i in range(GRAM)]
+    grams = rows.select("doc_id", "digest", n.alias("n_words"), F.arrays_zip(*shifted).alias("grams"))
+    exploded = grams.select("doc_id", "digest", "n_words", F.posexplode_outer("grams").alias("at", "gram")).select(
+        "doc_id", "digest", "n_words", "at", "gram.*"
+    )
+    sizes = sorted({t.gram for t in known})
+    for size in sizes:
+        exploded = exploded.withColumn(f"own{size}", _gram_hash(size))
+        same = F.col(f"own{size}") == F.col(f"key{size}")
+        for i in range(size):
+            same = same & (F.col(f"w{i}") == F.col(f"t{size}_w{i}"))
+        exploded = exploded.join(F.broadcast(_positions(docs.sparkSession, known, size)), same, "left")
+    none = F.array().cast("array<struct<template:int,at:int>>")
+    wanted = F.coalesce(F.col("at"), F.lit(0)) == 0
+    for size in sizes:
+        wanted = wanted | F.col(f"hits{size}").isNotNull()
+    hits = F.concat(none, *(F.coalesce(F.col(f"hits{size}"), none) for size in sizes))
+    return exploded.filter(wanted).select("doc_id", "digest", "n_words", "at", hits.alias("hits"))
+
+
+def vote(found: DataFrame) -> DataFrame:
+    """``digest``, ``template``, ``diagonal``, ``n_places``: different k-grams of the template on this diagonal.
+
+    A set of places holds no more than the template has k-grams.
+    """
+    votes = found.select("digest", "at", F.explode("hits").alias("hit")).select(
+        "digest", "hit.template", F.col("hit.at").alias("place"), (F.col("at") - F.col("hit.at")).alias("diagonal")
+    )
+    counted = votes.groupBy("digest", "template", "diagonal").agg(F.collect_set("place").alias("places"))
+    return counted.select("digest", "template", "diagonal", F.size("places").alias("n_places"))
+
+
+def candidate_spans(diagonals: DataFrame) -> DataFrame:
+    """``digest``, ``spans``: stretches of words that may hold a template, from merged neighbouring diagonals.
+
+    ``diagonals`` has the template's ``step``, ``needed`` votes and ``n_words_own`` beside the votes. The list of a text is bounded
+    by its own words.
+    """
+    order = Window.partitionBy("digest", "template").orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(order) > F.col("step")
+    chained = diagonals.withColumn("begins", F.coalesce(apart, F.lit(True)).cast("int"))
+    chained = chained.withColumn("chain", F.sum("begins").over(order))
+    merged = chained.groupBy("digest", "template", "chain", "step", "needed", "n_words_own").agg(
+        F.min("diagonal").alias("least"), F.max("diagonal").alias("most"), F.sum("n_places").alias("votes")
+    )
+    low = F.greatest(F.lit(0), F.col("least") - F.col("step")).cast("int")
+    high = (F.col("most") + F.col("n_words_own") + F.col("step")).cast("int")
+    spans = merged.filter("votes >= needed").select("digest", F.struct("template", low.alias("low"), high.alias("high")).alias("span"))
+    return spans.groupBy("digest").agg(F.collect_list("span").alias("spans"))
+
+
+def _put_in(costs: np.ndarray) -> np.ndarray:
+    """Costs once words may be put in before the next one: every ``NEIGHBOUR`` of them, or fewer, are one edit."""
+    n = len(costs)
+    rows = -(-n // NEIGHBOUR)
+    lanes = np.full(rows * NEIGHBOUR, _UNIT << 29)
+    lanes[:n] = costs
+    rise = _UNIT * np.arange(rows)[:, None]
+    whole = (np.minimum.accumulate(lanes.reshape(rows, NEIGHBOUR) - rise, axis=0) + rise).ravel()[:n]
+    best = whole.copy()
+    for back in range(1, NEIGHBOUR):
+        best[back:] = np.minimum(best[back:], whole[:-back] + _UNIT)
+    return best
 
 
 def word_places(own: np.ndarray, code: np.ndarray, most: int) -> list[tuple[int, int, int]]:
     """First and past-last word, and edits, of the best place in every stretch where ``own`` has few edits."""
-    unit = np.int64(1) << 32
-    # Edits in the high part; the start in the low one, so that of equal edits the shortest place wins.
-    costs = unit - 1 - np.arange(len(code) + 1, dtype=np.int64)
-    far = np.full(NEIGHBOUR, unit * (len(own) + 2))
+    # The start is in the low part, so that of equal edits the shortest place wins.
+    costs = _UNIT - 1 - np.arange(len(code) + 1, dtype=np.int64)
     for i, word in enumerate(own):
-        best = costs + unit
-        best[1:] = np.minimum(best[1:], costs[:-1] + unit * (code != word))
-        costs = best
-        for _ in range(most if i + 1 < len(own) else 0):
-            padded = np.r_[far, costs]
-            for back in range(1, NEIGHBOUR + 1):
-                shifted = padded[NEIGHBOUR - back : len(padded) - back]
-                costs = np.minimum(costs, shifted + unit)
-    edits = costs // unit
+        best = costs + _UNIT
+        best[1:] = np.minimum(best[1:], costs[:-1] + _UNIT * (code != word))
+        costs = _put_in(best) if i + 1 < len(own) else best
+    edits = costs // _UNIT
     ends = np.flatnonzero(edits <= most)
     out = []
     for group in np.split(ends, np.flatnonzero(np.diff(ends) > 1) + 1):
         if len(group):
             end = int(group[edits[group].argmin()])
-            out.append((int(unit - 1 - costs[end] % unit), end, int(edits[end])))
+            out.append((int(_UNIT - 1 - costs[end] % _UNIT), end, int(edits[end])))
     return out
 
 
-def _notice_rows(known: list[Template]):
-    kind = pa.list_(
-        pa.struct([("template", pa.int32()), ("first", pa.int32()), ("past", pa.int32()), ("cover", pa.float64())])
-    )
-    names = ("template", "first", "past", "cover")
+class Aligner:
+    """Verifies spans of texts against the templates, as numbers of words."""
+
+    def __init__(self, known: Sequence[Template]):
+        self.known = {t.number: t for t in known}
+        self.number = {w: i for i, w in enumerate(sorted({w for t in known for w in t.words}), 1)}
+        self.coded = {t.number: np.array([self.number[w] for w in t.words], np.int64) for t in known}
+
+    def find(self, text: str, spans: Sequence[dict]) -> list[tuple[int, int, int, float]]:
+        """Template, first and past-last word, and share of unedited words, of all findings in the spans."""
+        code = np.array([self.number.get(w, 0) for w in words_of(text)], np.int64)
+        out = []
+        for span in spans:
+            own, low = self.coded[span["template"]], span["low"]
+            for a, b, edits in word_places(own, code[low : span["high"]], self.known[span["template"]].most):
+                out.append((span["template"], low + a, low + b, 1 - edits / len(own)))
+        return out
+
+
+FOUND = "digest binary, template int, first int, past int, cover double"
+
+
+def _verified_rows(known: list[Template]):
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+    names = ("digest", "template", "first", "past", "cover")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        notices = Notices(known)
+        aligner, remembered = Aligner(known), set()
         for batch in small(batches):
-            found = [[dict(zip(names, x)) for x in notices.find(t.as_py())] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(found, kind)], ["doc_id", "text", "notices"]
-            )
+            out = []
+            for digest, text, spans in zip(*(batch.column(c) for c in ("digest", "text", "spans"))):
+                key = digest.as_py()
+                if key in remembered:
+                    continue
+                if len(remembered) >= REMEMBERED:
+                    remembered.clear()
+                remembered.add(key)
+                out += [(key, *x) for x in aligner.find(text.as_py(), spans.as_py())]
+            columns = zip(*out) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
     return rows
 
 
-NOTICE = "notices array<struct<template:int,first:int,past:int,cover:double>>"
-
-
-def license_hits(docs: DataFrame, known: list[Template]) -> DataFrame:
-    """``row_id``, ``doc_id``, ``notices``, ``n_words``, ``at``, ``hits``: k-grams of phrases, and the first of each row."""
-    words = F.filter(F.split(F.lower("text"), GAPS), lambda w: w != "")
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "notices", words.alias("words"))
-    n = F.size("words")
-    shifted = [F.slice("words", i + 1, F.greatest(n, F.lit(1))).alias(f"w{i}") for i in range(GRAM)]
-    grams = rows.select("row_id", "doc_id", "notices", n.alias("n_words"), F.arrays_zip(*shifted).alias("grams"))
-    exploded = grams.select(
-        "row_id", "doc_id", "notices", "n_words", F.posexplode_outer("grams").alias("at", "gram")
-    ).select("row_id", "doc_id", "notices", "n_words", "at", "gram.*")
-    sizes = sorted({t.gram for t in known})
-    for size in sizes:
-        table = _positions(docs.sparkSession, known, size)
-        exploded = exploded.withColumn(f"own{size}", _gram_hash(size))
-        same = F.col(f"own{size}") == F.col(f"key{size}")
-        for i in range(size):
-            same = same & (F.col(f"w{i}") == F.col(f"t{size}_w{i}"))
-        exploded = exploded.join(F.broadcast(table), same, "left")
-    hits = [F.col(f"hit{size}") for size in sizes]
-    wanted = F.coalesce(F.col("at"), F.lit(0)) == 0
-    for hit in hits:
-        wanted = wanted | hit.isNotNull()
-    once = F.when(F.coalesce(F.col("at"), F.lit(0)) == 0, F.col("notices"))
-    return exploded.filter(wanted).select(
-        "row_id", "doc_id", once.alias("notices"), "n_words", "at", F.array(*hits).alias("hits")
-    )
+def verify(texts: DataFrame, spans: DataFrame, known: list[Template]) -> DataFrame:
+    """``digest``, ``template``, ``first``, ``past``, ``cover`` of what the alignment finds inside the spans."""
+    found = texts.join(spans, "digest").select("digest", "text", "spans").mapInArrow(_verified_rows(known), FOUND)
+    return found.groupBy("digest", "template", "first", "past").agg(F.max("cover").alias("cover"))
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", known: list[Template] | None = None) -> DataFrame:
     """One row per document: counts, places and labels of base phrases, all ``findings``, ``labels``, ``score``."""
     known = known or templates()
     spark = docs.sparkSession
-    marked = packed(docs, key).select("doc_id", "text").mapInArrow(
-        _notice_rows(known), "doc_id long, text string, " + NOTICE
-    )
-    found = stored(license_hits(marked, [t for t in known if t.base]), "license-hits")
-    facts = spark.createDataFrame(
-        [(t.number, t.label, t.base, t.n_grams, t.gram) for t in known],
-        "template int, label string, base boolean, n_grams int, gram int",
-    )
-    diagonals = (
-        found.select("row_id", "at", F.explode("hits").alias("hit"))
-        .filter("hit IS NOT NULL")
-        .select("row_id", "hit.template", F.col("hit.at").alias("place"), "at")
-        .distinct()
-        .groupBy("row_id", "template", (F.col("at") - F.col("place")).alias("diagonal"))
-        .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.size(F.collect_set("place")).alias("n_places"))
-        .join(F.broadcast(facts), "template")
-    )
-    base = diagonals.filter("n_places = n_grams")
-    notices = (
-        found.select("row_id", F.explode("notices").alias("n"))
-        .select("row_id", "n.*")
-        .join(F.broadcast(facts), "template")
-    )
-    past = (F.col("last") + F.col("gram")).alias("past")
-    every = base.select("row_id", "label", "base", "first", "last", past, F.lit(1.0).alias("cover")).unionByName(
-        notices.select("row_id", "label", "base", "first", F.lit(None).cast("int").alias("last"), "past", "cover")
+    texts = packed(docs, key).select("doc_id", "text")
+    found = stored(license_hits(texts, known), "license-hits")
+    facts = F.broadcast(
+        spark.createDataFrame(
+            [(t.number, t.label, t.base, t.n_grams, t.left(t.gram), t.step, len(t.words)) for t in known],
+            "template int, label string, base boolean, n_grams int, needed int, step int, n_words_own int",
+        )
     )
+    diagonals = stored(vote(found).join(facts, "template"), "license-votes")
+    # Spans and judgements are cut off before they are joined back, so that Spark can split a text with many copies.
+    spans = stored(candidate_spans(diagonals.filter("NOT base")), "license-spans")
+    notices = verify(texts.select(text_digest().alias("digest"), "text"), spans, known).join(facts, "template")
+    base = diagonals.filter("base AND n_places = n_grams").select(
+        "digest", "label", "base", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("n_words_own")).alias("past"),
+        F.lit(1.0).alias("cover"),
+    )
+    every = base.unionByName(notices.select("digest", "label", "base", "first", "past", "cover"))
     only = F.when(F.col("base"), F.col("first"))
-    judged = every.groupBy("row_id").agg(
+    judged = every.groupBy("digest").agg(
         F.count(only).alias("n_base"),
         F.min(only).cast("long").alias("first_word"),
         F.max(only).cast("long").alias("last_word"),
@@ -255,8 +284,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", known: list[Template] |
         F.max("cover").alias("score"),
         F.array_sort(F.collect_list(F.struct("first", "past", "label", "cover"))).alias("findings"),
     )
-    rows = found.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"))
-    return rows.join(judged, "row_id", "left").select(
+    rows = found.filter("coalesce(at, 0) = 0").select("doc_id", "digest", F.col("n_words").cast("long").alias("n_words"))
+    return rows.join(stored(judged, "license-judged"), "digest", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"),

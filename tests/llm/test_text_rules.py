@@ -1,9 +1,11 @@
 """Chat format, licences, URLs, languages and benchmark leaks on small tables."""
 
+import functools
 import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,78 @@ def test_licenses_with_one_word_edited(spark):
     assert got[len(rows)].labels == ""
 
 
+def fewest_edits(own, words):
+    """Edits of the best place anywhere in the words, by plain recursion over both sequences."""
+    @functools.cache
+    def ends(i, j):
+        """Fewest edits with which the first i own words end just before word j."""
+        if i == 0:
+            return 0
+        found = [ends(i - 1, j) + 1]
+        if j:
+            found.append(ends(i - 1, j - 1) + (own[i - 1] != words[j - 1]))
+            # Up to three words put in before the next own word are one edit.
+            if i < len(own):
+                found += [ends(i, j - back) + 1 for back in (1, 2, 3) if back <= j]
+        return min(found)
+
+    return min(ends(len(own), j) for j in range(len(words) + 1))
+
+
+def test_alignment_equals_plain_recursion():
+    draw = random.Random(3)
+    for _ in range(300):
+        own = draw.choices("abcd", k=draw.randrange(1, 8))
+        words = draw.choices("abcdx", k=draw.randrange(0, 14))
+        most = draw.randrange(0, 4)
+        coded = [np.array([ord(c) for c in x], np.int64) for x in (own, words)]
+        places = license_scan.word_places(*coded, most)
+        least = fewest_edits(own, words)
+        assert min((edits for _, _, edits in places), default=most + 1) == min(least, most + 1)
+        for first, past, edits in places:
+            assert 0 <= first <= past <= len(words)
+            assert fewest_edits(own, words[first:past]) == edits
+
+
+def test_notices_equal_alignment_of_whole_texts(spark):
+    """What voting leaves for the alignment is all there is: the same labels as every template over every whole text."""
+    draw = random.Random(5)
+    known = license_scan.templates()
+    vocabulary = sorted({w for t in known for w in t.words})
+    texts = []
+    for t in known:
+        for share in (0, 0.1, 0.19, 0.3):
+            words = [w for w in t.words for w in draw.choice([[], ["zebra"], [w, "of", "the"]] if draw.random() < share else [[w]])]
+            texts.append(" ".join(draw.choices(vocabulary, k=40) + words + draw.choices(vocabulary, k=20)))
+    texts += [texts[5], texts[5].upper() + " (c)", " ".join(" ".join(t.words) for t in known)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    aligner = license_scan.Aligner(known)
+    found = 0
+    for i, text in enumerate(texts):
+        n = len(license_scan.words_of(text))
+        every = aligner.find(text, [{"template": t.number, "low": 0, "high": n} for t in known])
+        assert got[i].labels == ",".join(sorted({aligner.known[t].label for t, *_ in every})), text
+        found += len(every)
+    assert found > len(known) and got[len(texts) - 3].findings == got[5].findings
+
+
+def test_whole_licences(spark):
+    draw = random.Random(7)
+    label, text = license_scan.LICENCES[0]
+    words = text.split()
+    little = [w for w in words if draw.random() > 0.12]
+    much = [w if draw.random() > 0.5 else "zebra" for w in words]
+    clean = "the software of the author and the rights of the users in the world may be used by any person"
+    rows = [" ".join(little), " ".join(much[30:]), clean, "intro " * 500 + text + " outro" * 500]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    whole = [f for f in got[3].findings if f.label == label and f.past - f.first > 100]
+    assert [(f.first, f.cover) for f in whole] == [(500, 1.0)]
+    assert any(f.label == label and f.past - f.first > 100 for f in got[0].findings)
+    assert got[1].labels == "" and got[2].labels == ""
+
+
 def test_urls(spark):
     def page(url, link=None, refresh=None):
         head = f'<LINK rel="canonical" href="{link}">' if link else ""
