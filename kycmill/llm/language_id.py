@@ -39,6 +39,9 @@ LONGEST = 40
 PRIOR, UNKNOWN = 0.01, 1e-7
 UNDETERMINED = "und"
 START = "▁"
+#: How many times as surprising per letter as the median text of its language a text may be, and what is allowed
+#: beyond that (in nats over the whole text), since a few letters prove little.
+SURPRISE, SLACK = 3.0, 20.0
 #: Words kept with their scores in a task.
 REMEMBERED = 1 << 18
 #: Characters of texts scored together.
@@ -235,10 +238,15 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id")
 
 
 def learn(docs: DataFrame, vocabulary_path: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
-    spark = docs.sparkSession
+    return learn_from(training_sample(docs, sample), vocabulary_path, rounds)
+
+
+def learn_from(sample: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> Model:
+    """The model of a bounded table of ``lang``, ``text``."""
+    spark = sample.sparkSession
     pieces = vocabulary(vocabulary_path)
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
-    counted = training_sample(docs, sample).select("lang", word.alias("word")).groupBy("lang", "word")
+    counted = sample.select("lang", word.alias("word")).groupBy("lang", "word")
     counted = checkpointed(counted.agg(F.count("*").alias("n")))
     languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     number = F.create_map(*(F.lit(x) for i, name in enumerate(languages) for x in (name, i))) if languages else None
@@ -277,32 +285,59 @@ def _prediction_rows(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterato
         texts = row.field(row.type.get_field_index("text"))
         named: list[str] = []
         scores: list[float] = []
+        letters: list[int] = []
+        surprise: list[float] = []
         for words in _groups(t.as_py() or "" for t in texts):
             for found, sums in zip(words, scorer.score(words)):
+                letters.append(sum(map(len, found)))
                 if not model.languages or not has_letter(found):
                     named.append(UNDETERMINED)
                     scores.append(0.0)
+                    surprise.append(0.0)
                     continue
                 best = int(sums.argmax())
                 named.append(model.languages[best])
                 scores.append(float(1 / np.exp(sums - sums[best]).sum()))
-        yield pa.RecordBatch.from_arrays([row, pa.array(named, pa.string()), pa.array(scores)], ["row", "lang_pred", "score"])
+                surprise.append(float(-sums[best]))
+        yield pa.RecordBatch.from_arrays(
+            [row, pa.array(named, pa.string()), *(pa.array(x) for x in (scores, letters, surprise))],
+            ["row", "lang_pred", "score", "letters", "surprise"],
+        )
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows: ``row`` (the columns they came with), ``lang_pred``, ``score``."""
+    """All rows: ``row`` (the columns they came with), ``lang_pred``, ``score``, ``letters``, ``surprise``.
+
+    ``surprise`` is minus the log probability of the whole text in the predicted language; 0 for ``und``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = short_batches(docs).select(F.struct("*").alias("row"))
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    added = [
+        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("letters", T.LongType()), T.StructField("surprise", T.DoubleType()),
+    ]
     schema = T.StructType([*rows.schema.fields, *added])
     return rows.mapInArrow(_shared_rows(shared, _prediction_rows), schema)
 
 
-def drop_undetermined(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows in which one language has at least ``least`` of the sum over all learned languages.
+def usual_surprise(sample: DataFrame, model: Model) -> dict[str, float]:
+    """The median surprise per letter of the texts of a bounded sample, by predicted language."""
+    found = predict(sample, model).filter(F.col("lang_pred") != UNDETERMINED)
+    medians = found.groupBy("lang_pred").agg(F.median(F.col("surprise") / F.col("letters")).alias("usual"))
+    return {r["lang_pred"]: r["usual"] for r in medians.collect()}
+
+
+def drop_undetermined(
+    docs: DataFrame, model: Model, usual: dict[str, float] | None = None, least: float = 0.5, most: float = SURPRISE
+) -> DataFrame:
+    """The rows whose text is one of the learned languages.
 
-    The sum is over whole texts, so nearly every text of more than a few words passes. In effect only texts
-    without letters are rejected; letter junk and languages that were never learned stay.
+    One language has at least ``least`` of the sum over all of them; and where its ``usual`` surprise is given, the
+    text has at most ``most`` times that per letter, and ``SLACK`` more over all. So texts without letters go, letter
+    junk, and scripts and languages far from the learned ones; a language close to a learned one stays.
     """
-    found = predict(docs, model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return found.select("row.*")
+    kept = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)
+    for language, per_letter in (usual or {}).items():
+        too_much = F.col("surprise") > F.col("letters") * (most * per_letter) + SLACK
+        kept = kept & ~((F.col("lang_pred") == language) & too_much)
+    return predict(docs, model).filter(kept).select("row.*")

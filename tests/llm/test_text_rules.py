@@ -278,6 +278,21 @@ def test_undetermined(spark, model):
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_junk_and_far_languages_are_dropped(spark, model):
+    draw = random.Random(4)
+    letters = [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randrange(2, 9))) for _ in range(n)) for n in (30, 300)]
+    junk = [*letters, "日本語の文章はここにあります" * 5, "мой дядя самых честных правил когда не в шутку занемог", "qzx" * 5000]
+    table_docs = table(spark, FOLDER, "documents")
+    usual = language_id.usual_surprise(language_id.training_sample(table_docs, 30), model)
+    assert sorted(usual) == model.languages and all(1 < x < 4 for x in usual.values())
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(junk)] + [(90, "a", "x"), (91, "zq", "x")], "doc_id long, text string, surprise string")
+    assert [r.doc_id for r in language_id.drop_undetermined(docs, model, usual).collect()] == [90, 91]
+    clean = table_docs.filter(F.col("text").rlike(r"\p{L}"))
+    assert language_id.drop_undetermined(table_docs, model, usual).count() == language_id.drop_undetermined(table_docs, model).count()
+    assert language_id.drop_undetermined(table_docs, model, usual).count() >= 0.99 * clean.count()
+    assert language_id.drop_undetermined(docs.limit(0), model, usual).count() == 0
+
+
 def edits(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
