@@ -203,3 +203,37 @@ def test_a_folder_is_published_once(spark, tmp_path):
     target = f"file://{tmp_path}/out/v"
     assert publish(spark, str(tmp_path / "x"), target) and not publish(spark, str(tmp_path / "y"), target)
     assert (tmp_path / "out" / "v" / "file").read_text() == "x" and names_in(spark, f"{tmp_path}/out") == ["v"]
+
+
+def test_a_sliced_log_is_stored_once_without_hashes(spark):
+    """Of long tenants only events and last hashes are written; the rows with their hashes go straight on."""
+    import os
+
+    from kycmill.session import shared_dir
+
+    folder = shared_dir(spark)
+    old = set(os.listdir(folder))
+    rows = make_rows(200)
+    chain = audit.build_audit_chain(spark.createDataFrame(rows, SCHEMA).repartition(3), slice_rows=20, width=8)
+    assert collected(chain) == expected_chain(rows)
+    (path,) = [n for n in os.listdir(folder) if n.startswith("audit-chain") and n not in old]
+    assert sorted(os.listdir(f"{folder}/{path}")) == ["events", "heads"]
+    assert "row_hash" not in spark.read.parquet(f"{folder}/{path}/events").columns
+
+
+def test_dealt_rows_are_appended_as_they_are(spark, tmp_path):
+    rows = make_rows(60)
+    chain = audit.build_audit_chain(spark.createDataFrame(rows, SCHEMA))
+    audit.append_audit(chain, str(tmp_path / "log"), dealt=True)
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert collected(log) == expected_chain(rows)
+    # Compressed in a way that packs hexadecimal digits, which other codecs leave as they are.
+    names = [str(p) for p in (tmp_path / "log").rglob("*.parquet")]
+    assert names and all(".zstd." in n for n in names)
+
+
+def test_packed_hashes_differ_as_the_texts_do(spark):
+    texts = ["a" * 64, "A" * 64, "a" * 63, "a" * 64 + "\n", "", "x" * 64, "0" * 64, "\0" * 32, None]
+    df = spark.createDataFrame([(t,) for t in texts], "h string")
+    got = [r[0] if r[0] is None else bytes(r[0]) for r in df.select(audit._packed_hash("h")).collect()]
+    assert len(set(got)) == len(texts) and got[-1] is None and len(got[0]) == 32
