@@ -651,6 +651,10 @@ def stream_case_lifecycle(v: Views) -> DataFrame:
     middle = v.decisions().agg(F.max("decision_id") / 2).first()[0] or 0
     torn = (F.col("case_id") % 8 == 0) & (F.xxhash64("case_id", "kind") % 2 == 0)
     late = F.when(decided, F.col("seq") > middle).otherwise(torn)
+    # Both parts are cut from one stored table, so that the evidence is joined once.
+    whole = scratch_path(v.spark, "lifecycle-events")
+    log.write.parquet(whole)
+    log = v.spark.read.schema(log.schema).parquet(whole)
     for part in (log.filter(~late), log.filter(late)):
         part.repartition(4).write.mode("append").parquet(path)
     transitions = run_to_files(lifecycle.stream_case_lifecycle(file_stream(log, path, 4)), "lifecycle")

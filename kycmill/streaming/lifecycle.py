@@ -104,118 +104,153 @@ def assess(documents, extraction, face, screening) -> Assessment | None:
     return Assessment(parked if reason else "approved", reason, *read, score, hits, risk)
 
 
+#: Cases are kept in so many groups, fixed for the life of a checkpoint. Calls to the state cost far more than the cases.
+BUCKETS = 1 << 15
 _KEPT = {kind: Row("seq", "failed", *(c.split()[0] for c in columns.split(", "))) for kind, columns in EVIDENCE.items()}
 _MOVE = Row("case_id", *(c.split()[0] for c in TRANSITION.split(", ")))
 _MISSING = Row("failed")(True)
 
 
+def _state(id_type: str) -> str:
+    """A group's least advanced phase, highest number of an event and next timer, and its cases."""
+    kinds = {k: c.replace(" ", ":").replace(",:", ",") for k, c in EVIDENCE.items()}
+    evidence = ",".join(f"{k}:struct<seq:bigint,failed:boolean,{c}>" for k, c in kinds.items())
+    decisions = "decisions:array<struct<seq:bigint,decision:string,reviewer_id:bigint>>"
+    case = f"case_id:{id_type},phase:string,seq:bigint,timer:bigint,{evidence},{decisions}"
+    return f"phase string, seq bigint, timer bigint, cases array<struct<{case}>>"
+
+
+class _Case:
+    """One case: phase, highest number of an event so far, when its time is over (None: never), and what it waits with."""
+
+    def __init__(self, phase="open", seq=-1, timer=None, *more):
+        self.phase, self.seq, self.timer = phase, seq, timer
+        *evidence, decisions = more or [None] * (len(EVIDENCE) + 1)
+        self.evidence = {k: None if row is None else _KEPT[k](*row) for k, row in zip(EVIDENCE, evidence)}
+        self.decisions = [tuple(d) for d in decisions or []]
+
+    def row(self, key) -> tuple:
+        evidence = (None if row is None else tuple(row) for row in self.evidence.values())
+        return (key, self.phase, self.seq, self.timer, *evidence, self.decisions)
+
+
 class CaseLifecycle(StatefulProcessor):
     """Open, then parked or final. Final cases are remembered for a horizon, so that late events change nothing.
 
-    A case that is settled by the events of one batch writes nothing but its phase.
+    A case that is settled by the events of one batch leaves nothing but its phase. Cases lie in groups by their
+    hash, and a group is read and written once per batch that meets it.
     """
 
-    def __init__(self, timeout_ms: int, horizon_ms: int):
-        self.timeout_ms, self.horizon_ms = timeout_ms, horizon_ms
+    def __init__(self, timeout_ms: int, horizon_ms: int, id_type: str):
+        self.timeout_ms, self.horizon_ms, self.id_type = timeout_ms, horizon_ms, id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.evidence = {
-            kind: handle.getValueState(kind, f"seq bigint, failed boolean, {columns}") for kind, columns in EVIDENCE.items()
-        }
-        #: Phase, highest number of an event so far, and when the case's timer fires (null: none runs).
-        self.phase = handle.getValueState("phase", "phase string, seq bigint, timer bigint")
-        self.decisions = handle.getListState("decisions", "seq bigint, decision string, reviewer_id bigint")
+        self.phase = handle.getValueState("phase", _state(self.id_type))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        cases, timer = self._cases()
+        came: dict = {}
+        for row in rows:
+            came.setdefault(row.case_id, []).append(row)
+        for case_id, events in came.items():
+            case = cases.setdefault(case_id, _Case())
+            if case.phase != "final":
+                yield from self._advance(case_id, case, events, now)
+        self._keep(cases, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = max(timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        cases, _ = self._cases()
+        for case_id, case in list(cases.items()):
+            if case.timer is None or case.timer > now:
+                continue
+            if case.phase == "final":
+                del cases[case_id]
+            else:
+                # What is missing once the time is over counts as failed.
+                evidence = {kind: row or _MISSING for kind, row in case.evidence.items()}
+                yield from self._settled(case_id, case, assess(**evidence), [], now)
+        self._keep(cases, None)
+
+    def _cases(self) -> tuple[dict, int | None]:
         known = self.phase.get()
-        phase, seq, timer = known or ("open", -1, None)
-        if phase == "final":
+        if known is None:
+            return {}, None
+        return {row[0]: _Case(*row[1:]) for row in known[3]}, known[2]
+
+    def _keep(self, cases: dict, timer: int | None) -> None:
+        """Write the group. ``timer`` is the one that runs: it may fire early, but never late."""
+        if not cases:
+            self.phase.clear()
             return
-        new, decided = {}, []
-        for row in rows:
-            seq = max(seq, row.seq)
+        due = min((c.timer for c in cases.values() if c.timer is not None), default=None)
+        if due is not None and (timer is None or due < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        phases = {c.phase for c in cases.values()}
+        least = next(p for p in ("open", "parked", "final") if p in phases)
+        self.phase.update((least, max(c.seq for c in cases.values()), timer, [c.row(k) for k, c in cases.items()]))
+
+    def _advance(self, case_id, case: _Case, events: list[Row], now: int) -> Iterator[Row]:
+        decided = []
+        for row in events:
+            case.seq = max(case.seq, row.seq)
             if row.kind == "decision":
                 decided.append((row.seq, row.decision, row.reviewer_id))
-            elif row.kind in _KEPT and phase == "open":
+            elif row.kind in _KEPT and case.phase == "open":
                 # Of repeated evidence the newest counts.
-                if row.kind not in new or new[row.kind].seq < row.seq:
-                    kept = _KEPT[row.kind]
-                    new[row.kind] = kept(row.seq, bool(row.failed), *(row[c] for c in kept[2:]))
-        found = None
-        if phase == "open":
-            evidence = self._evidence() if known else dict.fromkeys(EVIDENCE)
-            for kind, row in list(new.items()):
-                if evidence[kind] is not None and evidence[kind].seq > row.seq:
-                    del new[kind]
-            evidence |= new
-            found = assess(**evidence)
-        if phase == "open" and found is None:
-            for kind, row in new.items():
-                self.evidence[kind].update(tuple(row))
-            if decided:
-                self.decisions.appendList(sorted(decided))
-            if timer is None:
-                timer = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
-                self.handle.registerTimer(timer)
-            self.phase.update((phase, seq, timer))
+                old, kept = case.evidence[row.kind], _KEPT[row.kind]
+                if old is None or old.seq < row.seq:
+                    case.evidence[row.kind] = kept(row.seq, bool(row.failed), *(row[c] for c in kept[2:]))
+        found = assess(**case.evidence) if case.phase == "open" else None
+        if case.phase == "open" and found is None:
+            case.decisions += sorted(decided)
+            if case.timer is None:
+                case.timer = now + self.timeout_ms
             return
-        yield from self._settled(key, phase, seq, timer, found, sorted(decided), bool(known), timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        known = self.phase.get()
-        if known is not None and known[0] == "final":
-            self.phase.clear()
-        elif known is not None and known[0] == "open":
-            # What is missing once the time is over counts as failed.
-            evidence = {kind: row or _MISSING for kind, row in self._evidence().items()}
-            yield from self._settled(key, "open", known[1], None, assess(**evidence), [], True, timerValues)
-
-    def _evidence(self) -> dict[str, Row | None]:
-        found = {kind: state.get() for kind, state in self.evidence.items()}
-        return {kind: None if row is None else _KEPT[kind](*row) for kind, row in found.items()}
+        yield from self._settled(case_id, case, found, sorted(decided), now)
 
-    def _settled(self, key, phase, seq, timer, found, decided, known, timer_values) -> Iterator[Row]:
+    def _settled(self, case_id, case: _Case, found, decided, now: int) -> Iterator[Row]:
         """An assessment, if there is one, and then the decisions in order of arrival."""
-        if phase == "open":
-            if known:
-                decided = [*(tuple(d) for d in self.decisions.get()), *decided]
-                self.decisions.clear()
-                for state in self.evidence.values():
-                    state.clear()
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            phase = "parked" if found.status == "needs_review" else "final"
-            yield _MOVE(key[0], seq, *found, None)
+        if case.phase == "open":
+            decided = [*case.decisions, *decided]
+            case.evidence, case.decisions = dict.fromkeys(EVIDENCE), []
+            case.phase = "parked" if found.status == "needs_review" else "final"
+            yield _MOVE(case_id, case.seq, *found, None)
         for at, decision, reviewer in decided:
             # Escalations are used up; the first other decision is final.
-            if phase == "parked" and decision != "escalated":
-                phase = "final"
-                yield _MOVE(key[0], max(seq, at), decision, *[None] * 6, reviewer)
-        end = None
-        if phase == "final":
-            end = timer_values.getCurrentProcessingTimeInMs() + self.horizon_ms
-            self.handle.registerTimer(end)
-        self.phase.update((phase, seq, end))
+            if case.phase == "parked" and decision != "escalated":
+                case.phase = "final"
+                yield _MOVE(case_id, max(case.seq, at), decision, *[None] * 6, reviewer)
+        case.timer = now + self.horizon_ms if case.phase == "final" else None
 
     def close(self) -> None:
         pass
 
 
 def stream_case_lifecycle(
-    events: DataFrame, timeout_min: float = UPLOAD_TIMEOUT_MIN, horizon_min: float = HORIZON_MIN
+    events: DataFrame,
+    timeout_min: float = UPLOAD_TIMEOUT_MIN,
+    horizon_min: float = HORIZON_MIN,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Transitions of every case from its events (``case_id`` and the columns of ``EVENT``).
 
     Kinds: ``opened``; ``documents``, ``extraction``, ``face`` and ``screening`` (``failed``: the step failed for
     good); ``decision``. A case is assessed as soon as its evidence suffices. Decisions that come early are kept.
     A case that is not assessed within the timeout is parked, and what is missing counts as failed. A final case
-    leaves the state after the horizon; events that come later than that open it anew.
+    leaves the state after the horizon; events that come later than that open it anew. State is kept for ``buckets``
+    groups of cases, by the hash of their ids.
     """
     columns = ["case_id", *(c.split()[0] for c in EVENT.split(", "))]
     id_type = events.schema["case_id"].dataType.simpleString()
-    return events.select(*columns).groupBy("case_id").transformWithState(
-        CaseLifecycle(int(timeout_min * 60_000), int(horizon_min * 60_000)),
+    bucket = F.pmod(F.xxhash64("case_id"), F.lit(buckets)).alias("__bucket")
+    return events.select(bucket, *columns).groupBy("__bucket").transformWithState(
+        CaseLifecycle(int(timeout_min * 60_000), int(horizon_min * 60_000), id_type),
         f"case_id {id_type}, {TRANSITION}",
         "append",
         "processingTime",

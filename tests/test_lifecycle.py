@@ -164,3 +164,15 @@ def test_timeout_and_horizon(spark, tmp_path):
 @pytest.mark.parametrize("value,text", [(0.84995, "0.8500"), (0.79994999, "0.7999")])
 def test_rounding_as_in_the_batch_form(value, text):
     assert str(lifecycle._rounded(value)) == text
+
+
+def test_cases_share_groups_of_state(spark, tmp_path):
+    """State is read and written per group, whatever the number of cases; parked ones wait in it for their decision."""
+    n = 60
+    rows = [docs(i, 1, failed=True) for i in range(n)] + [event(i, 9, "decision", decision="approved", reviewer_id=i) for i in range(n)]
+    stream = lifecycle.stream_case_lifecycle(batches(spark, rows, tmp_path / "in", 2), buckets=4)
+    out = run_to_files(stream, "lifecycle", 2, at=str(tmp_path / "out"))
+    got = sorted((r.case_id, r.status, r.reviewer_id) for r in out.collect())
+    assert got == sorted([(i, "needs_review", None) for i in range(n)] + [(i, "approved", i) for i in range(n)], key=lambda r: (r[0], r[1]))
+    state = spark.read.format("statestore").option("stateVarName", "phase").load(str(tmp_path / "out" / "checkpoint")).collect()
+    assert len(state) == 4 and sum(len(r.value.cases) for r in state) == n
