@@ -174,21 +174,50 @@ def stream_ingest_within(requests: DataFrame, horizon: str = "7 days") -> DataFr
     return first.unionByName(fresh)
 
 
-def stream_status_changes(changes: DataFrame) -> DataFrame:
-    """What each batch of ``changes(case_id, seq, status)`` does to the counts: ``(status, delta)`` rows."""
+#: Cases are counted in so many groups, fixed for the life of a checkpoint: a call per case costs far more than the case.
+BUCKETS = 1 << 15
+
+
+def stream_status_changes(changes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """What each batch of ``changes(case_id, seq, status)`` does to the counts: ``(status, delta)`` rows.
+
+    State holds the newest status of every case, in ``buckets`` groups by the hash of the id. A group gives the sum of
+    what its cases did.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old, seen = state.get if state.exists else (None, None)
-        seq, new = max((e for b in batches for e in zip(b["seq"].tolist(), b["status"].tolist())), key=lambda e: e[0])
-        if seen is None or seq > seen:
-            state.update((new, seq))
-            if new != old:
-                deltas = [(new, 1)] if old is None else [(new, 1), (old, -1)]
-                yield pd.DataFrame(deltas, columns=["status", "delta"])
-
-    rows = changes.select("case_id", F.col("seq").cast("bigint").alias("seq"), "status")
-    return rows.groupBy("case_id").applyInPandasWithState(
-        run, "status string, delta bigint", "status string, seq bigint", "append", GroupStateTimeout.NoTimeout
+        known = {c: (q, s) for c, q, s in zip(*state.get)} if state.exists else {}
+        newest: dict[str | None, tuple[int, str]] = {}
+        for b in batches:
+            for case, seq, status in zip(b["case"], b["seq"].tolist(), b["status"]):
+                if case not in newest or seq > newest[case][0]:
+                    newest[case] = (seq, status)
+        deltas: dict[str, int] = {}
+        for case, (seq, status) in newest.items():
+            old = known.get(case)
+            if old is None or seq > old[0]:
+                known[case] = (seq, status)
+                deltas[status] = deltas.get(status, 0) + 1
+                if old is not None:
+                    deltas[old[1]] = deltas.get(old[1], 0) - 1
+        state.update((list(known), [q for q, _ in known.values()], [s for _, s in known.values()]))
+        moved = [(s, n) for s, n in deltas.items() if n]
+        if moved:
+            yield pd.DataFrame(moved, columns=["status", "delta"])
+
+    # Ids as texts and numbers without nulls: pandas would make floats of numbers with a null among them.
+    rows = changes.select(
+        F.pmod(F.xxhash64("case_id"), F.lit(buckets)).alias("bucket"),
+        F.col("case_id").cast("string").alias("case"),
+        F.coalesce(F.col("seq").cast("bigint"), F.lit(-(1 << 63))).alias("seq"),
+        "status",
+    )
+    return rows.groupBy("bucket").applyInPandasWithState(
+        run,
+        "status string, delta bigint",
+        "cases array<string>, seqs array<bigint>, statuses array<string>",
+        "append",
+        GroupStateTimeout.NoTimeout,
     )
 
 

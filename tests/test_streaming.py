@@ -226,3 +226,13 @@ def test_status_counts_are_put_together(spark, tmp_path, monkeypatch):
     last = {case: status for case, _, status in rows}
     assert {r.status: r.n for r in got.collect()} == {s: list(last.values()).count(s) for s in set(last.values())}
     assert len(got.inputFiles()) < 5 * 4
+
+
+def test_status_changes_of_many_cases_come_in_groups(spark, tmp_path):
+    """One sum per status and group, however many cases it has; later batches know each case's status."""
+    rows = [(i, 1, "pending") for i in range(90)] + [(i, 2, "approved" if i % 3 else "pending") for i in range(90)]
+    stream = parts(spark, rows, "case_id int, seq int, status string", tmp_path / "in")
+    out = operators.run_to_files(operators.stream_status_changes(stream, buckets=3), "status-changes", 2).collect()
+    total = {s: sum(r.delta for r in out if r.status == s) for s in {r.status for r in out}}
+    assert total == {"pending": 30, "approved": 60}
+    assert len(out) < 90
