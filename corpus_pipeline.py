@@ -14,10 +14,12 @@ from kycmill.llm.queries import PIECES, TOKENIZER
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go, and letter junk and languages far from the learned ones."""
-    sample = stored(language_id.training_sample(docs), "language-sample")
-    model = language_id.learn_from(sample, public_tokenizers.path(PIECES))
-    return language_id.drop_undetermined(docs, model, language_id.usual_surprise(sample, model))
+    """Documents without letters go, and letter junk and languages far from those of all labelled training documents."""
+    model = language_id.learn_from(language_id.training_rows(docs), public_tokenizers.path(PIECES))
+    # Every text is scored once; both the usual surprise and the rows that stay are read from that.
+    found = stored(language_id.predict(docs, model), "language-scores")
+    known = language_id.training_rows(found.select("row.doc_id", "row.lang", "row.text", "lang_pred", "letters", "surprise"))
+    return language_id.drop_strangers(found, language_id.usual_of(known))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

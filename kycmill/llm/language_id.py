@@ -42,6 +42,8 @@ START = "▁"
 #: How many times as surprising per letter as the median text of its language a text may be, and what is allowed
 #: beyond that (in nats over the whole text), since a few letters prove little.
 SURPRISE, SLACK = 3.0, 20.0
+#: Nats per letter in which surprise is counted.
+STEP = 1e-3
 #: Words kept with their scores in a task.
 REMEMBERED = 1 << 18
 #: Characters of texts scored together.
@@ -213,6 +215,11 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def training_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All documents that may be learned from."""
+    return docs.filter(~held_out(F.col(key)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
 def training_sample(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> DataFrame:
     """``lang``, ``text`` of the documents to learn from: per language those whose ids hash lowest.
 
@@ -221,7 +228,7 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id")
     id has very many rows there may be fewer than ``sample``. Nothing is joined.
     """
     place = F.xxhash64(F.col(key).cast("string"))
-    known = docs.filter(~held_out(F.col(key)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = training_rows(docs, key)
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
 
     def below(bounds: dict[str, int]) -> Column:
@@ -242,7 +249,7 @@ def learn(docs: DataFrame, vocabulary_path: str, sample: int = SAMPLE, rounds: i
 
 
 def learn_from(sample: DataFrame, vocabulary_path: str, rounds: int = ROUNDS) -> Model:
-    """The model of a bounded table of ``lang``, ``text``."""
+    """The model of a table of ``lang``, ``text``: a sample, or all there is. Only counts of its words are kept."""
     spark = sample.sparkSession
     pieces = vocabulary(vocabulary_path)
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
@@ -320,11 +327,35 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_shared_rows(shared, _prediction_rows), schema)
 
 
-def usual_surprise(sample: DataFrame, model: Model) -> dict[str, float]:
-    """The median surprise per letter of the texts of a bounded sample, by predicted language."""
-    found = predict(sample, model).filter(F.col("lang_pred") != UNDETERMINED)
-    medians = found.groupBy("lang_pred").agg(F.median(F.col("surprise") / F.col("letters")).alias("usual"))
-    return {r["lang_pred"]: r["usual"] for r in medians.collect()}
+def usual_surprise(docs: DataFrame, model: Model) -> dict[str, float]:
+    """The median surprise per letter of some texts, by predicted language."""
+    return usual_of(predict(docs, model))
+
+
+def usual_of(found: DataFrame) -> dict[str, float]:
+    """The median surprise per letter, by predicted language, of all rows of ``predict``, in steps of ``STEP``.
+
+    Rows are counted by step, and the middle is found in the counts, so no task holds the values of a language.
+    """
+    step = F.round(F.col("surprise") / F.col("letters") / STEP).cast("long").alias("step")
+    counted = found.filter(F.col("lang_pred") != UNDETERMINED).groupBy("lang_pred", step).agg(F.count("*").alias("n"))
+    of, before = Window.partitionBy("lang_pred"), Window.partitionBy("lang_pred").orderBy("step")
+    placed = counted.withColumns({"upto": F.sum("n").over(before), "all": F.sum("n").over(of)})
+    # The step or the two steps that hold the middle rows.
+    middle = placed.filter((2 * F.col("upto") >= F.col("all")) & (2 * (F.col("upto") - F.col("n")) <= F.col("all")))
+    found_steps = middle.groupBy("lang_pred").agg(F.avg("step").alias("step")).collect()
+    return {r["lang_pred"]: r["step"] * STEP for r in found_steps}
+
+
+def drop_strangers(
+    found: DataFrame, usual: dict[str, float] | None = None, least: float = 0.5, most: float = SURPRISE
+) -> DataFrame:
+    """The rows of ``predict`` whose text is one of the learned languages; see ``drop_undetermined``."""
+    kept = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)
+    for language, per_letter in (usual or {}).items():
+        too_much = F.col("surprise") > F.col("letters") * (most * per_letter) + SLACK
+        kept = kept & ~((F.col("lang_pred") == language) & too_much)
+    return found.filter(kept).select("row.*")
 
 
 def drop_undetermined(
@@ -336,8 +367,4 @@ def drop_undetermined(
     text has at most ``most`` times that per letter, and ``SLACK`` more over all. So texts without letters go, letter
     junk, and scripts and languages far from the learned ones; a language close to a learned one stays.
     """
-    kept = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)
-    for language, per_letter in (usual or {}).items():
-        too_much = F.col("surprise") > F.col("letters") * (most * per_letter) + SLACK
-        kept = kept & ~((F.col("lang_pred") == language) & too_much)
-    return predict(docs, model).filter(kept).select("row.*")
+    return drop_strangers(predict(docs, model), usual, least, most)

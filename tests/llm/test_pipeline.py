@@ -71,3 +71,35 @@ def test_stages_on_odd_tables(spark):
             assert len(ids) == len(set(ids)) or name == "language_id"
         tokens = corpus_pipeline.STAGES[-1][1](spark, found, FOLDER)
         assert tokens.count() == found.count()
+
+
+def test_language_learns_from_all_labelled_documents(spark, monkeypatch):
+    """Model and usual surprise see every labelled training document, also beyond the sample of op5."""
+    from kycmill.llm import language_id
+
+    monkeypatch.setattr(language_id, "SAMPLE", 5)
+    texts = [f"the cat number{'x' * (i % 7)} sat on the mat" for i in range(60)]
+    rows = [(i, t, "en" if i % 10 else None, "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = docs.filter(~language_id.held_out(docs.doc_id) & docs.lang.isNotNull()).count()
+    seen = {}
+    learn, usual = language_id.learn_from, language_id.usual_of
+    monkeypatch.setattr(language_id, "learn_from", lambda d, *a: (seen.update(learned=d.count()), learn(d, *a))[1])
+    monkeypatch.setattr(language_id, "usual_of", lambda d: (seen.update(judged=d.count()), usual(d))[1])
+    assert corpus_pipeline.language(spark, docs, FOLDER).count() == len(rows)
+    assert seen == {"learned": want, "judged": want}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8])
+def test_usual_surprise_is_the_median(spark, n):
+    import random
+    import statistics
+
+    from kycmill.llm import language_id
+
+    draw = random.Random(n)
+    rows = [("en", draw.choice([10, 20]), draw.uniform(20, 90)) for _ in range(n)] + [("und", 0, 0.0)]
+    found = spark.createDataFrame(rows, "lang_pred string, letters bigint, surprise double")
+    want = statistics.median(s / x for lang, x, s in rows if lang == "en")
+    got = language_id.usual_of(found)
+    assert set(got) == {"en"} and abs(got["en"] - want) <= language_id.STEP
