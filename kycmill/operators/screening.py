@@ -126,12 +126,12 @@ def _near_centres(centres: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            angle = _angles(_directions(_matrix(batch.column("vector")).astype("float64")), centres)
-            own = angle.argmin(1)
-            more = [pa.array(own, pa.int32()), pa.array(angle[np.arange(len(own)), own])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "centre", "angle"])
+            for first in range(0, batch.num_rows, _TILE):
+                part = batch.slice(first, _TILE)
+                angle = _angles(_directions(_matrix(part.column("vector")).astype("float64")), centres)
+                own = angle.argmin(1)
+                more = [pa.array(own, pa.int32()), pa.array(angle[np.arange(len(own)), own])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "centre", "angle"])
 
     return run
 

@@ -15,6 +15,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A batch for Python is bounded by bytes too: rows may be whole blocks of a screened list, or long texts.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # Blocks of a screened list are large rows: after a few of them Spark holds the list where it can spill.
     "spark.sql.cartesianProductExec.buffer.in.memory.threshold": "16",
 }

@@ -1,6 +1,7 @@
 """Phonetic codes, vector and phonetic screening, user-supplied clients."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,35 @@ def test_vector_screen_passes_no_list_through_the_driver(spark, monkeypatch):
     assert sorted(r.entry_id for r in hits.collect()) == sorted(r[0] for r in rows)
 
 
+def test_tasks_read_a_few_blocks_at_a_time(spark):
+    """However long the list, a batch for Python holds pairs of blocks up to a bound in bytes."""
+    rows = [(f"e{i:02d}", "L", f"{i:02d}" * (1 << 19), [1.0, 0.0]) for i in range(40)]
+    watch = spark.createDataFrame(rows, "entry_id string, list_source string, name string, vector array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, vector array<float>")
+    pairs, _, _ = screening._met_blocks(queries, watch.repartition(8), block_rows=1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    found = pairs.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+    assert sum(r.n for r in found) == 40
+    assert max(r.bytes for r in found) <= 16 << 20
+
+
+def test_entries_are_placed_in_slices():
+    """Angles to all centres are held for a few thousand entries at a time, whatever the batch."""
+    rng = np.random.default_rng(5)
+    vectors, centres = _unit(rng, 5000), _unit(rng, 30).astype("float64")
+    column = pa.array(vectors.tolist(), pa.list_(pa.float32()))
+    parts = list(screening._near_centres(centres)(iter([pa.RecordBatch.from_arrays([column], ["vector"])])))
+    assert max(p.num_rows for p in parts) <= screening._TILE
+    near = np.concatenate([p.column("centre").to_numpy() for p in parts])
+    angle = np.concatenate([p.column("angle").to_numpy() for p in parts])
+    want = np.arccos(np.clip(vectors.astype("float64") @ centres.T, -1, 1))
+    assert len(near) == 5000 and np.allclose(angle, want.min(1), atol=1e-6) and np.allclose(want[np.arange(5000), near], want.min(1), atol=1e-6)
+
+
 def test_phonetic_screen_equals_brute_force(spark):
     # One code is shared by most queries and entries.
     names = ["Smith", "Schmidt", "Smyth", "Mohammed", "Muhammad", "Katarzyna", "Nowak"]
