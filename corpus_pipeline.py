@@ -40,7 +40,9 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of ids and decoded text."""
     path = public_tokenizers.path(TOKENIZER)
-    return bpe.digests(bpe.decode(bpe.encode(docs, path), path), "ids")
+    # Ids are written between the two ways: in one stage a task would hold a Python worker, with its tables, for each.
+    ids = stored(bpe.encode(docs, path), "pipeline-ids")
+    return bpe.digests(bpe.decode(ids, path), "ids")
 
 
 STAGES = [

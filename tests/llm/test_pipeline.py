@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kycmill.llm import decontaminate, minhash
+from kycmill.llm import bpe, decontaminate, minhash
 from kycmill.llm.common import stored, table
 from kycmill.llm.queries import TOKENIZER
 
@@ -103,3 +103,14 @@ def test_usual_surprise_is_the_median(spark, n):
     want = statistics.median(s / x for lang, x, s in rows if lang == "en")
     got = language_id.usual_of(found)
     assert set(got) == {"en"} and abs(got["en"] - want) <= language_id.STEP
+
+
+def test_tokens_need_one_worker_a_task(spark):
+    """Ids are written before they are decoded: two ways in one stage would keep two Python workers a task, and their tables."""
+    rows = [(1, "The cat sat on the mat."), (2, None), (3, "naïve café"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.tokens(spark, docs, FOLDER)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = public_tokenizers.path(TOKENIZER)
+    want = bpe.digests(bpe.decode(bpe.encode(docs, path), path), "ids")
+    assert found.columns == want.columns and sorted(found.collect()) == sorted(want.collect()) and found.count() == 4
