@@ -16,8 +16,8 @@ from kycmill.llm.queries import PIECES, TOKENIZER
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters go, and letter junk and languages far from those of all labelled training documents."""
     model = language_id.learn_from(language_id.training_rows(docs), public_tokenizers.path(PIECES))
-    # Every text is scored once; both the usual surprise and the rows that stay are read from that.
-    found = stored(language_id.predict(docs, model), "language-scores")
+    # Every text is scored once; both the usual surprise and the rows that stay are read from that. The table stays to the end.
+    found = stored(language_id.predict(docs, model), "language-scores", "zstd")
     known = language_id.training_rows(found.select("row.doc_id", "row.lang", "row.text", "lang_pred", "letters", "surprise"))
     return language_id.drop_strangers(found, language_id.usual_of(known))
 
@@ -61,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", "zstd")
     return STAGES[-1][1](spark, docs, sf_dir)

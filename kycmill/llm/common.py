@@ -51,9 +51,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows from Parquet in the shared folder: compressed, and readable by column."""
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """The rows from Parquet in the shared folder: compressed, and readable by column. For texts ``zstd`` needs less disk."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)

@@ -335,10 +335,15 @@ def near_classes(
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with the columns the rows came with."""
-    # A struct is equal to another with the same fields, nulls too, so the join and the window share one exchange.
-    name = F.struct("doc_id", "th").alias("name")
+    # Nulls take part in the join as they are fields of a struct. No field itself can be null, whatever the input's schema
+    # says: structs that differ in that would be cast for the join, and the window would exchange whole rows once more.
+    name = F.struct(
+        F.col("doc_id").isNull().alias("no_id"),
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
+        F.coalesce("th", F.lit(0)).alias("th"),
+    ).alias("name")
     winners = near_classes(docs, key, text, threshold).filter("kept").select(name).distinct()
-    rows = packed(docs, key, text).select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("name"), "row")
+    rows = packed(docs, key, text).withColumn("th", F.xxhash64("text")).select(name, "row")
     order = Window.partitionBy("name").orderBy("name")
     kept = rows.join(winners, "name", "left_semi").withColumn("place", F.row_number().over(order))
     return kept.filter("place = 1").select("row.*")

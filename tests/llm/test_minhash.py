@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
+import pytest
 
 from kycmill.llm import minhash
 from kycmill.llm.common import checkpointed
@@ -92,6 +94,26 @@ def test_repeated_rows_and_null_ids(spark):
     assert minhash.near_classes(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "long not null"])
+def test_whole_rows_are_exchanged_once(spark, kind):
+    """The winners are joined and repeats of a row dropped after one exchange, whatever the schema says of nulls."""
+    text, other = "a b c d e f g h", "other words that are here"
+    rows = [(0, text), (3, text), (3, text), (9, other), (9, other)] + ([] if "not" in kind else [(None, text), (None, "alone")])
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = minhash.drop_near(docs)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # One for the rows, one for the names of the winners.
+    assert len(re.findall(r"Exchange hashpartitioning\(.*\bname#", plan)) == 2
+    want = [(0, text), (9, other)] + ([] if "not" in kind else [(None, "alone")])
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     draw = random.Random(3)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 200)]
