@@ -6,6 +6,9 @@ over whole tables is ``case_decisions`` with ``review_resolution``.
 
 from __future__ import annotations
 
+import json
+import pickle
+from collections import namedtuple
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from typing import NamedTuple
@@ -106,32 +109,48 @@ def assess(documents, extraction, face, screening) -> Assessment | None:
 
 #: Cases are kept in so many groups, fixed for the life of a checkpoint. Calls to the state cost far more than the cases.
 BUCKETS = 1 << 15
-_KEPT = {kind: Row("seq", "failed", *(c.split()[0] for c in columns.split(", "))) for kind, columns in EVIDENCE.items()}
+_KEPT = {
+    kind: namedtuple(kind, ["seq", "failed", *(c.split()[0] for c in columns.split(", "))])
+    for kind, columns in EVIDENCE.items()
+}
 _MOVE = Row("case_id", *(c.split()[0] for c in TRANSITION.split(", ")))
 _MISSING = Row("failed")(True)
+_DOUBLES = {c.split()[0] for c in EVENT.split(", ") if c.endswith(" double")}
+
+#: A group's least advanced phase, highest number of an event and next timer, and its cases, each as one value: a
+#: column costs Python more than what it holds.
+_STATE = "phase string, seq bigint, timer bigint, cases array<binary>"
+
 
+def _packed() -> Column:
+    """An event in one text, without its nulls. Doubles are texts in it, so that all of them come back as they were."""
+    names = [c.split()[0] for c in EVENT.split(", ")]
+    return F.to_json(F.struct(*[F.col(n).cast("string").alias(n) if n in _DOUBLES else F.col(n) for n in names]))
 
-def _state(id_type: str) -> str:
-    """A group's least advanced phase, highest number of an event and next timer, and its cases."""
-    kinds = {k: c.replace(" ", ":").replace(",:", ",") for k, c in EVIDENCE.items()}
-    evidence = ",".join(f"{k}:struct<seq:bigint,failed:boolean,{c}>" for k, c in kinds.items())
-    decisions = "decisions:array<struct<seq:bigint,decision:string,reviewer_id:bigint>>"
-    case = f"case_id:{id_type},phase:string,seq:bigint,timer:bigint,{evidence},{decisions}"
-    return f"phase string, seq bigint, timer bigint, cases array<struct<{case}>>"
+
+def _unpacked(text: str) -> dict:
+    event = json.loads(text)
+    for name in _DOUBLES & event.keys():
+        event[name] = float(event[name])
+    return event
 
 
 class _Case:
     """One case: phase, highest number of an event so far, when its time is over (None: never), and what it waits with."""
 
-    def __init__(self, phase="open", seq=-1, timer=None, *more):
+    __slots__ = ("phase", "seq", "timer", "evidence", "decisions")
+
+    def __init__(self, phase="open", seq=-1, timer=None, evidence=(), decisions=()):
         self.phase, self.seq, self.timer = phase, seq, timer
-        *evidence, decisions = more or [None] * (len(EVIDENCE) + 1)
-        self.evidence = {k: None if row is None else _KEPT[k](*row) for k, row in zip(EVIDENCE, evidence)}
-        self.decisions = [tuple(d) for d in decisions or []]
+        self.evidence = dict.fromkeys(EVIDENCE)
+        self.evidence.update((kind, _KEPT[kind](*row)) for kind, row in evidence)
+        self.decisions = list(decisions)
 
-    def row(self, key) -> tuple:
-        evidence = (None if row is None else tuple(row) for row in self.evidence.values())
-        return (key, self.phase, self.seq, self.timer, *evidence, self.decisions)
+    def packed(self, key) -> bytes:
+        row = (key, self.phase, self.seq, self.timer)
+        if self.phase == "open":
+            row += ([(kind, tuple(row)) for kind, row in self.evidence.items() if row is not None], self.decisions)
+        return pickle.dumps(row, pickle.HIGHEST_PROTOCOL)
 
 
 class CaseLifecycle(StatefulProcessor):
@@ -141,24 +160,27 @@ class CaseLifecycle(StatefulProcessor):
     hash, and a group is read and written once per batch that meets it.
     """
 
-    def __init__(self, timeout_ms: int, horizon_ms: int, id_type: str):
-        self.timeout_ms, self.horizon_ms, self.id_type = timeout_ms, horizon_ms, id_type
+    def __init__(self, timeout_ms: int, horizon_ms: int):
+        self.timeout_ms, self.horizon_ms = timeout_ms, horizon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.phase = handle.getValueState("phase", _state(self.id_type))
+        self.phase = handle.getValueState("phase", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs()
         cases, timer = self._cases()
         came: dict = {}
-        for row in rows:
-            came.setdefault(row.case_id, []).append(row)
-        for case_id, events in came.items():
+        for _, case_id, text in rows:
+            came.setdefault(case_id, []).append(text)
+        changed = False
+        for case_id, texts in came.items():
             case = cases.setdefault(case_id, _Case())
             if case.phase != "final":
-                yield from self._advance(case_id, case, events, now)
-        self._keep(cases, timer)
+                changed = True
+                yield from self._advance(case_id, case, [_unpacked(t) for t in texts], now)
+        if changed:
+            self._keep(cases, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = max(timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs())
@@ -178,7 +200,8 @@ class CaseLifecycle(StatefulProcessor):
         known = self.phase.get()
         if known is None:
             return {}, None
-        return {row[0]: _Case(*row[1:]) for row in known[3]}, known[2]
+        rows = (pickle.loads(case) for case in known[3])
+        return {row[0]: _Case(*row[1:]) for row in rows}, known[2]
 
     def _keep(self, cases: dict, timer: int | None) -> None:
         """Write the group. ``timer`` is the one that runs: it may fire early, but never late."""
@@ -193,19 +216,20 @@ class CaseLifecycle(StatefulProcessor):
             timer = due
         phases = {c.phase for c in cases.values()}
         least = next(p for p in ("open", "parked", "final") if p in phases)
-        self.phase.update((least, max(c.seq for c in cases.values()), timer, [c.row(k) for k, c in cases.items()]))
+        self.phase.update((least, max(c.seq for c in cases.values()), timer, [c.packed(k) for k, c in cases.items()]))
 
-    def _advance(self, case_id, case: _Case, events: list[Row], now: int) -> Iterator[Row]:
+    def _advance(self, case_id, case: _Case, events: list[dict], now: int) -> Iterator[Row]:
         decided = []
-        for row in events:
-            case.seq = max(case.seq, row.seq)
-            if row.kind == "decision":
-                decided.append((row.seq, row.decision, row.reviewer_id))
-            elif row.kind in _KEPT and case.phase == "open":
+        for event in events:
+            seq, kind = event["seq"], event.get("kind")
+            case.seq = max(case.seq, seq)
+            if kind == "decision":
+                decided.append((seq, event.get("decision"), event.get("reviewer_id")))
+            elif kind in _KEPT and case.phase == "open":
                 # Of repeated evidence the newest counts.
-                old, kept = case.evidence[row.kind], _KEPT[row.kind]
-                if old is None or old.seq < row.seq:
-                    case.evidence[row.kind] = kept(row.seq, bool(row.failed), *(row[c] for c in kept[2:]))
+                old, kept = case.evidence[kind], _KEPT[kind]
+                if old is None or old.seq < seq:
+                    case.evidence[kind] = kept(seq, bool(event.get("failed")), *map(event.get, kept._fields[2:]))
         found = assess(**case.evidence) if case.phase == "open" else None
         if case.phase == "open" and found is None:
             case.decisions += sorted(decided)
@@ -246,11 +270,10 @@ def stream_case_lifecycle(
     leaves the state after the horizon; events that come later than that open it anew. State is kept for ``buckets``
     groups of cases, by the hash of their ids.
     """
-    columns = ["case_id", *(c.split()[0] for c in EVENT.split(", "))]
     id_type = events.schema["case_id"].dataType.simpleString()
     bucket = F.pmod(F.xxhash64("case_id"), F.lit(buckets)).alias("__bucket")
-    return events.select(bucket, *columns).groupBy("__bucket").transformWithState(
-        CaseLifecycle(int(timeout_min * 60_000), int(horizon_min * 60_000), id_type),
+    return events.select(bucket, "case_id", _packed().alias("__event")).groupBy("__bucket").transformWithState(
+        CaseLifecycle(int(timeout_min * 60_000), int(horizon_min * 60_000)),
         f"case_id {id_type}, {TRANSITION}",
         "append",
         "processingTime",

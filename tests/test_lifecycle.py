@@ -176,3 +176,20 @@ def test_cases_share_groups_of_state(spark, tmp_path):
     assert got == sorted([(i, "needs_review", None) for i in range(n)] + [(i, "approved", i) for i in range(n)], key=lambda r: (r[0], r[1]))
     state = spark.read.format("statestore").option("stateVarName", "phase").load(str(tmp_path / "out" / "checkpoint")).collect()
     assert len(state) == 4 and sum(len(r.value.cases) for r in state) == n
+
+
+def test_events_and_cases_are_one_value_each(spark, tmp_path):
+    """Every column of an event or a case costs Python time; what is packed comes back as it was."""
+    odd = [0.1 + 0.2, 1e-7, float("inf"), -0.0, 5e-324, None]
+    rows = [read(i, 2**62 + i, confidence=v, reason='a"b\\\n\u001eü😀') for i, v in enumerate(odd)] + [read(9, 1, confidence=float("nan"))]
+    packed = spark.createDataFrame(rows, SCHEMA).select("case_id", lifecycle._packed().alias("e")).collect()
+    got = {r.case_id: lifecycle._unpacked(r.e) for r in packed}
+    kept = {r[0]: {n: v for n, v in zip(NAMES[1:], r[1:]) if v is not None} for r in rows}
+    assert str(got.pop(9)) == str(kept.pop(9)) and got == kept
+
+    waiting = [docs(1, 1), event(1, 2, "decision", decision="rejected", reviewer_id=3), docs(2, 1, failed=True)]
+    stream = lifecycle.stream_case_lifecycle(batches(spark, waiting, tmp_path / "in", 1), buckets=1)
+    run_to_files(stream, "lifecycle", 2, at=str(tmp_path / "out"))
+    (state,) = spark.read.format("statestore").option("stateVarName", "phase").load(str(tmp_path / "out" / "checkpoint")).collect()
+    assert len(state.value.cases) == 2 and all(isinstance(c, (bytes, bytearray)) for c in state.value.cases)
+    assert state.value.phase == "open" and state.value.timer is not None
