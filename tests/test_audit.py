@@ -237,3 +237,66 @@ def test_packed_hashes_differ_as_the_texts_do(spark):
     df = spark.createDataFrame([(t,) for t in texts], "h string")
     got = [r[0] if r[0] is None else bytes(r[0]) for r in df.select(audit._packed_hash("h")).collect()]
     assert len(set(got)) == len(texts) and got[-1] is None and len(got[0]) == 32
+
+
+def test_ids_work_out_each_event_once(spark):
+    """Ids follow the order of time, tenant, case and ``seq``, whatever repeats or is missing; no column outside the order is read to draw ranges."""
+    rng = random.Random(8)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def payload(n):
+        seen.add(1)
+        return f'{{"n": {n}}}'
+
+    at = [None, dt.datetime(2026, 1, 1), *(dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i) for i in range(40))]
+    rows = [
+        (rng.choice(["hot", "hot", None, "a"]), f"c{rng.randrange(4)}", rng.choice(["x", "y"]), rng.choice(at), rng.randrange(3), i)
+        for i in range(1500)
+    ]
+    schema = "tenant_id string, case_id string, event_type string, created_at timestamp_ntz, seq int, n int"
+    events = spark.createDataFrame(rows, schema).repartition(3).withColumn("payload", payload.asNondeterministic()("n"))
+    found = audit.assign_ids(events, 7).collect()
+    assert seen.value == len(rows)
+    assert sorted(r.id for r in found) == list(range(8, 8 + len(rows))) and {r.n for r in found} == set(range(len(rows)))
+    first = lambda v: (v is not None, v)
+    key = lambda r: (first(r.created_at), first(r.tenant_id), r.case_id, r.seq, r.event_type)
+    keys = [key(r) for r in sorted(found, key=lambda r: r.id)]
+    assert keys == sorted(keys)
+    assert audit.assign_ids(events.limit(0)).collect() == []
+
+
+def test_a_tenant_within_its_share_is_linked_once(spark, monkeypatch):
+    """Slices end nothing earlier where no tenant holds more than a core's share of all rows."""
+    import os
+
+    from kycmill.session import shared_dir
+
+    monkeypatch.setattr(audit, "SLICE_ROWS", 20)
+    even = [(i + 1, f"t{i % 12}", *r[2:]) for i, r in enumerate(make_rows(480))]
+    for rows, stored in ((even, 0), (make_rows(900, hot=1), 1)):
+        old = set(os.listdir(shared_dir(spark)))
+        chain = audit.build_audit_chain(spark.createDataFrame(rows, SCHEMA), width=8)
+        assert collected(chain) == expected_chain(rows)
+        new = [n for n in os.listdir(shared_dir(spark)) if n.startswith("audit-chain") and n not in old]
+        assert len(new) == stored
+
+
+def test_nothing_moves_below_the_links(spark):
+    """Rows left out and columns dropped after the chain was built change no hash."""
+    rows = make_rows(200)
+    want = expected_chain(rows)
+    chain = audit.build_audit_chain(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    some = chain.filter("id % 3 = 1 and tenant_id = 'hot'").select("id", "prev_row_hash", "row_hash")
+    assert collected(some) == {i: h for i, h in want.items() if i % 3 == 1 and rows[i - 1][1] == "hot"}
+    last = chain.groupBy("tenant_id").agg(F.max_by("row_hash", "id").alias("h"), F.max("id").alias("id")).collect()
+    assert {r.id: r.h for r in last} == {i: want[i][1] for i in (max(r[0] for r in rows if r[1] == t) for t in {r[1] for r in rows})}
+
+
+def test_times_are_written_as_python_does(spark):
+    from kycmill.functions.columns import iso_timestamp
+
+    times = [dt.datetime(1969, 12, 31, 23, 59, 59, 999999), dt.datetime(1969, 12, 31, 23, 59, 59), dt.datetime(2026, 1, 1, 0, 0, 0, 10)]
+    df = spark.createDataFrame([(t,) for t in [*times, None]], "t timestamp_ntz")
+    got = [r[0] for r in df.select(iso_timestamp(F.col("t"))).collect()]
+    assert got == [*(t.isoformat() + "+00:00" for t in times), None]
